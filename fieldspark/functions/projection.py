@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from fieldspark.functions.numbers import fixed
 from fieldspark.functions import ring as R
 
 # WGS84 / GRS80 ellipsoid, UTM scale and offsets, Web Mercator and authalic radii.
@@ -59,40 +60,65 @@ def central_meridian(zone: Column) -> Column:
     return zone * 6 - 183
 
 
+def _series(coefficients: tuple[float, ...], xi: Column, eta: Column, sign: int) -> tuple[Column, Column]:
+    """``xi`` and ``eta`` with the trigonometric series added (+1) or taken off (−1)."""
+    north, east = xi, eta
+    for j, c in enumerate(coefficients, 1):
+        north = north + F.lit(sign * c) * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        east = east + F.lit(sign * c) * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+    return north, east
+
+
 def to_utm(lon: Column, lat: Column, zone: Column) -> Column:
     """``x,y`` struct in metres."""
-    phi = F.radians(lat)
-    lam = F.radians(lon - central_meridian(zone))
-    s = F.sin(phi)
-    t = F.sinh(_atanh(s) - F.lit(_E) * _atanh(F.lit(_E) * s))
-    xi = F.atan2(t, F.cos(lam))
-    eta = _atanh(F.sin(lam) / F.sqrt(1 + t * t))
-    east, north = eta, xi
-    for j, a in enumerate(_FORWARD, 1):
-        east = east + F.lit(a) * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-        north = north + F.lit(a) * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
     scale = UTM_SCALE * _RECTIFYING
     offset = F.when(lat < 0, F.lit(FALSE_NORTHING_SOUTH)).otherwise(F.lit(0.0))
-    return R.point(F.lit(FALSE_EASTING) + scale * east, scale * north + offset)
+
+    def conformal(s: Column) -> Column:
+        return F.sinh(_atanh(s) - F.lit(_E) * _atanh(F.lit(_E) * s))
+
+    # each stage is bound once, so the tree stays small
+    start = F.struct(
+        R.let(F.sin(F.radians(lat)), conformal).alias("t"), F.radians(lon - central_meridian(zone)).alias("lam")
+    )
+
+    def sphere(v: Column) -> Column:
+        return F.struct(
+            F.atan2(v["t"], F.cos(v["lam"])).alias("xi"),
+            R.let(F.sin(v["lam"]) / F.sqrt(1 + v["t"] * v["t"]), _atanh).alias("eta"),
+        )
+
+    def plane(v: Column) -> Column:
+        north, east = _series(_FORWARD, v["xi"], v["eta"], 1)
+        return R.point(F.lit(FALSE_EASTING) + scale * east, scale * north + offset)
+
+    return R.let(R.let(start, sphere), plane)
 
 
 def from_utm(x: Column, y: Column, zone: Column, south: bool = False) -> Column:
     """``x`` longitude, ``y`` latitude."""
     scale = UTM_SCALE * _RECTIFYING
-    xi = (y - F.lit(FALSE_NORTHING_SOUTH if south else 0.0)) / scale
-    eta = (x - F.lit(FALSE_EASTING)) / scale
-    xi0, eta0 = xi, eta
-    for j, b in enumerate(_INVERSE, 1):
-        xi0 = xi0 - F.lit(b) * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-        eta0 = eta0 - F.lit(b) * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-    chi = F.asin(F.sin(xi0) / F.cosh(eta0))
-    # geodetic latitude from the conformal one, fixed-point iteration on the isometric latitude
-    q = _atanh(F.sin(chi))
-    sin_phi = F.sin(chi)
-    for _ in range(5):
-        sin_phi = F.tanh(q + F.lit(_E) * _atanh(F.lit(_E) * sin_phi))
-    lon = F.degrees(F.atan2(F.sinh(eta0), F.cos(xi0))) + central_meridian(zone)
-    return R.point(lon, F.degrees(F.asin(sin_phi)))
+    start = F.struct(
+        ((y - F.lit(FALSE_NORTHING_SOUTH if south else 0.0)) / scale).alias("xi"),
+        ((x - F.lit(FALSE_EASTING)) / scale).alias("eta"),
+    )
+
+    def sphere(v: Column) -> Column:
+        north, east = _series(_INVERSE, v["xi"], v["eta"], -1)
+        return F.struct(north.alias("xi"), east.alias("eta"))
+
+    def geodetic(v: Column) -> Column:
+        # geodetic latitude from the conformal one, fixed-point iteration on the isometric latitude
+        def latitude(q: Column) -> Column:
+            sin_phi = F.tanh(q)
+            for _ in range(5):
+                sin_phi = F.tanh(q + F.lit(_E) * R.let(F.lit(_E) * sin_phi, _atanh))
+            return F.degrees(F.asin(sin_phi))
+
+        lon = F.degrees(F.atan2(F.sinh(v["eta"]), F.cos(v["xi"]))) + central_meridian(zone)
+        return R.point(lon, R.let(R.let(F.sin(v["xi"]) / F.cosh(v["eta"]), _atanh), latitude))
+
+    return R.let(R.let(start, sphere), geodetic)
 
 
 def to_web_mercator(lon: Column, lat: Column) -> Column:
@@ -119,7 +145,7 @@ def ring_to_web_mercator(ring: Column) -> Column:
 
 def area_planar_ha(ring: Column, zone: int = 30) -> Column:
     """Hectares of a lon/lat ring in the UTM plane, four decimals."""
-    return F.round(R.area(ring_to_utm(ring, F.lit(zone))) / 10000.0, 4)
+    return fixed(R.area(ring_to_utm(ring, F.lit(zone))) / 10000.0, 4)
 
 
 def area_web_mercator(ring: Column) -> Column:
@@ -133,13 +159,12 @@ def area_degrees_approx(ring: Column) -> Column:
 
 def _authalic_sin(lat: Column) -> Column:
     """Sine of the authalic latitude."""
-    s = F.sin(F.radians(lat))
+    pole = (1 - _E**2) * (1 / (1 - _E**2) + math.atanh(_E) / _E)
 
     def q(v: Column) -> Column:
-        return (1 - _E**2) * (v / (1 - F.lit(_E**2) * v * v) + _atanh(F.lit(_E) * v) / F.lit(_E))
+        return (1 - _E**2) * (v / (1 - F.lit(_E**2) * v * v) + _atanh(F.lit(_E) * v) / F.lit(_E)) / F.lit(pole)
 
-    pole = (1 - _E**2) * (1 / (1 - _E**2) + math.atanh(_E) / _E)
-    return q(s) / F.lit(pole)
+    return R.let(F.sin(F.radians(lat)), q)
 
 
 def area_geography(ring: Column) -> Column:

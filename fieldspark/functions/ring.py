@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 RING_TYPE = "array<struct<x:double,y:double>>"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def point(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
@@ -18,20 +23,23 @@ def rectangle(minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:
 
 def open_ring(ring: Column) -> Column:
     """Ring without its closing vertex."""
-    n = F.size(ring)
-    closed = (n > 1) & (F.element_at(ring, 1) == F.element_at(ring, -1))
-    return F.when(closed, F.slice(ring, F.lit(1), n - 1)).otherwise(ring)
+
+    def opened(r: Column) -> Column:
+        n = F.size(r)
+        closed = (n > 1) & (F.get(r, F.lit(0)) == F.get(r, n - 1))
+        return F.when(closed, F.slice(r, F.lit(1), n - 1)).otherwise(r)
+
+    return let(ring, opened)
 
 
 def edges(ring: Column) -> Column:
     """``array<struct<a,b>>`` of consecutive vertices, including the closing edge."""
-    o = open_ring(ring)
-    shifted = F.concat(F.slice(o, F.lit(2), F.greatest(F.size(o) - 1, F.lit(0))), F.slice(o, 1, 1))
-    return F.zip_with(o, shifted, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
+    def paired(o: Column) -> Column:
+        shifted = F.concat(F.slice(o, F.lit(2), F.greatest(F.size(o) - 1, F.lit(0))), F.slice(o, 1, 1))
+        return F.zip_with(o, shifted, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
-def _cross(e: Column) -> Column:
-    return e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"]
+    return let(open_ring(ring), paired)
 
 
 def _total(values: Column, term) -> Column:
@@ -40,14 +48,19 @@ def _total(values: Column, term) -> Column:
 
 def signed_area(ring: Column) -> Column:
     """Shoelace relative to the first vertex, which keeps precision for large coordinates."""
-    first = F.element_at(ring, 1)
 
-    def term(e: Column) -> Column:
-        ax, ay = e["a"]["x"] - first["x"], e["a"]["y"] - first["y"]
-        bx, by = e["b"]["x"] - first["x"], e["b"]["y"] - first["y"]
-        return ax * by - bx * ay
+    def total(es: Column) -> Column:
+        def summed(first: Column) -> Column:
+            def term(e: Column) -> Column:
+                ax, ay = e["a"]["x"] - first["x"], e["a"]["y"] - first["y"]
+                bx, by = e["b"]["x"] - first["x"], e["b"]["y"] - first["y"]
+                return ax * by - bx * ay
 
-    return _total(edges(ring), term) / 2.0
+            return _total(es, term) / 2.0
+
+        return let(F.get(es, F.lit(0))["a"], summed)
+
+    return let(edges(ring), total)
 
 
 def area(ring: Column) -> Column:
@@ -56,31 +69,31 @@ def area(ring: Column) -> Column:
 
 def centroid(ring: Column) -> Column:
     """Area centroid; the vertex mean for rings without area."""
-    first = F.element_at(ring, 1)
+    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
 
-    def local(e: Column) -> tuple[Column, ...]:
-        return (e["a"]["x"] - first["x"], e["a"]["y"] - first["y"], e["b"]["x"] - first["x"], e["b"]["y"] - first["y"])
+    def around(es: Column) -> Column:
+        def of(first: Column) -> Column:
+            def step(acc: Column, e: Column) -> Column:
+                ax, ay = e["a"]["x"] - first["x"], e["a"]["y"] - first["y"]
+                bx, by = e["b"]["x"] - first["x"], e["b"]["y"] - first["y"]
+                cross = ax * by - bx * ay
+                return F.struct(
+                    (acc["s"] + cross).alias("s"),
+                    (acc["x"] + (ax + bx) * cross).alias("x"),
+                    (acc["y"] + (ay + by) * cross).alias("y"),
+                )
 
-    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+            def finish(acc: Column) -> Column:
+                n = F.size(es)
+                mean = point(_total(es, lambda e: e["a"]["x"]) / n, _total(es, lambda e: e["a"]["y"]) / n)
+                exact = point(first["x"] + acc["x"] / (3 * acc["s"]), first["y"] + acc["y"] / (3 * acc["s"]))
+                return F.when(acc["s"] != 0, exact).otherwise(mean)
 
-    def step(acc: Column, e: Column) -> Column:
-        ax, ay, bx, by = local(e)
-        cross = ax * by - bx * ay
-        return F.struct(
-            (acc["s"] + cross).alias("s"),
-            (acc["x"] + (ax + bx) * cross).alias("x"),
-            (acc["y"] + (ay + by) * cross).alias("y"),
-        )
+            return F.aggregate(es, zero, step, finish)
 
-    def finish(acc: Column) -> Column:
-        n = F.size(ring)
-        mean_x = _total(ring, lambda p: p["x"]) / n
-        mean_y = _total(ring, lambda p: p["y"]) / n
-        return F.when(
-            acc["s"] != 0, point(first["x"] + acc["x"] / (3 * acc["s"]), first["y"] + acc["y"] / (3 * acc["s"]))
-        ).otherwise(point(mean_x, mean_y))
+        return let(F.get(es, F.lit(0))["a"], of)
 
-    return F.aggregate(edges(ring), zero, step, finish)
+    return let(edges(ring), around)
 
 
 def bounds(ring: Column) -> dict[str, Column]:
@@ -92,7 +105,7 @@ def with_bounds(df, ring: str = "ring"):
     return df.withColumns(bounds(F.col(ring)))
 
 
-def on_boundary(ring: Column, x: Column, y: Column) -> Column:
+def _on_edges(es: Column, x: Column, y: Column) -> Column:
     def hit(e: Column) -> Column:
         ax, ay, bx, by = e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"]
         collinear = (bx - ax) * (y - ay) == (by - ay) * (x - ax)
@@ -101,16 +114,20 @@ def on_boundary(ring: Column, x: Column, y: Column) -> Column:
         )
         return collinear & within
 
-    return F.exists(edges(ring), hit)
+    return F.exists(es, hit)
+
+
+def on_boundary(ring: Column, x: Column, y: Column) -> Column:
+    return _on_edges(edges(ring), x, y)
 
 
-def _crossings_odd(ring: Column, x: Column, y: Column) -> Column:
+def _crossings_odd(es: Column, x: Column, y: Column) -> Column:
     def crosses(e: Column) -> Column:
         ax, ay, bx, by = e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"]
         straddles = (ay > y) != (by > y)
         return straddles & (x < (bx - ax) * (y - ay) / F.when(by != ay, by - ay) + ax)
 
-    count = F.aggregate(edges(ring), F.lit(0), lambda acc, e: acc + F.when(crosses(e), 1).otherwise(0))
+    count = F.aggregate(es, F.lit(0), lambda acc, e: acc + F.when(crosses(e), 1).otherwise(0))
     return count % 2 == 1
 
 
@@ -119,12 +136,16 @@ def contains_point(ring: Column, x: Column, y: Column, boundary: str = "include"
 
     ``half_open`` gives a point on a shared edge to exactly one neighbour, as raster masks do.
     """
-    inside = _crossings_odd(ring, x, y)
-    if boundary == "half_open":
-        return inside
-    if boundary == "exclude":
-        return inside & ~on_boundary(ring, x, y)
-    return inside | on_boundary(ring, x, y)
+
+    def test(es: Column) -> Column:
+        inside = _crossings_odd(es, x, y)
+        if boundary == "half_open":
+            return inside
+        if boundary == "exclude":
+            return inside & ~_on_edges(es, x, y)
+        return inside | _on_edges(es, x, y)
+
+    return let(edges(ring), test)
 
 
 def _segments_meet(p: Column, q: Column) -> Column:
@@ -152,66 +173,92 @@ def _segments_meet(p: Column, q: Column) -> Column:
 
 def polygons_intersect(a: Column, b: Column) -> Column:
     """True when the closed polygons share at least one point."""
-    edge_hit = F.exists(edges(a), lambda p: F.exists(edges(b), lambda q: _segments_meet(p, q)))
-    first_a, first_b = F.element_at(a, 1), F.element_at(b, 1)
-    return (
-        edge_hit
-        | contains_point(a, first_b["x"], first_b["y"])
-        | contains_point(b, first_a["x"], first_a["y"])
-    )
 
+    def test(ea: Column) -> Column:
+        def against(eb: Column) -> Column:
+            edge_hit = F.exists(ea, lambda p: F.exists(eb, lambda q: _segments_meet(p, q)))
+            pa, pb = F.get(ea, F.lit(0))["a"], F.get(eb, F.lit(0))["a"]
+            return edge_hit | _crossings_odd(ea, pb["x"], pb["y"]) | _crossings_odd(eb, pa["x"], pa["y"])
 
-def distance_to_boundary(ring: Column, x: Column, y: Column) -> Column:
+        return let(edges(b), against)
+
+    return let(edges(a), test)
+
+
+def _distance_to_edges(es: Column, x: Column, y: Column) -> Column:
     def one(e: Column) -> Column:
         ax, ay, bx, by = e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"]
         dx, dy = bx - ax, by - ay
         length2 = dx * dx + dy * dy
-        t = F.when(length2 > 0, ((x - ax) * dx + (y - ay) * dy) / length2).otherwise(F.lit(0.0))
-        t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), t))
-        px, py = ax + t * dx - x, ay + t * dy - y
-        return F.sqrt(px * px + py * py)
+        share = F.when(length2 > 0, ((x - ax) * dx + (y - ay) * dy) / length2).otherwise(F.lit(0.0))
+
+        def at(t: Column) -> Column:
+            px, py = ax + t * dx - x, ay + t * dy - y
+            return F.sqrt(px * px + py * py)
 
-    return F.array_min(F.transform(edges(ring), one))
+        return let(F.least(F.lit(1.0), F.greatest(F.lit(0.0), share)), at)
+
+    return F.array_min(F.transform(es, one))
 
 
 def distance_to_polygon(ring: Column, x: Column, y: Column) -> Column:
-    return F.when(contains_point(ring, x, y), F.lit(0.0)).otherwise(distance_to_boundary(ring, x, y))
+    """0 inside and on the border."""
+    return let(
+        edges(ring), lambda es: F.when(_crossings_odd(es, x, y), F.lit(0.0)).otherwise(_distance_to_edges(es, x, y))
+    )
 
 
 def covered_by_tolerance(inner: Column, outer: Column, tolerance: float = 0.0001) -> Column:
     """Every vertex of ``inner`` lies in ``outer`` or no further than the tolerance from its border."""
-    return F.forall(inner, lambda p: distance_to_polygon(outer, p["x"], p["y"]) <= F.lit(tolerance))
+
+    def test(es: Column) -> Column:
+        near = lambda p: _crossings_odd(es, p["x"], p["y"]) | (_distance_to_edges(es, p["x"], p["y"]) <= F.lit(tolerance))
+        return F.forall(inner, near)
+
+    return let(edges(outer), test)
 
 
 def drop_repeated(ring: Column) -> Column:
     """Ring without consecutive repeated vertices and without the closing one."""
-    o = open_ring(ring)
-    before = F.concat(F.slice(o, -1, 1), F.slice(o, F.lit(1), F.greatest(F.size(o) - 1, F.lit(0))))
-    pairs = F.zip_with(o, before, lambda p, q: F.struct(p.alias("p"), (p == q).alias("same")))
-    kept = F.transform(F.filter(pairs, lambda v: ~v["same"]), lambda v: v["p"])
-    return F.when(F.size(o) > 1, kept).otherwise(o)
+
+    def cleaned(es: Column) -> Column:
+        moved = F.filter(es, lambda e: e["a"] != e["b"])
+        return F.transform(moved, lambda e: e["a"])
+
+    return let(edges(ring), cleaned)
 
 
 def make_valid(ring: Column) -> Column:
     """Closed ring, no repeated vertices, anticlockwise; null below three vertices."""
-    clean = drop_repeated(ring)
-    turned = F.when(signed_area(clean) < 0, F.reverse(clean)).otherwise(clean)
-    return F.when(F.size(clean) >= 3, F.concat(turned, F.slice(turned, 1, 1)))
+
+    def fixed_up(clean: Column) -> Column:
+        turned = F.when(signed_area(clean) < 0, F.reverse(clean)).otherwise(clean)
+        return F.when(F.size(clean) >= 3, let(turned, lambda r: F.concat(r, F.slice(r, 1, 1))))
+
+    return let(drop_repeated(ring), fixed_up)
 
 
 def is_simple(ring: Column) -> Column:
     """No two edges that are not neighbours touch each other."""
-    n = F.size(open_ring(ring))
-    numbered = F.transform(edges(ring), lambda e, i: F.struct(e["a"].alias("a"), e["b"].alias("b"), i.alias("i")))
 
-    def clash(p: Column) -> Column:
-        def far(q: Column) -> Column:
-            gap = q["i"] - p["i"]
-            return (gap > 1) & (gap < n - 1) & _segments_meet(p, q)
+    def test(es: Column) -> Column:
+        numbered = F.transform(es, lambda e, i: F.struct(e["a"].alias("a"), e["b"].alias("b"), i.alias("i")))
+
+        def free(ne: Column) -> Column:
+            n = F.size(ne)
+
+            def clash(p: Column) -> Column:
+                def far(q: Column) -> Column:
+                    gap = q["i"] - p["i"]
+                    return (gap > 1) & (gap < n - 1) & _segments_meet(p, q)
+
+                return F.exists(ne, far)
+
+            return ~F.exists(ne, clash)
 
-        return F.exists(numbered, far)
+        return let(numbered, free)
 
-    return ~F.exists(numbered, clash)
+    return let(edges(ring), test)
 
 
 def parse_wkt_ring(wkt: Column) -> Column:
@@ -245,13 +292,13 @@ def parse_geojson_ring(text: Column) -> Column:
 
 
 def ring_to_wkt(ring: Column) -> Column:
-    closed = F.concat(open_ring(ring), F.slice(ring, 1, 1))
+    closed = let(open_ring(ring), lambda r: F.concat(r, F.slice(r, 1, 1)))
     pairs = F.transform(closed, lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string")))
     return F.concat(F.lit("POLYGON(("), F.concat_ws(",", pairs), F.lit("))"))
 
 
 def ring_to_geojson(ring: Column) -> Column:
-    closed = F.concat(open_ring(ring), F.slice(ring, 1, 1))
+    closed = let(open_ring(ring), lambda r: F.concat(r, F.slice(r, 1, 1)))
     coordinates = F.array(F.transform(closed, lambda p: F.array(p["x"], p["y"])))
     return F.struct(F.lit("Polygon").alias("type"), coordinates.alias("coordinates"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldspark.functions.numbers import fixed
 from fieldspark.functions import rules
 from fieldspark.functions.text import blank_to_null, first_filled, first_nonblank
 
@@ -202,7 +203,7 @@ def crop_plan(plots: DataFrame, subplots: DataFrame, crops: DataFrame, products:
         .select(
             "id_recinto",
             label.alias("nombre"),
-            F.round(F.coalesce("geom_ha", "superficie_ha", F.lit(0.0)), 4).alias("superficie_ha"),
+            fixed(F.coalesce("geom_ha", "superficie_ha", F.lit(0.0)), 4).alias("superficie_ha"),
             F.coalesce("cultivo", F.lit("")).alias("cultivo"),
             F.coalesce("n_subparcelas", F.lit(0)).alias("n_subparcelas"),
         )
@@ -227,7 +228,7 @@ def plan_rows(plots: DataFrame, subplots: DataFrame, crops: DataFrame, products:
         F.col("id_subparcela").cast("long").alias("id_subparcela"),
         F.coalesce(blank_to_null(F.col("nombre")), F.col("_plot_name"), fallback).alias("nombre"),
         F.coalesce("_desc", "_pc", F.lit("")).alias("cultivo"),
-        F.round(F.coalesce("superficie_ha", "_plot_ha", F.lit(0.0)), 4).alias("ha"),
+        fixed(F.coalesce("superficie_ha", "_plot_ha", F.lit(0.0)), 4).alias("ha"),
         F.lit("subparcela").alias("tipo"),
     )
     without = base.join(subplots.select("id_recinto"), "id_recinto", "left_anti").select(
@@ -235,7 +236,7 @@ def plan_rows(plots: DataFrame, subplots: DataFrame, crops: DataFrame, products:
         F.lit(None).cast("long").alias("id_subparcela"),
         F.coalesce(blank_to_null(F.col("_plot_name")), fallback).alias("nombre"),
         F.coalesce("_pc", F.lit("")).alias("cultivo"),
-        F.round(F.coalesce("_plot_ha", F.lit(0.0)), 4).alias("ha"),
+        fixed(F.coalesce("_plot_ha", F.lit(0.0)), 4).alias("ha"),
         F.lit("recinto").alias("tipo"),
     )
     return with_parts.unionByName(without)
@@ -273,7 +274,7 @@ def farm_notebook(
         name.alias("cultivo"),
         start_date().alias("fecha_inicio"),
         kg_ha.alias("kg_ha"),
-        F.round(kg_ha * F.coalesce("superficie_ha", F.lit(0.0)), 0).alias("kg_total"),
+        fixed(kg_ha * F.coalesce("superficie_ha", F.lit(0.0)), 0).alias("kg_total"),
         F.coalesce("operaciones", F.array()).alias("operaciones"),
         F.coalesce(F.size("operaciones"), F.lit(0)).alias("n_ops"),
     )

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from fieldspark.functions.numbers import fixed
 from fieldspark.operators.interpolation import LAG_PREFIX, lag_names
 
 MIN_ROWS = 6
@@ -77,7 +78,7 @@ def train_per_crop(features: DataFrame) -> DataFrame:
 def predict_per_crop(features: DataFrame, models: DataFrame, keep: list[str]) -> DataFrame:
     """Four forecast days per row with complete inputs and a model of its crop; column arithmetic only."""
     complete = features.dropna(subset=PREDICT_INPUTS)
-    inputs = F.array(F.lit(1.0), *[F.round(F.col(f"`{c}`"), 3) for c in PREDICT_INPUTS])
+    inputs = F.array(F.lit(1.0), *[fixed(F.col(f"`{c}`"), 3) for c in PREDICT_INPUTS])
     joined = complete.join(models.select("Cl", "coef"), "Cl").withColumn("_x", inputs)
 
     def output(k: int):

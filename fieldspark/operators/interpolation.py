@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldspark.functions.numbers import fixed
+
 # Inverse-distance powers by variable (other variables: the default given by the caller).
 IDW_POWERS = {
     "tempmax": 2.0,
@@ -361,7 +363,7 @@ def lag_features(plots: DataFrame, daily: DataFrame, run_date: Column, plot_key:
     )
     names = [n for prefix in LAG_PREFIX.values() for n in lag_names(prefix, days)]
     wide = values.withColumn("_n", named).groupBy(plot_key).pivot("_n", names).agg(F.first("valor", ignorenulls=True))
-    rounded = wide.select(plot_key, *[F.round(F.col(f"`{n}`"), 3).alias(n) for n in names])
+    rounded = wide.select(plot_key, *[fixed(F.col(f"`{n}`"), 3).alias(n) for n in names])
     return plots.select(plot_key).join(rounded, plot_key, "left")
 
 
@@ -383,4 +385,4 @@ def eto_history(
     )
     names = [f"eto_{d}" for d in range(days + 1)] + variables
     wide = values.groupBy(plot_key).pivot("columna", names).agg(F.first("valor", ignorenulls=True))
-    return plots.select(plot_key).join(wide.select(plot_key, *[F.round(n, 3).alias(n) for n in names]), plot_key, "left")
+    return plots.select(plot_key).join(wide.select(plot_key, *[fixed(n, 3).alias(n) for n in names]), plot_key, "left")

@@ -91,7 +91,7 @@ def irrigation_dose(df: DataFrame) -> DataFrame:
                 "litros_brutos": F.when(
                     F.col("litros_netos") > 0, whole(F.col("litros_netos") / F.col("_eff"))
                 ).otherwise(F.lit(0).cast("long")),
-                "eficiencia_pct": F.round(F.col("_eff") * 100, 0).cast("int"),
+                "eficiencia_pct": fixed(F.col("_eff") * 100, 0).cast("int"),
                 "sistexp": F.when(irrigated, "Regadío").otherwise("Secano"),
                 "estado": rules.irrigation_state(F.col("color")),
                 "badge": rules.irrigation_badge(F.col("color")),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldspark.functions.numbers import fixed
 from fieldspark.functions.text import blank_to_null
 
 DASH = "—"
@@ -97,7 +98,7 @@ def _origins(doc: Column) -> Column:
 
 def _summary(kind: Column) -> Column:
     notes = F.when(F.col("observaciones").isNotNull(), F.concat(F.lit(" — "), "observaciones")).otherwise(F.lit(""))
-    volume = F.coalesce(F.concat(F.round("volumen_m3", 0).cast("long").cast("string"), F.lit(" m³")), F.lit(DASH))
+    volume = F.coalesce(F.concat(fixed("volumen_m3", 0).cast("long").cast("string"), F.lit(" m³")), F.lit(DASH))
     amount = F.coalesce(F.concat_ws(" ", F.when(F.col("dosis").isNotNull(), F.col("dosis")), F.when(F.col("dosis").isNotNull(), F.col("unidad"))), F.lit(""))
     amount = F.when(amount != "", amount)
     head = F.when(

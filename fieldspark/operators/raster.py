@@ -327,7 +327,7 @@ def fill_gaps(raster: DataFrame, max_gap: int = 50, block: int = 256, keys: list
         .withColumn("_bc", F.explode(homes(F.col("c"))))
     )
 
-    def fill(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fill(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         br, bc = key[-2], key[-1]
         r0, c0 = int(pdf["r"].min()), int(pdf["c"].min())
         rows, cols = pdf["r"].to_numpy() - r0, pdf["c"].to_numpy() - c0

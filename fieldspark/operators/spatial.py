@@ -85,13 +85,8 @@ def join_polygons(
     l = left.withColumn("_own", _level(*[F.col(c) for c in box], cell))
     r = other.withColumn("_own_r", _level(*[F.col(f"{c}_r") for c in box], cell))
     # a row appears on its own level and on every coarser level used by the other side
-    l = l.withColumn(
-        "_lv", F.explode(F.array_distinct(F.concat(F.array("_own"), F.filter(levels_r, lambda v: v > F.col("_own")))))
-    )
-    r = r.withColumn(
-        "_lv_r",
-        F.explode(F.array_distinct(F.concat(F.array("_own_r"), F.filter(levels_l, lambda v: v > F.col("_own_r"))))),
-    )
+    l = l.withColumn("_lv", F.explode(F.array_union(F.array("_own"), levels_r))).filter("_lv >= _own")
+    r = r.withColumn("_lv_r", F.explode(F.array_union(F.array("_own_r"), levels_l))).filter("_lv_r >= _own_r")
     for lo, hi, name in (("minx", "maxx", "_cx"), ("miny", "maxy", "_cy")):
         l = l.withColumn(
             name, F.explode(F.sequence(_axis(F.col(lo), cell, F.col("_lv")), _axis(F.col(hi), cell, F.col("_lv"))))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldspark.functions import ring as R
-from fieldspark.operators.interpolation import SALTS, knn_join
+from fieldspark.operators.interpolation import SALTS
 from fieldspark.operators.spatial import join_points_polygons
 
 # Hyperparameters tried by the Gaussian process (length scales relative to the extent).
@@ -70,7 +70,7 @@ def kriging_fit(stations: DataFrame, group: list[str]) -> DataFrame:
 
 
 def evaluate(cells: DataFrame, fitted: DataFrame, group: list[str], kind: str, chunk: int = 1024) -> DataFrame:
-    """Σ w·basis(distance) per cell and group. Nodes are packed in arrays of bounded size, copied per salt."""
+    """Σ w·basis(distance) per cell and group, or the value of the nearest node. Nodes are packed in arrays of bounded size, copied per salt."""
     number = F.pmod(F.xxhash64("x", "y"), F.greatest(F.lit(1), F.ceil(F.col("_n") / chunk)).cast("int"))
     sizes = fitted.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
     packed = (
@@ -90,6 +90,14 @@ def evaluate(cells: DataFrame, fitted: DataFrame, group: list[str], kind: str, c
             return F.sqrt(d2 / (F.col("_scale") * F.col("_scale")) + 1.0)
         return F.exp(-d2 / (2 * F.col("_scale") * F.col("_scale")))
 
+    if kind == "nearest":
+
+        def scored(s: Column) -> Column:
+            dx, dy = s["x"] - F.col("_x"), s["y"] - F.col("_y")
+            return F.struct((dx * dx + dy * dy).alias("d2"), s["w"].alias("w"))
+
+        close = spread.join(packed, "_salt").select(*group, "cell", F.array_min(F.transform("_nodes", scored)).alias("_v"))
+        return close.groupBy(*group, "cell").agg(F.min("_v").alias("_v")).select(*group, "cell", F.col("_v.w").alias("valor"))
     partial = spread.join(packed, "_salt").select(
         *group, "cell", F.aggregate("_nodes", F.lit(0.0), lambda acc, s: acc + s["w"] * basis(s)).alias("_v")
     )
@@ -168,11 +176,10 @@ def tin_surface(
     inner = hits.groupBy(*group, "cell").agg(F.min(value).alias("valor"))
     if not extrapolate:
         return inner
-    sites = stations.select("x", "y").distinct().withColumn("_site", F.xxhash64("x", "y"))
-    nearest = knn_join(cells, sites, 1, "cell", "_site", cell_size).select("cell", "_site")
-    valued = stations.withColumn("_site", F.xxhash64("x", "y")).groupBy(*group, "_site").agg(F.avg("valor").alias("_near"))
+    nodes = stations.select(*group, "x", "y", F.col("valor").alias("w"), F.lit(1.0).alias("scale"))
     return (
-        nearest.join(valued, "_site")
+        evaluate(cells, nodes, group, "nearest")
+        .withColumnRenamed("valor", "_near")
         .join(inner, [*group, "cell"], "left")
         .select(*group, "cell", F.coalesce("valor", "_near").alias("valor"))
     )

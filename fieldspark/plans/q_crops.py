@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from fieldspark.functions.numbers import fixed
 from fieldspark.functions.text import first_nonblank, pad_code
 from fieldspark.operators import crops as C
 from fieldspark.operators import listing as L
@@ -191,7 +192,7 @@ def dedup_groups(t):
 )
 def sum_total_area(t):
     subs = t.nation.groupBy(F.col("n_nationkey").alias("provincia")).agg(F.count(F.lit(1)).alias("n"))
-    area = F.round(F.coalesce(F.col("w") * F.col("h"), F.col("superficie_ha"), F.lit(0.0)), 4)
+    area = fixed(F.coalesce(F.col("w") * F.col("h"), F.col("superficie_ha"), F.lit(0.0)), 4)
     return t.v_plot.join(subs, "provincia", "left").agg(
         F.sum(area).alias("total_ha"), F.sum(F.coalesce("n", F.lit(0))).alias("n_subparcelas")
     )

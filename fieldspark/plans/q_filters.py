@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from fieldspark.functions.numbers import fixed
 from fieldspark.functions import ring as R
 from fieldspark.functions.text import first_nonblank, norm_text
 from fieldspark.operators import crops as C
@@ -304,7 +305,7 @@ def plots_of_owner_bbox(t):
 def plot_detail(t):
     rows = with_ring(t.v_plot).withColumns({"_c": R.centroid(F.col("ring")), "area_mapa": R.area(F.col("ring"))})
     return rows.select(
-        "id_recinto", "provincia", "municipio", F.round("_c.x", 9).alias("cx"), F.round("_c.y", 9).alias("cy"), "area_mapa",
+        "id_recinto", "provincia", "municipio", fixed("_c.x", 9).alias("cx"), fixed("_c.y", 9).alias("cy"), "area_mapa",
         F.coalesce("superficie_ha", "area_mapa").alias("superficie_ha"),
     )
 
@@ -319,7 +320,7 @@ def declared_label(t):
     rows = t.v_plot.select("id_recinto", "sistexp", (F.col("id_recinto") * 3).alias("cod_producto"))
     return C.with_product(rows, t.v_product).select(
         "id_recinto",
-        F.round((F.col("id_recinto") * 137).cast("double") / 10000, 4).alias("ha"),
+        fixed((F.col("id_recinto") * 137).cast("double") / 10000, 4).alias("ha"),
         F.when(F.trim("sistexp") == "R", "Regadío").otherwise("Secano").alias("sistema"),
         F.coalesce("descripcion", F.col("cod_producto").cast("string")).alias("producto"),
     )

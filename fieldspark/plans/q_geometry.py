@@ -1 +1,369 @@
-"""Placeholder."""
+"""Geometry functions, spatial joins and polygon editing."""
+
+import math
+
+from pyspark.sql import functions as F
+
+from fieldspark.functions import projection as P
+from fieldspark.functions import ring as R
+from fieldspark.functions.numbers import fixed
+from fieldspark.operators import merge as M
+from fieldspark.operators import polygons as G
+from fieldspark.operators import spatial as SP
+from fieldspark.plans.q_raster import centroids, neighbour_mean, zones
+from fieldspark.plans.registry import query
+from fieldspark.plans.views import with_ring
+
+BOX = ["ring", "minx", "miny", "maxx", "maxy"]
+
+
+def cells(t):
+    return with_ring(t.v_cell).select("celda", *BOX)
+
+
+def degrees(t):
+    """Plots as small rectangles in degrees around 42° N, 4° W."""
+    x, y = F.col("x0") / 100 - 6, F.col("y0") / 100 + 40.5
+    p = t.v_plot.select("id_recinto", x.alias("x0"), y.alias("y0"), (F.col("w") / 1000).alias("w"), (F.col("h") / 1000).alias("h"))
+    return with_ring(p).select("id_recinto", *BOX)
+
+
+_DEG = "dg AS (SELECT id_recinto, x0 / 100 - 6 AS lon, y0 / 100 + 40.5 AS lat, x0 / 100 - 6 + w / 1000 AS lon2, y0 / 100 + 40.5 + h / 1000 AS lat2 FROM v_plot)"
+
+
+@query("centroid", "SELECT id_recinto, round(x0 + w / 2, 6) AS cx, round(y0 + h / 2, 6) AS cy FROM v_plot")
+def centroid(t):
+    return centroids(t).select("id_recinto", fixed("x", 6).alias("cx"), fixed("y", 6).alias("cy"))
+
+
+def _tm_sql(lon, lat):
+    """Transverse Mercator of zone 30 as SQL, from the same series coefficients."""
+    e, scale = P._E, P.UTM_SCALE * P._RECTIFYING
+    at = lambda v: f"(0.5 * ln((1 + {v}) / (1 - {v})))"
+    s = f"sin(radians({lat}))"
+    q = f"({at(s)} - {e!r}::DOUBLE * {at(f'({e!r}::DOUBLE * {s})')})"
+    t = f"((exp({q}) - exp(-{q})) / 2)"
+    lam = f"radians({lon} + 3)"
+    return t, lam, scale
+
+
+def _project_sql(source, lon="lon", lat="lat", out=("x", "y")):
+    t, lam, scale = _tm_sql(lon, lat)
+    east = " + ".join(f"{a!r}::DOUBLE * cos({2 * j} * xi) * ((exp({2 * j} * eta) - exp(-{2 * j} * eta)) / 2)" for j, a in enumerate(P._FORWARD, 1))
+    north = " + ".join(f"{a!r}::DOUBLE * sin({2 * j} * xi) * ((exp({2 * j} * eta) + exp(-{2 * j} * eta)) / 2)" for j, a in enumerate(P._FORWARD, 1))
+    inner = f"SELECT *, atan2(tt, cos(lam)) AS xi, 0.5 * ln((1 + sin(lam) / sqrt(1 + tt * tt)) / (1 - sin(lam) / sqrt(1 + tt * tt))) AS eta FROM (SELECT *, {t} AS tt, {lam} AS lam FROM {source})"
+    return f"SELECT *, 500000 + {scale!r}::DOUBLE * (eta + {east}) AS {out[0]}, {scale!r}::DOUBLE * (xi + {north}) AS {out[1]} FROM ({inner})"
+
+
+@query("project_points", f"WITH {_DEG} SELECT id_recinto, round(x, 3) AS x, round(y, 3) AS y, CAST(30 AS INT) AS zona, CAST(32630 AS INT) AS epsg FROM ({_project_sql('dg')}) WHERE lon >= -6 AND lon < 0")
+def project_points(t):
+    d = degrees(t).filter("minx >= -6 AND minx < 0").withColumn("_p", P.to_utm(F.col("minx"), F.col("miny"), P.utm_zone(F.col("minx"))))
+    return d.select("id_recinto", fixed("_p.x", 3).alias("x"), fixed("_p.y", 3).alias("y"), P.utm_zone(F.col("minx")).alias("zona"), P.utm_epsg(F.col("minx"), F.col("miny")).alias("epsg"))
+
+
+@query("project_points_back", f"WITH {_DEG} SELECT id_recinto, round(lon, 7) AS lon, round(lat, 7) AS lat FROM dg")
+def project_points_back(t):
+    """There and back in zone 30, and through Web Mercator, gives the same position."""
+    there = degrees(t).withColumn("_p", P.to_utm(F.col("minx"), F.col("miny"), F.lit(30)))
+    back = there.withColumn("_g", P.from_utm(F.col("_p.x"), F.col("_p.y"), F.lit(30)))
+    web = back.withColumn("_w", P.to_web_mercator(F.col("_g.x"), F.col("_g.y"))).withColumn("_g", P.from_web_mercator(F.col("_w.x"), F.col("_w.y")))
+    return web.select("id_recinto", fixed("_g.x", 7).alias("lon"), fixed("_g.y", 7).alias("lat"))
+
+
+@query(
+    "project_zone_of_set",
+    f"""WITH {_DEG} SELECT CAST(floor((quantile_cont(lon, 0.5) + 180) / 6) + 1 AS INT) AS zona, CAST(32600 + floor((quantile_cont(lon, 0.5) + 180) / 6) + 1 AS INT) AS epsg FROM dg""",
+)
+def project_zone_of_set(t):
+    from fieldspark.operators.quantiles import exact_quantiles
+
+    d = degrees(t)
+    mid = exact_quantiles(d, [], "minx", {"lon": 0.5}).drop("n")
+    return mid.select(P.utm_zone(F.col("lon")).alias("zona"), P.utm_epsg(F.col("lon"), F.lit(42.0)).alias("epsg"))
+
+
+@query(
+    "area_planar",
+    f"""WITH {_DEG}, c AS (SELECT id_recinto, k, CASE WHEN k IN (0, 3) THEN lon ELSE lon2 END AS lon, CASE WHEN k < 2 THEN lat ELSE lat2 END AS lat FROM dg, range(4) r(k)),
+    p AS ({_project_sql('c')}), w AS (SELECT id_recinto, max(CASE WHEN k = 0 THEN x END) x0, max(CASE WHEN k = 0 THEN y END) y0, max(CASE WHEN k = 1 THEN x END) x1, max(CASE WHEN k = 1 THEN y END) y1,
+      max(CASE WHEN k = 2 THEN x END) x2, max(CASE WHEN k = 2 THEN y END) y2, max(CASE WHEN k = 3 THEN x END) x3, max(CASE WHEN k = 3 THEN y END) y3 FROM p GROUP BY 1)
+    SELECT id_recinto, round(abs((x1 - x0) * (y2 - y0) - (x2 - x0) * (y1 - y0) + (x2 - x0) * (y3 - y0) - (x3 - x0) * (y2 - y0)) / 2 / 10000, 3) AS ha FROM w""",
+)
+def area_planar(t):
+    return degrees(t).select("id_recinto", fixed(R.area(P.ring_to_utm(F.col("ring"), F.lit(30))) / 10000, 3).alias("ha"))
+
+
+_R, _E = P.AUTHALIC_RADIUS, P._E
+_POLE = (1 - _E**2) * (1 / (1 - _E**2) + math.atanh(_E) / _E)
+
+
+def _authalic_sql(lat):
+    s = f"sin(radians({lat}))"
+    es = f"({_E!r}::DOUBLE * {s})"
+    return f"({1 - _E**2!r}::DOUBLE * ({s} / (1 - {_E**2!r}::DOUBLE * {s} * {s}) + 0.5 * ln((1 + {es}) / (1 - {es})) / {_E!r}::DOUBLE) / {_POLE!r}::DOUBLE)"
+
+
+@query(
+    "area_geography",
+    f"WITH {_DEG} SELECT id_recinto, round({_R * _R!r}::DOUBLE * radians(lon2 - lon) * ({_authalic_sql('lat2')} - {_authalic_sql('lat')}) / 10000, 3) AS ha FROM dg",
+)
+def area_geography(t):
+    return degrees(t).select("id_recinto", fixed(P.area_geography(F.col("ring")) / 10000, 3).alias("ha"))
+
+
+@query("area_degrees_approx", f"WITH {_DEG} SELECT id_recinto, round((lon2 - lon) * (lat2 - lat) * 111320 * 111320, 2) AS m2 FROM dg")
+def area_degrees_approx(t):
+    return degrees(t).select("id_recinto", fixed(P.area_degrees_approx(F.col("ring")), 2).alias("m2"))
+
+
+@query(
+    "area_web_mercator",
+    f"WITH {_DEG} SELECT id_recinto, round(6378137.0::DOUBLE * 6378137.0::DOUBLE * radians(lon2 - lon) * (ln(tan(pi() / 4 + radians(lat2) / 2)) - ln(tan(pi() / 4 + radians(lat) / 2))) / 10000, 3) AS ha FROM dg",
+)
+def area_web_mercator(t):
+    return degrees(t).select("id_recinto", fixed(P.area_web_mercator(F.col("ring")) / 10000, 3).alias("ha"))
+
+
+def _bbox_sql():
+    side = "SELECT id_recinto, lon + (lon2 - lon) * k / 22.0 AS lon, {lat} AS lat FROM dg, range(23) r(k)"
+    up = "SELECT id_recinto, {lon} AS lon, lat + (lat2 - lat) * k / 22.0 AS lat FROM dg, range(23) r(k)"
+    return " UNION ALL ".join([side.format(lat="lat"), side.format(lat="lat2"), up.format(lon="lon"), up.format(lon="lon2")])
+
+
+@query(
+    "bbox_reproject",
+    f"WITH {_DEG}, b AS ({_bbox_sql()}) SELECT id_recinto, round(min(x), 2) AS minx, round(min(y), 2) AS miny, round(max(x), 2) AS maxx, round(max(y), 2) AS maxy FROM ({_project_sql('b')}) GROUP BY 1",
+)
+def bbox_reproject(t):
+    d = degrees(t).select("id_recinto", "minx", "miny", "maxx", "maxy")
+    out = P.bbox_reproject(*[F.col(c) for c in ("minx", "miny", "maxx", "maxy")], F.lit(30))
+    return d.select("id_recinto", *[fixed(v, 2).alias(n) for n, v in out.items()])
+
+
+_IN = "c.x0 + c.w / 2 {lt} p.x0 + p.w AND c.x0 + c.w / 2 {gt} p.x0 AND c.y0 + c.h / 2 {lt} p.y0 + p.h AND c.y0 + c.h / 2 {gt} p.y0"
+_WITHIN, _HITS = _IN.format(lt="<", gt=">"), _IN.format(lt="<=", gt=">=")
+
+
+def cell_points(t):
+    c = with_ring(t.v_cell).withColumn("_c", R.centroid(F.col("ring")))
+    return c.select("celda", F.col("_c.x").alias("x"), F.col("_c.y").alias("y"))
+
+
+@query("point_in_polygon", f"SELECT c.celda, p.id_recinto, {_WITHIN} AS dentro FROM v_cell c JOIN v_plot p ON {_HITS}")
+def point_in_polygon(t):
+    pairs = SP.join_points_polygons(cell_points(t), zones(t), 4.0)
+    return pairs.select("celda", "id_recinto", R.contains_point(F.col("ring"), F.col("x"), F.col("y"), "exclude").alias("dentro"))
+
+
+@query("spatial_join_point_in_polygon", f"SELECT c.celda, min(p.id_recinto) AS id_recinto FROM v_cell c LEFT JOIN v_plot p ON {_WITHIN} GROUP BY 1")
+def spatial_join_point_in_polygon(t):
+    return SP.point_in_polygon_first(cell_points(t), zones(t), 4.0, "celda", "id_recinto").select("celda", "id_recinto")
+
+
+@query(
+    "spatial_join_smallest_containing",
+    f"""SELECT celda, id_recinto, area FROM (SELECT c.celda, p.id_recinto, p.w * p.h AS area, row_number() OVER (PARTITION BY c.celda ORDER BY p.w * p.h, p.id_recinto) AS rn FROM v_cell c JOIN v_plot p ON {_HITS}) WHERE rn = 1""",
+)
+def spatial_join_smallest_containing(t):
+    return SP.smallest_containing(cell_points(t), zones(t), 4.0, "celda", "id_recinto")
+
+
+_MEET = "p.x0 <= c.x0 + c.w AND p.x0 + p.w >= c.x0 AND p.y0 <= c.y0 + c.h AND p.y0 + p.h >= c.y0"
+
+
+@query("polygons_intersect", f"SELECT p.id_recinto, c.celda FROM v_plot p JOIN v_cell c ON {_MEET}")
+def polygons_intersect(t):
+    return SP.join_polygons(zones(t), cells(t), 4.0).select("id_recinto", "celda")
+
+
+@query(
+    "spatial_join_intersects_mean",
+    """WITH ln AS (SELECT id_recinto, valor_medio AS v FROM (SELECT *, row_number() OVER (PARTITION BY id_recinto ORDER BY fecha_ndvi DESC NULLS LAST, id_indice DESC) AS rn FROM v_ndvi WHERE valor_medio IS NOT NULL) WHERE rn = 1)
+    SELECT p.id_recinto, round(avg(ln.v), 6) AS ndvi FROM v_plot p JOIN v_plot q ON p.x0 <= q.x0 + q.w AND p.x0 + p.w >= q.x0 AND p.y0 <= q.y0 + q.h AND p.y0 + p.h >= q.y0 AND q.id_recinto <> p.id_recinto
+    JOIN ln ON ln.id_recinto = q.id_recinto GROUP BY 1""",
+)
+def spatial_join_intersects_mean(t):
+    return neighbour_mean(t).select("id_recinto", fixed("ndvi", 6).alias("ndvi"))
+
+
+_OVER = "greatest(0, least(p.x0 + p.w, c.x0 + c.w) - greatest(p.x0, c.x0)) * greatest(0, least(p.y0 + p.h, c.y0 + c.h) - greatest(p.y0, c.y0))"
+
+
+@query("intersection_area", f"SELECT p.id_recinto, c.celda, round({_OVER}, 6) AS overlap FROM v_plot p JOIN v_cell c ON {_MEET}")
+def intersection_area(t):
+    pairs = SP.join_polygons(zones(t), cells(t), 4.0).select("id_recinto", "celda", "ring", "ring_r")
+    return G.intersection_area(pairs).withColumn("overlap", fixed("overlap", 6))
+
+
+@query(
+    "spatial_join_max_overlap",
+    f"""SELECT id_recinto, celda, overlap FROM (SELECT p.id_recinto, c.celda, round({_OVER}, 6) AS overlap, row_number() OVER (PARTITION BY p.id_recinto ORDER BY {_OVER} DESC, c.celda) AS rn
+    FROM v_plot p JOIN v_cell c ON {_MEET}) WHERE rn = 1""",
+)
+def spatial_join_max_overlap(t):
+    return G.max_overlap(zones(t), cells(t), "id_recinto", "celda", 4.0).withColumn("overlap", fixed("overlap", 6))
+
+
+_RECT_D = "sqrt(pow(greatest(p.x0 - qx, 0, qx - p.x0 - p.w), 2) + pow(greatest(p.y0 - qy, 0, qy - p.y0 - p.h), 2))"
+
+
+@query(
+    "pick_best_feature",
+    f"""WITH f AS (SELECT p.id_recinto % 200 AS consulta, p.id_recinto AS pos, {_RECT_D} AS d, p.id_recinto % 17 = 0 AS sin_geom FROM (SELECT *, CAST((id_recinto % 200 * 7) % 400 AS DOUBLE) + 0.25 AS qx, CAST((id_recinto % 200 * 5) % 300 AS DOUBLE) + 0.25 AS qy FROM v_plot) p),
+    g AS (SELECT *, CASE WHEN sin_geom THEN NULL ELSE d END AS dd FROM f)
+    SELECT consulta, pos, round(coalesce(dd, -1), 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY consulta ORDER BY NOT coalesce(dd <= 0.00005, false), CASE WHEN dd <= 0.00005 THEN 0 ELSE coalesce(dd, 1e300) END, pos) AS rn FROM g) WHERE rn = 1""",
+)
+def pick_best_feature(t):
+    """Answers of a map service: each query point has several features, some without geometry."""
+    q = F.col("id_recinto") % 200
+    feats = with_ring(t.v_plot).select(
+        q.alias("consulta"), F.col("id_recinto").alias("pos"), (((q * 7) % 400).cast("double") + 0.25).alias("x"), (((q * 5) % 300).cast("double") + 0.25).alias("y"),
+        F.when(F.col("id_recinto") % 17 == 0, None).otherwise(F.col("ring")).alias("ring"),
+    )
+    return SP.pick_best_feature(feats, "consulta").select("consulta", "pos", fixed("distance", 6).alias("distance"))
+
+
+@query(
+    "covered_by_tolerance",
+    f"""SELECT c.celda, p.id_recinto, c.x0 >= p.x0 - 1.0001 AND c.x0 + c.w <= p.x0 + p.w + 1.0001 AND c.y0 >= p.y0 AND c.y0 + c.h <= p.y0 + p.h AS estricto_xy,
+      greatest({', '.join('sqrt(pow(greatest(p.x0 - (' + x + '), 0, (' + x + ') - p.x0 - p.w), 2) + pow(greatest(p.y0 - (' + y + '), 0, (' + y + ') - p.y0 - p.h), 2))' for x in ('c.x0', 'c.x0 + c.w') for y in ('c.y0', 'c.y0 + c.h'))}) <= 1.0001 AS cubierta
+    FROM v_plot p JOIN v_cell c ON {_MEET}""".replace("c.x0 >= p.x0 - 1.0001 AND c.x0 + c.w <= p.x0 + p.w + 1.0001 AND c.y0 >= p.y0 AND c.y0 + c.h <= p.y0 + p.h AS estricto_xy,", ""),
+)
+def covered_by_tolerance(t):
+    pairs = SP.join_polygons(zones(t), cells(t), 4.0)
+    return pairs.select("celda", "id_recinto", R.covered_by_tolerance(F.col("ring_r"), F.col("ring"), 1.0001).alias("cubierta"))
+
+
+def pieces(t):
+    """Three strips per plot; in every fifth plot the second strip is wider and overlaps, in every seventh it sticks out."""
+    third = F.col("w") / 4
+    pos = F.col("pos")
+    wide = F.when((pos == 2) & (F.col("id_recinto") % 5 == 0), third * 1.5).when(pos == 3, third * 2).otherwise(third)
+    out = F.when((pos == 2) & (F.col("id_recinto") % 7 == 0), F.lit(0.5)).otherwise(F.lit(0.0))
+    p = t.v_plot.withColumn("pos", F.explode(F.sequence(F.lit(1), F.lit(3)))).select(
+        "id_recinto", "pos", (F.col("id_recinto") * 10 + pos).alias("id_subparcela"),
+        F.when(pos == 1, F.lit("norte")).otherwise(F.lit(" ")).alias("nombre"),
+        (F.col("x0") + (pos - 1) * third).alias("x0"), F.col("y0"), wide.alias("w"), (F.col("h") + out).alias("h"),
+    )
+    return with_ring(p).select("id_recinto", "pos", "id_subparcela", "nombre", *BOX)
+
+
+def strips(t):
+    """The same three strips without overlap."""
+    third = F.col("w") / 4
+    pos = F.col("pos")
+    p = t.v_plot.withColumn("pos", F.explode(F.sequence(F.lit(1), F.lit(3)))).select(
+        "id_recinto", "pos", (F.col("id_recinto") * 10 + pos).alias("id_subparcela"), F.concat(F.lit("P"), pos.cast("string")).alias("nombre"),
+        (F.col("x0") + (pos - 1) * third).alias("x0"), "y0", F.when(pos == 3, third * 2).otherwise(third).alias("w"), "h",
+    )
+    return with_ring(p).select("id_recinto", "pos", "id_subparcela", "nombre", *BOX)
+
+
+@query(
+    "validate_subparcels",
+    """SELECT id_recinto, CAST(k AS INT) AS pos, CASE WHEN k = 1 THEN 'norte' ELSE 'Subparcela ' || CAST(k AS VARCHAR) END AS nombre, true AS ok_valida, true AS ok_simple,
+      NOT (k = 2 AND id_recinto % 7 = 0) AS ok_dentro, NOT (k IN (2, 3) AND id_recinto % 5 = 0) AS ok_sin_solape,
+      round(w / 4 * CASE WHEN k = 2 AND id_recinto % 5 = 0 THEN 1.5 WHEN k = 3 THEN 2 ELSE 1 END * (h + CASE WHEN k = 2 AND id_recinto % 7 = 0 THEN 0.5 ELSE 0 END) / 10000, 2) AS superficie_ha
+    FROM v_plot, range(1, 4) r(k)""",
+)
+def validate_subparcels(t):
+    return G.validate_subplots(pieces(t).select("id_recinto", "pos", "nombre", "ring"), zones(t), 4.0)
+
+
+@query(
+    "replace_subparcels",
+    """WITH s AS (SELECT o_custkey AS id_recinto, o_orderkey AS id FROM orders WHERE o_orderstatus = 'P'), n AS (SELECT c_custkey AS id_recinto, -c_custkey AS id FROM customer WHERE c_nationkey = 3)
+    SELECT * FROM s WHERE id_recinto NOT IN (SELECT id_recinto FROM n) UNION ALL SELECT * FROM n""",
+)
+def replace_subparcels(t):
+    stored = t.orders.filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("id_recinto"), F.col("o_orderkey").alias("id"))
+    fresh = t.customer.filter("c_nationkey = 3").select(F.col("c_custkey").alias("id_recinto"), (-F.col("c_custkey")).alias("id"))
+    return M.replace_groups(stored, fresh, "id_recinto")
+
+
+@query(
+    "make_valid",
+    "SELECT id_recinto, CAST(5 AS INT) AS vertices, w * h AS area_con_signo, true AS cerrado, true AS simple FROM v_plot",
+)
+def make_valid(t):
+    """Clockwise, open rings with a repeated vertex become closed, anticlockwise and clean."""
+    broken = F.concat(F.reverse("ring"), F.slice(F.reverse("ring"), -1, 1))
+    rows = zones(t).select("id_recinto", R.make_valid(broken).alias("ring"))
+    return rows.select(
+        "id_recinto", F.size("ring").alias("vertices"), R.signed_area(F.col("ring")).alias("area_con_signo"),
+        (F.element_at("ring", 1) == F.element_at("ring", -1)).alias("cerrado"), R.is_simple(F.col("ring")).alias("simple"),
+    )
+
+
+@query(
+    "largest_part",
+    """SELECT id_recinto, CAST(CASE WHEN id_recinto % 5 = 0 AND 1.5 > 2 THEN 2 ELSE 3 END AS INT) AS pos FROM v_plot""",
+)
+def largest_part(t):
+    """Largest part of each multipolygon."""
+    parts = strips(t).select("id_recinto", "pos", R.area(F.col("ring")).alias("area"))
+    return parts.groupBy("id_recinto").agg(F.max_by("pos", F.struct(F.col("area"), -F.col("pos"))).alias("pos"))
+
+
+@query("clip_polygons", f"SELECT p.id_recinto, c.celda, round({_OVER}, 6) AS area, {_OVER} > 0 AS recortado FROM v_plot p JOIN v_cell c ON {_MEET} WHERE {_OVER} > 0")
+def clip_polygons(t):
+    pairs = SP.join_polygons(zones(t), cells(t), 4.0).select("id_recinto", "celda", "ring", "ring_r")
+    out = G.clip_polygons(pairs).filter("clipped")
+    return out.select("id_recinto", "celda", fixed(R.area(F.col("ring")), 6).alias("area"), F.col("clipped").alias("recortado"))
+
+
+def cut_lines(t):
+    """One upright line through every fourth plot, drawn over its middle half."""
+    p = t.v_plot.filter("id_recinto % 4 = 0")
+    x = F.col("x0") + F.col("w") / 4
+    return p.select(
+        F.col("id_recinto").alias("line_id"), x.alias("ax"), (F.col("y0") + F.col("h") / 4).alias("ay"), x.alias("bx"), (F.col("y0") + F.col("h") * 3 / 4).alias("by")
+    )
+
+
+@query(
+    "split_polygons_by_lines",
+    """WITH ln AS (SELECT x0 + w / 4 AS lx, y0 + h / 4 AS ly0, y0 + h * 3 / 4 AS ly1 FROM v_plot WHERE id_recinto % 4 = 0),
+    ht AS (SELECT p.id_recinto, ln.lx FROM v_plot p JOIN ln ON ln.lx > p.x0 AND ln.lx < p.x0 + p.w JOIN range(21) r(k) ON ln.ly0 + (ln.ly1 - ln.ly0) * k / 20.0 > p.y0 AND ln.ly0 + (ln.ly1 - ln.ly0) * k / 20.0 < p.y0 + p.h
+      GROUP BY p.id_recinto, p.x0, p.y0, ln.lx, ln.ly0, ln.ly1 HAVING count(*) >= 2)
+    SELECT p.id_recinto, 1 + coalesce(h.n, 0) AS partes, p.w * p.h AS area FROM v_plot p LEFT JOIN (SELECT id_recinto, count(DISTINCT lx) AS n FROM ht GROUP BY 1) h ON h.id_recinto = p.id_recinto""",
+)
+def split_polygons_by_lines(t):
+    parts = G.split_by_lines(zones(t), cut_lines(t), "id_recinto", 4.0, min_area=0.0001)
+    return parts.groupBy("id_recinto").agg(F.count(F.lit(1)).alias("partes"), fixed(F.sum("area"), 6).alias("area"))
+
+
+@query(
+    "dissolve_adjacent",
+    "SELECT id_recinto, 'P1 + P2 + P3' AS nombre, w * h AS area, 3 AS n_piezas, CAST(1 AS INT) AS n_rings, 'ok' AS status FROM v_plot",
+)
+def dissolve_adjacent(t):
+    out = G.dissolve_adjacent(strips(t).select("id_recinto", "pos", "nombre", "ring"), "id_recinto")
+    return out.select("id_recinto", "nombre", fixed("area", 6).alias("area"), F.col("n_piezas").cast("int").alias("n_piezas"), "n_rings", "status")
+
+
+@query("dissolve_union", "SELECT id_recinto, w * h AS area, 3::BIGINT AS n_partes, x0 AS minx, y0 AS miny, x0 + w AS maxx, y0 + h AS maxy FROM v_plot")
+def dissolve_union(t):
+    out = G.dissolve_union(strips(t).select("id_recinto", "ring"), ["id_recinto"])
+    return out.withColumn("area", fixed("area", 9))
+
+
+@query(
+    "simplify_polygons",
+    "SELECT id_recinto, w * h AS area, CAST(8 AS INT) AS n_before, CAST(4 AS INT) AS n_after FROM v_plot",
+)
+def simplify_polygons(t):
+    """Rectangles with a vertex in the middle of every side lose it again."""
+    mid = lambda e: F.array(e["a"], R.point((e["a"]["x"] + e["b"]["x"]) / 2, (e["a"]["y"] + e["b"]["y"]) / 2))
+    dense = zones(t).select("id_recinto", F.flatten(F.transform(R.edges(F.col("ring")), mid)).alias("ring"))
+    out = G.simplify_polygons(dense)
+    return out.select("id_recinto", fixed(R.area(F.col("ring")), 9).alias("area"), "n_before", "n_after")
+
+
+@query(
+    "best_neighbor",
+    "SELECT id_recinto * 10 + k AS id_subparcela, id_recinto * 10 + CASE k WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 2 END AS vecino, h AS borde FROM v_plot, range(1, 4) r(k)",
+)
+def best_neighbor(t):
+    out = G.best_neighbor(strips(t).select("id_subparcela", "id_recinto", *BOX), "id_subparcela", 4.0, "id_recinto")
+    return out.withColumn("borde", fixed("borde", 6))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from fieldspark.functions.numbers import fixed
 from fieldspark.operators import interpolation as I
 from fieldspark.operators import surfaces as SF
 from fieldspark.plans.registry import query
@@ -31,7 +32,7 @@ _PT = "pt AS (SELECT id_recinto, x0 + w / 2 AS x, y0 + h / 2 AS y FROM v_plot)"
 )
 def knn_join(t):
     out = I.knn_join(plot_points(t), t.v_station, 6, "id_recinto", "estacion_id", cell=16.0)
-    return out.withColumn("distance", F.round("distance", 9))
+    return out.withColumn("distance", fixed("distance", 9))
 
 
 @query(
@@ -40,7 +41,7 @@ def knn_join(t):
 )
 def nearest_distance(t):
     out = I.knn_join(t.v_station.select("estacion_id", "x", "y"), plot_points(t), 1, "estacion_id", "id_recinto", cell=4.0)
-    return out.select("estacion_id", F.round("distance", 9).alias("distance"))
+    return out.select("estacion_id", fixed("distance", 9).alias("distance"))
 
 
 _IDW = """r AS (SELECT *, row_number() OVER (PARTITION BY id_recinto, variable, fecha ORDER BY d, estacion_id) AS rn FROM near),
@@ -66,7 +67,7 @@ def idw_adaptive(t):
     values = I.usable_values(day, list(I.LAG_PREFIX)).join(t.v_station.select("estacion_id", "x", "y"), "estacion_id")
     out = I.idw_adaptive(plot_points(t), values, "id_recinto", "estacion_id", ["variable"], I.power_of(F.col("variable")))
     # plots without coverage have no row here or a null; both mean the same
-    return out.filter("valor IS NOT NULL").select("id_recinto", "variable", F.round("valor", 6).alias("valor"))
+    return out.filter("valor IS NOT NULL").select("id_recinto", "variable", fixed("valor", 6).alias("valor"))
 
 
 def lag_frame(t):
@@ -125,7 +126,7 @@ def idw_grid(t):
         "valor", F.col("tempmedia")
     )
     out = I.weighted_surface(station_grid(t), stations, "cell", "estacion_id")
-    return out.select("cell", F.round("valor", 6).alias("valor"), F.round("distancia", 6).alias("distancia"))
+    return out.select("cell", fixed("valor", 6).alias("valor"), fixed("distancia", 6).alias("distancia"))
 
 
 def station_grid(t, res=8.0):
@@ -140,7 +141,7 @@ def station_grid(t, res=8.0):
     SELECT r * nc + c AS cell, round(minx + (c + 0.5) * 8, 6) AS x, round(miny + nr * 8 - (r + 0.5) * 8, 6) AS y FROM z, range(10000) a(r), range(10000) b(c) WHERE r < nr AND c < nc""",
 )
 def make_grid(t):
-    return station_grid(t).select("cell", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+    return station_grid(t).select("cell", fixed("x", 6).alias("x"), fixed("y", 6).alias("y"))
 
 
 @query(
@@ -160,8 +161,8 @@ def validate_interpolation(t):
     values = I.idw_adaptive(plots, stations, "id_recinto", "estacion_id", ["variable"], I.power_of(F.col("variable")))
     out = I.validate_against_stations(stations, plots, values, "id_recinto", "estacion_id", 4.0, I.threshold_of(F.col("variable")))
     return out.select(
-        "estacion_id", "variable", "id_recinto", F.round("interpolado", 6).alias("interpolado"), F.round("diff", 6).alias("diff"),
-        F.round("dist_km", 6).alias("dist_km"), "alerta",
+        "estacion_id", "variable", "id_recinto", fixed("interpolado", 6).alias("interpolado"), fixed("diff", 6).alias("diff"),
+        fixed("dist_km", 6).alias("dist_km"), "alerta",
     )
 
 
@@ -179,20 +180,20 @@ GROUP = ["variable", "fecha"]
 @query("rbf_surface")
 def rbf_surface(t):
     fitted = SF.rbf_fit(day_values(t), GROUP)
-    return SF.evaluate(station_grid(t), fitted, GROUP, "rbf").withColumn("valor", F.round("valor", 4))
+    return SF.evaluate(station_grid(t), fitted, GROUP, "rbf").withColumn("valor", fixed("valor", 4))
 
 
 @query("kriging_surface")
 def kriging_surface(t):
     fitted = SF.kriging_fit(day_values(t), GROUP)
-    return SF.evaluate(station_grid(t), fitted, GROUP, "gp").withColumn("valor", F.round("valor", 4))
+    return SF.evaluate(station_grid(t), fitted, GROUP, "gp").withColumn("valor", fixed("valor", 4))
 
 
 @query("tin_surface")
 def tin_surface(t):
-    return SF.tin_surface(station_grid(t), day_values(t), GROUP, 32.0).withColumn("valor", F.round("valor", 6))
+    return SF.tin_surface(station_grid(t), day_values(t), GROUP, 32.0).withColumn("valor", fixed("valor", 6))
 
 
 @query("tin_surface_filled")
 def tin_surface_filled(t):
-    return SF.tin_surface(station_grid(t), day_values(t), GROUP, 32.0, extrapolate=True).withColumn("valor", F.round("valor", 6))
+    return SF.tin_surface(station_grid(t), day_values(t), GROUP, 32.0, extrapolate=True).withColumn("valor", fixed("valor", 6))

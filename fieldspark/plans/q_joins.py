@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from fieldspark.functions.numbers import fixed
 from fieldspark.functions.text import norm_text
 from fieldspark.operators import crops as C
 from fieldspark.operators import merge as M
@@ -137,7 +138,7 @@ def lateral_top1(t):
 )
 def join_cross_scalar(t):
     total = t.v_plot.agg(F.sum("superficie_ha")).scalar()
-    return t.v_plot.select("id_recinto", F.round(F.col("superficie_ha") / total, 9).alias("cuota"))
+    return t.v_plot.select("id_recinto", fixed(F.col("superficie_ha") / total, 9).alias("cuota"))
 
 
 @query(

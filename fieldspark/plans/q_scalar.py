@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from fieldspark.functions.numbers import fixed
 from fieldspark.functions import dates as D
 from fieldspark.functions import rules
 from fieldspark.functions import text as T
@@ -234,7 +235,7 @@ def estimate_harvest_date(t):
 def estimate_yield(t):
     rows = named_crops(t).withColumn("prevision", F.when(F.col("id") % 13 == 0, F.lit(1234.5)))
     kg = F.coalesce("prevision", rules.estimate_yield_kg_ha(F.col("cultivo"), F.col("tipo")))
-    return rows.select("id", "cultivo", kg.alias("kg_ha"), F.round(kg * F.col("ha"), 0).alias("kg_total"))
+    return rows.select("id", "cultivo", kg.alias("kg_ha"), fixed(kg * F.col("ha"), 0).alias("kg_total"))
 
 
 def catalogue_of(t):

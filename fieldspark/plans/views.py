@@ -132,6 +132,23 @@ VIEWS: dict[str, View] = {
         },
         ["scene", "tile", "r", "c"],
     ),
+    "v_cell": View(
+        "part",
+        {
+            "celda": "p_partkey",
+            "nombre": "p_name",
+            "x0": "CAST((p_partkey * 29) % 400 AS DOUBLE)",
+            "y0": "CAST((p_partkey * 13) % 300 AS DOUBLE)",
+            "w": "CAST(2 + p_partkey % 3 AS DOUBLE)",
+            "h": "CAST(2 + p_partkey % 2 AS DOUBLE)",
+            "rg": "CASE WHEN p_partkey % 2 = 0 THEN 'R' ELSE 'S' END",
+            "ev_t": "CAST((p_partkey * 7) % 80 AS DOUBLE) / 10",
+            "et_0": "CAST((p_partkey * 7 + 11) % 90 AS DOUBLE) / 10",
+            "et_1": "CAST((p_partkey * 7 + 22) % 90 AS DOUBLE) / 10",
+            "et_2": "CAST((p_partkey * 7 + 33) % 90 AS DOUBLE) / 10",
+            "et_3": "CAST((p_partkey * 7 + 44) % 90 AS DOUBLE) / 10",
+        },
+    ),
     "v_scene": View(
         "orders",
         {

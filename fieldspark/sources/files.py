@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from fieldspark.functions.numbers import fixed
 from fieldspark.session import number_rows
 
 
@@ -75,7 +76,7 @@ def write_feature_csv(df: DataFrame, path: str, order: list[Column], number: str
 
     ``order`` must end with a unique key. Parts keep the global order by file name.
     """
-    rounded = df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
+    rounded = df.select(*[fixed(c, digits).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
     numbered = number_rows(rounded, order, number)
     out = numbered.select(number, *[c for c in numbered.columns if c != number])
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
