@@ -191,6 +191,7 @@ def densified_box(minx: Column, miny: Column, maxx: Column, maxy: Column, extra:
     )
 
 
-def bbox_reproject(minx: Column, miny: Column, maxx: Column, maxy: Column, zone: Column, extra: int = 21) -> dict[str, Column]:
-    """Bounds in UTM metres of a lon/lat box."""
-    return R.bounds(ring_to_utm(densified_box(minx, miny, maxx, maxy, extra), zone))
+def bbox_reproject(minx: Column, miny: Column, maxx: Column, maxy: Column, zone: Column, extra: int = 21) -> Column:
+    """``minx, miny, maxx, maxy`` struct in UTM metres of a lon/lat box."""
+    border = ring_to_utm(densified_box(minx, miny, maxx, maxy, extra), zone)
+    return R.let(border, lambda r: F.struct(*[v.alias(n) for n, v in R.bounds(r).items()]))

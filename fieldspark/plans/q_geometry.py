@@ -137,7 +137,7 @@ def _bbox_sql():
 def bbox_reproject(t):
     d = degrees(t).select("id_recinto", "minx", "miny", "maxx", "maxy")
     out = P.bbox_reproject(*[F.col(c) for c in ("minx", "miny", "maxx", "maxy")], F.lit(30))
-    return d.select("id_recinto", *[fixed(v, 2).alias(n) for n, v in out.items()])
+    return d.select("id_recinto", out.alias("_b")).select("id_recinto", *[fixed(f"_b.{n}", 2).alias(n) for n in ("minx", "miny", "maxx", "maxy")])
 
 
 _IN = "c.x0 + c.w / 2 {lt} p.x0 + p.w AND c.x0 + c.w / 2 {gt} p.x0 AND c.y0 + c.h / 2 {lt} p.y0 + p.h AND c.y0 + c.h / 2 {gt} p.y0"

@@ -21,11 +21,32 @@ def read_csv(
     sep: str = ",",
     encoding: str = "UTF-8",
 ) -> DataFrame:
-    """CSV with header, quotes and any encoding; a byte-order mark on the first header is removed."""
-    reader = spark.read.option("header", True).option("sep", sep).option("encoding", encoding).option("quote", '"')
+    """CSV with header and doubled quotes; a byte-order mark on the first header is removed.
+
+    Spark does not read windows-1252: such files are read as ISO-8859-1, which differs only in 0x80–0x9F, and mapped.
+    """
+    western = encoding.lower() in ("windows-1252", "cp1252")
+    reader = (
+        spark.read.option("header", True)
+        .option("sep", sep)
+        .option("encoding", "ISO-8859-1" if western else encoding)
+        .option("quote", '"')
+        .option("escape", '"')
+    )
     df = reader.schema(schema).csv(path) if schema is not None else reader.csv(path)
     first = df.columns[0]
-    return df.withColumnRenamed(first, first.lstrip("﻿").strip('"'))
+    df = df.withColumnRenamed(first, first.lstrip("\ufeff").strip('"'))
+    if western:
+        df = df.select(*[F.translate(c, *_WESTERN).alias(c) if k == "string" else F.col(f"`{c}`") for c, k in df.dtypes])
+    return df
+
+
+def _western_controls() -> tuple[str, str]:
+    codes = [b for b in range(0x80, 0xA0) if bytes([b]).decode("cp1252", "ignore")]
+    return "".join(map(chr, codes)), bytes(codes).decode("cp1252")
+
+
+_WESTERN = _western_controls()
 
 
 def read_columns(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
@@ -36,14 +57,16 @@ def read_columns(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     )
 
 
-def read_geojson(spark: SparkSession, path: str, properties: str) -> DataFrame:
-    """One row per feature: typed properties and point coordinates. ``properties`` is a DDL list."""
-    geometry = "type string, coordinates array<double>"
-    schema = f"type string, features array<struct<type:string, properties:struct<{properties}>, geometry:struct<{geometry.replace(' string', ':string').replace('coordinates array', 'coordinates:array')}>>>"
-    doc = spark.read.schema(schema).option("multiLine", True).json(path)
-    return doc.select(F.explode("features").alias("f")).select(
-        "f.properties.*", F.get("f.geometry.coordinates", F.lit(0)).alias("x"), F.get("f.geometry.coordinates", F.lit(1)).alias("y")
-    )
+def read_geojson(spark: SparkSession, path: str, properties: str, multi_line: bool = True) -> DataFrame:
+    """One row per feature: typed properties and point coordinates.
+
+    ``properties`` lists ``name:type`` pairs. ``multi_line`` reads one document per file, else one per line.
+    """
+    geometry = "struct<type:string,coordinates:array<double>>"
+    feature = f"struct<type:string,properties:struct<{properties}>,geometry:{geometry}>"
+    docs = spark.read.schema(f"type string, features array<{feature}>").option("multiLine", multi_line).json(path)
+    at = lambda i: F.get("f.geometry.coordinates", F.lit(i))
+    return docs.select(F.explode("features").alias("f")).select("f.properties.*", at(0).alias("x"), at(1).alias("y"))
 
 
 def latest_snapshot_path(files: DataFrame) -> DataFrame:
@@ -83,7 +106,7 @@ def write_feature_csv(df: DataFrame, path: str, order: list[Column], number: str
     (
         out.repartitionByRange(parts, number)
         .sortWithinPartitions(number)
-        .withColumnRenamed(number, "﻿" + number)
+        .withColumnRenamed(number, "\ufeff" + number)
         .write.mode("overwrite")
         .option("header", True)
         .csv(path)
