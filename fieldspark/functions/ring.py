@@ -131,21 +131,22 @@ def _crossings_odd(es: Column, x: Column, y: Column) -> Column:
     return count % 2 == 1
 
 
+def edges_hold(es: Column, x: Column, y: Column, boundary: str = "include") -> Column:
+    """``contains_point`` on edges that were made before."""
+    inside = _crossings_odd(es, x, y)
+    if boundary == "half_open":
+        return inside
+    if boundary == "exclude":
+        return inside & ~_on_edges(es, x, y)
+    return inside | _on_edges(es, x, y)
+
+
 def contains_point(ring: Column, x: Column, y: Column, boundary: str = "include") -> Column:
     """Point in polygon. ``boundary``: ``include`` (intersects), ``exclude`` (within) or ``half_open``.
 
     ``half_open`` gives a point on a shared edge to exactly one neighbour, as raster masks do.
     """
-
-    def test(es: Column) -> Column:
-        inside = _crossings_odd(es, x, y)
-        if boundary == "half_open":
-            return inside
-        if boundary == "exclude":
-            return inside & ~_on_edges(es, x, y)
-        return inside | _on_edges(es, x, y)
-
-    return let(edges(ring), test)
+    return let(edges(ring), lambda es: edges_hold(es, x, y, boundary))
 
 
 def _segments_meet(p: Column, q: Column) -> Column:

@@ -23,52 +23,67 @@ RING_SQL = "array<struct<x:double,y:double>>"
 # --- helpers on one ring ---------------------------------------------------------------------------------------------
 
 
-def _points(ring) -> np.ndarray:
-    """Anticlockwise open ring as an n×2 array."""
-    pts = np.array([(p["x"], p["y"]) for p in ring], float).reshape(-1, 2)
-    if len(pts) > 1 and (pts[0] == pts[-1]).all():
-        pts = pts[:-1]
-    if len(pts):
-        pts = pts[~(pts == np.roll(pts, 1, axis=0)).all(axis=1)] if len(pts) > 1 else pts
+Point = tuple[float, float]
+
+
+def _points(ring) -> list[Point]:
+    """Anticlockwise open ring without repeated vertices."""
+    pts = [(p["x"], p["y"]) for p in ring]
+    pts = [p for i, p in enumerate(pts) if p != pts[i - 1] or len(pts) == 1]
     return pts[::-1] if _area(pts) < 0 else pts
 
 
-def _as_ring(pts: np.ndarray) -> list[dict]:
+def _as_ring(pts) -> list[dict]:
     return [{"x": float(x), "y": float(y)} for x, y in pts]
 
 
-def _area(pts: np.ndarray) -> float:
+def _area(pts) -> float:
     if len(pts) < 3:
         return 0.0
-    rel = pts - pts[0]
-    nxt = np.roll(rel, -1, axis=0)
-    return float((rel[:, 0] * nxt[:, 1] - nxt[:, 0] * rel[:, 1]).sum() / 2)
-
-
-def _convex(pts: np.ndarray) -> bool:
-    a, b = pts - np.roll(pts, 1, axis=0), np.roll(pts, -1, axis=0) - pts
-    return bool((a[:, 0] * b[:, 1] - a[:, 1] * b[:, 0] >= -1e-12).all())
+    x0, y0 = pts[0]
+    total = 0.0
+    for (ax, ay), (bx, by) in zip(pts[1:], pts[2:]):
+        total += (ax - x0) * (by - y0) - (bx - x0) * (ay - y0)
+    return total / 2
+
+
+def _convex(pts: list[Point]) -> bool:
+    n = len(pts)
+    for i in range(n):
+        (ax, ay), (bx, by), (cx, cy) = pts[i - 2], pts[i - 1], pts[i]
+        if (bx - ax) * (cy - by) - (by - ay) * (cx - bx) < -1e-12:
+            return False
+    return n >= 3
+
+
+def _keep_left(subject: list[Point], a: Point, b: Point) -> list[Point]:
+    """Part of a ring on the left of the line from ``a`` to ``b``."""
+    dx, dy = b[0] - a[0], b[1] - a[1]
+    out: list[Point] = []
+    if not subject:
+        return out
+    p = subject[-1]
+    sp = dx * (p[1] - a[1]) - dy * (p[0] - a[0])
+    for q in subject:
+        sq = dx * (q[1] - a[1]) - dy * (q[0] - a[0])
+        if (sp >= 0) != (sq >= 0):
+            t = sp / (sp - sq)
+            out.append((p[0] + (q[0] - p[0]) * t, p[1] + (q[1] - p[1]) * t))
+        if sq >= 0:
+            out.append(q)
+        p, sp = q, sq
+    return out
 
 
-def _clip_convex(subject: np.ndarray, clip: np.ndarray) -> np.ndarray:
+def _clip_convex(subject: list[Point], clip: list[Point]) -> list[Point]:
     """Subject cut by every edge of a convex anticlockwise ring; the area is right for any simple subject."""
     out = subject
-    for a, b in zip(clip, np.roll(clip, -1, axis=0)):
-        if len(out) == 0:
-            break
-        side = (b[0] - a[0]) * (out[:, 1] - a[1]) - (b[1] - a[1]) * (out[:, 0] - a[0])
-        kept = []
-        for i in range(len(out)):
-            p, q, sp, sq = out[i - 1], out[i], side[i - 1], side[i]
-            if (sp >= 0) != (sq >= 0):
-                kept.append(p + (q - p) * (sp / (sp - sq)))
-            if sq >= 0:
-                kept.append(q)
-        out = np.array(kept).reshape(-1, 2)
+    for i in range(len(clip)):
+        out = _keep_left(out, clip[i - 1], clip[i])
     return out
 
 
-def intersection_area_of(a: np.ndarray, b: np.ndarray) -> float:
+def intersection_area_of(a: list[Point], b: list[Point]) -> float:
     if len(a) < 3 or len(b) < 3:
         return 0.0
     if _convex(b):
@@ -77,15 +92,23 @@ def intersection_area_of(a: np.ndarray, b: np.ndarray) -> float:
         return abs(_area(_clip_convex(b, a)))
     # signed triangle fans from the first vertex of each ring
     total = 0.0
-    for i in range(1, len(a) - 1):
-        ta, sa = a[[0, i, i + 1]], np.sign(_area(a[[0, i, i + 1]]))
-        for j in range(1, len(b) - 1):
-            tb, sb = b[[0, j, j + 1]], np.sign(_area(b[[0, j, j + 1]]))
-            if sa and sb:
-                total += sa * sb * abs(_area(_clip_convex(ta if sa > 0 else ta[::-1], tb if sb > 0 else tb[::-1])))
+    for ta, sa in _fan(a):
+        for tb, sb in _fan(b):
+            total += sa * sb * abs(_area(_clip_convex(ta, tb)))
     return abs(total)
 
 
+def _fan(pts: list[Point]) -> list[tuple[list[Point], int]]:
+    """Anticlockwise triangles from the first vertex, with the sign each had."""
+    out = []
+    for p, q in zip(pts[1:], pts[2:]):
+        tri = [pts[0], p, q]
+        signed = _area(tri)
+        if signed:
+            out.append((tri, 1) if signed > 0 else (tri[::-1], -1))
+    return out
+
+
 def _contains(ring: np.ndarray, p: np.ndarray) -> bool:
     a, b = ring, np.roll(ring, -1, axis=0)
     straddle = (a[:, 1] > p[1]) != (b[:, 1] > p[1])
@@ -158,8 +181,20 @@ def _drop_collinear(pts: np.ndarray) -> np.ndarray:
     return pts[keep] if keep.sum() >= 3 else pts
 
 
-def clip_parts(a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+def clip_parts(a: list[Point], b: list[Point]) -> list[list[Point]]:
     """Parts of the intersection of two simple anticlockwise rings, largest first."""
+    if _convex(a) and _convex(b):
+        part = _distinct(_clip_convex(a, b))
+        return [part] if abs(_area(part)) > 0 else []
+    return _overlay(np.array(a), np.array(b))
+
+
+def _distinct(pts: list[Point]) -> list[Point]:
+    return [p for i, p in enumerate(pts) if p != pts[i - 1]]
+
+
+def _overlay(a: np.ndarray, b: np.ndarray) -> list[list[Point]]:
+    """Edges of each ring cut at the other, kept where they bound the common area, and chained."""
     eps = 1e-10 * max(1.0, float(np.abs(np.concatenate([a, b])).max()))
     kept = []
     edges_b = _split_at(b, a, eps)
@@ -175,8 +210,8 @@ def clip_parts(a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
         mid = (p + q) / 2
         if not _on_border(a, mid, eps) and _contains(a, mid):
             kept.append((p, q))
-    parts = [r for r in _chain(kept, eps) if abs(_area(r)) > 0]
-    return sorted(parts, key=lambda r: -abs(_area(r)))
+    parts = [[tuple(map(float, v)) for v in r] for r in _chain(kept, eps)]
+    return sorted((r for r in parts if abs(_area(r)) > 0), key=lambda r: -abs(_area(r)))
 
 
 def simplify_ring(pts: np.ndarray, tolerance: float) -> np.ndarray:
@@ -207,6 +242,12 @@ def simplify_ring(pts: np.ndarray, tolerance: float) -> np.ndarray:
 # --- tables ----------------------------------------------------------------------------------------------------------
 
 
+def _spread(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """Candidate pairs dealt out evenly before the Python step: a crowded grid cell does not stay in one task."""
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pairs.repartition(parts, *keys)
+
+
 def _schema(df: DataFrame, extra: str) -> str:
     return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), extra])
 
@@ -220,7 +261,7 @@ def intersection_area(pairs: DataFrame, ring_a: str = "ring", ring_b: str = "rin
             areas = [intersection_area_of(_points(a), _points(b)) for a, b in zip(pdf[ring_a], pdf[ring_b])]
             yield pdf[rest].assign(overlap=np.array(areas, float))
 
-    return pairs.mapInPandas(run, _schema(pairs.select(*rest), "overlap double"))
+    return _spread(pairs, rest).mapInPandas(run, _schema(pairs.select(*rest), "overlap double"))
 
 
 def max_overlap(left: DataFrame, right: DataFrame, left_key: str, right_key: str, cell: float) -> DataFrame:
@@ -247,14 +288,14 @@ def clip_polygons(pairs: DataFrame, ring: str = "ring", by: str = "ring_r") -> D
                 flags.append(bool(parts))
             yield pdf[rest].assign(**{ring: rings, "clipped": flags})
 
-    return pairs.mapInPandas(run, _schema(pairs.select(*rest), f"{ring} {RING_SQL}, clipped boolean"))
+    return _spread(pairs, rest).mapInPandas(run, _schema(pairs.select(*rest), f"{ring} {RING_SQL}, clipped boolean"))
 
 
 def samples_inside(ring: Column, ax: Column, ay: Column, bx: Column, by: Column, n: int = 20) -> Column:
     """How many of ``n + 1`` evenly spaced points of a line fall inside the ring."""
     steps = F.sequence(F.lit(0), F.lit(n))
-    hit = lambda i: R.contains_point(ring, ax + (bx - ax) * i / n, ay + (by - ay) * i / n)
-    return F.size(F.filter(steps, hit))
+    at = lambda i: (ax + (bx - ax) * i / n, ay + (by - ay) * i / n)
+    return R.let(R.edges(ring), lambda es: F.size(F.filter(steps, lambda i: R.edges_hold(es, *at(i)))))
 
 
 def split_by_lines(
@@ -291,26 +332,31 @@ def split_by_lines(
             for k, ring, lines_of in zip(pdf[key], pdf["ring"], pdf["cuts"]):
                 parts = [_points(ring)]
                 for cut in lines_of if lines_of is not None else []:
-                    line = np.array([[cut["ax"], cut["ay"]], [cut["bx"], cut["by"]]], float)
+                    line = [(cut["ax"], cut["ay"]), (cut["bx"], cut["by"])]
                     parts = [piece for p in parts for piece in _halves(p, line, min_area)]
                 rows += [(k, i, _as_ring(p), abs(_area(p))) for i, p in enumerate(parts)]
             yield pd.DataFrame(rows, columns=[key, "part", "ring", "area"])
 
-    return todo.mapInPandas(run, schema)
+    return _spread(todo, [key]).mapInPandas(run, schema)
 
 
-def _halves(pts: np.ndarray, line: np.ndarray, min_area: float) -> list[np.ndarray]:
-    d = line[1] - line[0]
+def _halves(pts: list[Point], line: list[Point], min_area: float) -> list[list[Point]]:
+    a, b = line
+    d = (b[0] - a[0], b[1] - a[1])
     length = math.hypot(*d)
     if length < 1e-12:
         return [pts]
-    span = math.hypot(*(pts.max(axis=0) - pts.min(axis=0)))
-    reach = 3 * span + math.hypot(*(line.mean(axis=0) - pts.mean(axis=0)))
-    u = d / length
-    a, b, n = line[0] - u * reach, line[1] + u * reach, np.array([-u[1], u[0]]) * reach
-    parts = []
-    for half in (np.array([a, b, b + n, a + n]), np.array([b, a, a - n, b - n])):
-        parts += [p for p in clip_parts(pts, half) if abs(_area(p)) >= min_area]
+    if _convex(pts):
+        parts = [_distinct(_keep_left(pts, a, b)), _distinct(_keep_left(pts, b, a))]
+    else:
+        # half planes as rectangles that reach far beyond the polygon
+        span = max(math.hypot(x - a[0], y - a[1]) for x, y in pts) + length
+        u = (d[0] / length * 3 * span, d[1] / length * 3 * span)
+        p, q, n = (a[0] - u[0], a[1] - u[1]), (b[0] + u[0], b[1] + u[1]), (-u[1], u[0])
+        left = [p, q, (q[0] + n[0], q[1] + n[1]), (p[0] + n[0], p[1] + n[1])]
+        right = [q, p, (p[0] - n[0], p[1] - n[1]), (q[0] - n[0], q[1] - n[1])]
+        parts = clip_parts(pts, left) + clip_parts(pts, right)
+    parts = [p for p in parts if abs(_area(p)) >= min_area]
     return parts if len(parts) >= 2 else [pts]
 
 
@@ -391,7 +437,7 @@ def simplify_polygons(polygons: DataFrame, tolerance: float = 0.00005) -> DataFr
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             raw = [_points(r) for r in pdf["ring"]]
-            slim = [simplify_ring(p, tolerance) for p in raw]
+            slim = [simplify_ring(np.array(p), tolerance) for p in raw]
             yield pdf[rest].assign(
                 ring=[_as_ring(p) for p in slim], n_before=[len(p) for p in raw], n_after=[len(p) for p in slim]
             )
@@ -417,9 +463,12 @@ def shared_border(a: Column, b: Column, tolerance: float = 1e-9) -> Column:
         same_line = (length > 0) & (off(q["a"]) <= tolerance) & (off(q["b"]) <= tolerance)
         return F.when(same_line, F.greatest(F.lit(0.0), common)).otherwise(F.lit(0.0))
 
-    return F.aggregate(
-        R.edges(a), F.lit(0.0), lambda acc, p: acc + F.aggregate(R.edges(b), F.lit(0.0), lambda s, q: s + overlap(p, q))
-    )
+    def total(eb: Column) -> Column:
+        return F.aggregate(
+            R.edges(a), F.lit(0.0), lambda acc, p: acc + F.aggregate(eb, F.lit(0.0), lambda s, q: s + overlap(p, q))
+        )
+
+    return R.let(R.edges(b), total)
 
 
 def best_neighbor(pieces: DataFrame, key: str, cell: float, within: str) -> DataFrame:

@@ -13,6 +13,7 @@ from fieldspark.functions import ring as R
 from fieldspark.functions import spectral as S
 from fieldspark.operators.quantiles import exact_quantiles
 from fieldspark.operators.spatial import join_points_polygons
+from fieldspark.session import cut_lineage
 
 PIXEL = ["tile", "r", "c"]
 
@@ -420,6 +421,7 @@ def fill_mean_smooth(raster: DataFrame, group: list[str], min_valid_pct: float =
 
     Needs full rectangles. Lines are gathered as arrays, one array per row and then per column of the raster.
     """
+    raster = cut_lineage(raster)  # read three times below
     stats = raster.groupBy(*group).agg(
         F.avg("ndvi").alias("_mean"), (100.0 * F.count("ndvi") / F.count(F.lit(1))).alias("_pct"),
         (F.count("ndvi") < F.count(F.lit(1))).alias("_had_gaps"),
@@ -431,7 +433,10 @@ def fill_mean_smooth(raster: DataFrame, group: list[str], min_valid_pct: float =
     weights = [math.exp(-0.5 * (d / sigma) ** 2) for d in range(-radius, radius + 1)]
     kernel = [w / sum(weights) for w in weights]
 
-    def blur_line(line: Column) -> Column:
+    def blur_line(values: Column) -> Column:
+        return R.let(values, blur_values)
+
+    def blur_values(line: Column) -> Column:
         n = F.size(line)
         # mirror the borders: … b a | a b c … z | z y …
         def at(i: Column) -> Column:

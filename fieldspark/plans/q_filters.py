@@ -153,9 +153,8 @@ def normalize_advanced_json(t):
     rows = t.orders.select(F.col("o_orderkey").alias("id"), doc.alias("d"))
     leaves = F.array("d.destino", "d.sistema", "d.material_vegetal.tipo", "d.material_vegetal.detalle")
     filled = lambda v: first_nonblank(v["codigo"], v["label"])
-    kept = F.exists(leaves, lambda v: filled(v).isNotNull())
     detail = F.get(F.filter(F.transform(leaves, filled), lambda v: v.isNotNull()), F.lit(0))
-    return rows.select("id", detail.alias("detalle"), F.coalesce(kept, F.lit(False)).alias("tiene"))
+    return rows.select("id", detail.alias("detalle")).withColumn("tiene", F.col("detalle").isNotNull())
 
 
 def dosed_operations(t):
