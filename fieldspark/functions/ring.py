@@ -150,26 +150,22 @@ def contains_point(ring: Column, x: Column, y: Column, boundary: str = "include"
 
 
 def _segments_meet(p: Column, q: Column) -> Column:
+    """Closed segments share a point. The cheap box test comes first; orientations are computed once."""
+
     def side(a: Column, b: Column, c: Column) -> Column:
         return F.signum((b["x"] - a["x"]) * (c["y"] - a["y"]) - (b["y"] - a["y"]) * (c["x"] - a["x"]))
 
-    def between(a: Column, b: Column, c: Column) -> Column:
-        return (
-            (c["x"] >= F.least(a["x"], b["x"]))
-            & (c["x"] <= F.greatest(a["x"], b["x"]))
-            & (c["y"] >= F.least(a["y"], b["y"]))
-            & (c["y"] <= F.greatest(a["y"], b["y"]))
+    boxes = F.lit(True)
+    for v in "xy":
+        boxes = (
+            boxes
+            & (F.least(p["a"][v], p["b"][v]) <= F.greatest(q["a"][v], q["b"][v]))
+            & (F.greatest(p["a"][v], p["b"][v]) >= F.least(q["a"][v], q["b"][v]))
         )
-
-    d1, d2 = side(p["a"], p["b"], q["a"]), side(p["a"], p["b"], q["b"])
-    d3, d4 = side(q["a"], q["b"], p["a"]), side(q["a"], q["b"], p["b"])
-    touch = (
-        ((d1 == 0) & between(p["a"], p["b"], q["a"]))
-        | ((d2 == 0) & between(p["a"], p["b"], q["b"]))
-        | ((d3 == 0) & between(q["a"], q["b"], p["a"]))
-        | ((d4 == 0) & between(q["a"], q["b"], p["b"]))
-    )
-    return ((d1 * d2 < 0) & (d3 * d4 < 0)) | touch
+    # with overlapping boxes, two segments meet unless one lies strictly on one side of the other
+    across = side(p["a"], p["b"], q["a"]) * side(p["a"], p["b"], q["b"]) <= 0
+    back = side(q["a"], q["b"], p["a"]) * side(q["a"], q["b"], p["b"]) <= 0
+    return boxes & across & back
 
 
 def polygons_intersect(a: Column, b: Column) -> Column:
@@ -177,9 +173,9 @@ def polygons_intersect(a: Column, b: Column) -> Column:
 
     def test(ea: Column) -> Column:
         def against(eb: Column) -> Column:
-            edge_hit = F.exists(ea, lambda p: F.exists(eb, lambda q: _segments_meet(p, q)))
             pa, pb = F.get(ea, F.lit(0))["a"], F.get(eb, F.lit(0))["a"]
-            return edge_hit | _crossings_odd(ea, pb["x"], pb["y"]) | _crossings_odd(eb, pa["x"], pa["y"])
+            inside = _crossings_odd(ea, pb["x"], pb["y"]) | _crossings_odd(eb, pa["x"], pa["y"])
+            return inside | F.exists(ea, lambda p: F.exists(eb, lambda q: _segments_meet(p, q)))
 
         return let(edges(b), against)
 
