@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldspark.functions import ring as R
 from fieldspark.functions.numbers import fixed
 
 # Inverse-distance powers by variable (other variables: the default given by the caller).
@@ -77,7 +78,7 @@ def knn_join(
         .groupBy("_lv", F.expr("shiftright(_cx, _lv)").alias("_cx"), F.expr("shiftright(_cy, _lv)").alias("_cy"))
         .agg(F.sum("n").alias("n"))
     )
-    placed = targets.withColumns({"_tx": axis("x"), "_ty": axis("y")})
+    placed = _dealt(targets.select(target_key, "x", "y"), target_key).withColumns({"_tx": axis("x"), "_ty": axis("y")})
     occupied = placed.select("_tx", "_ty").distinct()
     block = (
         occupied.withColumn("_lv", lv)
@@ -130,14 +131,14 @@ def knn_join(
             dx, dy = r["x"] - tx, r["y"] - ty
             return F.struct((dx * dx + dy * dy).alias("d2"), r["id"].alias("id"))
 
-        return F.slice(F.array_sort(F.transform(F.col("_refs"), one)), 1, k)
+        return _smallest(F.transform(F.col("_refs"), one), "d2", k)
 
     best = (
         placed.select(target_key, "x", "y", "_tx", "_ty")
         .join(candidates, ["_tx", "_ty"])
         .select(target_key, scored(F.col("x"), F.col("y")).alias("_top"))
         .groupBy(target_key)
-        .agg(F.slice(F.array_sort(F.flatten(F.collect_list("_top"))), 1, k).alias("_top"))
+        .agg(F.slice(F.sort_array(F.flatten(F.collect_list("_top"))), 1, k).alias("_top"))
     )
     return best.select(target_key, F.posexplode("_top").alias("_pos", "_hit")).select(
         target_key,
@@ -147,25 +148,55 @@ def knn_join(
     )
 
 
+def _smallest(scored: Column, field: str, k: int) -> Column:
+    """The ``k`` smallest structs in order. Only the plain distances are sorted whole; structs up to the k-th are kept."""
+
+    def pick(items: Column) -> Column:
+        limit = F.sort_array(F.transform(items, lambda s: s[field]))
+        nth = F.get(limit, F.least(F.lit(k), F.size(items)) - 1)
+        near = R.let(nth, lambda d: F.filter(items, lambda s: s[field] <= d))
+        return F.slice(F.sort_array(near), 1, k)
+
+    return R.let(scored, pick)
+
+
+def _dealt(targets: DataFrame, key: str) -> DataFrame:
+    """Targets spread evenly over tasks: the work per target is large compared with its row."""
+    return targets.repartition(int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def _nearest_in_array(stations: Column, tx: Column, ty: Column, k: int) -> Column:
     def one(s: Column) -> Column:
         dx, dy = s["x"] - tx, s["y"] - ty
         return F.struct(F.sqrt(dx * dx + dy * dy).alias("d"), s["id"].alias("id"), s["v"].alias("v"))
 
-    return F.slice(F.array_sort(F.transform(stations, one)), 1, k)
+    return _smallest(F.transform(stations, one), "d", k)
 
 
 def _idw_of(nearest: Column, power: Column, radii: tuple[float, ...], min_n: int) -> Column:
-    """Weighted mean of the neighbours inside the first radius that holds ``min_n`` of them."""
-    limit_d = F.when(F.size(nearest) >= min_n, F.element_at(nearest, min_n)["d"])
-    radius = F.lit(None).cast("double")
-    for r in reversed(radii):
-        radius = F.when(limit_d <= r, F.lit(r)).otherwise(radius)
-    used = F.filter(nearest, lambda s: s["d"] <= radius)
-    weight = lambda s: 1.0 / F.pow(F.greatest(s["d"], F.lit(1e-12)), power)
-    top = F.aggregate(used, F.lit(0.0), lambda acc, s: acc + weight(s) * s["v"])
-    bottom = F.aggregate(used, F.lit(0.0), lambda acc, s: acc + weight(s))
-    return F.when(radius.isNotNull(), top / bottom)
+    """Weighted mean of the neighbours inside the first radius that holds ``min_n`` of them; each step bound once."""
+
+    def radius_of(near: Column) -> Column:
+        limit_d = F.get(near, F.lit(min_n - 1))["d"]
+        return R.let(limit_d, lambda d: F.coalesce(*[F.when(d <= r, F.lit(r)) for r in radii]))
+
+    def mean(used: Column) -> Column:
+        weights = F.transform(used, lambda s: 1.0 / F.pow(F.greatest(s["d"], F.lit(1e-12)), power))
+
+        def ratio(ws: Column) -> Column:
+            products = F.zip_with(ws, used, lambda w, s: w * s["v"])
+            add = lambda acc, v: acc + v
+            return F.aggregate(products, F.lit(0.0), add) / F.aggregate(ws, F.lit(0.0), add)
+
+        return R.let(weights, ratio)
+
+    def inside(near: Column) -> Column:
+        def with_radius(radius: Column) -> Column:
+            return F.when(radius.isNotNull(), R.let(F.filter(near, lambda s: s["d"] <= radius), mean))
+
+        return R.let(radius_of(near), with_radius)
+
+    return R.let(nearest, inside)
 
 
 def idw_adaptive(
@@ -201,20 +232,21 @@ def idw_adaptive(
         .agg(F.collect_list(F.struct("id", "x", "y", "v")).alias("_st"))
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     )
-    placed = targets.select(target_key, F.col("x").alias("_x"), F.col("y").alias("_y")).withColumns(
+    placed = _dealt(targets.select(target_key, F.col("x").alias("_x"), F.col("y").alias("_y")), target_key).withColumns(
         {
             "_cx": F.floor(F.col("_x") / F.lit(reach)).cast("long"),
             "_cy": F.floor(F.col("_y") / F.lit(reach)).cast("long"),
             "_salt": _bucket(F.col(target_key), SALTS),
         }
     )
-    near = placed.join(packed, ["_cx", "_cy", "_salt"]).withColumn(
-        "_near", _nearest_in_array(F.col("_st"), F.col("_x"), F.col("_y"), max_n)
+    joined = placed.join(packed, ["_cx", "_cy", "_salt"])
+    nearest = _nearest_in_array(F.col("_st"), F.col("_x"), F.col("_y"), max_n)
+    if chunks == 1:
+        return joined.select(target_key, *group, _idw_of(nearest, power, radii, min_n).alias("valor"))
+    near = joined.select(target_key, *group, nearest.alias("_near"))
+    near = near.groupBy(target_key, *group).agg(
+        F.slice(F.sort_array(F.flatten(F.collect_list("_near"))), 1, max_n).alias("_near")
     )
-    if chunks > 1:
-        near = near.groupBy(target_key, *group).agg(
-            F.slice(F.array_sort(F.flatten(F.collect_list("_near"))), 1, max_n).alias("_near")
-        )
     return near.select(target_key, *group, _idw_of(F.col("_near"), power, radii, min_n).alias("valor"))
 
 
@@ -245,7 +277,7 @@ def weighted_surface(
         .agg(F.array_sort(F.collect_list(F.struct(F.col(station_key).alias("id"), "x", "y", "valor"))).alias("_st"))
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     )
-    spread = cells.select(cell_key, F.col("x").alias("_x"), F.col("y").alias("_y")).withColumns(
+    spread = _dealt(cells.select(cell_key, F.col("x").alias("_x"), F.col("y").alias("_y")), cell_key).withColumns(
         {"_salt": _bucket(F.col(cell_key), SALTS), "_ch": F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))}
     )
 
