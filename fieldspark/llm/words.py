@@ -25,7 +25,7 @@ ALNUM = ((_BYTES >= 48) & (_BYTES <= 57)) | ((_BYTES >= 97) & (_BYTES <= 122)) |
 NONSPACE = ~((_BYTES == 32) | ((_BYTES >= 9) & (_BYTES <= 13)))
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_POWERS = np.ones(64, np.uint64)
+_POWERS = np.cumprod(np.full(64, _BASE, np.uint64), dtype=np.uint64)
 
 
 def _powers(n: int) -> np.ndarray:
