@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldspark.session import cut_lineage
+from fieldspark.session import cut_lineage, scratch_path
 
 
 def table(spark, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Writes a table into the shared folder and reads it back: cuts the lineage, and later reads take only the columns they need."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def running_totals(df: DataFrame, order: list[Column], totals: dict[str, Column], within: list[str] | None = None) -> DataFrame:
     """Adds sums over all earlier rows in ``order`` (the row itself left out), by ``within`` if given.
 
