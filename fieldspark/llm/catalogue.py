@@ -1,4 +1,4 @@
 """Imports every operator module, which registers its query."""
 
-from fieldspark.llm import chat_format, decontaminate, license_scan, mix_sources, ngram_join, slot_shards  # noqa: F401
+from fieldspark.llm import chat_format, decontaminate, embedding_dedup, license_scan, mix_sources, ngram_join, slot_shards  # noqa: F401
 from fieldspark.llm.queries import ORACLES, QUERIES  # noqa: F401
