@@ -7,9 +7,10 @@ Only similarities that pass 100 * intersection >= 80 * union count, and none of
    n - o + k: two linked classes have at least k of the shown ones in common (k grows with n, the smaller of both counts). Shingles
    that only one class shows are dropped; a class with fewer common ones than any partner asks for has no partner. Text that many
    documents repeat, such as a passage, thus drops out without a pair being made.
-3. Combinations. Of the s common shingles left, any k_min must be had together, so the s - k_min + 1 rarest hold at least one common
-   shingle. These index the class: rare shingles alone, whereas frequent ones (more than FREQUENT classes) stand in pairs with the
-   next ones in the order, as two or more are needed.
+3. Combinations. The classes left are read in full. Of the s shingles that a class has in common with others, the s - o + 1 rarest hold
+   at least one that it shares with any partner. These index the class: shingles whose bucket holds few groups alone, frequent ones
+   (more than FREQUENT groups) together with each next one in the order, as two or more are needed. What a class has for itself
+   bounds from below how much a pair differs; most pairs fail that without a look at their texts.
 4. Groups without all pairs. In every index bucket each class is verified against a leader (of each part of a bucket: no leader
    has more than PART partners); verified links make groups. Then only buckets that still hold several groups are looked at, with new
    leaders, and at last all pairs of classes of different groups. Pairs inside a group need no look: groups are all that is asked.
@@ -107,26 +108,43 @@ def shown(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(text).mapInArrow(run, "node long, n long, tokens array<long>")
 
 
-def common_shingles(docs: DataFrame, text: str) -> DataFrame:
-    """token, node, n, place, short: the common shingles of each class that may have a partner, rarest first.
-
-    Places up to ``short`` hold the first shingle that a class has in common with any partner, places up to short + 1 the second.
-    """
+def possible_nodes(docs: DataFrame, text: str) -> DataFrame:
+    """node of the classes that show as many common shingles as any partner asks for."""
     tokens = shown(docs, text).where("n > 3").select("node", "n", F.explode("tokens").alias("token"))
     common = tokens.groupBy("token").agg(F.count("*").alias("freq")).where("freq > 1").select("token")
     left = stored(tokens.join(common, "token").distinct(), "common")
     enough = left.groupBy("node", "n").count().where(F.col("count") >= extra_column(F.col("n"))).select("node")
     # counted again among the classes that are left: the shingles of passages are gone with most of their documents
     left = left.join(enough, "node", "left_semi")
-    again = left.groupBy("token").agg(F.count("*").alias("freq")).where("freq > 1")
+    again = left.groupBy("token").agg(F.count("*").alias("freq")).where("freq > 1").select("token")
+    shared = left.join(again, "token").groupBy("node", "n").count()
+    return stored(shared.where(F.col("count") >= extra_column(F.col("n"))).select("node"), "possible")
+
+
+def common_shingles(texts: DataFrame) -> DataFrame:
+    """token, node, n, own, place, short: the rarest common shingles of each class, from its whole set.
+
+    ``own`` counts its shingles that no other class has; classes with more than a partner allows are gone. Places up to ``short`` hold
+    the first shingle that a class has in common with any partner, the place after it the second.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                values, at = shingle_sets(part.column("text"))
+                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(np.diff(at)), lists], ["node", "n", "tokens"])
+
+    sets = texts.mapInArrow(run, "node long, n long, tokens array<long>")
+    tokens = sets.select("node", "n", F.explode("tokens").alias("token"))
+    common = tokens.groupBy("token").agg(F.count("*").alias("freq")).where("freq > 1")
     of_class = Window.partitionBy("node")
-    ranked = left.join(again, "token").withColumns(
-        {
-            "place": F.row_number().over(of_class.orderBy("freq", "token")),
-            "short": F.count("*").over(of_class) - extra_column(F.col("n")) + 1,
-        }
+    least = F.ceil(F.col("n") * PERCENT / 100).cast("long")
+    ranked = tokens.join(common, "token").withColumns(
+        {"place": F.row_number().over(of_class.orderBy("freq", "token")), "have": F.count("*").over(of_class)}
     )
-    return stored(ranked.where("place <= short + 1 and short > 0"), "ranked")
+    ranked = ranked.withColumns({"own": F.col("n") - F.col("have"), "short": F.col("have") - least + 1})
+    return stored(ranked.where("short > 0 and place <= short + 1").select("token", "node", "n", "own", "place", "short"), "ranked")
 
 
 def texts_of(docs: DataFrame, text: str, nodes: DataFrame) -> DataFrame:
@@ -181,9 +199,10 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _may_link(one: Column, two: Column) -> Column:
-    """Length filter."""
-    return (F.least(one, two) * 100 >= F.greatest(one, two) * PERCENT)
+def _may_link(n_a, own_a, n_b, own_b) -> Column:
+    """Length filter, and own shingles: a pair may differ in (100 - p) / (100 + p) of both counts."""
+    similar = F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * PERCENT
+    return similar & ((F.col(own_a) + F.col(own_b)) * (100 + PERCENT) <= (F.col(n_a) + F.col(n_b)) * (100 - PERCENT))
 
 
 def _pairs(df: DataFrame) -> DataFrame:
@@ -193,20 +212,20 @@ def _pairs(df: DataFrame) -> DataFrame:
 def leader_pairs(buckets: DataFrame, turn: int) -> DataFrame:
     """Each class with the leader of its part of each bucket, and the leaders of parts with the leader of the bucket.
 
-    ``buckets``: key, node, n, group, size (rows of the bucket). Leaders differ by turn; pairs of one group are left out.
+    ``buckets``: key, node, n, own, group, size (rows of the bucket). Leaders differ by turn; pairs of one group are left out.
     """
-    lead = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "group")
+    lead = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "own", "group")
     parts = buckets.withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / PART)))
     leaders = parts.groupBy("key", "part").agg(F.min(lead).alias("lead"))
     heads = leaders.groupBy("key").agg(F.min("lead").alias("head"))
-    members = parts.join(leaders, ["key", "part"]).select("node", "n", "group", "lead")
-    between = leaders.join(heads, "key").select("lead.node", "lead.n", "lead.group", F.col("head").alias("lead"))
-    both = members.union(between).where((F.col("group") != F.col("lead.group")) & _may_link(F.col("n"), F.col("lead.n")))
+    members = parts.join(leaders, ["key", "part"]).select("node", "n", "own", "group", "lead")
+    between = leaders.join(heads, "key").select("lead.node", "lead.n", "lead.own", "lead.group", F.col("head").alias("lead"))
+    both = members.union(between).where((F.col("group") != F.col("lead.group")) & _may_link("n", "own", "lead.n", "lead.own"))
     return _pairs(both.select(F.col("node").alias("a"), F.col("lead.node").alias("b")))
 
 
 def open_buckets(keyed: DataFrame, groups: DataFrame | None) -> DataFrame:
-    """The buckets that hold several groups: key, node, n, group, size, n_groups bounded from below by 2."""
+    """The buckets that hold several groups: key, node, n, own, group, size."""
     if groups is None:
         named = keyed.withColumn("group", F.col("node"))
     else:
@@ -216,26 +235,26 @@ def open_buckets(keyed: DataFrame, groups: DataFrame | None) -> DataFrame:
 
 
 def all_pairs(buckets: DataFrame) -> DataFrame:
-    """All pairs of classes of different groups in a bucket that their lengths allow."""
-    one = buckets.select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("group").alias("group_a"))
-    two = buckets.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("group").alias("group_b"))
-    met = one.join(two, "key").where((F.col("a") < F.col("b")) & (F.col("group_a") != F.col("group_b")) & _may_link(F.col("n_a"), F.col("n_b")))
+    """All pairs of classes of different groups in a bucket that their counts allow."""
+    one = buckets.select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("own").alias("own_a"), F.col("group").alias("group_a"))
+    two = buckets.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("own").alias("own_b"), F.col("group").alias("group_b"))
+    met = one.join(two, "key").where((F.col("a") < F.col("b")) & (F.col("group_a") != F.col("group_b")) & _may_link("n_a", "own_a", "n_b", "own_b"))
     return met.select("a", "b").distinct()
 
 
 def combined(ranked: DataFrame, frequent: DataFrame) -> DataFrame:
-    """Frequent shingles of the prefix, each with every later one up to one place further: key, node, n."""
+    """Frequent shingles of the prefix, each with every later one up to one place further: key, node, n, own."""
     first = ranked.where("place <= short").join(frequent, "token").select("node", F.col("token").alias("first"), F.col("place").alias("p"))
     pairs = first.join(ranked, "node").where("place > p")
-    return pairs.select(F.xxhash64("first", "token").alias("key"), "node", "n")
+    return pairs.select(F.xxhash64("first", "token").alias("key"), "node", "n", "own")
 
 
 def class_groups(docs: DataFrame, text: str) -> DataFrame:
     """(node, component): classes that link directly or through others, only those with links."""
-    ranked = common_shingles(docs, text)
-    keyed = ranked.where("place <= short").select(F.col("token").alias("key"), "node", "n")
+    texts = texts_of(docs, text, possible_nodes(docs, text))
+    ranked = common_shingles(texts)
+    keyed = ranked.where("place <= short").select(F.col("token").alias("key"), "node", "n", "own")
     buckets = stored(open_buckets(keyed, None), "buckets")
-    texts = texts_of(docs, text, buckets.select("node").distinct())
     links = seen = groups = None
     for turn in range(ROUNDS):
         pairs = leader_pairs(buckets, turn)
