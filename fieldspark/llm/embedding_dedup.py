@@ -1,7 +1,7 @@
 """Embedding near-duplicates by a random-projection tree forest with spill.
 
-Vectors of a label enter ``trees`` trees. Every node splits at the median of a random projection, one direction per tree and level;
-vectors near the median go to both sides (spill), so close pairs seldom part. Nodes of up to ``LEAF`` vectors are leaves, and so are
+Vectors of a label enter ``trees`` trees. Every node splits near the median of a random projection, where few vectors lie, one direction per tree
+and level; vectors near the cut go to both sides (spill), so close pairs seldom part. Nodes of up to ``LEAF`` vectors are leaves, and so are
 nodes that a split no longer shrinks. Inside a leaf all pairs are compared in double precision, block by block; a leaf larger than ``LEAF``
 (vectors too close to part) is dealt to tasks as pairs of blocks, so no task holds it whole. A pair that shares several leaves counts
 in the first of them only; so link counts add up without any list of pairs, and each leaf passes on a few links per vector that
@@ -31,7 +31,7 @@ COSINE = 0.93
 TREES = 6
 LEAF = 512
 #: Half width of the spill zone, in standard deviations that the projections of a pair at the threshold differ by.
-SPILL = 0.8
+SPILL = 0.6
 #: A split must leave each child at most this share of the node, else the node becomes a leaf.
 SHRINK = 0.9
 MAX_LEVELS = 40
@@ -80,6 +80,13 @@ def project(pts: DataFrame, trees: int, levels: int) -> DataFrame:
     return pts.select("point", "label", "dim", "vec").mapInPandas(run, f"point long, label {label_type}, dim int, tree int, proj array<double>")
 
 
+def sparse_cut(c: Column) -> Column:
+    """A value near the median with few points around it: the middle of the widest gap between neighbouring percentiles."""
+    marks = F.percentile_approx(c, [k / 100 for k in range(30, 71, 5)], 400)
+    gaps = lambda m: F.zip_with(F.slice(m, 1, 8), F.slice(m, 2, 8), lambda a, b: F.struct((b - a).alias("gap"), ((a + b) / 2).alias("at")))
+    return F.array_max(gaps(marks))["at"]
+
+
 def grow(pts: DataFrame, trees: int = TREES, leaf: int = LEAF, cosine: float = COSINE) -> DataFrame:
     """leaf, point, size: all leaves of all trees (size: points of the leaf)."""
     most = pts.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
@@ -89,7 +96,7 @@ def grow(pts: DataFrame, trees: int = TREES, leaf: int = LEAF, cosine: float = C
     done = None
     for level in range(levels + 1):
         now = stored(now, f"level{level}")
-        sizes = now.groupBy("node", "tree").agg(F.count("*").alias("size"), *([] if level == levels else [F.percentile_approx(F.element_at("proj", level + 1), 0.5, 200).alias("cut")]))
+        sizes = now.groupBy("node", "tree").agg(F.count("*").alias("size"), *([] if level == levels else [sparse_cut(F.element_at("proj", level + 1)).alias("cut")]))
         small = (F.col("size") <= leaf) | F.lit(level == levels)
         placed = now.join(sizes.drop("tree"), "node")
         leaves = placed.where(small).select("node", "point", "size")
