@@ -172,7 +172,7 @@ def all_patterns(n: int) -> np.ndarray:
     return ((np.arange(1 << n)[:, None] >> np.arange(n)) & 1).astype(np.float64)
 
 
-def fit_label_model(counts: np.ndarray, n: int, share: float, rounds: int = 25, steps: int = 20) -> LabelModel:
+def fit_label_model(counts: np.ndarray, n: int, share: float, rounds: int = 15, steps: int = 12) -> LabelModel:
     """Expectation maximisation on the counts of all patterns. ``share``: share of toxic rows to begin with."""
     every = all_patterns(n)
     weight = counts / max(1, counts.sum())
