@@ -14,7 +14,8 @@ Only similarities that pass 100 * intersection >= 80 * union count, and none of
 4. Groups without all pairs. In every index bucket each class is verified against a leader (of each part of a bucket: no leader
    has more than PART partners); verified links make groups. Then only buckets that still hold several groups are looked at, with new
    leaders, and at last all pairs of classes of different groups. Pairs inside a group need no look: groups are all that is asked.
-5. Verification counts the common shingles of both texts.
+5. Verification. Parity bitmaps of whole sets bound the difference of a pair; those that pass have their common shingles counted from
+   both texts.
 
 Nothing is capped or sampled. Odd inputs: null and empty texts have no shingles, link with nothing and are their own group; a text of
 one to four words has one shingle, the whole sequence; repeated rows and equal ids are rows of their own, a group is named by its
@@ -38,7 +39,11 @@ PERCENT = 80
 #: Shingles shown beyond the plain prefix: EXTRA + n / EXTRA_SHARE, at most all.
 EXTRA, EXTRA_SHARE = 26, 20
 #: Classes from which a shingle counts as frequent and is indexed together with another one.
-FREQUENT = 64
+FREQUENT = 512
+#: Shingles at the front of a class's order by which a pair is told to be the business of another bucket.
+HEAD = 16
+#: Bits of a class's parity bitmap: two bitmaps differ in no more bits than their sets in shingles.
+PARITY_BITS = 1024
 #: Partners of one leader at most, and rounds with leaders before all remaining pairs are taken.
 PART, ROUNDS = 1024, 2
 #: Copies of rows of the class table, so that a class of very many copies is dealt over several tasks.
@@ -86,31 +91,23 @@ def class_ids(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mix64(upto[at[1:]] - upto[at[:-1]] + np.diff(at).astype(np.uint64)).view(np.int64)
 
 
-def _fingerprints(column: pa.Array) -> list:
+def _shown(column: pa.Array) -> list:
+    """Of each text: number of shingles, class, and the extended prefix."""
     values, at = shingle_sets(column)
-    return [np.diff(at), class_ids(values, at)]
+    n = np.diff(at)
+    take = np.where(n > 0, n - needed(n) + extra(n), 0)
+    upto = np.concatenate(([0], np.cumsum(take)))
+    first = np.arange(upto[-1]) - np.repeat(upto[:-1], take) + np.repeat(at[:-1], take)
+    lists = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(values[first].view(np.int64)))
+    return [n, class_ids(values, at), lists]
 
 
-def shown(docs: DataFrame, text: str) -> DataFrame:
-    """node, n, tokens: the extended prefix of each text that has shingles."""
+SHOWN = [T.StructField("n_shingles", T.LongType()), T.StructField("node", T.LongType()), T.StructField("tokens", T.ArrayType(T.LongType()))]
 
-    def run(batches):
-        for batch in batches:
-            for part in pieces(batch, text):
-                values, at = shingle_sets(part.column(text))
-                n = np.diff(at)
-                take = n - needed(n) + extra(n)
-                upto = np.concatenate(([0], np.cumsum(take)))
-                first = np.arange(upto[-1]) - np.repeat(upto[:-1], take) + np.repeat(at[:-1], take)
-                lists = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(values[first].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(class_ids(values, at)), pa.array(n), lists], ["node", "n", "tokens"])
 
-    return docs.select(text).mapInArrow(run, "node long, n long, tokens array<long>")
-
-
-def possible_nodes(docs: DataFrame, text: str) -> DataFrame:
+def possible_nodes(rows: DataFrame) -> DataFrame:
     """node of the classes that show as many common shingles as any partner asks for."""
-    tokens = shown(docs, text).where("n > 3").select("node", "n", F.explode("tokens").alias("token"))
+    tokens = rows.where("n_shingles > 3").select("node", F.col("n_shingles").alias("n"), F.explode("tokens").alias("token"))
     common = tokens.groupBy("token").agg(F.count("*").alias("freq")).where("freq > 1").select("token")
     left = stored(tokens.join(common, "token").distinct(), "common")
     enough = left.groupBy("node", "n").count().where(F.col("count") >= extra_column(F.col("n"))).select("node")
@@ -135,7 +132,7 @@ def common_shingles(texts: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(np.diff(at)), lists], ["node", "n", "tokens"])
 
-    sets = texts.mapInArrow(run, "node long, n long, tokens array<long>")
+    sets = texts.select("node", "text").mapInArrow(run, "node long, n long, tokens array<long>")
     tokens = sets.select("node", "n", F.explode("tokens").alias("token"))
     common = tokens.groupBy("token").agg(F.count("*").alias("freq")).where("freq > 1")
     of_class = Window.partitionBy("node")
@@ -147,8 +144,14 @@ def common_shingles(texts: DataFrame) -> DataFrame:
     return stored(ranked.where("short > 0 and place <= short + 1").select("token", "node", "n", "own", "place", "short"), "ranked")
 
 
+def parity(values: np.ndarray) -> list[int]:
+    """Bit k tells whether an odd number of shingles falls on it."""
+    odd = np.bincount((values % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def texts_of(docs: DataFrame, text: str, nodes: DataFrame) -> DataFrame:
-    """node, n, text: one text of each class in ``nodes``. A fixed-size bit filter keeps most other texts out of the shuffle."""
+    """node, n, bits, text: one text of each class in ``nodes``, its set's size and parity bitmap. A fixed-size bit filter keeps most other texts out of the shuffle."""
     bits = nodes.select(F.col("node").bitwiseAND(F.lit(FILTER_BITS - 1)).alias("p"))
     rows = bits.groupBy(F.floor(F.col("p") / BUCKET_BITS).alias("bucket")).agg(F.expr(f"bitmap_construct_agg(p % {BUCKET_BITS})").alias("bits"))
     filled = np.zeros(FILTER_BITS // 8, np.uint8)
@@ -167,15 +170,28 @@ def texts_of(docs: DataFrame, text: str, nodes: DataFrame) -> DataFrame:
                 _, once = np.unique(ids, return_index=True)
                 keep = np.zeros(len(ids), bool)
                 keep[once] = (hit[once] == 1) & (np.diff(at)[once] > 0)
-                part = pa.RecordBatch.from_arrays([pa.array(ids), part.column(text)], ["node", "text"])
-                yield part.filter(pa.array(keep))
+                rows = np.flatnonzero(keep)
+                bits = [parity(values[at[r] : at[r + 1]]) for r in rows]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[rows]), pa.array(np.diff(at)[rows]), pa.array(bits, pa.list_(pa.int64())), part.column(text).take(pa.array(rows))],
+                    ["node", "n", "bits", "text"],
+                )
+
+    found = docs.select(text).mapInArrow(run, "node long, n long, bits array<long>, text string")
+    one = found.join(nodes, "node", "left_semi").groupBy("node").agg(F.first(F.struct("n", "bits", "text")).alias("r"))
+    return stored(one.select("node", "r.*"), "texts")
 
-    found = docs.select(text).mapInArrow(run, "node long, text string")
-    return stored(found.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
+
+def _near_bits(bits_a: str, bits_b: str, n_a: str, n_b: str) -> Column:
+    """No pair that links differs in more bits than its sets may differ in shingles."""
+    differ = sum(F.bit_count(F.get(bits_a, F.lit(k)).bitwiseXOR(F.get(bits_b, F.lit(k)))) for k in range(PARITY_BITS // 64))
+    return differ * (100 + PERCENT) <= (F.col(n_a) + F.col(n_b)) * (100 - PERCENT)
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes that link, from the texts of both."""
+    """The pairs (a, b) of classes that link: by their bitmaps first, then from the texts of both."""
+    marks = lambda x: texts.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+    pairs = pairs.join(marks("a"), "a").join(marks("b"), "b").where(_near_bits("bits_a", "bits_b", "n_a", "n_b")).select("a", "b")
     right = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     both = right.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
 
@@ -234,26 +250,40 @@ def open_buckets(keyed: DataFrame, groups: DataFrame | None) -> DataFrame:
     return named.join(several.where("_lo <> _hi").select("key", "size"), "key")
 
 
-def all_pairs(buckets: DataFrame) -> DataFrame:
-    """All pairs of classes of different groups in a bucket that their counts allow."""
-    one = buckets.select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("own").alias("own_a"), F.col("group").alias("group_a"))
-    two = buckets.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("own").alias("own_b"), F.col("group").alias("group_b"))
-    met = one.join(two, "key").where((F.col("a") < F.col("b")) & (F.col("group_a") != F.col("group_b")) & _may_link("n_a", "own_a", "n_b", "own_b"))
-    return met.select("a", "b").distinct()
+def all_pairs(buckets: DataFrame, heads: DataFrame) -> DataFrame:
+    """All pairs of classes of different groups in a bucket that their counts allow.
+
+    ``buckets``: key, token (the first one of a combination), place (of the last one), node, n, own, group. A pair meets in many buckets.
+    If the heads of both have common shingles, only buckets of the first of those count. Else, a bucket counts only if it may be
+    the first common one: all shingles before it then belong to one side, and they and the own ones must fit into the difference.
+    Parity bitmaps bound the difference of whole sets; few pairs that do not link pass them.
+    """
+    rows = buckets.join(heads, "node")
+    side = lambda x: rows.select("key", "token", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "own", "group", "place", "head", "bits")])
+    both = F.array_intersect("head_a", "head_b")
+    differ = (F.col("own_a") + F.col("own_b") + F.col("place_a") + F.col("place_b") - 4) * (100 + PERCENT) <= (F.col("n_a") + F.col("n_b")) * (100 - PERCENT)
+    met = side("a").join(side("b").drop("token"), "key").where(
+        (F.col("node_a") < F.col("node_b"))
+        & (F.col("group_a") != F.col("group_b"))
+        & _may_link("n_a", "own_a", "n_b", "own_b")
+        & _near_bits("bits_a", "bits_b", "n_a", "n_b")
+        & F.when(F.arrays_overlap("head_a", "head_b"), F.get(both, F.lit(0)) == F.col("token")).otherwise(differ)
+    )
+    return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def combined(ranked: DataFrame, frequent: DataFrame) -> DataFrame:
     """Frequent shingles of the prefix, each with every later one up to one place further: key, node, n, own."""
     first = ranked.where("place <= short").join(frequent, "token").select("node", F.col("token").alias("first"), F.col("place").alias("p"))
     pairs = first.join(ranked, "node").where("place > p")
-    return pairs.select(F.xxhash64("first", "token").alias("key"), "node", "n", "own")
+    return pairs.select(F.xxhash64("first", "token").alias("key"), F.col("first").alias("token"), "place", "node", "n", "own")
 
 
-def class_groups(docs: DataFrame, text: str) -> DataFrame:
+def class_groups(docs: DataFrame, text: str, rows: DataFrame) -> DataFrame:
     """(node, component): classes that link directly or through others, only those with links."""
-    texts = texts_of(docs, text, possible_nodes(docs, text))
+    texts = texts_of(docs, text, possible_nodes(rows))
     ranked = common_shingles(texts)
-    keyed = ranked.where("place <= short").select(F.col("token").alias("key"), "node", "n", "own")
+    keyed = ranked.where("place <= short").select(F.col("token").alias("key"), "token", "place", "node", "n", "own")
     buckets = stored(open_buckets(keyed, None), "buckets")
     links = seen = groups = None
     for turn in range(ROUNDS):
@@ -264,27 +294,27 @@ def class_groups(docs: DataFrame, text: str) -> DataFrame:
         links = found if links is None else links.union(found)
         groups = components(links)
         buckets = stored(open_buckets(keyed, groups), "buckets")
-    frequent = buckets.groupBy("key").agg(F.count_distinct("group").alias("k")).where(F.col("k") > FREQUENT).select(F.col("key").alias("token"))
-    rare = buckets.join(frequent, F.col("key") == F.col("token"), "left_anti")
-    pairs = all_pairs(rare).union(all_pairs(open_buckets(combined(ranked, frequent), groups)))
+    front = ranked.where(F.col("place") <= F.least(F.lit(HEAD), F.col("short")))
+    heads = front.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "token"))), lambda x: x["token"]).alias("head"))
+    heads = heads.join(texts.select("node", "bits"), "node")
+    frequent = buckets.groupBy("token").agg(F.count_distinct("group").alias("k")).where(F.col("k") > FREQUENT).select("token")
+    rare = buckets.join(frequent, "token", "left_anti")
+    pairs = all_pairs(rare, heads).union(all_pairs(open_buckets(combined(ranked, frequent), groups), heads))
     pairs = stored(pairs.distinct().join(seen, ["a", "b"], "left_anti"), "pairs")
     return components(links.union(verified(pairs, texts)))
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: its id, n_shingles, component_id (the smallest id of its group)."""
-    marked = with_columns(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("_text")), "_text",
-        [T.StructField("n_shingles", T.LongType()), T.StructField("node", T.LongType())], _fingerprints,
-    )
+    marked = with_columns(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("_text")), "_text", SHOWN, _shown)
     rows = stored(marked.drop("_text"), "rows")
     classes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
-    groups = class_groups(docs, text).withColumnRenamed("node", "_n")
+    groups = class_groups(docs, text, rows).withColumnRenamed("node", "_n")
     named = classes.join(groups, F.col("node") == F.col("_n"), "left").withColumn("group", F.coalesce("component", "node"))
     smallest = named.groupBy("group").agg(F.min("first_id").alias("component_id"))
     special = named.where("copies > 1 or component is not null").join(smallest, "group").select("node", "component_id")
     dealt = special.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    own = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    own = rows.drop("tokens").withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     joined = own.join(dealt, ["node", "_salt"], "left")
     alone = F.col("n_shingles") == 0
     return joined.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
