@@ -301,13 +301,16 @@ def union_crop_sources(**sources: DataFrame | None) -> DataFrame:
 
 
 def resolve_aliases(df: DataFrame, aliases: dict[str, tuple[str, ...]]) -> DataFrame:
-    """Output fields from the first filled spelling variant among the columns present."""
-    present = set(df.columns)
+    """Output fields from the first filled spelling variant among the columns present.
+
+    Columns are taken by position, so names may differ in case only.
+    """
+    at = {name: f"_c{i}" for i, name in enumerate(df.columns)}
     out = []
     for field, names in aliases.items():
-        found = [F.col(f"`{n}`").cast("string") for n in names if n in present]
+        found = [F.col(at[n]).cast("string") for n in names if n in at]
         out.append((first_filled(*found) if found else F.lit(None).cast("string")).alias(field))
-    return df.select(*[c for c in df.columns if c.endswith("_key")], *out)
+    return df.toDF(*at.values()).select(*[F.col(at[c]).alias(c) for c in at if c.endswith("_key")], *out)
 
 
 # Output soil fields and the spelling variants they are read from.

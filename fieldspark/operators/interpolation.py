@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldspark.functions import ring as R
@@ -33,6 +33,7 @@ MIN_NEIGHBOURS = 4
 MAX_NEIGHBOURS = 6
 
 CHUNK = 1024  # stations held by one array
+LISTED = 24  # nearest stations that are looked up for every group
 SALTS = 16  # copies of each station array, so that one crowded cell spreads over tasks
 
 
@@ -165,14 +166,6 @@ def _dealt(targets: DataFrame, key: str) -> DataFrame:
     return targets.repartition(int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
-def _nearest_in_array(stations: Column, tx: Column, ty: Column, k: int) -> Column:
-    def one(s: Column) -> Column:
-        dx, dy = s["x"] - tx, s["y"] - ty
-        return F.struct(F.sqrt(dx * dx + dy * dy).alias("d"), s["id"].alias("id"), s["v"].alias("v"))
-
-    return _smallest(F.transform(stations, one), "d", k)
-
-
 def _idw_of(nearest: Column, power: Column, radii: tuple[float, ...], min_n: int) -> Column:
     """Weighted mean of the neighbours inside the first radius that holds ``min_n`` of them; each step bound once."""
 
@@ -199,6 +192,58 @@ def _idw_of(nearest: Column, power: Column, radii: tuple[float, ...], min_n: int
     return R.let(nearest, inside)
 
 
+def _placed_stations(stations: DataFrame, station_key: str, reach: float) -> DataFrame:
+    """Stations in arrays of up to ``CHUNK``, per cell of side ``reach``: each station stands in the 3×3 cells around it."""
+
+    def axis(v: str) -> Column:
+        return F.floor(F.col(v) / F.lit(reach)).cast("long")
+
+    copies = (
+        stations.select(F.col(station_key).alias("id"), F.col("x").cast("double"), F.col("y").cast("double"))
+        .distinct()
+        .withColumn("_cx", F.explode(F.transform(_neighbour_offsets(1), lambda d: axis("x") + d)))
+        .withColumn("_cy", F.explode(F.transform(_neighbour_offsets(1), lambda d: axis("y") + d)))
+    )
+    # arrays by the number of stations in the cell itself, not in the whole network
+    place = F.row_number().over(Window.partitionBy("_cx", "_cy").orderBy("id"))
+    packed = copies.withColumn("_ch", F.floor((place - 1) / CHUNK)).groupBy("_cx", "_cy", "_ch").agg(F.collect_list(F.struct("id", "x", "y")).alias("_st"))
+    return packed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def _meet_stations(targets: DataFrame, packed: DataFrame, target_key: str, reach: float) -> DataFrame:
+    """Every target with the station arrays of its cell; targets without any keep one row with null."""
+    placed = _dealt(targets.select(target_key, F.col("x").alias("_x"), F.col("y").alias("_y")), target_key).withColumns(
+        {
+            "_cx": F.floor(F.col("_x") / F.lit(reach)).cast("long"),
+            "_cy": F.floor(F.col("_y") / F.lit(reach)).cast("long"),
+            "_salt": _bucket(F.col(target_key), SALTS),
+        }
+    )
+    return placed.join(packed, ["_cx", "_cy", "_salt"], "left")
+
+
+def _within(reach: float) -> Column:
+    """Distances to the stations of an array, those beyond ``reach`` left out."""
+
+    def one(s: Column) -> Column:
+        dx, dy = s["x"] - F.col("_x"), s["y"] - F.col("_y")
+        return F.struct(F.sqrt(dx * dx + dy * dy).alias("d"), s["id"].alias("id"))
+
+    return F.filter(F.transform(F.coalesce("_st", F.array()), one), lambda s: s["d"] <= reach)
+
+
+def nearest_stations(
+    targets: DataFrame, stations: DataFrame, target_key: str, station_key: str, reach: float, k: int
+) -> DataFrame:
+    """Per target its ``k`` nearest stations within ``reach`` as ``near: array<(d, id)>``, and ``in_reach``, their number in all."""
+    met = _meet_stations(targets, _placed_stations(stations, station_key, reach), target_key, reach)
+    scored = met.select(target_key, _within(reach).alias("_all"))
+    parts = scored.select(target_key, _smallest(F.col("_all"), "d", k).alias("_top"), F.size("_all").alias("_n"))
+    return parts.groupBy(target_key).agg(
+        F.slice(F.sort_array(F.flatten(F.collect_list("_top"))), 1, k).alias("near"), F.sum("_n").alias("in_reach")
+    )
+
+
 def idw_adaptive(
     targets: DataFrame,
     values: DataFrame,
@@ -209,45 +254,53 @@ def idw_adaptive(
     radii: tuple[float, ...] = RADII_KM,
     min_n: int = MIN_NEIGHBOURS,
     max_n: int = MAX_NEIGHBOURS,
+    listed: int = LISTED,
 ) -> DataFrame:
-    """Inverse-distance value per target and group (date, variable …), null without coverage.
+    """Inverse-distance value of every target for every group (date, variable …), null without coverage.
 
     ``values``: station key, ``x, y``, ``valor`` and the group columns, one row per station and group. ``power`` may use
-    group columns. Stations further than the last radius never count, so each is copied to the 3×3 cells of that size
-    around it and every target meets one cell: no target row is copied per station. Targets without any station in reach
-    are absent from the join and come back with null through the group list of the caller (see ``lag_features``).
+    group columns. Neighbours do not depend on the group: the ``listed`` nearest stations of a target are found once, and the values
+    of all groups are looked up along that list. Only where the list has fewer than ``max_n`` values for a group, and the target
+    has more stations in reach, are all of those read.
     """
     reach = max(radii)
-    chunks = _chunks(values, station_key)
-
-    def axis(v: str) -> Column:
-        return F.floor(F.col(v) / F.lit(reach)).cast("long")
-
-    packed = (
-        values.select(*group, F.col(station_key).alias("id"), "x", "y", F.col("valor").cast("double").alias("v"))
-        .withColumn("_ch", _bucket(F.col("id"), chunks))
-        .withColumn("_cx", F.explode(F.transform(_neighbour_offsets(1), lambda d: axis("x") + d)))
-        .withColumn("_cy", F.explode(F.transform(_neighbour_offsets(1), lambda d: axis("y") + d)))
-        .groupBy("_cx", "_cy", "_ch", *group)
-        .agg(F.collect_list(F.struct("id", "x", "y", "v")).alias("_st"))
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    keys = F.struct(*group)
+    stations = values.select(station_key, "x", "y")
+    near = nearest_stations(targets, stations, target_key, station_key, reach, listed)
+    groups = values.agg(F.array_sort(F.collect_set(keys))).scalar()
+    by_group = values.groupBy(F.col(station_key).alias("id"), *group).agg(F.first(F.col("valor").cast("double")).alias("v"))
+    by_station = (
+        by_group.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct(keys.alias("g"), "v"))).alias("_m"))
+        .withColumn("_groups", groups)
+        .select("id", F.transform("_groups", lambda g: F.try_element_at("_m", g)).alias("vs"))
     )
-    placed = _dealt(targets.select(target_key, F.col("x").alias("_x"), F.col("y").alias("_y")), target_key).withColumns(
-        {
-            "_cx": F.floor(F.col("_x") / F.lit(reach)).cast("long"),
-            "_cy": F.floor(F.col("_y") / F.lit(reach)).cast("long"),
-            "_salt": _bucket(F.col(target_key), SALTS),
-        }
+    listed_values = (
+        near.select(target_key, F.explode("near").alias("s"))
+        .select(target_key, F.col("s.d").alias("d"), F.col("s.id").alias("id"))
+        .join(by_station, "id")
+        .groupBy(target_key)
+        .agg(F.sort_array(F.collect_list(F.struct("d", "id", "vs"))).alias("_list"))
     )
-    joined = placed.join(packed, ["_cx", "_cy", "_salt"])
-    nearest = _nearest_in_array(F.col("_st"), F.col("_x"), F.col("_y"), max_n)
-    if chunks == 1:
-        return joined.select(target_key, *group, _idw_of(nearest, power, radii, min_n).alias("valor"))
-    near = joined.select(target_key, *group, nearest.alias("_near"))
-    near = near.groupBy(target_key, *group).agg(
-        F.slice(F.sort_array(F.flatten(F.collect_list("_near"))), 1, max_n).alias("_near")
+
+    def along(i: Column) -> Column:
+        there = F.transform(F.coalesce("_list", F.array()), lambda s: F.struct(s["d"].alias("d"), s["id"].alias("id"), F.get(s["vs"], i).alias("v")))
+        return F.slice(F.filter(there, lambda s: s["v"].isNotNull()), 1, max_n)
+
+    wide = near.select(target_key, "in_reach").join(listed_values, target_key, "left").withColumn("_groups", groups)
+    first = wide.select(
+        target_key, (F.col("in_reach") > listed).alias("_more"), F.posexplode(F.transform("_groups", lambda g, i: F.struct(g.alias("g"), along(i).alias("near"))))
+    ).select(target_key, "_more", F.col("pos").alias("_i"), "col.g.*", F.col("col.near").alias("_near"))
+    short = first.filter(F.col("_more") & (F.size("_near") < max_n)).select(target_key).distinct()
+    every = (
+        _meet_stations(targets.join(short, target_key, "left_semi"), _placed_stations(stations, station_key, reach), target_key, reach)
+        .select(target_key, F.explode(_within(reach)).alias("s"))
+        .select(target_key, F.col("s.d").alias("d"), F.col("s.id").alias("id"))
+        .join(by_group, "id")
+        .groupBy(target_key, *group)
+        .agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "id", "v"))), 1, max_n).alias("_every"))
     )
-    return near.select(target_key, *group, _idw_of(F.col("_near"), power, radii, min_n).alias("valor"))
+    out = first.join(every, [target_key, *group], "left")
+    return out.select(target_key, *group, _idw_of(F.coalesce("_every", "_near"), power, radii, min_n).alias("valor"))
 
 
 def power_of(variable: Column, default: float = 2.5) -> Column:

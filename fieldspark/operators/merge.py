@@ -16,8 +16,10 @@ def dedup_keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> Dat
 
 
 def new_rows(stored: DataFrame, incoming: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """Incoming rows whose key is not stored yet, one per key."""
-    return dedup_keep_first(incoming, keys, order).join(stored.select(*keys), keys, "left_anti")
+    """Incoming rows whose key is not stored yet, one per key; null key parts equal each other, so a rerun adds nothing."""
+    known = stored.select(*[F.col(k).alias(f"_stored_{k}") for k in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_stored_{k}")) for k in keys]
+    return dedup_keep_first(incoming, keys, order).join(known, same, "left_anti")
 
 
 def insert_if_absent(stored: DataFrame, incoming: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -60,14 +60,14 @@ _NEAR = """near AS (SELECT p.id_recinto, l.variable, l.fecha, l.estacion_id, l.v
 @query(
     "idw_adaptive",
     f"""WITH {_PT}, {_LONG}, {_NEAR.format(where=f"l.fecha = {_RUN}")}, {_IDW}
-    SELECT id_recinto, variable, round(valor, 6) AS valor FROM idw WHERE valor IS NOT NULL""",
+    SELECT p.id_recinto, v.variable, round(valor, 6) AS valor
+    FROM pt p, (SELECT DISTINCT variable FROM lg WHERE fecha = {_RUN}) v LEFT JOIN idw i ON i.id_recinto = p.id_recinto AND i.variable = v.variable""",
 )
 def idw_adaptive(t):
     day = t.v_daily.filter(F.col("fecha") == F.lit(RUN_DATE).cast("date"))
     values = I.usable_values(day, list(I.LAG_PREFIX)).join(t.v_station.select("estacion_id", "x", "y"), "estacion_id")
     out = I.idw_adaptive(plot_points(t), values, "id_recinto", "estacion_id", ["variable"], I.power_of(F.col("variable")))
-    # plots without coverage have no row here or a null; both mean the same
-    return out.filter("valor IS NOT NULL").select("id_recinto", "variable", fixed("valor", 6).alias("valor"))
+    return out.select("id_recinto", "variable", fixed("valor", 6).alias("valor"))
 
 
 def lag_frame(t):

@@ -96,8 +96,8 @@ def tile_grid(t):
 @query("read_latest_snapshot", "SELECT c_custkey, c_name FROM customer WHERE c_nationkey >= 5")
 def read_latest_snapshot(t):
     root = scratch_path(t.spark, "snapshots")
-    t.customer.coalesce(1).write.parquet(f"{root}/a")
-    t.customer.filter("c_nationkey >= 5").coalesce(1).write.parquet(f"{root}/b")
+    t.customer.repartition(4).write.parquet(f"{root}/a")
+    t.customer.filter("c_nationkey >= 5").repartition(8).write.parquet(f"{root}/b")
     return files.read_latest_snapshot(t.spark, f"{root}/*").select("c_custkey", "c_name")
 
 
@@ -288,7 +288,7 @@ def stream_sensor_dedup(t):
     )
     rows.write.parquet(f"{root}/in")
     rows.write.mode("append").parquet(f"{root}/in")
-    run = SS.start(SS.readings(t.spark, f"{root}/in"), f"{root}/out", f"{root}/state", once=True)
+    run = SS.start(SS.readings(t.spark, f"{root}/in", files_per_batch=2), f"{root}/out", f"{root}/state", once=True)
     run.awaitTermination()
     return t.spark.read.parquet(f"{root}/out").select(
         "id_sensor", "id_variable", F.date_format("fecha_hora", "yyyy-MM-dd HH:mm").alias("minuto")

@@ -75,10 +75,14 @@ def latest_snapshot_path(files: DataFrame) -> DataFrame:
 
 
 def read_latest_snapshot(spark: SparkSession, pattern: str) -> DataFrame:
-    """Rows of the newest parquet snapshot among those that match the pattern; older files are pruned by metadata."""
-    rows = spark.read.parquet(pattern).select("*", "_metadata.file_modification_time", "_metadata.file_path")
-    newest = rows.agg(F.max(F.struct("file_modification_time", "file_path")).alias("m")).scalar()
-    return rows.filter(F.struct("file_modification_time", "file_path") == newest).drop("file_modification_time", "file_path")
+    """All rows of the newest parquet snapshot among the folders that match the pattern.
+
+    A snapshot is a folder with any number of part files; the folder that holds the newest file wins, the later name on ties.
+    """
+    folder = F.regexp_replace("_metadata.file_path", "/[^/]*$", "")
+    rows = spark.read.parquet(pattern).select("*", F.col("_metadata.file_modification_time").alias("_at"), folder.alias("_folder"))
+    newest = rows.agg(F.max(F.struct("_at", "_folder"))["_folder"].alias("m")).scalar()
+    return rows.filter(F.col("_folder") == newest).drop("_at", "_folder")
 
 
 def keep_newest_versions(snapshots: DataFrame, n: int = 2, group: list[str] | None = None) -> DataFrame:

@@ -110,11 +110,15 @@ def _strip_tags(col: Column) -> Column:
 
 
 def strip_links(html: Column) -> Column:
-    """Anchors become their text; click handlers are removed."""
-    out = F.regexp_replace(html, r"(?is)<a\b[^>]*>(.*?)</a>", "$1")
-    out = F.regexp_replace(out, r"(?i)<a\b[^>]*>", "")
-    out = F.regexp_replace(out, r"(?i)</a>", "")
-    return F.regexp_replace(out, r"(?is)\s+onclick\s*=\s*(?:\"[^\"]*\"|'[^']*')", "")
+    """Text with anchors unwrapped and click handlers gone: the markup is cut into tags and text, and each tag is judged on its own."""
+    pieces = F.regexp_extract_all(html, F.lit(r"(?s)(<[^>]*>|[^<]+|<)"), F.lit(1))
+
+    def kept(piece: Column) -> Column:
+        handler = r"(?is)\s+onclick\s*=\s*(?:\"[^\"]*\"|'[^']*')"
+        return F.when(piece.startswith("<"), F.regexp_replace(piece, handler, "")).otherwise(piece)
+
+    anchor = lambda piece: piece.rlike(r"(?i)^</?a(?:[\s/>]|$)")
+    return F.array_join(F.transform(F.filter(pieces, lambda p: ~anchor(p)), kept), "")
 
 
 def _entries_to_map(entries: Column) -> Column:

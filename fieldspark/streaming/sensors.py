@@ -1,7 +1,12 @@
-"""Sensor readings as a stream: late records accepted for fifteen days, stored readings never corrected."""
+"""Sensor readings as a stream: a reading is stored once, whenever it comes, and never corrected.
+
+The result does not depend on how files fall into batches: each batch is deduplicated by key and compared with the stored days that it
+touches, so nothing rests on a watermark and no late reading is lost. ``late`` counts readings older than ``LATENESS`` days.
+"""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -20,9 +25,10 @@ def readings(spark: SparkSession, folder: str, schema: str = READINGS_SCHEMA, fi
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def deduplicated(stream: DataFrame) -> DataFrame:
-    """State holds the key only and is dropped once the watermark has passed."""
-    return stream.withWatermark("fecha_hora", LATENESS).dropDuplicatesWithinWatermark(SENSOR_KEYS)
+def late(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Incoming readings more than ``LATENESS`` older than the newest stored one: for a report, they are stored all the same."""
+    newest = stored.agg(F.max("fecha_hora")).scalar()
+    return incoming.filter(F.col("fecha_hora") < newest - F.expr(f"INTERVAL {LATENESS}"))
 
 
 def sink_once(target: str):
@@ -36,9 +42,11 @@ def sink_once(target: str):
         fresh = batch.withColumn("dia", F.to_date("fecha_hora"))
         order = [F.col("id_medicion")]
         try:
-            stored = spark.read.parquet(target)
-        except Exception:  # first batch: the table does not exist yet
-            stored = spark.createDataFrame([], fresh.schema)
+            stored = spark.read.schema(fresh.schema).parquet(target)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            stored = spark.createDataFrame([], fresh.schema)  # first batch: the table does not exist yet
         days = fresh.select("dia").distinct()
         near = stored.join(days, "dia", "left_semi")
         new_rows(near, fresh, SENSOR_KEYS, order).write.mode("append").partitionBy("dia").parquet(target)
@@ -48,8 +56,7 @@ def sink_once(target: str):
 
 def start(stream: DataFrame, target: str, checkpoint: str, once: bool = False) -> StreamingQuery:
     writer = (
-        deduplicated(stream)
-        .writeStream.foreachBatch(sink_once(target))
+        stream.writeStream.foreachBatch(sink_once(target))
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
     )
