@@ -258,10 +258,44 @@ def is_simple(ring: Column) -> Column:
     return let(edges(ring), test)
 
 
+def parse_wkt_parts(wkt: Column) -> Column:
+    """All parts of a WKT polygon or multipolygon, each with its outer ring and then its holes; null for other text."""
+    pattern = r"(?is)^\s*(MULTI)?POLYGON\s*Z?\s*(\(.*\))\s*$"
+    many = F.regexp_extract(wkt, pattern, 1) != ""
+    body = F.regexp_extract(wkt, pattern, 2)
+    inside = F.regexp_extract(F.when(many, body).otherwise(F.concat(F.lit("("), body, F.lit(")"))), r"(?s)^\s*\(\s*\(\s*\((.*)\)\s*\)\s*\)\s*$", 1)
+    rings = lambda part: F.transform(F.split(part, r"\)\s*,\s*\("), _pairs)
+    return F.when(inside != "", F.transform(F.split(inside, r"\)\s*\)\s*,\s*\(\s*\("), rings))
+
+
 def parse_wkt_ring(wkt: Column) -> Column:
-    """Outer ring of a WKT polygon (first part of a multipolygon), null for other text."""
-    outer = F.regexp_extract(wkt, r"(?i)^\s*(?:MULTI)?POLYGON\s*Z?\s*\(\s*\(\s*\(?([^()]*)\)", 1)
-    return _pairs(F.when(outer != "", outer))
+    """Outer ring of the first part: for text that is known to be one simple polygon. See ``parse_wkt_parts``."""
+    return F.get(F.get(parse_wkt_parts(wkt), F.lit(0)), F.lit(0))
+
+
+def parts_area(parts: Column) -> Column:
+    """Area of all parts without their holes."""
+
+    def net(part: Column) -> Column:
+        holes = F.transform(F.slice(part, 2, F.greatest(F.size(part) - 1, F.lit(0))), area)
+        return F.aggregate(holes, area(F.get(part, F.lit(0))), lambda total, hole: total - hole)
+
+    return F.aggregate(F.transform(parts, net), F.lit(0.0), lambda total, a: total + a)
+
+
+def parts_contain(parts: Column, x: Column, y: Column) -> Column:
+    """Whether a point lies in an outer ring and in none of its holes."""
+
+    def holds(part: Column) -> Column:
+        inner = F.slice(part, 2, F.greatest(F.size(part) - 1, F.lit(0)))
+        return contains_point(F.get(part, F.lit(0)), x, y) & ~F.exists(inner, lambda hole: contains_point(hole, x, y))
+
+    return F.exists(parts, holds)
+
+
+def parts_outline(parts: Column) -> Column:
+    """The points of all outer rings, for bounds."""
+    return F.flatten(F.transform(parts, lambda part: F.get(part, F.lit(0))))
 
 
 def parse_wkt_point(wkt: Column) -> Column:
@@ -278,14 +312,13 @@ def _pairs(text: Column) -> Column:
     )
 
 
-def parse_geojson_ring(text: Column) -> Column:
-    """Outer ring of a GeoJSON polygon (first part of a multipolygon)."""
+def parse_geojson_parts(text: Column) -> Column:
+    """All parts of a GeoJSON polygon or multipolygon, each with its outer ring and then its holes; null for other text."""
     single = F.from_json(text, "type string, coordinates array<array<array<double>>>")
     multi = F.from_json(text, "type string, coordinates array<array<array<array<double>>>>")
-    outer = F.when(single["type"] == "Polygon", single["coordinates"][0]).when(
-        multi["type"] == "MultiPolygon", multi["coordinates"][0][0]
-    )
-    return F.transform(outer, lambda p: point(p[0], p[1]))
+    parts = F.when(single["type"] == "Polygon", F.array(single["coordinates"])).when(multi["type"] == "MultiPolygon", multi["coordinates"])
+    ring = lambda r: F.transform(r, lambda p: point(F.get(p, F.lit(0)), F.get(p, F.lit(1))))
+    return F.transform(parts, lambda part: F.transform(part, ring))
 
 
 def ring_to_wkt(ring: Column) -> Column:

@@ -147,8 +147,11 @@ def _split_at(ring: np.ndarray, other: np.ndarray, eps: float) -> list[tuple[np.
     return out
 
 
-def _chain(edges: list[tuple[np.ndarray, np.ndarray]], eps: float) -> list[np.ndarray]:
-    """Rings from directed edges; at a branching vertex the sharpest left turn, which closes the smallest ring."""
+def _chain(edges: list[tuple[np.ndarray, np.ndarray]], eps: float, n_open: list[int] | None = None) -> list[np.ndarray]:
+    """Rings from directed edges; at a branching vertex the sharpest left turn, which closes the smallest ring.
+
+    Edges that close no ring are added up in ``n_open``.
+    """
 
     def key(p):
         return (round(p[0] / (eps * 10)), round(p[1] / (eps * 10)))
@@ -171,6 +174,8 @@ def _chain(edges: list[tuple[np.ndarray, np.ndarray]], eps: float) -> list[np.nd
             i = max(options, key=turn) if options else None
         if key(edges[path[-1]][1]) == key(edges[path[0]][0]) and len(path) >= 3:
             rings.append(_drop_collinear(np.array([edges[j][0] for j in path])))
+        elif n_open is not None:
+            n_open[0] += len(path)
     return rings
 
 
@@ -364,7 +369,9 @@ def dissolve_adjacent(pieces: DataFrame, key: str, name: str = "nombre", order:
     """Union of the adjacent, non-overlapping pieces of each key by cancelling shared borders.
 
     Whole shared edges cancel in a distributed aggregation; only the remaining border is chained, one key at a time.
-    ``status``: ``ok`` for one ring, ``needs_closing`` when the pieces leave a gap or touch only at points.
+    ``rings`` holds every ring of the result, outer ones anticlockwise and holes clockwise, the largest first (also as ``ring``); ``area``
+    is that of all pieces without the holes; ``n_open`` counts border edges that close no ring.
+    ``status``: ``ok`` for one ring, ``needs_closing`` when the pieces leave a gap, a hole or an open border, or touch only at points.
     """
     k = dict(pieces.dtypes)[key]
     labels = pieces.groupBy(key).agg(
@@ -394,19 +401,22 @@ def dissolve_adjacent(pieces: DataFrame, key: str, name: str = "nombre", order:
         a, b = pdf[["ax", "ay"]].to_numpy(float), pdf[["bx", "by"]].to_numpy(float)
         flip = pdf["_s"].to_numpy() < 0
         a, b = np.where(flip[:, None], b, a), np.where(flip[:, None], a, b)
-        rings = _chain(_cancel(a, b), 1e-10 * max(1.0, float(np.abs(a).max())))
-        best = max(rings, key=lambda r: abs(_area(r))) if rings else np.empty((0, 2))
+        n_open = [0]
+        rings = _chain(_cancel(a, b), 1e-10 * max(1.0, float(np.abs(a).max())), n_open)
+        rings.sort(key=lambda r: -abs(_area(r)))
         return pd.DataFrame(
             {
                 key: [pdf[key].iloc[0]],
-                "ring": [_as_ring(best)],
-                "area": [abs(_area(best))],
+                "ring": [_as_ring(rings[0] if rings else np.empty((0, 2)))],
+                "rings": [[_as_ring(r) for r in rings]],
+                "area": [abs(sum(_area(r) for r in rings))],
                 "n_rings": [len(rings)],
+                "n_open": [n_open[0]],
             }
         )
 
-    merged = left.groupBy(key).applyInPandas(chain, f"`{key}` {k}, ring {RING_SQL}, area double, n_rings int")
-    status = F.when((F.col("n_rings") == 1) & (F.col("area") >= 0.85 * F.col("area_sum")), "ok").otherwise("needs_closing")
+    merged = left.groupBy(key).applyInPandas(chain, f"`{key}` {k}, ring {RING_SQL}, rings array<{RING_SQL}>, area double, n_rings int, n_open int")
+    status = F.when((F.col("n_rings") == 1) & (F.col("n_open") == 0) & (F.col("area") >= 0.85 * F.col("area_sum")), "ok").otherwise("needs_closing")
     return labels.join(merged, key).withColumn("status", status)
 
 

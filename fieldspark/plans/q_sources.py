@@ -102,14 +102,22 @@ def read_latest_snapshot(t):
 
 
 def geometry_texts(t):
+    """Polygons with a hole and of two parts as well-known text, plain ones as JSON, points, and broken text."""
     k = F.col("id_recinto") % 6
+    w, h = F.col("w"), F.col("h")
+    inner = lambda wkt: F.regexp_extract(wkt, r"POLYGON\((.*)\)", 1)
+
+    def box(x0, y0, x1, y1):
+        corners = [(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)]
+        return F.concat(F.lit("("), F.concat_ws(", ", *[F.concat_ws(" ", a.cast("string"), b.cast("string")) for a, b in corners]), F.lit(")"))
+
     ring = F.col("ring")
     x, y = F.col("x0"), F.col("y0")
     num = lambda c: c.cast("string")
     dms = F.concat(F.floor(y / 10).cast("int").cast("string"), F.lit("°30'36\"N "), F.floor(x / 10).cast("int").cast("string"), F.lit("°15'0.0\"W"))
     text = (
-        F.when(k == 0, R.ring_to_wkt(ring))
-        .when(k == 1, F.concat(F.lit("MULTIPOLYGON(("), F.regexp_extract(R.ring_to_wkt(ring), r"POLYGON\((.*)\)", 1), F.lit("))")))
+        F.when(k == 0, F.concat(F.lit("POLYGON("), inner(R.ring_to_wkt(ring)), F.lit(","), box(x + w / 4, y + h / 4, x + w * 0.75, y + h * 0.75), F.lit(")")))
+        .when(k == 1, F.concat(F.lit("MULTIPOLYGON(("), inner(R.ring_to_wkt(ring)), F.lit("),("), box(x + w * 2, y, x + w * 3, y + h), F.lit("))")))
         .when(k == 2, F.to_json(R.ring_to_geojson(ring)))
         .when(k == 3, F.concat(F.lit("POINT("), num(x), F.lit(" "), num(y), F.lit(")")))
         .when(k == 4, dms)
@@ -122,12 +130,13 @@ def geometry_texts(t):
     "load_geometries",
     """SELECT id_recinto, CASE WHEN k < 3 THEN 'polygon' WHEN k < 5 THEN 'point' END AS kind,
       round(CASE WHEN k < 3 THEN x0 WHEN k = 3 THEN x0 WHEN k = 4 THEN -(floor(x0 / 10) + 0.25) END, 9) AS minx, round(CASE WHEN k < 4 THEN y0 WHEN k = 4 THEN floor(y0 / 10) + 0.51 END, 9) AS miny,
-      round(CASE WHEN k < 3 THEN x0 + w WHEN k = 3 THEN x0 WHEN k = 4 THEN -(floor(x0 / 10) + 0.25) END, 9) AS maxx, round(CASE WHEN k < 3 THEN y0 + h WHEN k = 3 THEN y0 WHEN k = 4 THEN floor(y0 / 10) + 0.51 END, 9) AS maxy
+      round(CASE WHEN k = 1 THEN x0 + 3 * w WHEN k < 3 THEN x0 + w WHEN k = 3 THEN x0 WHEN k = 4 THEN -(floor(x0 / 10) + 0.25) END, 9) AS maxx, round(CASE WHEN k < 3 THEN y0 + h WHEN k = 3 THEN y0 WHEN k = 4 THEN floor(y0 / 10) + 0.51 END, 9) AS maxy,
+      round(CASE k WHEN 0 THEN w * h * 0.75 WHEN 1 THEN 2 * w * h WHEN 2 THEN w * h END, 6) AS area
     FROM (SELECT *, id_recinto % 6 AS k FROM v_plot)""",
 )
 def load_geometries(t):
     out = landing.load_geometries(geometry_texts(t))
-    return out.select("id_recinto", "kind", *[fixed(c, 9).alias(c) for c in ("minx", "miny", "maxx", "maxy")])
+    return out.select("id_recinto", "kind", *[fixed(c, 9).alias(c) for c in ("minx", "miny", "maxx", "maxy")], fixed("area", 6).alias("area"))
 
 
 @query("load_geometries_rejects", "SELECT id_recinto FROM v_plot WHERE id_recinto % 6 = 5")

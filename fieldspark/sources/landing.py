@@ -59,10 +59,12 @@ def tile_grid(boxes: DataFrame, step: float) -> DataFrame:
 
 
 def load_geometries(raw: DataFrame, text: str = "geom") -> DataFrame:
-    """Ring, point and bounds from WKT, GeoJSON or degree/minute/second text; ``kind`` is null for unreadable rows."""
+    """Parts, area, point and bounds from WKT, GeoJSON or degree/minute/second text; ``kind`` is null for unreadable rows.
+
+    ``parts`` holds every part with its outer ring and holes, ``ring`` the outer ring where there is just one ring, else null.
+    """
     col = F.col(text)
-    wkt_ring = R.parse_wkt_ring(col)
-    json_ring = R.parse_geojson_ring(F.when(col.startswith("{"), col))
+    found = F.coalesce(R.parse_wkt_parts(col), R.parse_geojson_parts(F.when(col.startswith("{"), col)))
     wkt_point = R.parse_wkt_point(col)
     dms = r"^\s*(\d+)°(\d+)'([\d.]+)\"([NS])[ ,]+(\d+)°(\d+)'([\d.]+)\"([EWO])\s*$"
 
@@ -74,12 +76,15 @@ def load_geometries(raw: DataFrame, text: str = "geom") -> DataFrame:
         return R.dms_to_degrees(*numbers, part(i + 3))
 
     dms_point = F.when(part(1) != "", R.point(axis(5), axis(1)))
-    ring = F.coalesce(wkt_ring, json_ring)
-    ring = F.when((F.size(ring) >= 3) & ~F.exists(ring, lambda p: p["x"].isNull() | p["y"].isNull()), ring)
+    broken = lambda ring: (F.size(ring) < 3) | F.exists(ring, lambda p: p["x"].isNull() | p["y"].isNull())
+    whole = F.size("_found").cast("int") > 0
+    whole = whole & ~F.exists("_found", lambda part: (F.size(part) == 0) | F.exists(part, broken))
     point = F.coalesce(wkt_point, dms_point)
-    loaded = raw.withColumns({"ring": ring, "_p": point})
-    kind = F.when(F.col("ring").isNotNull(), "polygon").when(F.col("_p").isNotNull(), "point")
-    bounds = R.bounds(F.col("ring"))
+    loaded = raw.withColumns({"_found": found, "_p": point}).withColumn("parts", F.when(whole, F.col("_found"))).drop("_found")
+    one = (F.size("parts") == 1) & (F.size(F.get("parts", F.lit(0))) == 1)
+    loaded = loaded.withColumns({"ring": F.when(one, F.get(F.get("parts", F.lit(0)), F.lit(0))), "area": R.parts_area(F.col("parts"))})
+    kind = F.when(F.col("parts").isNotNull(), "polygon").when(F.col("_p").isNotNull(), "point")
+    bounds = R.bounds(R.parts_outline(F.col("parts")))
     return (
         loaded.withColumn("kind", kind)
         .withColumns({"x": F.col("_p.x"), "y": F.col("_p.y")})

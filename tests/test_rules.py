@@ -173,3 +173,28 @@ def test_legend_headers(spark):
 def test_interval_wraps(spark):
     got = one(spark, *[landing.interval_holds(F.lit(p), F.lit(h)) for p, h in (("0612", 6), ("0612", 12), ("2206", 3), ("1800", 2), ("06", 6))])
     assert list(got) == [True, False, True, True, False]
+
+
+def test_all_parts_and_holes(spark):
+    one = R.parse_wkt_parts(F.lit("POLYGON ((0 0, 10 0, 10 10, 0 10, 0 0), (2 2, 8 2, 8 8, 2 8, 2 2))"))
+    two = R.parse_wkt_parts(F.lit("MULTIPOLYGON(((0 0,4 0,4 4,0 4,0 0),(1 1,2 1,2 2,1 2,1 1)),((10 0,12 0,12 2,10 2,10 0)))"))
+    json = R.parse_geojson_parts(F.lit('{"type": "MultiPolygon", "coordinates": [[[[0,0],[4,0],[4,4],[0,4],[0,0]]],[[[10,0],[12,0],[12,2],[10,2],[10,0]]]]}'))
+    row = spark.range(1).select(
+        R.parts_area(one), R.parts_area(two), R.parts_area(json), F.size(two), F.size(two[0]),
+        R.parts_contain(one, F.lit(5.0), F.lit(5.0)), R.parts_contain(one, F.lit(1.0), F.lit(5.0)), R.parts_contain(two, F.lit(11.0), F.lit(1.0)),
+        R.parse_wkt_parts(F.lit("POINT(1 2)")),
+    ).first()
+    assert tuple(row) == (64.0, 19.0, 20.0, 2, 2, False, True, True, None)
+
+
+def test_dissolve_keeps_holes_and_pieces(spark):
+    from fieldspark.operators import polygons as G
+
+    box = lambda x0, y0, x1, y1: [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
+    around = [box(0, 0, 3, 1), box(2, 1, 3, 3), box(0, 2, 2, 3), box(0, 1, 1, 2)]
+    apart = [box(0, 0, 1, 1), box(5, 5, 7, 7)]
+    rows = [(k, i, f"P{i}", [(float(x), float(y)) for x, y in r]) for k, v in ((1, around), (2, apart)) for i, r in enumerate(v)]
+    pieces = spark.createDataFrame(rows, "k int, pos int, nombre string, ring array<struct<x:double,y:double>>")
+    got = {r["k"]: r for r in G.dissolve_adjacent(pieces, "k").collect()}
+    assert got[1]["area"] == pytest.approx(8.0) and got[1]["n_rings"] == 2 and len(got[1]["rings"]) == 2 and got[1]["status"] == "needs_closing"
+    assert got[2]["area"] == pytest.approx(5.0) and got[2]["n_rings"] == 2 and got[2]["n_open"] == 0
