@@ -395,7 +395,8 @@ def rectangle_of(t):
     grid = t.v_pixel.select("tile").distinct()
     full = grid.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(63)))).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(63))))
     # strict classes and sparse scenes leave holes
-    shown = mosaic(t).filter("n_obs >= 2").select("tile", F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), "ndvi")
+    value = F.when(F.col("n_obs") >= 2, F.col("ndvi")).alias("ndvi")
+    shown = mosaic(t).select("tile", F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), value)
     return full.join(shown, ["tile", "r", "c"], "left")
 
 
@@ -404,7 +405,19 @@ def fill_gaps(t):
     return RA.fill_gaps(rectangle_of(t)).withColumn("ndvi", fixed("ndvi", 6))
 
 
-@query("fill_mean_smooth")
+@query(
+    "fill_mean_smooth",
+    f"""WITH {_PX}, {_MOSAIC}, g AS (SELECT tile, a.r, b.c FROM (SELECT DISTINCT tile FROM v_pixel), range(64) a(r), range(64) b(c)),
+    f AS (SELECT g.tile, g.r, g.c, CASE WHEN n_obs >= 2 THEN ndvi END AS v FROM g LEFT JOIN mo ON mo.tile = g.tile AND mo.r = g.r AND mo.c = g.c),
+    s AS (SELECT tile, avg(v) AS m, 100.0 * count(v) / count(*) AS pct, count(v) < count(*) AS gaps FROM f GROUP BY 1),
+    u AS (SELECT f.tile, r, c, coalesce(v, m) AS v, gaps FROM f JOIN s ON s.tile = f.tile WHERE pct >= 5),
+    k AS (SELECT d, exp(-0.5 * d * d) / sum(exp(-0.5 * d * d)) OVER () AS w FROM range(-4, 5) o(d)),
+    h AS (SELECT u.tile, u.r, u.c, sum(n.v * w) AS v FROM u, k JOIN u AS n ON n.tile = u.tile AND n.r = u.r
+      AND n.c = CASE WHEN u.c + d < 0 THEN -1 - u.c - d WHEN u.c + d > 63 THEN 127 - u.c - d ELSE u.c + d END WHERE u.gaps GROUP BY 1, 2, 3),
+    z AS (SELECT h.tile, h.r, h.c, sum(n.v * w) AS v FROM h, k JOIN h AS n ON n.tile = h.tile AND n.c = h.c
+      AND n.r = CASE WHEN h.r + d < 0 THEN -1 - h.r - d WHEN h.r + d > 63 THEN 127 - h.r - d ELSE h.r + d END GROUP BY 1, 2, 3)
+    SELECT tile, CAST(r AS INT) AS r, CAST(c AS INT) AS c, round(v, 6) AS v FROM (SELECT * FROM z UNION ALL SELECT tile, r, c, v FROM u WHERE NOT gaps)""",
+)
 def fill_mean_smooth(t):
     return RA.fill_mean_smooth(rectangle_of(t), ["tile"]).withColumn("v", fixed("v", 6))
 
@@ -433,7 +446,16 @@ def regrid_nearest(t):
     return RA.regrid(m, regrid_targets(m), "n_obs", ["tile", "tr", "tc"], method="nearest")
 
 
-@query("vegetation_index")
+@query(
+    "vegetation_index",
+    f"""WITH {_PX}, bm AS ({_buffer_sql("scl IN (8, 9, 10)", 1)}),
+    nm AS (SELECT px.*, CASE WHEN NOT (masked OR {_BAD}) AND nn + rr <> 0 THEN (nn - rr) / (nn + rr) END AS ndvi FROM px JOIN bm ON bm.scene = px.scene AND bm.tile = px.tile AND bm.r = px.r AND bm.c = px.c),
+    mo AS (SELECT tile, r, c, sum(w * ndvi) / sum(w) AS ndvi FROM (SELECT *, {_weight_sql(S.MOSAIC_WEIGHTS)} AS w FROM nm WHERE ndvi IS NOT NULL) GROUP BY 1, 2, 3), {_CENTRE},
+    fresh AS (SELECT p.id_recinto, DATE '2024-06-20' AS fecha_ndvi, round(avg(ndvi), 4) AS valor_medio, round(min(ndvi), 4) AS valor_min, round(max(ndvi), 4) AS valor_max
+      FROM v_plot p JOIN m ON m.x > p.x0 AND m.x < p.x0 + p.w AND m.y > p.y0 AND m.y < p.y0 + p.h WHERE ndvi IS NOT NULL GROUP BY 1),
+    old AS (SELECT id_recinto, fecha_ndvi, max(valor_medio) AS valor_medio, max(valor_min) AS valor_min, max(valor_max) AS valor_max FROM v_ndvi GROUP BY 1, 2)
+    SELECT * FROM fresh UNION ALL SELECT * FROM old WHERE NOT EXISTS (SELECT 1 FROM fresh f WHERE f.id_recinto = old.id_recinto AND f.fecha_ndvi = old.fecha_ndvi)""",
+)
 def vegetation_index(t):
     """Pixels to one index record per plot: clean, mask with a buffer, mosaic, zones, upsert into the stored series."""
     from fieldspark.operators import merge as M
