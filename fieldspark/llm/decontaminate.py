@@ -71,7 +71,7 @@ def compile_patterns(items: list[tuple[str | None, str]], window: int = WINDOW,
     by_length: dict[int, dict[bytes, tuple[int, set[int]]]] = {}
     for i in range(len(items)):
         lo, hi = found.row_at[i], found.row_at[i + 1]
-        length = min(window, hi - lo)
+        length = int(min(window, hi - lo))
         for s in range(lo, hi - length + 1) if length else ():
             by_length.setdefault(length, {}).setdefault(hashes[s : s + length].tobytes(), (s, set()))[1].add(i)
     out = []

@@ -115,9 +115,9 @@ def apply_mix(keyed: DataFrame, plan: DataFrame, id_col: str = "doc_id") -> Data
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: the documents' columns, each row as often as the mix takes it."""
-    keyed = with_keys(docs)
+    keyed = with_keys(docs.select(F.struct("*").alias("_row"), "doc_id", "text", "source"))
     taken = apply_mix(keyed, plan_mix(keyed, **options)).where("copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+    return taken.withColumn("_nth", F.explode(F.sequence(F.lit(1), "copies"))).select("_row.*")
 
 
 ORACLE = r"""

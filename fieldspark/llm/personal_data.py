@@ -117,21 +117,11 @@ SHAPES = [
     ("plain", re.compile(r"[0-9]+")),
     ("date", re.compile(r"[0-9]{1,4}([-./])[0-9]{1,2}\1[0-9]{1,4}")),
 ]
-FEATURES: dict[str, int] = {}
-BIAS = FEATURES.setdefault("bias", 0)
-
-
-def _feature(name: str, grow: bool) -> int:
-    if grow:
-        return FEATURES.setdefault(name, len(FEATURES))
-    return FEATURES.get(name, BIAS)
-
-
 def _bucket(n: int) -> str:
     return str(n) if n <= 4 else "5-6" if n <= 6 else "7-8" if n <= 8 else str(n) if n <= 16 else "17-19" if n <= 19 else "more"
 
 
-def segment_features(text: str, tokens: list, i: int, j: int, cue: str, grow: bool = False) -> list[int]:
+def segment_features(text: str, tokens: list, i: int, j: int, cue: str) -> tuple[str, ...]:
     """Features of the span of tokens i to j (exclusive)."""
     start, end = tokens[i][0], tokens[j - 1][1]
     s = text[start:end]
@@ -146,15 +136,14 @@ def segment_features(text: str, tokens: list, i: int, j: int, cue: str, grow: bo
         check = "small" if small_parts(s) else "large"
     elif 12 <= len(d) <= 19 and len(d) + s.count(" ") + s.count("-") + s.count(".") == len(s):
         check = "luhn" if luhn(d) else "no luhn"
-    names = ("bias", f"shape {shape}", f"digits {_bucket(len(d))}", f"check {check}", f"left {dirty_left}", f"right {dirty_right}",
+    return ("bias", f"shape {shape}", f"digits {_bucket(len(d))}", f"check {check}", f"left {dirty_left}", f"right {dirty_right}",
              f"cue {cue}", f"shape {shape} cue {cue}", f"shape {shape} check {check}", f"plus {s[0] == '+'}", f"end {s[-1].isalnum()}",
              f"begin {s[0].isalnum() or s[0] in '+('}", f"spaces {min(3, s.count(' '))}", f"tokens {min(12, j - i)}",
              f"letters {any(c.isalpha() for c in s)}")
-    return [_feature(n, grow) for n in names]
 
 
-def candidate_segments(text: str, tokens: list, grow: bool = False):
-    """(i, j, features) of all segments that may be an entity: they hold a digit, an @ or the word at, and no line break."""
+def candidate_segments(text: str, tokens: list, names: dict[str, int], grow: bool = False):
+    """(i, j, feature numbers) of all segments that may be an entity: they hold a digit, an @ or the word at, and no line break."""
     flags = [bool(MARK.search(text[a:b])) for a, b in tokens]
     upto = np.concatenate(([0], np.cumsum(flags)))
     blank = [text[a].isspace() for a, _ in tokens]
@@ -175,14 +164,17 @@ def candidate_segments(text: str, tokens: list, grow: bool = False):
                 break
             if blank[j - 1] or upto[j] == upto[i] or not text[tokens[j - 1][1] - 1].isalnum():
                 continue
-            yield i, j, segment_features(text, tokens, i, j, cues[i], grow)
+            found = segment_features(text, tokens, i, j, cues[i])
+            # a feature that training never saw counts like the bias
+            yield i, j, [names.setdefault(f, len(names)) if grow else names.get(f, 0) for f in found]
 
 
 class Field:
     """Weights of kinds by feature, and of tokens outside (with a mark or without)."""
 
-    def __init__(self, n: int):
-        self.weights = np.zeros((len(KINDS), n))
+    def __init__(self, names: dict[str, int]):
+        self.names = names
+        self.weights = np.zeros((len(KINDS), len(names)))
         self.outside = np.zeros(2)
 
     def scores(self, segments) -> np.ndarray:
@@ -193,7 +185,7 @@ class Field:
 
     def best(self, text: str, tokens: list) -> list[tuple[int, int, int]]:
         """(start, kind number, end) of the best segmentation of a window."""
-        segments = list(candidate_segments(text, tokens))
+        segments = list(candidate_segments(text, tokens, self.names))
         if not segments:
             return []
         scores = self.scores(segments)
@@ -316,12 +308,12 @@ def sentence(rng: random.Random) -> tuple[str, set]:
 def train(n: int = TRAINING, epochs: int = EPOCHS, seed: int = SEED) -> Field:
     """Maximum likelihood with adaptive steps and a small quadratic penalty."""
     rng = random.Random(seed)
-    examples = []
+    examples, names = [], {"bias": 0}
     for _ in range(n):
         text, gold = sentence(rng)
         for tokens in windows(text):
-            examples.append((text, tokens, list(candidate_segments(text, tokens, grow=True)), gold))
-    field = Field(len(FEATURES))
+            examples.append((text, tokens, list(candidate_segments(text, tokens, names, grow=True)), gold))
+    field = Field(names)
     field.outside[:] = 1.0, 0.5
     sums, sums_outside = np.full(field.weights.shape, 1e-2), np.full(2, 1e-2)
     for _ in range(epochs):
@@ -357,12 +349,10 @@ _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end
 
 def find_personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with base_spans (exact patterns) and all_spans (with those of the field), by start, then kind as listed."""
-    field = train()
-    shared = docs.sparkSession.sparkContext.broadcast((field, dict(FEATURES)))
+    shared = docs.sparkSession.sparkContext.broadcast(train())
 
     def scan(column):
-        field, names = shared.value
-        FEATURES.update(names)
+        field = shared.value
         raw, at = text_buffers(column)
         marks = np.concatenate(([0], np.cumsum(((raw >= 48) & (raw <= 57)) | (raw == 64))))
         rows = marks[at[1:]] > marks[at[:-1]]  # without a digit or an @ there is nothing to find
