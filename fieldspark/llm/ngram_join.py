@@ -45,11 +45,11 @@ HEAD = 16
 #: Bits of a class's parity bitmap: two bitmaps differ in no more bits than their sets in shingles.
 PARITY_BITS = 1024
 #: Partners of one leader at most, and rounds with leaders before all remaining pairs are taken.
-PART, ROUNDS = 1024, 2
+PART, ROUNDS = 1024, 1
 #: Copies of rows of the class table, so that a class of very many copies is dealt over several tasks.
 SALTS = 8
-#: Bits of the fixed-size filter (8 MB) that spares a pass over the texts the rows of other classes.
-FILTER_BITS = 1 << 26
+#: Bits of the fixed-size filter (2 MB) that spares a pass over the texts the rows of other classes.
+FILTER_BITS = 1 << 24
 BUCKET_BITS = 8 * 4096
 
 
