@@ -102,10 +102,3 @@ def prediction_outcomes(features: DataFrame, models: DataFrame) -> DataFrame:
         .groupBy(outcome.alias("resultado"))
         .agg(F.count(F.lit(1)).alias("cultivos"), F.sum("n").alias("filas"))
     )
-
-
-def day_columns() -> list[str]:
-    return list(OUTPUTS)
-
-
-__all__ = ["train_per_crop", "predict_per_crop", "prediction_outcomes", "day_columns", "lag_names"]

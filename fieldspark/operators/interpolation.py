@@ -268,18 +268,18 @@ def idw_adaptive(
     stations = values.select(station_key, "x", "y")
     near = nearest_stations(targets, stations, target_key, station_key, reach, listed)
     groups = values.agg(F.array_sort(F.collect_set(keys))).scalar()
-    by_group = values.groupBy(F.col(station_key).alias("id"), *group).agg(F.first(F.col("valor").cast("double")).alias("v"))
+    by_group = values.groupBy(F.col(station_key).alias("_id"), *group).agg(F.first(F.col("valor").cast("double")).alias("v"))
     by_station = (
-        by_group.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct(keys.alias("g"), "v"))).alias("_m"))
+        by_group.groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct(keys.alias("g"), "v"))).alias("_m"))
         .withColumn("_groups", groups)
-        .select("id", F.transform("_groups", lambda g: F.try_element_at("_m", g)).alias("vs"))
+        .select("_id", F.transform("_groups", lambda g: F.try_element_at("_m", g)).alias("vs"))
     )
     listed_values = (
         near.select(target_key, F.explode("near").alias("s"))
-        .select(target_key, F.col("s.d").alias("d"), F.col("s.id").alias("id"))
-        .join(by_station, "id")
+        .select(target_key, F.col("s.d").alias("_d"), F.col("s.id").alias("_id"))
+        .join(by_station, "_id")
         .groupBy(target_key)
-        .agg(F.sort_array(F.collect_list(F.struct("d", "id", "vs"))).alias("_list"))
+        .agg(F.sort_array(F.collect_list(F.struct(F.col("_d").alias("d"), F.col("_id").alias("id"), "vs"))).alias("_list"))
     )
 
     def along(i: Column) -> Column:
@@ -294,10 +294,10 @@ def idw_adaptive(
     every = (
         _meet_stations(targets.join(short, target_key, "left_semi"), _placed_stations(stations, station_key, reach), target_key, reach)
         .select(target_key, F.explode(_within(reach)).alias("s"))
-        .select(target_key, F.col("s.d").alias("d"), F.col("s.id").alias("id"))
-        .join(by_group, "id")
+        .select(target_key, F.col("s.d").alias("_d"), F.col("s.id").alias("_id"))
+        .join(by_group, "_id")
         .groupBy(target_key, *group)
-        .agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "id", "v"))), 1, max_n).alias("_every"))
+        .agg(F.slice(F.sort_array(F.collect_list(F.struct(F.col("_d").alias("d"), F.col("_id").alias("id"), "v"))), 1, max_n).alias("_every"))
     )
     out = first.join(every, [target_key, *group], "left")
     return out.select(target_key, *group, _idw_of(F.coalesce("_every", "_near"), power, radii, min_n).alias("valor"))

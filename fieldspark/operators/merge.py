@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from fieldspark.session import number_rows
 
 
-def dedup_keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """First row per key (the key columns that exist); the limit also runs before the shuffle."""
-    present = [k for k in keys if k in df.columns]
+def dedup_keep_first(df: DataFrame, keys: list[str], order: list[Column], allow_missing: bool = False) -> DataFrame:
+    """First row per key; the limit also runs before the shuffle. ``allow_missing`` goes by the key columns that exist."""
+    present = [k for k in keys if k in df.columns] if allow_missing else keys
     w = Window.partitionBy(*present).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 

@@ -378,6 +378,7 @@ def _fill_block(grid: np.ndarray, known: np.ndarray, max_gap: int) -> np.ndarray
         if sizes[gap] > max_gap:
             continue
         cells = np.stack(np.unravel_index(order[starts[gap] : starts[gap + 1]], grid.shape), axis=1)
+        # fixed values: how far around a gap of n pixels its border is read
         ring = _ring_around(grid, cells, min(5, max(2, int(math.sqrt(sizes[gap]) / 2))))
         if len(ring) == 0:
             continue

@@ -199,7 +199,7 @@ def distinct_products_by_use(t):
     """SELECT p_name, p_brand, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_name, p_brand ORDER BY p_partkey) AS rn FROM part) WHERE rn = 1""",
 )
 def dedup_keep_first(t):
-    return M.dedup_keep_first(t.part, ["p_name", "p_brand", "no_such_column"], [F.col("p_partkey")]).select("p_name", "p_brand", "p_partkey")
+    return M.dedup_keep_first(t.part, ["p_name", "p_brand", "no_such_column"], [F.col("p_partkey")], allow_missing=True).select("p_name", "p_brand", "p_partkey")
 
 
 @query(
