@@ -253,21 +253,22 @@ def open_buckets(keyed: DataFrame, groups: DataFrame | None) -> DataFrame:
 def all_pairs(buckets: DataFrame, heads: DataFrame) -> DataFrame:
     """All pairs of classes of different groups in a bucket that their counts allow.
 
-    ``buckets``: key, token (the first one of a combination), place (of the last one), node, n, own, group. A pair meets in many buckets.
-    If the heads of both have common shingles, only buckets of the first of those count. Else, a bucket counts only if it may be
+    ``buckets``: key, token, second (of a combination, else null), place (of the last one), node, n, own, group. A pair meets in many buckets.
+    If the heads of both have common shingles, only the bucket of the first of those (or the first two) counts. Else, a bucket counts only if it may be
     the first common one: all shingles before it then belong to one side, and they and the own ones must fit into the difference.
     Parity bitmaps bound the difference of whole sets; few pairs that do not link pass them.
     """
     rows = buckets.join(heads, "node")
-    side = lambda x: rows.select("key", "token", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "own", "group", "place", "head", "bits")])
+    side = lambda x: rows.select("key", "token", "second", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "own", "group", "place", "head", "bits")])
     both = F.array_intersect("head_a", "head_b")
+    here = (F.get(both, F.lit(0)) == F.col("token")) & (F.col("second").isNull() | (F.size(both) < 2) | (F.get(both, F.lit(1)) == F.col("second")))
     differ = (F.col("own_a") + F.col("own_b") + F.col("place_a") + F.col("place_b") - 4) * (100 + PERCENT) <= (F.col("n_a") + F.col("n_b")) * (100 - PERCENT)
-    met = side("a").join(side("b").drop("token"), "key").where(
+    met = side("a").join(side("b").drop("token", "second"), "key").where(
         (F.col("node_a") < F.col("node_b"))
         & (F.col("group_a") != F.col("group_b"))
         & _may_link("n_a", "own_a", "n_b", "own_b")
         & _near_bits("bits_a", "bits_b", "n_a", "n_b")
-        & F.when(F.arrays_overlap("head_a", "head_b"), F.get(both, F.lit(0)) == F.col("token")).otherwise(differ)
+        & F.when(F.arrays_overlap("head_a", "head_b"), here).otherwise(differ)
     )
     return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
@@ -276,14 +277,14 @@ def combined(ranked: DataFrame, frequent: DataFrame) -> DataFrame:
     """Frequent shingles of the prefix, each with every later one up to one place further: key, node, n, own."""
     first = ranked.where("place <= short").join(frequent, "token").select("node", F.col("token").alias("first"), F.col("place").alias("p"))
     pairs = first.join(ranked, "node").where("place > p")
-    return pairs.select(F.xxhash64("first", "token").alias("key"), F.col("first").alias("token"), "place", "node", "n", "own")
+    return pairs.select(F.xxhash64("first", "token").alias("key"), F.col("first").alias("token"), F.col("token").alias("second"), "place", "node", "n", "own")
 
 
 def class_groups(docs: DataFrame, text: str, rows: DataFrame) -> DataFrame:
     """(node, component): classes that link directly or through others, only those with links."""
     texts = texts_of(docs, text, possible_nodes(rows))
     ranked = common_shingles(texts)
-    keyed = ranked.where("place <= short").select(F.col("token").alias("key"), "token", "place", "node", "n", "own")
+    keyed = ranked.where("place <= short").select(F.col("token").alias("key"), "token", F.lit(None).cast("long").alias("second"), "place", "node", "n", "own")
     buckets = stored(open_buckets(keyed, None), "buckets")
     links = seen = groups = None
     for turn in range(ROUNDS):
