@@ -322,11 +322,35 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
 
 
 def first_of_groups(docs: DataFrame) -> DataFrame:
-    """The documents without near copies: of each group the one with the smallest id stays, and documents without an id or words."""
-    groups = jaccard_groups(docs.select("doc_id", "text"))
-    drop = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
-    return kept
+    """One row of each group stays: the one with the smallest id. Rows without words stay.
+
+    Rows are told apart by two hashes over all their columns, so an id may have several texts; rows equal in all columns stay once. A row
+    without an id cannot be named as the copy of another: of those in a group one stays besides the one with an id.
+    """
+    row, key = [F.col(c) for c in docs.columns], ["_k1", "_k2"]
+    empty = [c.isNull() for c in row]
+    keyed = docs.withColumns({"_k1": F.xxhash64(*row, *empty), "_k2": F.xxhash64(*empty, *reversed(row))})
+    shown = with_columns(keyed.select("doc_id", *key, F.col("text").alias("_text")), "_text", SHOWN, _shown)
+    rows = stored(shown.drop("_text").withColumn("no_id", F.col("doc_id").isNull()), "rows")
+    groups = class_groups(docs, "text", rows).withColumnRenamed("node", "_n")
+    place = F.struct("doc_id", *key)
+    kinds = rows.where("n_shingles > 0").groupBy("node", "no_id", "doc_id", *key).agg(F.count("*").alias("copies"))
+    classes = kinds.groupBy("node", "no_id").agg(F.min(place).alias("first"), F.count("*").alias("kinds"))
+    named = classes.join(groups, F.col("node") == F.col("_n"), "left").withColumn("group", F.coalesce("component", "node"))
+    smallest = named.groupBy("group", "no_id").agg(F.min("first").alias("stays"), F.sum("kinds").alias("of_group"))
+    special = named.join(smallest, ["group", "no_id"]).where("of_group > 1").select("node", "no_id", "stays")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    own = kinds.withColumn("_salt", F.pmod(F.xxhash64("_k1"), F.lit(SALTS)).cast("int"))
+    told = own.join(special.withColumn("_salt", salts), ["node", "no_id", "_salt"], "left")
+    keep = F.col("stays").isNull() | place.eqNullSafe(F.col("stays"))
+    marks = stored(told.select(*key, "copies", keep.alias("keep")).where("not keep or copies > 1"), "marks")
+    dealt = marks.withColumn("_salt", salts)
+    salted = keyed.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    kept = salted.join(dealt, [*key, "_salt"], "left_anti").select(*docs.columns)
+    if marks.where("keep").isEmpty():
+        return kept
+    repeated = salted.join(dealt.where("keep"), [*key, "_salt"], "left_semi")
+    return kept.union(repeated.groupBy(*key).agg(F.first(F.struct(*docs.columns)).alias("_row")).select("_row.*"))
 
 
 ORACLE = r"""
