@@ -1,9 +1,10 @@
 """Personal data: exact patterns, and a semi-Markov conditional random field for what they miss.
 
-The field works on windows of tokens around digits and @ signs. Every stretch of up to ``MAX_TOKENS`` tokens is a candidate segment; features of
+The field works on windows of tokens around marks: digits, @ signs and the word at. Every stretch of up to ``MAX_TOKENS`` tokens is a candidate
+segment, and every longer one of an open-ended shape (``LONG``); features of
 the whole span (its shape, digit groups, checks such as Luhn's, neighbours and the word before) score it for each kind, and tokens outside
 any segment have their own score. A dynamic program over the window finds the best segmentation, so boundaries and kinds are chosen together;
-an entity has ``MAX_TOKENS`` tokens at most, so the work is linear in the text. The field is trained here, by maximum likelihood on sentences
+longer stretches are the matches of ``LONG``, which do not overlap, so the work is linear in the text. The field is trained here, by maximum likelihood on sentences
 from a seeded generator (``TRAINING`` of them): forward-backward over segments gives the gradient.
 
 Exact spans always stay; found spans are added where they touch none of them. Offsets are code points, end exclusive.
@@ -20,6 +21,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,7 +33,7 @@ from fieldspark.llm.words import text_buffers, with_columns
 #: In the order in which spans of one start are listed.
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 14
-#: Tokens between two marks (digits, @) of one window, and tokens around them.
+#: Tokens between two marks (digits, @, at) of one window, and tokens around them.
 GAP, MARGIN = 3, 2
 TRAINING, EPOCHS, SEED = 260, 18, 11
 
@@ -77,29 +79,40 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 # --- windows and candidate segments ---------------------------------------------------------------------------------------------
 
 TOKEN = re.compile(r"[^\W_]+|_|[^\w\s]|\s")
-HAS_DIGIT = re.compile(r"[0-9@]")
 MARK = re.compile(r"[0-9@]|(?i:\bat\b)")
+#: Spelled addresses and international numbers of any length; linear, as runs are passed over in one step.
+LONG = re.compile(
+    r"(?<![\w.-])[.-]*+(?P<spelled>\w[\w.-]*+ ?[\[( ]at[\]) ] ?[\w-]++(?: ?[\[( ]dot[\]) ] ?\w++|\.\w++)++)"
+    r"|(?<!\w)(?P<number>(?:\+|00)[0-9]{1,3}(?:[ .()-]++[0-9]++)++)", re.I)
 
 
 def windows(text: str):
-    """Lists of (start, end) of tokens: stretches around digits and @ signs."""
+    """Lists of (start, end) of tokens: stretches around marks, with the whole of a long shape that they touch."""
     stretch_end = -1
     spans = []
-    for m in HAS_DIGIT.finditer(text):
+    for m in MARK.finditer(text):
         if m.start() < stretch_end:
             continue
         lo, hi = max(0, m.start() - 48), m.end()
         # on to the last mark that is near the one before
         while True:
-            nxt = HAS_DIGIT.search(text, hi, hi + 24)
+            nxt = MARK.search(text, hi, hi + 24)
             if not nxt:
                 break
             hi = nxt.end()
         stretch_end = hi
         spans.append((lo, min(len(text), hi + 48), hi))
+    shapes = [m.span(m.lastgroup) for m in LONG.finditer(text)] if spans else []
+    at = 0
     for lo, upto, last in spans:
         while lo > 0 and not text[lo].isspace() and lo > upto - 4096:
             lo -= 1
+        while at < len(shapes) and shapes[at][1] <= lo:
+            at += 1
+        k = at
+        while k < len(shapes) and shapes[k][0] < last:
+            lo, upto = min(lo, shapes[k][0]), max(upto, shapes[k][1])
+            k += 1
         yield [(lo + m.start(), lo + m.end()) for m in TOKEN.finditer(text[lo:upto])]
 
 
@@ -143,7 +156,7 @@ def segment_features(text: str, tokens: list, i: int, j: int, cue: str) -> tuple
 
 
 def candidate_segments(text: str, tokens: list, names: dict[str, int], grow: bool = False):
-    """(i, j, feature numbers) of all segments that may be an entity: they hold a digit, an @ or the word at, and no line break."""
+    """(i, j, feature numbers) of all segments that may be an entity: they hold a digit, an @ or the word at, and no line break; long shapes last."""
     flags = [bool(MARK.search(text[a:b])) for a, b in tokens]
     upto = np.concatenate(([0], np.cumsum(flags)))
     blank = [text[a].isspace() for a, _ in tokens]
@@ -167,6 +180,14 @@ def candidate_segments(text: str, tokens: list, names: dict[str, int], grow: boo
             found = segment_features(text, tokens, i, j, cues[i])
             # a feature that training never saw counts like the bias
             yield i, j, [names.setdefault(f, len(names)) if grow else names.get(f, 0) for f in found]
+    if len(tokens) <= MAX_TOKENS:
+        return
+    starts, ends = {a: i for i, (a, _) in enumerate(tokens)}, {b: j for j, (_, b) in enumerate(tokens, 1)}
+    for m in LONG.finditer(text, tokens[0][0], tokens[-1][1]):
+        i, j = starts.get(m.start(m.lastgroup), -1), ends.get(m.end(), -1)
+        if i >= 0 and j > i + MAX_TOKENS:
+            found = segment_features(text, tokens, i, j, cues[i])
+            yield i, j, [names.setdefault(f, len(names)) if grow else names.get(f, 0) for f in found]
 
 
 class Field:
@@ -271,6 +292,7 @@ def sentence(rng: random.Random) -> tuple[str, set]:
     entity = [
         (0, lambda: f"{word()}.{num(2)}@{word()}.{word()}.com"), (0, lambda: f"{word()}@{word()}.org"),
         (0, lambda: f"{word()} at {word()} dot com"), (0, lambda: f"{word()}.{word()} [at] {word()}.org"),
+        (0, lambda: f"{word()}.{word()} [at] {word()} [dot] com"), (0, lambda: f"{word()} (at) {word()} (dot) {word()} (dot) org"),
         (1, lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4))),
         (2, lambda: _luhn_number(rng, 16, True)), (2, lambda: (s := _luhn_number(rng, 16, True)) and " ".join(s[k : k + 4] for k in range(0, 16, 4))),
         (2, lambda: (s := _luhn_number(rng, 16, True)) and ".".join(s[k : k + 4] for k in range(0, 16, 4))),
@@ -355,7 +377,8 @@ def find_personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
         field = shared.value
         raw, at = text_buffers(column)
         marks = np.concatenate(([0], np.cumsum(((raw >= 48) & (raw <= 57)) | (raw == 64))))
-        rows = marks[at[1:]] > marks[at[:-1]]  # without a digit or an @ there is nothing to find
+        rows = marks[at[1:]] > marks[at[:-1]]  # without a digit, an @ or the word at there is nothing to find
+        rows |= pc.fill_null(pc.match_substring_regex(column, r"(?i)\bat\b"), False).to_numpy(zero_copy_only=False)
         base, every = [[] for _ in rows], [[] for _ in rows]
         for r in np.flatnonzero(rows):
             base[r], every[r] = ([(KINDS[k], s, e) for s, k, e in spans] for spans in all_spans(column[int(r)].as_py(), field))

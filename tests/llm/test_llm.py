@@ -287,6 +287,17 @@ def test_personal_data_rows(spark):
     assert pii.find_personal_data(docs.limit(0)).count() == 0
 
 
+def test_spelled_addresses_without_digits(spark):
+    spelled = ["john at example dot com", "john.doe [at] example [dot] com", "john.doe [at] example [dot] co [dot] uk",
+               "anna (at) " + "longname" * 9 + " (dot) mail (dot) org"]
+    texts = [f"please write to {s} soon" for s in spelled] + ["we met at noon and sat at home", "a flat matter"]
+    rows = pii.find_personal_data(documents(spark, [(k, t, "s") for k, t in enumerate(texts)])).collect()
+    got = {r["doc_id"]: [tuple(s) for s in r["all_spans"]] for r in rows}
+    assert got == {k: [("email", 16, 16 + len(s))] for k, s in enumerate(spelled)} | {4: [], 5: []}
+    for t in ["a" * 50_000 + " at ", "00" + "1 " * 20_000, "x at y " * 3_000]:
+        pii.LONG.findall(t)  # linear
+
+
 # --- 6 ---------------------------------------------------------------------------------------------------------------------------
 
 
