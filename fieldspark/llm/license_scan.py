@@ -1,7 +1,8 @@
 """License scan: exact containment join of text blocks with license templates.
 
 A block is a stretch of up to ``BLOCK`` words of a line, the next one beginning ``STEP`` words later, so every place of up to ``STEP``
-words lies whole in a block, and long lines are read to their end. A block matches a template when it holds at least ``THRESHOLD`` of
+words lies whole in a block, and long lines are read to their end. With ``across_lines``, as in the query, the words of the whole text are
+cut into blocks too, so a hard-wrapped header is found. A template longer than ``STEP`` words makes steps and blocks longer. A block matches a template when it holds at least ``THRESHOLD`` of
 the template's distinct words. The join is exact: words are ordered by how often the whole corpus uses them, rare ones first; a matching
 block must hold one of the first n - o + 1 words of the template (o: words needed of n), have o template words at all (length filter),
 and have enough words left behind the first common one on either side (positional filter). Only blocks that pass are counted out.
@@ -155,7 +156,23 @@ class Index:
         return block[first[which[ok]]], template[ok], common[ok] / self.size[template[ok]]
 
 
-def scan_texts(column: pa.Array, index: Index, phrases: list[tuple[np.ndarray, str]]) -> list:
+def block_pairs(new: np.ndarray, known: np.ndarray, rank: np.ndarray, width: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct block * width + rank of the known words, and the first word of each block's stretch.
+
+    ``new`` marks the words that begin a stretch (a line or a text); blocks of 2 * step words begin every step words of it.
+    """
+    start = np.flatnonzero(new)
+    stretch = np.cumsum(new) - 1
+    blocks = np.maximum(1, -(-(np.diff(np.concatenate((start, [len(new)]))) - step) // step))
+    block_at = np.cumsum(blocks) - blocks
+    k = (known - start[stretch[known]]) // step
+    own, before = k < blocks[stretch[known]], k >= 1
+    at = block_at[stretch[known]] + k
+    pairs = np.unique(np.concatenate((at[own] * width + rank[own], (at - 1)[before] * width + rank[before])))
+    return pairs, np.repeat(start, blocks)
+
+
+def scan_texts(column: pa.Array, index: Index, phrases: list[tuple[np.ndarray, str]], step: int = STEP, across_lines: bool = False) -> list:
     words = split_words(column, ALNUM)
     hashes, row_of = words.hashes(), words.rows()
     n_rows = len(column)
@@ -179,24 +196,16 @@ def scan_texts(column: pa.Array, index: Index, phrases: list[tuple[np.ndarray, s
     if len(known):
         # lines: a new one begins with each row and after each line break
         breaks = np.cumsum(words.raw == 10)[words.start] if len(words.raw) else np.zeros(0, np.int64)
-        new = np.concatenate(([True], (breaks[1:] != breaks[:-1]) | (row_of[1:] != row_of[:-1])))
-        line_start = np.flatnonzero(new)
-        line = np.cumsum(new) - 1
-        length = np.diff(np.concatenate((line_start, [words.n])))
-        blocks = np.maximum(1, -(-(length - STEP) // STEP))
-        block_at = np.cumsum(blocks) - blocks
-        k = (known - line_start[line[known]]) // STEP
-        own, before = k < blocks[line[known]], k >= 1
-        rank = index.rank[found[known]]
-        width = len(index.rank)
-        pairs = np.unique(
-            np.concatenate(((block_at[line[known]] + k)[own] * width + rank[own], (block_at[line[known]] + k - 1)[before] * width + rank[before]))
-        )
-        block, template, share = index.matches(pairs // width, pairs % width)
-        row = row_of[line_start[np.searchsorted(block_at, block, "right") - 1]]
-        np.maximum.at(score, row, share)
-        for r, t in set(zip(row.tolist(), template.tolist(), strict=True)):
-            labels[r].add(index.labels[t])
+        text_start = np.concatenate(([True], row_of[1:] != row_of[:-1]))
+        line_start = text_start | np.concatenate(([True], breaks[1:] != breaks[:-1]))
+        rank, width = index.rank[found[known]], len(index.rank)
+        for new in (line_start, text_start) if across_lines else (line_start,):
+            pairs, first_of = block_pairs(new, known, rank, width, step)
+            block, template, share = index.matches(pairs // width, pairs % width)
+            row = row_of[first_of[block]]
+            np.maximum.at(score, row, share)
+            for r, t in set(zip(row.tolist(), template.tolist(), strict=True)):
+                labels[r].add(index.labels[t])
     none = n_base == 0
     return [
         pa.array(words.per_row(), pa.int64()),
@@ -209,14 +218,15 @@ def scan_texts(column: pa.Array, index: Index, phrases: list[tuple[np.ndarray, s
     ]
 
 
-def scan_licenses(docs: DataFrame, text: str = "text", templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD) -> DataFrame:
+def scan_licenses(
+    docs: DataFrame, text: str = "text", templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD, across_lines: bool = False
+) -> DataFrame:
     """``docs`` with n_words, n_base, first_word, last_word, base_labels, labels and score (the largest containment found)."""
-    if any(len(set(t.split())) > STEP for t, _ in templates):
-        raise ValueError(f"a template may have {STEP} words at most")
+    step = max(STEP, *[len(t.split()) for t, _ in templates])
     vocabulary = Vocabulary(templates)
     index = Index(vocabulary, corpus_frequencies(docs, text, vocabulary), [label for _, label in templates], threshold)
     coded = [(split_words(pa.array([phrase]), ALNUM).hashes(), label) for phrase, label in phrases]
-    return with_columns(docs, text, FIELDS, lambda column: scan_texts(column, index, coded))
+    return with_columns(docs, text, FIELDS, lambda column: scan_texts(column, index, coded, step, across_lines))
 
 
 def _values(pairs: list[tuple[str, str]]) -> str:
@@ -263,4 +273,4 @@ FROM w LEFT JOIN base USING (k) LEFT JOIN s USING (k) LEFT JOIN bl USING (k) LEF
 
 @query("op4_license_scan", ORACLE)
 def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
-    return scan_licenses(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
+    return scan_licenses(table(spark, folder, "documents").select("doc_id", "text"), across_lines=True).drop("text")

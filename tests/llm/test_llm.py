@@ -215,6 +215,21 @@ def test_license_phrases(spark):
     assert lic.scan_licenses(docs.limit(0)).count() == 0
 
 
+def test_wrapped_and_long_licenses(spark, tmp_path):
+    bsd = " * Redistribution and use in source and binary forms, with or\n * without modification, are permitted"
+    isc = "# Permission to use, copy, modify, and/or distribute\n# this software for any purpose with or\n# without fee is hereby granted"
+    mpl = "This Source Code Form is subject\nto the terms of the Mozilla Public\nLicense, v. 2.0."
+    lead = "\n".join(f"line{k} of code" for k in range(40))
+    rows = [(k, f"{lead}\n{t}\n{lead}", "s") for k, t in enumerate([bsd, isc, mpl, "nothing here"])]
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in lic.op4_license_scan(spark, str(tmp_path)).collect()}
+    assert got == {0: ("bsd", 1.0), 1: ("isc", 1.0), 2: ("mpl", 1.0), 3: ("", 0.0)}
+    whole = " ".join(f"t{k}" for k in range(300))  # a whole license text
+    docs = documents(spark, [(k, f"{'a ' * k}{whole}", "s") for k in (0, 7, 299)] + [(1, whole[:800], "s")])
+    long = lic.scan_licenses(docs, templates=[(whole, "long")]).select("doc_id", "labels").collect()
+    assert sorted(map(tuple, long)) == [(0, "long"), (1, ""), (7, "long"), (299, "long")]
+
+
 # --- 5 ---------------------------------------------------------------------------------------------------------------------------
 
 
