@@ -5,8 +5,8 @@ the rank by two, four, ... lines, each round numbering the distinct pairs of ran
 at once, so rounds work on what is repeated only. A run counts when it holds at least ``MIN_WORDS`` words: each position begins
 a shortest such stretch, w lines long. Two overlapping ranks of 2^k lines cover it, so positions that are equal in w and both ranks
 have a common prefix of w lines: they are neighbours in the suffix order and make one longest-common-prefix interval. In each interval
-the first position (by id, then line) stays; at all others w lines are deleted. A longer repeated run consists of such stretches, so maximal
-runs go as a whole.
+the first position (by id, then line) stays; at all others w lines are deleted. Of a longer repeated run all such stretches go; lines after
+the end of its last one stay, up to ``MIN_WORDS`` - 1 words, so a maximal run does not always go as a whole. The SQL has the same rule.
 
 Lines are equal if they are the same but for the case of ASCII letters. Odd inputs: null texts stay null and have no lines; rows equal in
 id and text are one document, each with its result; null ids come first; blank lines stay; an empty table gives an empty result; columns
