@@ -53,12 +53,12 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def pieces(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of about CHUNK_BYTES of text."""
+def pieces(batch: pa.RecordBatch, text: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``most`` bytes of text."""
     _, at = text_buffers(batch.column(text))
     row = 0
     while row < batch.num_rows:
-        upto = max(row + 1, int(np.searchsorted(at, at[row] + CHUNK_BYTES, "right")) - 1)
+        upto = max(row + 1, int(np.searchsorted(at, at[row] + most, "right")) - 1)
         yield batch.slice(row, upto - row)
         row = upto
 
