@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldspark.functions import ring as R
@@ -33,8 +35,11 @@ MIN_NEIGHBOURS = 4
 MAX_NEIGHBOURS = 6
 
 CHUNK = 1024  # stations held by one array
-LISTED = 24  # nearest stations that are looked up for every group
-SALTS = 16  # copies of each station array, so that one crowded cell spreads over tasks
+LISTED = 48  # nearest stations that are looked at first
+SALTS = 16  # copies of each station array, or of a cell's row, so that one crowded cell spreads over tasks
+TARGETS = 1024  # targets of one cell that are interpolated together
+GROUPS = 64  # groups (dates, variables …) that are interpolated together
+ELEMENTS = 1 << 22  # numbers of one working array
 
 
 def _neighbour_offsets(reach: int) -> Column:
@@ -166,82 +171,52 @@ def _dealt(targets: DataFrame, key: str) -> DataFrame:
     return targets.repartition(int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
-def _idw_of(nearest: Column, power: Column, radii: tuple[float, ...], min_n: int) -> Column:
-    """Weighted mean of the neighbours inside the first radius that holds ``min_n`` of them; each step bound once."""
+def _weighted_means(
+    targets: np.ndarray, stations: np.ndarray, values: np.ndarray, power: np.ndarray, radii: tuple[float, ...], min_n: int, max_n: int, listed: int
+) -> np.ndarray:
+    """Inverse-distance means, targets x groups; NaN without coverage.
 
-    def radius_of(near: Column) -> Column:
-        limit_d = F.get(near, F.lit(min_n - 1))["d"]
-        return R.let(limit_d, lambda d: F.coalesce(*[F.when(d <= r, F.lit(r)) for r in radii]))
-
-    def mean(used: Column) -> Column:
-        weights = F.transform(used, lambda s: 1.0 / F.pow(F.greatest(s["d"], F.lit(1e-12)), power))
-
-        def ratio(ws: Column) -> Column:
-            products = F.zip_with(ws, used, lambda w, s: w * s["v"])
-            add = lambda acc, v: acc + v
-            return F.aggregate(products, F.lit(0.0), add) / F.aggregate(ws, F.lit(0.0), add)
-
-        return R.let(weights, ratio)
-
-    def inside(near: Column) -> Column:
-        def with_radius(radius: Column) -> Column:
-            return F.when(radius.isNotNull(), R.let(F.filter(near, lambda s: s["d"] <= radius), mean))
-
-        return R.let(radius_of(near), with_radius)
-
-    return R.let(nearest, inside)
-
-
-def _placed_stations(stations: DataFrame, station_key: str, reach: float) -> DataFrame:
-    """Stations in arrays of up to ``CHUNK``, per cell of side ``reach``: each station stands in the 3×3 cells around it."""
-
-    def axis(v: str) -> Column:
-        return F.floor(F.col(v) / F.lit(reach)).cast("long")
-
-    copies = (
-        stations.select(F.col(station_key).alias("id"), F.col("x").cast("double"), F.col("y").cast("double"))
-        .distinct()
-        .withColumn("_cx", F.explode(F.transform(_neighbour_offsets(1), lambda d: axis("x") + d)))
-        .withColumn("_cy", F.explode(F.transform(_neighbour_offsets(1), lambda d: axis("y") + d)))
-    )
-    # arrays by the number of stations in the cell itself, not in the whole network
-    place = F.row_number().over(Window.partitionBy("_cx", "_cy").orderBy("id"))
-    packed = copies.withColumn("_ch", F.floor((place - 1) / CHUNK)).groupBy("_cx", "_cy", "_ch").agg(F.collect_list(F.struct("id", "x", "y")).alias("_st"))
-    return packed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-
-
-def _meet_stations(targets: DataFrame, packed: DataFrame, target_key: str, reach: float) -> DataFrame:
-    """Every target with the station arrays of its cell; targets without any keep one row with null."""
-    placed = _dealt(targets.select(target_key, F.col("x").alias("_x"), F.col("y").alias("_y")), target_key).withColumns(
-        {
-            "_cx": F.floor(F.col("_x") / F.lit(reach)).cast("long"),
-            "_cy": F.floor(F.col("_y") / F.lit(reach)).cast("long"),
-            "_salt": _bucket(F.col(target_key), SALTS),
-        }
-    )
-    return placed.join(packed, ["_cx", "_cy", "_salt"], "left")
-
-
-def _within(reach: float) -> Column:
-    """Distances to the stations of an array, those beyond ``reach`` left out."""
-
-    def one(s: Column) -> Column:
-        dx, dy = s["x"] - F.col("_x"), s["y"] - F.col("_y")
-        return F.struct(F.sqrt(dx * dx + dy * dy).alias("d"), s["id"].alias("id"))
-
-    return F.filter(F.transform(F.coalesce("_st", F.array()), one), lambda s: s["d"] <= reach)
-
-
-def nearest_stations(
-    targets: DataFrame, stations: DataFrame, target_key: str, station_key: str, reach: float, k: int
-) -> DataFrame:
-    """Per target its ``k`` nearest stations within ``reach`` as ``near: array<(d, id)>``, and ``in_reach``, their number in all."""
-    met = _meet_stations(targets, _placed_stations(stations, station_key, reach), target_key, reach)
-    scored = met.select(target_key, _within(reach).alias("_all"))
-    parts = scored.select(target_key, _smallest(F.col("_all"), "d", k).alias("_top"), F.size("_all").alias("_n"))
-    return parts.groupBy(target_key).agg(
-        F.slice(F.sort_array(F.flatten(F.collect_list("_top"))), 1, k).alias("near"), F.sum("_n").alias("in_reach")
-    )
+    ``targets`` and ``stations`` are coordinates, ``values`` is stations x groups with NaN where a station has none. Stations are in the order of
+    their keys, which decides ties. The ``listed`` nearest are looked at first, and four times as many wherever these leave a group short.
+    """
+    dx, dy = (stations[None, :, k] - targets[:, None, k] for k in (0, 1))
+    distance = np.sqrt(dx * dx + dy * dy)
+    order = np.argsort(distance, 1, kind="stable")
+    distance = np.take_along_axis(distance, order, 1)
+    in_reach = (distance <= max(radii)).sum(1)
+    n_groups = values.shape[1]
+    near = np.full((max_n, len(targets), n_groups), np.nan)
+    found = np.full((max_n, len(targets), n_groups), np.nan)
+    todo, look = np.arange(len(targets)), max(listed, max_n)
+    while len(todo):
+        look = min(look, stations.shape[0])
+        short = []
+        at_once = max(1, ELEMENTS // max(1, look * n_groups))
+        for begin in range(0, len(todo), at_once):
+            rows = todo[begin : begin + at_once]
+            v, d = values[order[rows, :look]], distance[rows, :look]
+            there = ~np.isnan(v) & (d <= max(radii))[:, :, None]
+            rank = np.cumsum(there, 1, dtype=np.int32)
+            last = rank[:, -1, :]
+            for k in range(max_n):
+                at = (rank <= k).sum(1)  # place of the next one with a value
+                has = last > k
+                safe = np.where(has, at, 0)
+                near[k, rows] = np.where(has, np.take_along_axis(d, safe, 1), np.nan)
+                found[k, rows] = np.where(has, np.take_along_axis(v, safe[:, None, :], 1)[:, 0, :], np.nan)
+            short.append(rows[(last < max_n).any(1) & (in_reach[rows] > look)])
+        todo, look = np.concatenate(short), look * 4
+    limit = near[min_n - 1]
+    radius = np.full(limit.shape, np.nan)
+    for r in sorted(radii, reverse=True):
+        radius = np.where(limit <= r, r, radius)
+    top, bottom = np.zeros(limit.shape), np.zeros(limit.shape)
+    for k in range(max_n):
+        weight = np.where(near[k] <= radius, 1.0 / np.maximum(near[k], 1e-12) ** power, 0.0)
+        top += np.where(weight > 0, weight * found[k], 0.0)
+        bottom += weight
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.where(np.isnan(radius), np.nan, top / bottom)
 
 
 def idw_adaptive(
@@ -258,49 +233,71 @@ def idw_adaptive(
 ) -> DataFrame:
     """Inverse-distance value of every target for every group (date, variable …), null without coverage.
 
-    ``values``: station key, ``x, y``, ``valor`` and the group columns, one row per station and group. ``power`` may use
-    group columns. Neighbours do not depend on the group: the ``listed`` nearest stations of a target are found once, and the values
-    of all groups are looked up along that list. Only where the list has fewer than ``max_n`` values for a group, and the target
-    has more stations in reach, are all of those read.
+    ``values``: station key, ``x, y``, ``valor`` and the group columns, one row per station and group. ``power`` may use group columns. The nearest
+    ``max_n`` stations with a value within the largest radius count, those inside the first radius that holds ``min_n`` of them.
+
+    Blocks meet: up to about ``TARGETS`` targets of one cell as wide as the largest radius, with the values that the stations of the 3 x 3 cells
+    around have for about ``GROUPS`` groups. Distances are taken once per block and its groups go through them together. A station row is copied to
+    the blocks of nine cells; a task holds one block, that is the stations of one neighbourhood.
     """
     reach = max(radii)
-    keys = F.struct(*group)
-    stations = values.select(station_key, "x", "y")
-    near = nearest_stations(targets, stations, target_key, station_key, reach, listed)
-    groups = values.agg(F.array_sort(F.collect_set(keys))).scalar()
-    by_group = values.groupBy(F.col(station_key).alias("_id"), *group).agg(F.first(F.col("valor").cast("double")).alias("v"))
-    by_station = (
-        by_group.groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct(keys.alias("g"), "v"))).alias("_m"))
-        .withColumn("_groups", groups)
-        .select("_id", F.transform("_groups", lambda g: F.try_element_at("_m", g)).alias("vs"))
+    axis = lambda v: F.floor(F.col(v) / F.lit(reach)).cast("long")
+    gid = F.xxhash64(*group)
+    clean = values.groupBy(F.col(station_key).alias("_id"), *group).agg(
+        F.first(F.col("valor").cast("double")).alias("_v"), F.first(F.col("x").cast("double")).alias("_x"), F.first(F.col("y").cast("double")).alias("_y")
+    ).withColumn("_gid", gid)
+    groups = values.select(*group).distinct().withColumns({"_gid": gid, "_power": power.cast("double")})
+    blocks = F.greatest(F.ceil(values.agg(F.approx_count_distinct(gid)).scalar() / GROUPS), F.lit(1)).cast("int")
+    block = F.pmod("_gid", blocks).cast("int")
+
+    placed = targets.select(target_key, F.col("x").cast("double").alias("_x"), F.col("y").cast("double").alias("_y")).withColumns({"_cx": axis("_x"), "_cy": axis("_y")})
+    cells = placed.groupBy("_cx", "_cy").agg(F.ceil(F.count(F.lit(1)) / TARGETS).cast("int").alias("_chunks"))
+    salted = cells.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    left = (
+        placed.withColumn("_salt", _bucket(F.col(target_key), SALTS))
+        .join(salted, ["_cx", "_cy", "_salt"])
+        .withColumn("_chunk", F.pmod(F.xxhash64(F.lit("chunk"), target_key), F.col("_chunks")).cast("int"))
+        .withColumn("_block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .select("_cx", "_cy", "_chunk", "_block", target_key, "_x", "_y")
     )
-    listed_values = (
-        near.select(target_key, F.explode("near").alias("s"))
-        .select(target_key, F.col("s.d").alias("_d"), F.col("s.id").alias("_id"))
-        .join(by_station, "_id")
-        .groupBy(target_key)
-        .agg(F.sort_array(F.collect_list(F.struct(F.col("_d").alias("d"), F.col("_id").alias("id"), "vs"))).alias("_list"))
-    )
-
-    def along(i: Column) -> Column:
-        there = F.transform(F.coalesce("_list", F.array()), lambda s: F.struct(s["d"].alias("d"), s["id"].alias("id"), F.get(s["vs"], i).alias("v")))
-        return F.slice(F.filter(there, lambda s: s["v"].isNotNull()), 1, max_n)
-
-    wide = near.select(target_key, "in_reach").join(listed_values, target_key, "left").withColumn("_groups", groups)
-    first = wide.select(
-        target_key, (F.col("in_reach") > listed).alias("_more"), F.posexplode(F.transform("_groups", lambda g, i: F.struct(g.alias("g"), along(i).alias("near"))))
-    ).select(target_key, "_more", F.col("pos").alias("_i"), "col.g.*", F.col("col.near").alias("_near"))
-    short = first.filter(F.col("_more") & (F.size("_near") < max_n)).select(target_key).distinct()
-    every = (
-        _meet_stations(targets.join(short, target_key, "left_semi"), _placed_stations(stations, station_key, reach), target_key, reach)
-        .select(target_key, F.explode(_within(reach)).alias("s"))
-        .select(target_key, F.col("s.d").alias("_d"), F.col("s.id").alias("_id"))
-        .join(by_group, "_id")
-        .groupBy(target_key, *group)
-        .agg(F.slice(F.sort_array(F.collect_list(F.struct(F.col("_d").alias("d"), F.col("_id").alias("id"), "v"))), 1, max_n).alias("_every"))
+    chunks = cells.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))).select("_cx", "_cy", "_chunk")
+    around = clean.withColumns({"_sx": axis("_x"), "_sy": axis("_y"), "_block": block})
+    around = around.withColumn("_cx", F.explode(F.transform(_neighbour_offsets(1), lambda d: F.col("_sx") + d)))
+    around = around.withColumn("_cy", F.explode(F.transform(_neighbour_offsets(1), lambda d: F.col("_sy") + d)))
+    columns = ["_cx", "_cy", "_chunk", "_block", "_gid", *group, "_id", "_x", "_y", "_v"]
+    none = F.lit(None).cast("double")
+    stations = around.join(chunks, ["_cx", "_cy"]).select(*columns, none.alias("_power"))
+    # every block also knows its groups: they come back for targets without any station
+    own = groups.groupBy(block.alias("_block")).agg(F.collect_list(F.struct("_gid", *group, "_power")).alias("_groups"))
+    heads = (
+        chunks.withColumn("_block", F.explode(F.sequence(F.lit(0), blocks - 1))).join(own, "_block")
+        .withColumn("_g", F.explode("_groups")).select("_cx", "_cy", "_chunk", "_block", "_g.*")
+        .withColumns({"_id": F.lit(0).cast(clean.schema["_id"].dataType), "_x": none, "_y": none, "_v": none})
     )
-    out = first.join(every, [target_key, *group], "left")
-    return out.select(target_key, *group, _idw_of(F.coalesce("_every", "_near"), power, radii, min_n).alias("valor"))
+    right = stations.union(heads.select(*columns, "_power"))
+
+    def interpolate(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        is_head = right["_power"].notna().to_numpy()
+        heads, held = right[is_head].sort_values("_gid"), right[~is_head]
+        n_targets, n_groups = len(left), len(heads)
+        out = np.full((n_targets, n_groups), np.nan)
+        if n_targets and n_groups and len(held):
+            _, first, place = np.unique(held["_id"].to_numpy(), return_index=True, return_inverse=True)
+            value = np.full((len(first), n_groups), np.nan)
+            value[place, np.searchsorted(heads["_gid"].to_numpy(), held["_gid"].to_numpy())] = held["_v"]
+            where = held[["_x", "_y"]].to_numpy()[first]
+            out = _weighted_means(left[["_x", "_y"]].to_numpy(), where, value, heads["_power"].to_numpy(), radii, min_n, max_n, listed)
+        rows = np.repeat(np.arange(n_targets), n_groups)
+        frame = {target_key: left[target_key].to_numpy()[rows]}
+        frame |= {c: np.tile(heads[c].to_numpy(), n_targets) for c in group}
+        flat = pd.Series(out.reshape(-1))
+        return pd.DataFrame(frame).assign(valor=flat.astype(object).where(flat.notna(), None))
+
+    kinds = {f.name: f.dataType.simpleString() for f in [*targets.schema.fields, *values.schema.fields]}
+    kinds[target_key] = targets.schema[target_key].dataType.simpleString()
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in [target_key, *group]), "valor double"])
+    keys = ["_cx", "_cy", "_chunk", "_block"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(interpolate, schema)
 
 
 def power_of(variable: Column, default: float = 2.5) -> Column:

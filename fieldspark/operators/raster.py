@@ -532,20 +532,24 @@ def image_metadata(pixels: DataFrame, composite: DataFrame) -> DataFrame:
 
 
 def thumbnail_outcomes(
-    zones: DataFrame, pixels: DataFrame, done: DataFrame, key: str, size: float, min_pct: float = 5.0
+    zones: DataFrame, pixels: DataFrame, done: DataFrame, key: str, size: float, min_pct: float = 5.0, by: list[str] | None = None
 ) -> DataFrame:
-    """Outcome per zone: skipped (already drawn), no_overlap, insufficient_data or success."""
+    """Outcome per zone: skipped (already drawn), no_overlap, insufficient_data or success.
+
+    ``by``: columns of the pixels, such as the scene, that outcomes are told apart by; null in the row of a zone without pixels.
+    """
+    by = by or []
     box = zones.join(done, key, "left_anti").withColumn(
         "_px", F.explode(F.sequence(F.floor(F.col("minx") / size).cast("long"), F.floor((F.col("maxx") - 1e-9) / size).cast("long")))
     ).withColumn(
         "_py", F.explode(F.sequence(F.floor(F.col("miny") / size).cast("long"), F.floor((F.col("maxy") - 1e-9) / size).cast("long")))
     ).select(key, "_px", "_py")
     placed = pixels.select(
-        F.floor(F.col("x") / size).cast("long").alias("_px"), F.floor(F.col("y") / size).cast("long").alias("_py"), "ndvi"
+        F.floor(F.col("x") / size).cast("long").alias("_px"), F.floor(F.col("y") / size).cast("long").alias("_py"), "ndvi", *by
     )
     counts = (
         box.join(placed, ["_px", "_py"])
-        .groupBy(key)
+        .groupBy(key, *by)
         .agg(F.count(F.lit(1)).alias("n"), F.count("ndvi").alias("n_valid"))
     )
     outcome = (
@@ -558,5 +562,5 @@ def thumbnail_outcomes(
         zones.select(key)
         .join(done.select(key).withColumn("_done", F.lit(1)), key, "left")
         .join(counts, key, "left")
-        .select(key, outcome.alias("outcome"))
+        .select(key, *by, outcome.alias("outcome"))
     )

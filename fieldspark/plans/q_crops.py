@@ -327,7 +327,7 @@ def summary_sort(t):
     f"""WITH sub AS (SELECT o_orderkey AS id_subparcela, o_custkey AS id_recinto,
         CASE WHEN o_orderkey % 5 = 0 THEN ' ' ELSE o_orderpriority END AS nombre,
         CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE CAST(o_orderkey % 9 AS DOUBLE) END AS superficie_ha,
-        (o_orderkey * 3) % 2600 AS cod_producto FROM orders WHERE o_orderstatus = 'P'),
+        (o_orderkey * 3) % 2600 AS cod_producto FROM orders),
     cur AS (SELECT * EXCLUDE (rn) FROM (
         SELECT c.*, row_number() OVER (PARTITION BY id_recinto
                ORDER BY coalesce(fecha_siembra, fecha_implantacion) DESC NULLS LAST, id_cultivo DESC) AS rn
@@ -352,7 +352,7 @@ def union_all_plan(t):
 
 def subplots(t):
     k = F.col("o_orderkey")
-    return t.orders.filter("o_orderstatus = 'P'").select(
+    return t.orders.select(
         k.alias("id_subparcela"),
         F.col("o_custkey").alias("id_recinto"),
         F.when(k % 5 == 0, " ").otherwise(F.col("o_orderpriority")).alias("nombre"),
@@ -366,7 +366,7 @@ def subplots(t):
     f"""WITH sub AS (SELECT o_orderkey AS id_subparcela, o_custkey AS id_recinto,
         CASE WHEN o_orderkey % 5 = 0 THEN ' ' ELSE o_orderpriority END AS nombre,
         CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE CAST(o_orderkey % 9 AS DOUBLE) END AS superficie_ha,
-        (o_orderkey * 3) % 2600 AS cod_producto FROM orders WHERE o_orderstatus = 'P'), {CURRENT},
+        (o_orderkey * 3) % 2600 AS cod_producto FROM orders), {CURRENT},
     s AS (SELECT id_recinto, count(*) AS n FROM sub GROUP BY 1)
     SELECT p.id_recinto, coalesce({NB('p.nombre')}, 'Recinto ' || CAST(p.id_recinto AS VARCHAR)) AS nombre,
            round(p.w * p.h, 4) AS superficie_ha,

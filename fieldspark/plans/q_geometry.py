@@ -8,6 +8,7 @@ from fieldspark.functions import projection as P
 from fieldspark.functions import ring as R
 from fieldspark.functions.numbers import fixed
 from fieldspark.operators import merge as M
+from fieldspark.operators import overlay as O
 from fieldspark.operators import polygons as G
 from fieldspark.operators import spatial as SP
 from fieldspark.plans.q_raster import centroids, neighbour_mean, zones
@@ -36,29 +37,39 @@ def centroid(t):
     return centroids(t).select("id_recinto", fixed("x", 6).alias("cx"), fixed("y", 6).alias("cy"))
 
 
-def _tm_sql(lon, lat):
-    """Transverse Mercator of zone 30 as SQL, from the same series coefficients."""
+def _tm_sql(lon, lat, zone="30"):
+    """Transverse Mercator of a zone as SQL, from the same series coefficients."""
     e, scale = P._E, P.UTM_SCALE * P._RECTIFYING
     at = lambda v: f"(0.5 * ln((1 + {v}) / (1 - {v})))"
     s = f"sin(radians({lat}))"
     q = f"({at(s)} - {e!r}::DOUBLE * {at(f'({e!r}::DOUBLE * {s})')})"
     t = f"((exp({q}) - exp(-{q})) / 2)"
-    lam = f"radians({lon} + 3)"
+    lam = f"radians({lon} + 183 - 6 * {zone})"
     return t, lam, scale
 
 
-def _project_sql(source, lon="lon", lat="lat", out=("x", "y")):
-    t, lam, scale = _tm_sql(lon, lat)
+def _project_sql(source, lon="lon", lat="lat", out=("x", "y"), zone="30"):
+    t, lam, scale = _tm_sql(lon, lat, zone)
     east = " + ".join(f"{a!r}::DOUBLE * cos({2 * j} * xi) * ((exp({2 * j} * eta) - exp(-{2 * j} * eta)) / 2)" for j, a in enumerate(P._FORWARD, 1))
     north = " + ".join(f"{a!r}::DOUBLE * sin({2 * j} * xi) * ((exp({2 * j} * eta) + exp(-{2 * j} * eta)) / 2)" for j, a in enumerate(P._FORWARD, 1))
     inner = f"SELECT *, atan2(tt, cos(lam)) AS xi, 0.5 * ln((1 + sin(lam) / sqrt(1 + tt * tt)) / (1 - sin(lam) / sqrt(1 + tt * tt))) AS eta FROM (SELECT *, {t} AS tt, {lam} AS lam FROM {source})"
     return f"SELECT *, 500000 + {scale!r}::DOUBLE * (eta + {east}) AS {out[0]}, {scale!r}::DOUBLE * (xi + {north}) AS {out[1]} FROM ({inner})"
 
 
-@query("project_points", f"WITH {_DEG} SELECT id_recinto, round(x, 3) AS x, round(y, 3) AS y, CAST(30 AS INT) AS zona, CAST(32630 AS INT) AS epsg FROM ({_project_sql('dg')}) WHERE lon >= -6 AND lon < 0")
+#: Plots spread over ten zones of both hemispheres.
+_WIDE = "wd AS (SELECT *, CAST(floor((lon + 180) / 6) + 1 AS INT) AS zona FROM (SELECT id_recinto, x0 / 8 - 12 AS lon, y0 / 4 - 30 AS lat FROM v_plot))"
+
+
+@query(
+    "project_points",
+    f"""WITH {_WIDE} SELECT id_recinto, round(x, 3) AS x, round(y + CASE WHEN lat < 0 THEN 10000000 ELSE 0 END, 3) AS y, zona, CAST(CASE WHEN lat < 0 THEN 32700 ELSE 32600 END + zona AS INT) AS epsg
+    FROM ({_project_sql('wd', zone='zona')})""",
+)
 def project_points(t):
-    d = degrees(t).filter("minx >= -6 AND minx < 0").withColumn("_p", P.to_utm(F.col("minx"), F.col("miny"), P.utm_zone(F.col("minx"))))
-    return d.select("id_recinto", fixed("_p.x", 3).alias("x"), fixed("_p.y", 3).alias("y"), P.utm_zone(F.col("minx")).alias("zona"), P.utm_epsg(F.col("minx"), F.col("miny")).alias("epsg"))
+    lon, lat = F.col("x0") / 8 - 12, F.col("y0") / 4 - 30
+    d = t.v_plot.select("id_recinto", lon.alias("lon"), lat.alias("lat"), P.utm_zone(lon).alias("zona"))
+    d = d.withColumn("_p", P.to_utm(F.col("lon"), F.col("lat"), F.col("zona")))
+    return d.select("id_recinto", fixed("_p.x", 3).alias("x"), fixed("_p.y", 3).alias("y"), "zona", P.utm_epsg(F.col("lon"), F.col("lat")).alias("epsg"))
 
 
 @query("project_points_back", f"WITH {_DEG} SELECT id_recinto, round(lon, 7) AS lon, round(lat, 7) AS lat FROM dg")
@@ -272,20 +283,21 @@ def validate_subparcels(t):
 
 @query(
     "replace_subparcels",
-    """WITH s AS (SELECT o_custkey AS id_recinto, o_orderkey AS id FROM orders WHERE o_orderstatus = 'P'), n AS (SELECT c_custkey AS id_recinto, -c_custkey AS id FROM customer WHERE c_nationkey = 3)
+    """WITH s AS (SELECT o_custkey AS id_recinto, o_orderkey AS id FROM orders), n AS (SELECT 2 * c_custkey AS id_recinto, -c_custkey AS id FROM customer)
     SELECT * FROM s WHERE id_recinto NOT IN (SELECT id_recinto FROM n) UNION ALL SELECT * FROM n""",
 )
 def replace_subparcels(t):
-    stored = t.orders.filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("id_recinto"), F.col("o_orderkey").alias("id"))
-    fresh = t.customer.filter("c_nationkey = 3").select(F.col("c_custkey").alias("id_recinto"), (-F.col("c_custkey")).alias("id"))
+    """All stored pieces; new ones come for every second plot, and for some that had none."""
+    stored = t.orders.select(F.col("o_custkey").alias("id_recinto"), F.col("o_orderkey").alias("id"))
+    fresh = t.customer.select((2 * F.col("c_custkey")).alias("id_recinto"), (-F.col("c_custkey")).alias("id"))
     return M.replace_groups(stored, fresh, "id_recinto")
 
 
 @query(
-    "make_valid",
+    "clean_rings",
     "SELECT id_recinto, CAST(5 AS INT) AS vertices, w * h AS area_con_signo, true AS cerrado, true AS simple FROM v_plot",
 )
-def make_valid(t):
+def clean_rings(t):
     """Clockwise, open rings with a repeated vertex become closed, anticlockwise and clean."""
     broken = F.concat(F.reverse("ring"), F.slice(F.reverse("ring"), -1, 1))
     rows = zones(t).select("id_recinto", R.make_valid(broken).alias("ring"))
@@ -295,14 +307,44 @@ def make_valid(t):
     )
 
 
+def broken_rings(t):
+    """Plots drawn badly, by id: a bow-tie with unequal lobes, a side that goes out and back, a loop inside a loop, two triangles that touch."""
+    x, y, w, h = (F.col(c) for c in ("x0", "y0", "w", "h"))
+    at = lambda *points: F.array(*[R.point(x + w * p, y + h * q) for p, q in points])
+    outer = ((0, 0), (1, 0), (1, 1), (0, 1))
+    inner = ((0.25, 0.25), (0.75, 0.25), (0.75, 0.75), (0.25, 0.75))
+    k = F.col("id_recinto") % 4
+    ring = (
+        F.when(k == 0, at((0, 0), (1, 1), (1, 0), (0, 0.5)))
+        .when(k == 1, at((0, 0), (1, 0), (2, 0), (1, 0), (1, 1), (0, 1)))
+        .when(k == 2, at(*outer, (0, 0), *inner, (0.25, 0.25)))
+        .otherwise(at((0, 0), (1, 0), (0.5, 0.5), (1, 1), (0, 1), (0.5, 0.5), (0.5, 0.5)))
+    )
+    return t.v_plot.select("id_recinto", "w", "h", ring.alias("ring"))
+
+
+_LOBES = "CASE id_recinto % 4 WHEN 0 THEN w * h / 3 WHEN 1 THEN w * h WHEN 2 THEN w * h * 0.75 ELSE w * h / 4 END"
+
+
 @query(
-    "largest_part",
-    """SELECT id_recinto, CAST(CASE WHEN id_recinto % 5 = 0 AND 1.5 > 2 THEN 2 ELSE 3 END AS INT) AS pos FROM v_plot""",
+    "make_valid",
+    f"""SELECT id_recinto, round({_LOBES} + CASE id_recinto % 4 WHEN 0 THEN w * h / 12 WHEN 3 THEN w * h / 4 ELSE 0 END, 4) AS area,
+      CAST(CASE id_recinto % 4 WHEN 0 THEN 2 WHEN 3 THEN 2 ELSE 1 END AS INT) AS partes, CAST(CASE id_recinto % 4 WHEN 2 THEN 1 ELSE 0 END AS INT) AS huecos, true AS simple FROM v_plot""",
 )
+def make_valid(t):
+    """Self-crossings become vertices of separate parts, loops holes, spikes nothing; every ring is simple."""
+    out = O.repair(broken_rings(t).select("id_recinto", "ring"))
+    simple = F.forall("parts", lambda part: F.forall(part, R.is_simple))
+    holes = F.aggregate("parts", F.lit(0), lambda n, part: n + F.size(part) - 1)
+    return out.select("id_recinto", fixed("area", 4).alias("area"), F.col("n_parts").alias("partes"), holes.alias("huecos"), simple.alias("simple"))
+
+
+@query("largest_part", f"SELECT id_recinto, round({_LOBES}, 4) AS area, CAST(CASE id_recinto % 4 WHEN 2 THEN 2 ELSE 1 END AS INT) AS anillos FROM v_plot")
 def largest_part(t):
-    """Largest part of each multipolygon."""
-    parts = strips(t).select("id_recinto", "pos", R.area(F.col("ring")).alias("area"))
-    return parts.groupBy("id_recinto").agg(F.max_by("pos", F.struct(F.col("area"), -F.col("pos"))).alias("pos"))
+    """Largest part of what each badly drawn plot comes to, with its holes."""
+    first = F.get("parts", F.lit(0))
+    out = O.repair(broken_rings(t).select("id_recinto", "ring"))
+    return out.select("id_recinto", F.round(R.parts_area(F.array(first)), 4).alias("area"), F.size(first).alias("anillos"))
 
 
 @query("clip_polygons", f"SELECT p.id_recinto, c.celda, round({_OVER}, 6) AS area, {_OVER} > 0 AS recortado FROM v_plot p JOIN v_cell c ON {_MEET} WHERE {_OVER} > 0")
@@ -313,8 +355,8 @@ def clip_polygons(t):
 
 
 def cut_lines(t):
-    """One upright line through every fourth plot, drawn over its middle half."""
-    p = t.v_plot.filter("id_recinto % 4 = 0")
+    """One upright line through every plot, drawn over its middle half."""
+    p = t.v_plot
     x = F.col("x0") + F.col("w") / 4
     return p.select(
         F.col("id_recinto").alias("line_id"), x.alias("ax"), (F.col("y0") + F.col("h") / 4).alias("ay"), x.alias("bx"), (F.col("y0") + F.col("h") * 3 / 4).alias("by")
@@ -323,7 +365,7 @@ def cut_lines(t):
 
 @query(
     "split_polygons_by_lines",
-    """WITH ln AS (SELECT x0 + w / 4 AS lx, y0 + h / 4 AS ly0, y0 + h * 3 / 4 AS ly1 FROM v_plot WHERE id_recinto % 4 = 0),
+    """WITH ln AS (SELECT x0 + w / 4 AS lx, y0 + h / 4 AS ly0, y0 + h * 3 / 4 AS ly1 FROM v_plot),
     ht AS (SELECT p.id_recinto, ln.lx FROM v_plot p JOIN ln ON ln.lx > p.x0 AND ln.lx < p.x0 + p.w JOIN range(21) r(k) ON ln.ly0 + (ln.ly1 - ln.ly0) * k / 20.0 > p.y0 AND ln.ly0 + (ln.ly1 - ln.ly0) * k / 20.0 < p.y0 + p.h
       GROUP BY p.id_recinto, p.x0, p.y0, ln.lx, ln.ly0, ln.ly1 HAVING count(*) >= 2)
     SELECT p.id_recinto, 1 + coalesce(h.n, 0) AS partes, p.w * p.h AS area FROM v_plot p LEFT JOIN (SELECT id_recinto, count(DISTINCT lx) AS n FROM ht GROUP BY 1) h ON h.id_recinto = p.id_recinto""",
@@ -342,12 +384,60 @@ def dissolve_adjacent(t):
     return out.select("id_recinto", "nombre", fixed("area", 6).alias("area"), F.col("n_piezas").cast("int").alias("n_piezas"), "n_rings", "status")
 
 
-@query("dissolve_union", "SELECT id_recinto, w * h AS area, 3::BIGINT AS n_partes, x0 AS minx, y0 AS miny, x0 + w AS maxx, y0 + h AS maxy FROM v_plot")
-def dissolve_union(t):
+@query("dissolve_strips", "SELECT id_recinto, w * h AS area, 3::BIGINT AS n_partes, x0 AS minx, y0 AS miny, x0 + w AS maxx, y0 + h AS maxy FROM v_plot")
+def dissolve_strips(t):
+    """Parts that are known not to overlap."""
     out = G.dissolve_union(strips(t).select("id_recinto", "ring"), ["id_recinto"])
     return out.withColumn("area", fixed("area", 9))
 
 
+def border_length(parts):
+    length = lambda r: F.aggregate(R.edges(r), F.lit(0.0), lambda s, e: s + F.hypot(e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"]))
+    return F.aggregate(F.flatten(parts), F.lit(0.0), lambda s, r: s + length(r))
+
+
+@query(
+    "dissolve_union",
+    """WITH px AS (SELECT DISTINCT municipio, x, y FROM (SELECT municipio, y0, h, unnest(range(CAST(x0 AS BIGINT), CAST(x0 + w AS BIGINT))) AS x FROM v_plot), LATERAL (SELECT unnest(range(CAST(y0 AS BIGINT), CAST(y0 + h AS BIGINT))) AS y)),
+    nb AS (SELECT p.municipio, count(*) AS n FROM px p JOIN px q ON p.municipio = q.municipio AND ((q.x = p.x + 1 AND q.y = p.y) OR (q.x = p.x AND q.y = p.y + 1)) GROUP BY 1)
+    SELECT p.municipio, CAST(count(*) AS DOUBLE) AS area, CAST(4 * count(*) - 2 * coalesce(min(nb.n), 0) AS DOUBLE) AS perimetro, CAST(0 AS INT) AS abiertos FROM px p LEFT JOIN nb ON nb.municipio = p.municipio GROUP BY 1""",
+)
+def dissolve_union(t):
+    """Plots of each municipality, which overlap anyhow: area and border of the union geometry, holes included, against a count of unit squares."""
+    out = O.dissolve(zones(t).join(t.v_plot.select("id_recinto", "municipio"), "id_recinto").select("municipio", F.array("ring").alias("rings")), ["municipio"], 16.0)
+    return out.select("municipio", fixed("area", 6).alias("area"), F.round(border_length(F.col("parts")), 6).alias("perimetro"), F.col("n_open").alias("abiertos"))
+
+
+@query(
+    "dissolve_overlapping",
+    """SELECT id_recinto, round(w * h + CASE WHEN id_recinto % 7 = 0 THEN 0.5 * w / 4 * CASE WHEN id_recinto % 5 = 0 THEN 1.5 ELSE 1 END ELSE 0 END, 6) AS area, CAST(1 AS INT) AS partes,
+      CAST(CASE WHEN id_recinto % 7 = 0 THEN 8 ELSE 4 END AS INT) AS vertices FROM v_plot""",
+)
+def dissolve_overlapping(t):
+    """Strips of a plot of which some overlap and some stick out."""
+    out = O.dissolve(pieces(t).select("id_recinto", F.array("ring").alias("rings")), ["id_recinto"], 4.0)
+    return out.select("id_recinto", fixed("area", 6).alias("area"), F.col("n_parts").alias("partes"), F.size(F.get(F.get("parts", F.lit(0)), F.lit(0))).alias("vertices"))
+
+
+@query(
+    "dissolve_with_gaps",
+    """SELECT id_recinto, 'P1 + P2' AS nombre, CASE id_recinto % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'closed' ELSE 'rejected' END AS status, CAST(CASE id_recinto % 3 WHEN 2 THEN 2 ELSE 1 END AS INT) AS partes,
+      CASE id_recinto % 3 WHEN 1 THEN true ELSE false END AS rellena FROM v_plot""",
+)
+def dissolve_with_gaps(t):
+    """Two pieces of each plot, drawn in metres, that touch, or lie 2 m or 7 m apart: gaps below 6 m are closed."""
+    p = t.v_plot.withColumn("pos", F.explode(F.array(F.lit(1), F.lit(2))))
+    gap = F.when(F.col("id_recinto") % 3 == 0, 0.0).when(F.col("id_recinto") % 3 == 1, 2.0).otherwise(7.0)
+    side = F.col("w") * 10
+    two = with_ring(p.select(
+        "id_recinto", "pos", F.concat(F.lit("P"), F.col("pos").cast("string")).alias("nombre"), side.alias("lado"),
+        (F.col("x0") * 40 + F.when(F.col("pos") == 2, side + gap).otherwise(0.0)).alias("x0"), (F.col("y0") * 40).alias("y0"), side.alias("w"), (F.col("h") * 10).alias("h"),
+    ))
+    out = O.merge_pieces(two.select("id_recinto", "pos", "nombre", "ring"), "id_recinto", 64.0)
+    whole = two.groupBy("id_recinto").agg(F.sum(F.col("w") * F.col("h")).alias("suma"))
+    return out.join(whole, "id_recinto").select("id_recinto", "nombre", "status", F.size("parts").alias("partes"), (F.col("area") > F.col("suma") + 1e-6).alias("rellena"))
+
+
 @query(
     "simplify_polygons",
     "SELECT id_recinto, w * h AS area, CAST(8 AS INT) AS n_before, CAST(4 AS INT) AS n_after FROM v_plot",

@@ -9,6 +9,7 @@ from fieldspark.operators import irrigation as I
 from fieldspark.operators import raster as RA
 from fieldspark.operators import series as SE
 from fieldspark.operators import spatial as SP
+from fieldspark.operators import zones as Z
 from fieldspark.operators.quantiles import exact_quantiles
 from fieldspark.plans.registry import query
 from fieldspark.plans.views import with_ring
@@ -61,14 +62,14 @@ def pick_scenes_per_tile(t):
 @query(
     "target_grid",
     """WITH e AS (SELECT min(x0) AS minx, min(y0) AS miny, max(x0 + w) AS maxx, max(y0 + h) AS maxy FROM v_plot),
-    s AS (SELECT *, ceil((maxx - minx) / 1.5) AS wd, ceil((maxy - miny) / 1.5) AS ht FROM e), k AS (SELECT *, greatest(wd / 200, ht / 200, 1.0) AS sc FROM s),
-    z AS (SELECT *, CAST(ceil(wd / sc) AS BIGINT) AS nc, CAST(ceil(ht / sc) AS BIGINT) AS nr FROM k)
-    SELECT r, c, round(minx + (c + 0.5) * ((maxx - minx) / nc), 6) AS x, round(maxy - (r + 0.5) * ((maxy - miny) / nr), 6) AS y FROM z, range(200) a(r), range(200) b(c) WHERE r < nr AND c < nc""",
+    z AS (SELECT *, CAST(ceil((maxx - minx) / 1.5) AS BIGINT) AS nc, CAST(ceil((maxy - miny) / 1.5) AS BIGINT) AS nr FROM e),
+    l AS (SELECT *, unnest(range(nr)) AS r FROM z), g AS (SELECT *, unnest(range(nc)) AS c FROM l)
+    SELECT r, c, round(minx + (c + 0.5) * ((maxx - minx) / nc), 6) AS x, round(maxy - (r + 0.5) * ((maxy - miny) / nr), 6) AS y FROM g""",
 )
 def target_grid(t):
     # the extent is one row: the grid is sized from it on the driver, its cells are made by the tasks
     e = with_ring(t.v_plot).agg(F.min("minx"), F.min("miny"), F.max("maxx"), F.max("maxy")).first()
-    g = RA.target_grid(t.spark, *e, res=1.5, max_dim=200)
+    g = RA.target_grid(t.spark, *e, res=1.5)
     return g.select("r", "c", fixed("x", 6).alias("x"), fixed("y", 6).alias("y"))
 
 
@@ -293,10 +294,31 @@ _TOUCH = "m.x + 0.5 >= p.x0 AND m.x - 0.5 <= p.x0 + p.w AND m.y + 0.5 >= p.y0 AN
     FROM v_plot p JOIN m ON {_TOUCH} WHERE ndvi BETWEEN -1 AND 1 GROUP BY 1""",
 )
 def zonal_all_touched(t):
-    out = RA.zonal_all_touched(centred(t), zones(t), "id_recinto", 1.0)
+    out = Z.touch_stats(Z.zone_totals(Z.pixel_pyramid(centred(t), 1.0), zones(t), "id_recinto"), "id_recinto")
     return out.select("id_recinto", "n", *[fixed(c, 6).alias(c) for c in ("max", "min", "mean")])
 
 
+def districts(t):
+    """Zones of any size: a slanted four-sided piece of land around each plot, up to half the region wide."""
+    x, y, k = F.col("x0"), F.col("y0"), F.col("id_recinto") % 5
+    reach = F.when(k == 0, 150.0).when(k == 1, 70.0).otherwise(9.0) + F.col("w")
+    ring = F.array(R.point(x - reach, y + 0.25), R.point(x + 0.25, y - reach), R.point(x + reach, y + 0.25), R.point(x + 0.25, y + reach))
+    return R.with_bounds(t.v_plot.select("id_recinto", reach.alias("reach"), ring.alias("ring")))
+
+
+@query(
+    "zonal_pyramid",
+    f"""WITH {_PX}, {_MOSAIC}, {_CENTRE}, z AS (SELECT id_recinto, x0 + 0.25 AS cx, y0 + 0.25 AS cy, CASE id_recinto % 5 WHEN 0 THEN 150.0::DOUBLE WHEN 1 THEN 70.0::DOUBLE ELSE 9.0::DOUBLE END + w AS a FROM v_plot)
+    SELECT id_recinto, round(avg(ndvi), 6) AS mean, round(min(ndvi), 6) AS min, round(max(ndvi), 6) AS max, round(stddev_pop(ndvi), 6) AS std, count(*) AS n
+    FROM z JOIN m ON CASE WHEN m.x < cx THEN (cx - m.x) / (a + 0.25) ELSE (m.x - cx) / (a - 0.25) END + CASE WHEN m.y < cy THEN (cy - m.y) / (a + 0.25) ELSE (m.y - cy) / (a - 0.25) END < 1
+    WHERE ndvi IS NOT NULL GROUP BY 1""",
+)
+def zonal_pyramid(t):
+    """Large and small slanted zones: whole blocks from their sums, pixels along the borders."""
+    out = Z.centre_stats(Z.zone_totals(Z.pixel_pyramid(centred(t), 1.0), districts(t), "id_recinto"), "id_recinto")
+    return out.select("id_recinto", "n", *[fixed(c, 6).alias(c) for c in ("mean", "min", "max", "std")])
+
+
 # small zones: plots shrunk so that many hold no pixel centre
 _SMALL = "sp AS (SELECT id_recinto, x0 + 0.6 AS x0, y0 + 0.6 AS y0, CASE WHEN id_recinto % 2 = 0 THEN 0.3 ELSE w - 0.2 END AS w, CASE WHEN id_recinto % 2 = 0 THEN 0.3 ELSE h - 0.2 END AS h FROM v_plot)"
 
@@ -319,7 +341,8 @@ def small_zones(t):
     FROM sp LEFT JOIN a ON a.id_recinto = sp.id_recinto LEFT JOIN b ON b.id_recinto = sp.id_recinto""",
 )
 def zonal_mean_fallback(t):
-    return RA.zonal_mean_fallback(centred(t), small_zones(t), "id_recinto", 1.0, 4.0).withColumn("ndvi", fixed("ndvi", 6))
+    totals = Z.zone_totals(Z.pixel_pyramid(centred(t), 1.0), small_zones(t), "id_recinto")
+    return Z.mean_or_touched(totals, small_zones(t), "id_recinto").withColumn("ndvi", fixed("ndvi", 6))
 
 
 @query(
@@ -341,18 +364,16 @@ def gridded(t):
 @query(
     "ndvi_fallback_chain",
     f"""WITH {_PX}, {_MOSAIC}, {_CENTRE},
-    a AS (SELECT p.id_recinto, m.ndvi AS v FROM v_plot p JOIN m ON floor(p.x0 + p.w / 2) = floor(m.x) AND floor(p.y0 + p.h / 2) = floor(m.y) WHERE m.ndvi > 0.3),
-    b AS (SELECT p.id_recinto, avg(ndvi) AS v FROM v_plot p JOIN m ON m.x > p.x0 AND m.x < p.x0 + p.w AND m.y > p.y0 AND m.y < p.y0 + p.h WHERE ndvi > 0.3 GROUP BY 1),
+    a AS (SELECT p.id_recinto, m.ndvi AS v FROM v_plot p JOIN m ON floor(p.x0 + p.w / 2) = floor(m.x) AND floor(p.y0 + p.h / 2) = floor(m.y) WHERE m.ndvi IS NOT NULL),
+    b AS (SELECT p.id_recinto, avg(ndvi) AS v FROM v_plot p JOIN m ON m.x > p.x0 AND m.x < p.x0 + p.w AND m.y > p.y0 AND m.y < p.y0 + p.h WHERE ndvi IS NOT NULL GROUP BY 1),
     ln AS (SELECT id_recinto, valor_medio AS v FROM (SELECT *, row_number() OVER (PARTITION BY id_recinto ORDER BY fecha_ndvi DESC NULLS LAST, id_indice DESC) AS rn FROM v_ndvi WHERE valor_medio IS NOT NULL) WHERE rn = 1),
     c AS (SELECT p.id_recinto, avg(ln.v) AS v FROM v_plot p JOIN v_plot q ON p.x0 <= q.x0 + q.w AND p.x0 + p.w >= q.x0 AND p.y0 <= q.y0 + q.h AND p.y0 + p.h >= q.y0 AND q.id_recinto <> p.id_recinto JOIN ln ON ln.id_recinto = q.id_recinto GROUP BY 1)
     SELECT p.id_recinto, round(coalesce(a.v, b.v, c.v), 6) AS ndvi, CASE WHEN a.v IS NOT NULL THEN 'centroide' WHEN b.v IS NOT NULL THEN 'zonal' WHEN c.v IS NOT NULL THEN 'recintos' ELSE 'rango' END AS fuente_ndvi
     FROM v_plot p LEFT JOIN a ON a.id_recinto = p.id_recinto LEFT JOIN b ON b.id_recinto = p.id_recinto LEFT JOIN c ON c.id_recinto = p.id_recinto""",
 )
 def ndvi_fallback_chain(t):
-    # pixels of bare ground do not count here, so that each step of the chain is reached
-    green = gridded(t).filter("ndvi > 0.3")
-    centre = RA.sample_at(centroids(t), green, 1.0, "id_recinto").filter("ndvi IS NOT NULL")
-    zonal = RA.zonal_stats(centred(t).filter("ndvi > 0.3"), zones(t), "id_recinto", 4.0).select("id_recinto", F.col("mean").alias("ndvi"))
+    centre = RA.sample_at(centroids(t), gridded(t), 1.0, "id_recinto").filter("ndvi IS NOT NULL")
+    zonal = RA.zonal_stats(centred(t), zones(t), "id_recinto", 4.0).select("id_recinto", F.col("mean").alias("ndvi"))
     return I.ndvi_fallback_chain(t.v_plot.select("id_recinto"), centre, zonal, neighbour_mean(t), "id_recinto").withColumn("ndvi", fixed("ndvi", 6))
 
 
@@ -367,13 +388,15 @@ def neighbour_mean(t):
 
 @query(
     "thumbnail_outcomes",
-    f"""WITH {_PX}, one AS (SELECT * FROM nd WHERE scene = 7), q AS (SELECT p.id_recinto, count(*) AS n, count(ndvi) AS nv FROM v_plot p JOIN one m ON m.tile * 64 + m.c + 1 > p.x0 AND m.tile * 64 + m.c < p.x0 + p.w AND m.r + 1 > p.y0 AND m.r < p.y0 + p.h GROUP BY 1)
-    SELECT p.id_recinto, CASE WHEN p.id_recinto % 7 = 0 THEN 'skipped' WHEN q.n IS NULL THEN 'no_overlap' WHEN 100.0 * q.nv / q.n < 5 THEN 'insufficient_data' ELSE 'success' END AS outcome FROM v_plot p LEFT JOIN q ON q.id_recinto = p.id_recinto""",
+    f"""WITH {_PX}, q AS (SELECT p.id_recinto, m.scene, count(*) AS n, count(ndvi) AS nv FROM v_plot p JOIN nd m ON m.tile * 64 + m.c + 1 > p.x0 AND m.tile * 64 + m.c < p.x0 + p.w AND m.r + 1 > p.y0 AND m.r < p.y0 + p.h GROUP BY 1, 2)
+    SELECT p.id_recinto, q.scene, CASE WHEN p.id_recinto % 7 = 0 THEN 'skipped' WHEN q.n IS NULL THEN 'no_overlap' WHEN 100.0 * q.nv / q.n < 5 THEN 'insufficient_data' ELSE 'success' END AS outcome
+    FROM v_plot p LEFT JOIN q ON q.id_recinto = p.id_recinto AND p.id_recinto % 7 <> 0""",
 )
 def thumbnail_outcomes(t):
-    one = pixels(t).filter("scene = 7").withColumns({"x": F.col("tile") * 64 + F.col("c") + 0.5, "y": F.col("r") + 0.5})
+    """Every scene that meets a plot; a plot that no scene meets, or that is drawn already, has one row without a scene."""
+    shown = pixels(t).withColumns({"x": F.col("tile") * 64 + F.col("c") + 0.5, "y": F.col("r") + 0.5})
     done = t.v_plot.filter("id_recinto % 7 = 0").select("id_recinto")  # already drawn in an earlier run
-    return RA.thumbnail_outcomes(zones(t), one, done, "id_recinto", 1.0)
+    return RA.thumbnail_outcomes(zones(t), shown, done, "id_recinto", 1.0, by=["scene"])
 
 
 @query(

@@ -96,8 +96,9 @@ def tile_grid(t):
 @query("read_latest_snapshot", "SELECT c_custkey, c_name FROM customer WHERE c_nationkey >= 5")
 def read_latest_snapshot(t):
     root = scratch_path(t.spark, "snapshots")
-    t.customer.repartition(4).write.parquet(f"{root}/a")
-    t.customer.filter("c_nationkey >= 5").repartition(8).write.parquet(f"{root}/b")
+    files.write_snapshot(t.customer, f"{root}/a")
+    files.write_snapshot(t.customer.filter("c_nationkey >= 5"), f"{root}/b", ["c_mktsegment"])
+    t.customer.limit(1).write.parquet(f"{root}/c")  # not finished: no manifest
     return files.read_latest_snapshot(t.spark, f"{root}/*").select("c_custkey", "c_name")
 
 

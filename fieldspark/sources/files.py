@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import json
+
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -74,15 +77,82 @@ def latest_snapshot_path(files: DataFrame) -> DataFrame:
     return files.agg(F.max_by("path", F.struct("modificationTime", "path")).alias("path"))
 
 
-def read_latest_snapshot(spark: SparkSession, pattern: str) -> DataFrame:
-    """All rows of the newest parquet snapshot among the folders that match the pattern.
+MANIFEST = "_snapshot.json"
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """(file system, path object) of a path on whatever store it names."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def _data_files(spark: SparkSession, folder: str) -> list[tuple[str, int, int]]:
+    """(path below the folder, length, modification time) of its data files; names that begin with _ or . are not data."""
+    fs, root = _hadoop(spark, folder)
+    prefix = fs.makeQualified(root).toString().rstrip("/") + "/"
+    found, files = [], fs.listFiles(root, True)
+    while files.hasNext():
+        f = files.next()
+        name = f.getPath().toString().removeprefix(prefix)
+        if not any(part.startswith(("_", ".")) for part in name.split("/")):
+            found.append((name, f.getLen(), f.getModificationTime()))
+    return sorted(found)
+
 
-    A snapshot is a folder with any number of part files; the folder that holds the newest file wins, the later name on ties.
+def write_snapshot(df: DataFrame, folder: str, partition_by: list[str] | None = None) -> None:
+    """Writes a parquet snapshot and, last of all, its manifest: time, number of rows, and every file with its length.
+
+    A snapshot without a manifest, or without one of its files, was not finished; readers pass over it.
+    """
+    spark = df.sparkSession
+    counted = Observation("snapshot")
+    df.observe(counted, F.count(F.lit(1)).alias("rows")).write.partitionBy(*(partition_by or [])).parquet(folder)
+    files = _data_files(spark, folder)
+    manifest = {"written_ms": max((t for *_, t in files), default=0), "rows": counted.get["rows"], "files": [[name, size] for name, size, _ in files]}
+    fs, where = _hadoop(spark, f"{folder}/{MANIFEST}")
+    out = fs.create(where, False)
+    try:
+        out.write(bytearray(json.dumps(manifest).encode()))
+    finally:
+        out.close()
+
+
+def read_manifest(spark: SparkSession, folder: str) -> dict | None:
+    """The manifest of a snapshot, or null if it has none, it is damaged, or a file is missing or of another length."""
+    fs, where = _hadoop(spark, f"{folder}/{MANIFEST}")
+    if not fs.exists(where):
+        return None
+    stream = fs.open(where)
+    try:
+        manifest = json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    except (ValueError, Py4JJavaError):  # not JSON, or a checksum that does not hold
+        return None
+    finally:
+        stream.close()
+    there = {name: size for name, size, _ in _data_files(spark, folder)}
+    return manifest if all(there.get(name) == size for name, size in manifest["files"]) else None
+
+
+def latest_snapshot_folder(spark: SparkSession, pattern: str) -> str | None:
+    """The newest complete snapshot among the folders that match; where none has a manifest, the folder that holds the newest file.
+
+    The later name wins ties. Only names, lengths and times of files are read.
     """
-    folder = F.regexp_replace("_metadata.file_path", "/[^/]*$", "")
-    rows = spark.read.parquet(pattern).select("*", F.col("_metadata.file_modification_time").alias("_at"), folder.alias("_folder"))
-    newest = rows.agg(F.max(F.struct("_at", "_folder"))["_folder"].alias("m")).scalar()
-    return rows.filter(F.col("_folder") == newest).drop("_at", "_folder")
+    fs, where = _hadoop(spark, pattern)
+    folders = sorted(f.getPath().toString() for f in (fs.globStatus(where) or []) if f.isDirectory())
+    complete = [(m["written_ms"], f) for f in folders if (m := read_manifest(spark, f)) is not None]
+    if complete:
+        return max(complete)[1]
+    plain = [(max(t for *_, t in files), f) for f in folders if (files := _data_files(spark, f))]
+    return max(plain)[1] if plain else None
+
+
+def read_latest_snapshot(spark: SparkSession, pattern: str) -> DataFrame:
+    """All rows of the newest parquet snapshot among the folders that match the pattern, partition columns included."""
+    folder = latest_snapshot_folder(spark, pattern)
+    if folder is None:
+        raise FileNotFoundError(f"no snapshot matches {pattern}")
+    return spark.read.parquet(folder)
 
 
 def keep_newest_versions(snapshots: DataFrame, n: int = 2, group: list[str] | None = None) -> DataFrame:

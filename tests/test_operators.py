@@ -188,13 +188,13 @@ def test_idw_properties(spark):
     few = I.idw_adaptive(pts, constant.filter("e < 3"), "id", "e", ["g"], F.lit(2.0)).collect()
     assert all(x.valor is None for x in few)
     vary = constant.withColumn("valor", F.col("e").cast("double"))
-    many = I.CHUNK
+    many = I.TARGETS, I.GROUPS, I.ELEMENTS
     try:
         whole = {x.id: x.valor for x in I.idw_adaptive(pts, vary, "id", "e", ["g"], F.lit(2.5)).collect()}
-        I.CHUNK = 2  # several arrays per cell give the same answer
+        I.TARGETS, I.GROUPS, I.ELEMENTS = 4, 1, 10  # small blocks give the same answer
         parts = {x.id: x.valor for x in I.idw_adaptive(pts, vary, "id", "e", ["g"], F.lit(2.5)).collect()}
     finally:
-        I.CHUNK = many
+        I.TARGETS, I.GROUPS, I.ELEMENTS = many
     assert parts == pytest.approx(whole) and all(0 <= v <= 8 for v in whole.values())
     # a short list of neighbours is widened where stations have no value for a group
     gaps = vary.withColumn("g", F.explode(F.array(F.lit(1), F.lit(2)))).filter("g = 1 OR e % 2 = 0")
@@ -214,6 +214,31 @@ def test_latest_snapshot_has_all_its_files(spark, tmp_path):
     assert files.read_latest_snapshot(spark, f"{tmp_path}/*").count() == 1000
 
 
+def test_snapshots_in_subfolders_half_written_or_empty(spark, tmp_path):
+    from fieldspark.sources import files
+
+    rows = spark.range(1000).withColumn("k", F.col("id") % 4)
+    rows.write.partitionBy("k").parquet(f"{tmp_path}/plain")
+    latest = lambda: files.read_latest_snapshot(spark, f"{tmp_path}/*")
+    assert latest().count() == 1000 and set(latest().columns) == {"id", "k"}
+    files.write_snapshot(rows.limit(10), f"{tmp_path}/a", ["k"])
+    assert latest().count() == 10
+    time.sleep(0.05)
+    files.write_snapshot(rows.limit(900), f"{tmp_path}/b")
+    files.write_snapshot(rows.limit(800), f"{tmp_path}/c", ["k"])
+    assert latest().count() == 800
+    assert files.read_manifest(spark, f"{tmp_path}/c")["rows"] == 800
+    lost = sorted((tmp_path / "c").rglob("*.parquet"))[0]
+    lost.write_bytes(lost.read_bytes()[:-1])  # cut off: the snapshot is not whole
+    assert files.read_manifest(spark, f"{tmp_path}/c") is None and latest().count() == 900
+    (tmp_path / "b" / files.MANIFEST).write_text("{")
+    assert latest().count() == 10
+    files.write_snapshot(rows.limit(0), f"{tmp_path}/d")
+    assert latest().count() == 0 and latest().columns == ["id", "k"]
+    with pytest.raises(FileNotFoundError):
+        files.read_latest_snapshot(spark, f"{tmp_path}/none*")
+
+
 @pytest.mark.parametrize("per_batch", [64, 2])
 def test_stream_does_not_depend_on_batches(spark, tmp_path, per_batch):
     rows = spark.range(80).selectExpr(
