@@ -5,6 +5,10 @@ search moves through a document by blocks of words: a shift table says for the b
 window is, and most positions are skipped. Where the shift is zero, the bucket of the block's hash gives the windows that
 end so; their first word is compared, then all words, then their bytes. Many places of many documents move at once (numpy).
 
+The tables take about 15 times the bytes of the items' text. A benchmark of more than ``PASS_BYTES`` is cut into blocks: each block in turn is read,
+compiled, sent out and searched for in a pass over the documents, and its hits are written, before the next one is read; so
+neither the driver nor a task holds more than one block.
+
 Results for odd inputs: a null or empty text has no words; an item without words has no windows; an item whose id is null marks
 words but is not counted; repeated items count once, repeated documents each; no items: nothing is hit. Columns of the documents
 that clash with the new ones are replaced.
@@ -20,16 +24,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldspark.llm.common import table
+from fieldspark.llm.common import stored, table
 from fieldspark.llm.queries import query
-from fieldspark.llm.words import ALNUM, mix64, split_words, with_columns
+from fieldspark.llm.words import ALNUM, mix64, ngram_hashes, split_words, with_columns
 
 WINDOW = 10
 BLOCK = 3
 #: Words in a lane: a document is searched at many places at once, each lane up to this many window starts.
 LANE = 256
 #: Benchmark text that one pass searches for; a larger benchmark is searched in several passes over the documents.
-PASS_BYTES = 32 << 20
+PASS_BYTES = 8 << 20
 
 SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 FIELDS = [
@@ -41,15 +45,17 @@ FIELDS = [
 
 @dataclass
 class Patterns:
-    """Windows of one length, with the tables of the search."""
+    """Windows of one length, ordered by the hash of their last block, with the tables of the search. Words and bytes are those of the items."""
 
     length: int
     block: int
-    words: np.ndarray  # hashes, windows x length, ordered by the hash of the last block
+    hashes: np.ndarray  # of all words of the items
+    joined: np.ndarray  # bytes of all words, and where each word begins
+    joined_at: np.ndarray
+    first: np.ndarray  # first word of each window
     suffix: np.ndarray  # hash of the last block of each window
-    text: np.ndarray  # bytes of all windows
-    text_at: np.ndarray
-    items: list[np.ndarray]  # of each window
+    item: np.ndarray  # items of the windows one after the other, and where each window's begin
+    item_at: np.ndarray
     shift: np.ndarray
 
     def block_hash(self, words: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -68,27 +74,30 @@ def compile_patterns(items: list[tuple[str | None, str]], window: int = WINDOW,
     """Search tables, one set for each window length that occurs, and the names of items by number."""
     found = split_words(pa.array([text for _, text in items], pa.large_string()), ALNUM)
     hashes = found.hashes()
-    by_length: dict[int, dict[bytes, tuple[int, set[int]]]] = {}
-    for i in range(len(items)):
-        lo, hi = found.row_at[i], found.row_at[i + 1]
-        length = int(min(window, hi - lo))
-        for s in range(lo, hi - length + 1) if length else ():
-            by_length.setdefault(length, {}).setdefault(hashes[s : s + length].tobytes(), (s, set()))[1].add(i)
+    n_words = found.per_row()
     out = []
-    for length, windows in sorted(by_length.items()):
-        p = Patterns(length, min(block, length), np.array([np.frombuffer(w, np.uint64) for w in windows]), *[None] * 5)
-        first, owners = zip(*windows.values(), strict=True)
-        p.suffix = p.block_hash(p.words.reshape(-1), np.arange(len(first)) * length + length - 1)
-        order = np.argsort(p.suffix, kind="stable")
-        p.words, p.suffix = p.words[order], p.suffix[order]
-        parts = [found.joined[found.joined_at[first[k]] : found.joined_at[first[k] + length]] for k in order]
-        p.text, p.text_at = np.concatenate(parts), np.concatenate(([0], np.cumsum([len(x) for x in parts])))
-        p.items = [np.array(sorted(owners[k])) for k in order]
-        size = 1 << max(12, (8 * len(order) * length).bit_length())
+    for length in np.unique(np.minimum(n_words, window)).tolist():
+        if not length:
+            continue
+        own = np.flatnonzero(np.minimum(n_words, window) == length)
+        starts = n_words[own] - length + 1
+        owner = np.repeat(own, starts)
+        place = np.repeat(found.row_at[own], starts) + np.arange(starts.sum()) - np.repeat(np.cumsum(starts) - starts, starts)
+        key = ngram_hashes(hashes, length)[place]
+        _, once, same = np.unique(key, return_index=True, return_inverse=True)
+        p = Patterns(length, min(block, length), hashes, found.joined, found.joined_at, place[once], *[None] * 4)
+        suffix = p.block_hash(hashes, p.first + length - 1)
+        order = np.argsort(suffix, kind="stable")
+        p.first, p.suffix = p.first[order], suffix[order]
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        pairs = np.unique(np.stack([rank[same], owner]), axis=1)
+        p.item, p.item_at = pairs[1], np.searchsorted(pairs[0], np.arange(len(order) + 1))
+        # a window shares most of its blocks with the next one of its item
+        size = 1 << max(12, (8 * len(order)).bit_length())
         p.shift = np.full(size, length - p.block + 1, np.uint8 if length < 256 else np.int32)
         for end in range(p.block - 1, length):  # a block that ends here lets the search move on to the window's end
-            at = _slot(p.block_hash(p.words.reshape(-1), np.arange(len(order)) * length + end), size)
-            np.minimum.at(p.shift, at, length - 1 - end)
+            np.minimum.at(p.shift, _slot(p.block_hash(hashes, p.first + end), size), length - 1 - end)
         out.append(p)
     return out, [name for name, _ in items]
 
@@ -115,20 +124,21 @@ def occurrences(p: Patterns, words, hashes: np.ndarray) -> tuple[np.ndarray, np.
     first = np.repeat(last - p.length + 1, n)
     window = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
     for j in range(p.length):  # the first word, then the others
-        same = hashes[first + j] == p.words[window, j]
+        same = hashes[first + j] == p.hashes[p.first[window] + j]
         first, window = first[same], window[same]
     return _confirm(p, words, first, window)
 
 
 def _confirm(p: Patterns, words, first: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Those whose bytes are those of the window, compared together for windows of the same number of bytes."""
-    begin, size = words.joined_at[first], p.text_at[window + 1] - p.text_at[window]
+    begin, text = words.joined_at[first], p.joined_at[p.first[window]]
+    size = p.joined_at[p.first[window] + p.length] - text
     same = words.joined_at[first + p.length] - begin == size
     for n in np.unique(size[same]):
         k = np.flatnonzero(same & (size == n))
         for part in np.array_split(k, -(-len(k) * int(n) // (8 << 20))):
             span = np.arange(n)
-            same[part] = (words.joined[begin[part, None] + span] == p.text[p.text_at[window[part], None] + span]).all(1)
+            same[part] = (words.joined[begin[part, None] + span] == p.joined[text[part, None] + span]).all(1)
     return first[same], window[same]
 
 
@@ -145,7 +155,7 @@ def search(tables: tuple[list[Patterns], list[str | None]], column: pa.Array) ->
         if len(first):
             row = np.searchsorted(words.row_at, first, "right") - 1
             seen = np.unique(np.stack([row, window]), axis=1)
-            pairs += [(int(r), i) for r, w in seen.T for i in p.items[w]]
+            pairs += [(int(r), i) for r, w in seen.T for i in p.item[p.item_at[w] : p.item_at[w + 1]]]
     n_rows = len(column)
     spans: list[list] = [[] for _ in range(n_rows)]
     named: list[set] = [set() for _ in range(n_rows)]
@@ -165,36 +175,46 @@ def search(tables: tuple[list[Patterns], list[str | None]], column: pa.Array) ->
     return words.per_row(), spans, [sorted(x) for x in named]
 
 
-def _passes(items: DataFrame, pass_bytes: int) -> list[list[tuple[str | None, str]]]:
-    """The items in blocks of about ``pass_bytes``: each block is read on its own, so no more than that is held at once."""
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total // pass_bytes))
-    where = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    return [[(r[0], r[1]) for r in items.where(where == k).select("item_id", "text").collect()] for k in range(n)]
+def _scan(docs: DataFrame, text: str, items: list, window: int, block: int) -> tuple[DataFrame, object]:
+    """(``docs`` with the columns of one block of items, the broadcast tables)."""
+    tables = docs.sparkSession.sparkContext.broadcast(compile_patterns(items, window, block))
+
+    def scan(column):
+        n, spans, named = search(tables.value, column)
+        return [pa.array(n, pa.int64()), pa.array(spans, _ARROW_SPAN), pa.array(named, pa.list_(pa.string()))]
+
+    return with_columns(docs, text, FIELDS, scan), tables
 
 
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, block: int = BLOCK, pass_bytes: int = PASS_BYTES
 ) -> DataFrame:
-    """``docs`` with n_words, hit_spans (stretches of words inside occurrences) and hit_items, without a shuffle."""
+    """``docs`` with n_words, hit_spans (stretches of words inside occurrences) and hit_items; without a shuffle, if one pass does."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
-    out = docs
-    for k, block_items in enumerate(_passes(items, pass_bytes)):
-        tables = docs.sparkSession.sparkContext.broadcast(compile_patterns(block_items, window, block))
-
-        def scan(column, tables=tables):
-            n, spans, named = search(tables.value, column)
-            return [pa.array(n, pa.int64()), pa.array(spans, _ARROW_SPAN), pa.array(named, pa.list_(pa.string()))]
-
-        if not k:
-            out = with_columns(out, text, FIELDS, scan)
-            continue
-        before = {"hit_spans": "_spans_before", "hit_items": "_items_before"}
-        out = with_columns(out.withColumnsRenamed(before), text, FIELDS, scan)
-        out = out.withColumns(
-            {"hit_spans": F.concat("_spans_before", "hit_spans"), "hit_items": F.array_sort(F.array_union("_items_before", "hit_items"))}
-        ).drop(*before.values())
-    return out.withColumn("hit_spans", merged_spans(F.col("hit_spans"))) if k else out
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    passes = max(1, -(-total // pass_bytes))
+    where = F.pmod(F.xxhash64("item_id", "text"), F.lit(passes))
+    read = lambda k: [(r[0], r[1]) for r in items.where(where == k).collect()]  # noqa: E731  about pass_bytes
+    if passes == 1:
+        return _scan(docs, text, read(0), window, block)[0]
+    new = [f.name for f in FIELDS]
+    kept = docs.drop(*new)
+    rows = stored(kept.select(F.struct("*").alias("_row"), F.col(text).alias("_text"), F.monotonically_increasing_id().alias("_key")), "documents")
+    hits = []
+    for k in range(passes):
+        found, tables = _scan(rows.select("_key", "_text"), "_text", read(k), window, block)
+        hits.append(stored(found.where(F.size("hit_spans") > 0).select("_key", "hit_spans", "hit_items"), f"hits{k}"))
+        tables.destroy()
+    every = hits[0]
+    for more in hits[1:]:
+        every = every.union(more)
+    # one row a pass at most for each document
+    merged = every.groupBy("_key").agg(
+        merged_spans(F.flatten(F.collect_list("hit_spans"))).alias("hit_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_items")))).alias("hit_items")
+    )
+    counted, _ = _scan(rows, "_text", [], window, block)
+    spans, names = F.coalesce("m.hit_spans", "c.hit_spans").alias("hit_spans"), F.coalesce("m.hit_items", "c.hit_items").alias("hit_items")
+    return counted.alias("c").join(merged.alias("m"), "_key", "left").select("c._row.*", "c.n_words", spans, names)
 
 
 _ARROW_SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
