@@ -6,9 +6,11 @@ of its target is filled by its documents in key order up to the word budget, the
 keeps per source is the number of epochs and the last key taken, so documents are judged row by row afterwards, and
 texts are never shuffled. The prefix sums run over a global order in range partitions: a hot source spreads over many tasks.
 
-Odd inputs: null text has size 0 and is never taken; null sources form one source, weighed last; rows equal in id and text have the
-same key and are taken or left together; null ids are like any other id; no rows, no mix. Columns that clash with the new ones
-are replaced.
+Rows equal in id and text have the same key. They are dealt one by one, too: the plan says how many of the last key's rows fit, and where that is not
+all of them, these rows alone are numbered and the first ones taken.
+
+Odd inputs: null text has size 0 and is never taken; null sources form one source, weighed last; null ids are like any other id; no
+rows, no mix. Columns that clash with the new ones are replaced.
 """
 
 from __future__ import annotations
@@ -85,16 +87,20 @@ def _order() -> Column:
 
 
 def plan_mix(keyed: DataFrame, id_col: str = "doc_id", weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """One row per source: source, source_size, target, epochs, last (the last key that the fractional part takes, or null)."""
-    slim = cut_lineage(keyed.select(F.col(id_col).alias("_id"), "source", "size", "mix_key"))
+    """One row per source: source, source_size, target, epochs, last (the last key that the fractional part takes, or null), and how many
+    rows have that key (``ties``) and are taken (``fit``)."""
+    slim = cut_lineage(keyed.select(F.col(id_col).alias("_id"), "source", "size", "mix_key").withColumn("_r", F.monotonically_increasing_id()))
     targets = _targets(slim, weights, share, most)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
     targets = targets.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
     ordered = running_totals(
-        slim.where("size > 0").withColumn("_order", _order()), [F.col("_order")], {"before": F.col("size")}, ["source"]
+        slim.where("size > 0").withColumn("_order", _order()), [F.col("_order"), F.col("_r")], {"before": F.col("size")}, ["source"]
     )
-    fits = join_sources(ordered, targets).where("before + size / 2 <= rest")
-    last = fits.groupBy("source").agg(F.max("_order").alias("last")).withColumnRenamed("source", "_s")
+    # a key's rows in a few numbers: which one fits depends on the words before it
+    judged = join_sources(ordered, targets).withColumn("_fits", F.col("before") + F.col("size") / 2 <= F.col("rest"))
+    by_key = judged.groupBy("source", "_order").agg(F.count("*").alias("ties"), F.count_if("_fits").alias("fit")).where("fit > 0")
+    last = by_key.groupBy("source").agg(F.max(F.struct(F.col("_order").alias("last"), "ties", "fit")).alias("_l"))
+    last = last.select(F.col("source").alias("_s"), "_l.*")
     return cut_lineage(targets.join(last, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s", "rest"))
 
 
@@ -109,8 +115,19 @@ def join_sources(docs: DataFrame, by_source: DataFrame) -> DataFrame:
 def apply_mix(keyed: DataFrame, plan: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Adds source_size, target and copies: how often the mix holds each document."""
     joined = join_sources(keyed.withColumn("_id", F.col(id_col)), plan)
-    extra = F.when((F.col("size") > 0) & (_order() <= F.col("last")), 1).otherwise(0)
-    return joined.withColumn("copies", F.when(F.col("size") > 0, F.col("epochs") + extra).otherwise(0)).drop("_id", "epochs", "last")
+    some = (F.col("size") > 0) & (_order() == F.col("last")) & (F.col("fit") < F.col("ties"))
+    names = [*keyed.columns, "source_size", "target"]
+
+    def taken(rows: DataFrame, extra: Column) -> DataFrame:
+        return rows.select(*names, F.when(F.col("size") > 0, F.col("epochs") + extra).otherwise(0).alias("copies"))
+
+    whole = F.when((F.col("size") > 0) & (_order() <= F.col("last")), 1).otherwise(0)
+    if plan.where("fit < ties").isEmpty():  # a row per source
+        return taken(joined, whole)
+    tied = joined.where(F.coalesce(some, F.lit(False))).withColumn("_r", F.monotonically_increasing_id())
+    numbered = running_totals(tied, [F.col("_r")], {"_nth": F.lit(1)}, ["source"])
+    rest = joined.where(~F.coalesce(some, F.lit(False)))
+    return taken(rest, whole).union(taken(numbered, F.when(F.col("_nth") < F.col("fit"), 1).otherwise(0)))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
