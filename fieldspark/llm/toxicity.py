@@ -33,7 +33,7 @@ from fieldspark.session import cut_lineage
 
 #: Bound of the sample of labelled rows that lexicons and classifier are fitted on.
 SAMPLE = 20_000
-#: Entries of each lexicon kind at most, and texts of the sample that must hold one.
+#: Entries of each lexicon kind at most, and toxic texts of the sample that must hold one; of few toxic texts, half of them.
 ENTRIES, SUPPORT = 192, 6
 #: Bytes of a word that a beginning has; 0 stands for the whole word.
 KINDS = (0, 4, 5, 6)
@@ -88,7 +88,7 @@ def mine(sample: DataFrame) -> list[np.ndarray]:
     if not toxic:
         return [np.zeros(0, np.uint64) for _ in KINDS]
     counts = sample.select("text", "toxic").mapInArrow(count, "kind long, code long, toxic long, n long")
-    counts = counts.groupBy("kind", "code").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n")).where(F.col("toxic") >= SUPPORT)
+    counts = counts.groupBy("kind", "code").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n")).where(F.col("toxic") >= min(SUPPORT, max(2, -(-toxic // 2))))
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("n") - F.col("toxic") + 0.5) / (n - toxic + 1.0))
     scored = counts.withColumn("odds", odds).where("odds > 3")
     out = []
