@@ -7,6 +7,8 @@ has one row per slot, so it is bounded by ``SLOTS`` whatever the data, and the d
 Records hash by id, text checksum and size. Rows that are equal in all of these and together outweigh a slot (there can be at most
 ``SLOTS`` such groups) are dealt over all slots one by one; they are interchangeable. Law: ``bytes``.
 
+A later run reads the newest version of the map, measures, edits and writes the next one, so what is already placed stays where it can.
+
 Odd inputs: a null text has 8 bytes; null ids hash like any other; repeated rows are dealt like others; an empty table gives an empty
 result. Columns that clash with the new ones are replaced.
 """
@@ -67,9 +69,20 @@ def first_map(shards: int, slots: int = SLOTS) -> dict[int, int]:
 
 
 def rebalance(owner: dict[int, int], loads: dict[int, int], shards: int, tolerance: float = TOLERANCE) -> dict[int, int]:
-    """A new map for ``shards`` shards. Full shards give away slots, the emptiest take them; other slots stay."""
-    owner = dict(owner)
+    """A new map for ``shards`` shards. Full shards give away slots, the emptiest take them; other slots stay. The old map stays while its
+    fullest and emptiest shard differ by less than an average slot, or if a new one is no better."""
+
+    def spread(of: dict[int, int]) -> int:
+        full = dict.fromkeys(range(shards), 0)
+        for slot, k in of.items():
+            full[k] += loads.get(slot, 0)
+        return max(full.values()) - min(full.values())
+
+    before = dict(owner)
     mean = sum(loads.values()) / shards
+    fits = max(owner.values()) < shards and set(owner.values()) == set(range(shards))
+    if fits and spread(owner) <= max(tolerance * mean, mean * shards / len(owner)):
+        return before
     held: dict[int, list[tuple[int, int]]] = {k: [] for k in range(shards)}
     pool = []
     for slot, shard in owner.items():
@@ -100,7 +113,8 @@ def rebalance(owner: dict[int, int], loads: dict[int, int], shards: int, toleran
         held[lo].append(give)
         full[hi] -= give[0]
         full[lo] += give[0]
-    return {slot: k for k, v in held.items() for _, slot in v}
+    after = {slot: k for k, v in held.items() for _, slot in v}
+    return before if fits and spread(before) <= spread(after) else after
 
 
 def store_map(spark: SparkSession, path: str, version: int, owner: dict[int, int]) -> None:
@@ -113,14 +127,31 @@ def load_map(spark: SparkSession, path: str, version: int) -> DataFrame:
     return spark.read.schema(MAP).parquet(f"{path}/v{version:06d}")
 
 
+def newest_version(spark: SparkSession, path: str) -> int | None:
+    """The newest version that was written to the end, by names alone."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v*/_SUCCESS")
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where) or []
+    return max((int(f.getPath().getParent().getName()[1:]) for f in found), default=None)
+
+
 def plan_shards(records: DataFrame, shards: int = SHARDS, slots: int = SLOTS, path: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(heavy rows, current map). Version 1 deals slots in turn, version 2 is balanced by the bytes measured."""
+    """(heavy rows, current map). The newest stored map is edited by the bytes measured now, and the result is the next version.
+
+    Without a stored map, version 1 deals slots in turn. A map that needs no edit stays the newest. ``path`` keeps the versions from run to run.
+    """
     spark = records.sparkSession
     heavy = heavy_rows(records, slots=slots)
     path = path or scratch_path(spark, "slot-map")
-    store_map(spark, path, 1, owner := first_map(shards, slots))
-    store_map(spark, path, 2, rebalance(owner, slot_loads(with_slots(records, heavy, slots=slots)), shards))
-    return heavy, load_map(spark, path, 2)
+    version = newest_version(spark, path)
+    if version is None:
+        version = 1
+        store_map(spark, path, version, first_map(shards, slots))
+    owner = {r["slot"]: r["shard"] for r in load_map(spark, path, version).collect()}  # a row per slot
+    edited = rebalance(owner, slot_loads(with_slots(records, heavy, slots=slots)), shards)
+    if edited != owner:
+        version += 1
+        store_map(spark, path, version, edited)
+    return heavy, load_map(spark, path, version)
 
 
 def assign(records: DataFrame, heavy: DataFrame, slot_map: DataFrame, slots: int = SLOTS) -> DataFrame:
@@ -129,11 +160,11 @@ def assign(records: DataFrame, heavy: DataFrame, slot_map: DataFrame, slots: int
     return with_slots(records, heavy, slots=slots).join(owner, "vslot")
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """The documents with a column shard."""
+def shard_documents(docs: DataFrame, shards: int = SHARDS, path: str | None = None) -> DataFrame:
+    """The documents with a column shard; with ``path``, by the map stored there, edited as needed."""
     kept = docs.drop("shard")
     slim = cut_lineage(measured(kept.select("doc_id", "text")).select("doc_id", "size", "text_crc32"))
-    heavy, slot_map = plan_shards(slim, shards)
+    heavy, slot_map = plan_shards(slim, shards, path=path)
     rows = measured(kept.select("doc_id", "text", F.struct("*").alias("_all")))
     return assign(rows, heavy, slot_map).select("_all.*", "shard")
 
