@@ -1,8 +1,9 @@
 """Zonal statistics over a pyramid of pixel blocks.
 
-Pixels are squares of a grid. Their statistics are kept on three levels: per pixel, per quarter of a block, per block. A zone takes whole
-blocks and quarters that lie inside it from their sums, and tests single pixels only in quarters that its border may cross. Its ring
-rides once per block and once per such quarter, not once per pixel; the pixel source is read once, for both pixel rules.
+Pixels are squares of a grid. Their statistics are kept per block of 64 x 64 pixels, per quarter of a block, and per square of 8 x 8, which also
+holds its pixels. A zone takes whole blocks, quarters and squares that lie inside it from their sums, and tests single pixels only in squares that
+its border may cross. Its ring rides once per block, and once per such quarter and square, not once per pixel; the pixel source is
+read once, for both pixel rules.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 from fieldspark.functions import ring as R
 from fieldspark.session import cut_lineage
 
-BLOCK = 64
+#: Pixels along a block of each level, each a multiple of the next.
+SIDES = (64, 32, 8)
 #: Statistics of a set of pixels: by the centre rule all valid values count, by the touch rule those in [-1, 1].
 SUMS = ("n", "s", "s2", "tn", "ts")
 LEAST, MOST = ("lo", "tlo"), ("hi", "thi")
@@ -29,31 +31,33 @@ def _totals() -> list[Column]:
 @dataclass
 class Pyramid:
     size: float  # side of a pixel
-    block: int  # pixels along a block
-    blocks: DataFrame  # level, bx, by, statistics: level 0 blocks, level 1 quarters
-    quarters: DataFrame  # bx, by (of the quarter), pixels: array of (px, py, statistics)
+    sides: tuple[int, ...]
+    sums: DataFrame  # level, bx, by, statistics
+    pixels: DataFrame  # bx, by (of the last level), pixels: array of (px, py, statistics)
 
 
-def pixel_pyramid(pixels: DataFrame, size: float, value: str = "ndvi", block: int = BLOCK) -> Pyramid:
+def pixel_pyramid(pixels: DataFrame, size: float, value: str = "ndvi", sides: tuple[int, ...] = SIDES) -> Pyramid:
     """``pixels`` has centre coordinates ``x, y``; several rows of one pixel are added up, rows without a value left out."""
-    half = block // 2
     v = F.col(value).cast("double")
-    near = (v >= -1) & (v <= 1)
-    touched = F.when(near, v)
+    touched = F.when((v >= -1) & (v <= 1), v)
     index = lambda c: F.floor(F.col(c) / size).cast("long")
     per_pixel = pixels.where(F.col(value).isNotNull()).groupBy(index("x").alias("px"), index("y").alias("py")).agg(
         F.count(v).alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("s2"), F.count(touched).alias("tn"), F.sum(touched).alias("ts"),
         F.min(v).alias("lo"), F.min(touched).alias("tlo"), F.max(v).alias("hi"), F.max(touched).alias("thi"),
     )
-    at = lambda c: F.floor(F.col(c) / half).cast("long")
-    # at most half x half pixels
-    quarters = cut_lineage(
-        per_pixel.groupBy(at("px").alias("bx"), at("py").alias("by")).agg(F.collect_list(F.struct("px", "py", *STATS)).alias("pixels"), *_totals())
+    up = lambda c, by, name: F.floor(F.col(c) / by).cast("long").alias(name)
+    # at most side x side pixels
+    squares = cut_lineage(
+        per_pixel.groupBy(up("px", sides[-1], "bx"), up("py", sides[-1], "by")).agg(F.collect_list(F.struct("px", "py", *STATS)).alias("pixels"), *_totals())
     )
-    sums = quarters.select(F.lit(1).alias("level"), "bx", "by", *STATS)
-    up = lambda c: F.shiftright(c, 1).alias(c)
-    whole = sums.groupBy(up("bx"), up("by")).agg(*_totals()).select(F.lit(0).alias("level"), "bx", "by", *STATS)
-    return Pyramid(size, block, whole.union(sums), quarters.select("bx", "by", "pixels"))
+    last = len(sides) - 1
+    now = squares.select(F.lit(last).alias("level"), "bx", "by", *STATS)
+    sums = now
+    for level in range(last - 1, -1, -1):
+        by = sides[level] // sides[level + 1]
+        now = now.groupBy(up("bx", by, "bx"), up("by", by, "by")).agg(*_totals()).select(F.lit(level).alias("level"), "bx", "by", *STATS)
+        sums = sums.union(now)
+    return Pyramid(size, sides, sums, squares.select("bx", "by", "pixels"))
 
 
 def _square(bx: Column, by: Column, side: float) -> list[Column]:
@@ -61,12 +65,15 @@ def _square(bx: Column, by: Column, side: float) -> list[Column]:
 
 
 def _place(side: float) -> Column:
-    """``in``, ``out`` or ``border`` for a square and a ring; a square that the box of any edge reaches counts as border."""
+    """``in``, ``out`` or ``border`` for a square and a ring, border if any edge meets the closed square."""
     x0, y0, x1, y1 = _square(F.col("bx"), F.col("by"), side)
 
     def reaches(e: Column) -> Column:
         ax, ay, bx, by = e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"]
-        return (F.least(ax, bx) <= x1) & (F.greatest(ax, bx) >= x0) & (F.least(ay, by) <= y1) & (F.greatest(ay, by) >= y0)
+        boxes = (F.least(ax, bx) <= x1) & (F.greatest(ax, bx) >= x0) & (F.least(ay, by) <= y1) & (F.greatest(ay, by) >= y0)
+        # the middle of the square is no farther from the line than its corners reach; a trifle more counts as border
+        off = F.abs((bx - ax) * ((y0 + y1) / 2 - ay) - (by - ay) * ((x0 + x1) / 2 - ax))
+        return boxes & (off <= (side / 2 + 1e-9) * (F.abs(bx - ax) + F.abs(by - ay)))
 
     return (
         F.when(F.exists(R.edges(F.col("ring")), reaches), "border")
@@ -74,38 +81,46 @@ def _place(side: float) -> Column:
     )
 
 
-def zone_totals(pyramid: Pyramid, zones: DataFrame, key: str) -> DataFrame:
-    """Per zone with any pixel: the statistics by both rules. ``zones``: key, ``ring`` and its box.
+def zone_totals(pyramid: Pyramid, zones: DataFrame, key: str, touch: bool = True) -> DataFrame:
+    """Per zone with any pixel: the statistics by the centre rule and, with ``touch``, by the touch rule. ``zones``: key, ``ring`` and its box.
 
     A pixel counts by the centre rule if its centre lies in the zone (a centre on a shared border belongs to one neighbour), by the touch rule if
     its closed square shares any point with it.
     """
-    size, half = pyramid.size, pyramid.block // 2
+    size, sides = pyramid.size, pyramid.sides
     box = zones.select(key, "ring", "minx", "miny", "maxx", "maxy")
 
     def span(lo: str, hi: str, side: float) -> Column:
         # closed squares: a border that lies on a grid line touches both sides
         return F.sequence((F.ceil(F.col(lo) / side) - 1).cast("long"), F.floor(F.col(hi) / side).cast("long"))
 
-    side = pyramid.block * size
-    met = box.withColumn("bx", F.explode(span("minx", "maxx", side))).withColumn("by", F.explode(span("miny", "maxy", side))).withColumn("place", _place(side))
-    down = lambda c: F.explode(F.array(F.col(c) * 2, F.col(c) * 2 + 1))
-    border = met.where("place = 'border'").withColumn("bx", down("bx")).withColumn("by", down("by"))
-    meets = lambda s: (F.col("bx") * s <= F.col("maxx")) & ((F.col("bx") + 1) * s >= F.col("minx")) & (F.col("by") * s <= F.col("maxy")) & ((F.col("by") + 1) * s >= F.col("miny"))
-    parts = border.where(meets(half * size)).withColumn("place", _place(half * size))
-    inside = met.where("place = 'in'").select(key, F.lit(0).alias("level"), "bx", "by").union(parts.where("place = 'in'").select(key, F.lit(1).alias("level"), "bx", "by"))
-    whole = inside.join(pyramid.blocks, ["level", "bx", "by"]).select(key, *STATS)
+    def reached(side: float) -> Column:
+        x0, y0, x1, y1 = _square(F.col("bx"), F.col("by"), side)
+        return (x0 <= F.col("maxx")) & (x1 >= F.col("minx")) & (y0 <= F.col("maxy")) & (y1 >= F.col("miny"))
+
+    top = sides[0] * size
+    met = box.withColumn("bx", F.explode(span("minx", "maxx", top))).withColumn("by", F.explode(span("miny", "maxy", top))).withColumn("place", _place(top))
+    inside = None
+    for level, side in enumerate(sides):
+        if level:
+            by = sides[level - 1] // side
+            down = lambda c, by=by: F.explode(F.sequence(F.col(c) * by, F.col(c) * by + by - 1))
+            met = met.where("place = 'border'").withColumn("bx", down("bx")).withColumn("by", down("by")).where(reached(side * size))
+            met = met.withColumn("place", _place(side * size))
+        own = met.where("place = 'in'").select(key, F.lit(level).alias("level"), "bx", "by")
+        inside = own if inside is None else inside.union(own)
+    whole = inside.join(pyramid.sums, ["level", "bx", "by"]).select(key, *STATS)
 
     x0, y0 = lambda p: p["px"] * size, lambda p: p["py"] * size
 
     def near(p: Column) -> Column:
         return (x0(p) <= F.col("maxx")) & (x0(p) + size >= F.col("minx")) & (y0(p) <= F.col("maxy")) & (y0(p) + size >= F.col("miny"))
 
-    tested = parts.where("place = 'border'").join(pyramid.quarters, ["bx", "by"]).select(key, "ring", F.explode(F.filter("pixels", near)).alias("p"))
+    tested = met.where("place = 'border'").join(pyramid.pixels, ["bx", "by"]).select(key, "ring", F.explode(F.filter("pixels", near)).alias("p"))
     p = F.col("p")
-    centre = R.contains_point(F.col("ring"), x0(p) + size / 2, y0(p) + size / 2, "half_open")
-    touch = centre | R.polygons_intersect(F.col("ring"), R.rectangle(x0(p), y0(p), x0(p) + size, y0(p) + size))
-    tested = tested.withColumns({"_c": centre, "_t": touch})
+    tested = tested.withColumn("_c", R.contains_point(F.col("ring"), x0(p) + size / 2, y0(p) + size / 2, "half_open"))
+    touched = F.col("_c") | R.polygons_intersect(F.col("ring"), R.rectangle(x0(p), y0(p), x0(p) + size, y0(p) + size))
+    tested = tested.withColumn("_t", touched) if touch else tested.where("_c").withColumn("_t", F.lit(False))
     kept = lambda c: F.when(F.col("_t") if c.startswith("t") else F.col("_c"), p[c])
     single = tested.select(key, *[kept(c).alias(c) for c in STATS])
     return whole.union(single).groupBy(key).agg(*_totals())

@@ -299,23 +299,23 @@ def zonal_all_touched(t):
 
 
 def districts(t):
-    """Zones of any size: a slanted four-sided piece of land around each plot, up to half the region wide."""
+    """Zones of any size: a slanted four-sided piece of land around each plot, up to a good part of the region wide."""
     x, y, k = F.col("x0"), F.col("y0"), F.col("id_recinto") % 5
-    reach = F.when(k == 0, 150.0).when(k == 1, 70.0).otherwise(9.0) + F.col("w")
+    reach = F.when(k == 0, 60.0).when(k == 1, 25.0).otherwise(9.0) + F.col("w")
     ring = F.array(R.point(x - reach, y + 0.25), R.point(x + 0.25, y - reach), R.point(x + reach, y + 0.25), R.point(x + 0.25, y + reach))
     return R.with_bounds(t.v_plot.select("id_recinto", reach.alias("reach"), ring.alias("ring")))
 
 
 @query(
     "zonal_pyramid",
-    f"""WITH {_PX}, {_MOSAIC}, {_CENTRE}, z AS (SELECT id_recinto, x0 + 0.25 AS cx, y0 + 0.25 AS cy, CASE id_recinto % 5 WHEN 0 THEN 150.0::DOUBLE WHEN 1 THEN 70.0::DOUBLE ELSE 9.0::DOUBLE END + w AS a FROM v_plot)
+    f"""WITH {_PX}, {_MOSAIC}, {_CENTRE}, z AS (SELECT id_recinto, x0 + 0.25 AS cx, y0 + 0.25 AS cy, CASE id_recinto % 5 WHEN 0 THEN 60.0::DOUBLE WHEN 1 THEN 25.0::DOUBLE ELSE 9.0::DOUBLE END + w AS a FROM v_plot)
     SELECT id_recinto, round(avg(ndvi), 6) AS mean, round(min(ndvi), 6) AS min, round(max(ndvi), 6) AS max, round(stddev_pop(ndvi), 6) AS std, count(*) AS n
     FROM z JOIN m ON CASE WHEN m.x < cx THEN (cx - m.x) / (a + 0.25) ELSE (m.x - cx) / (a - 0.25) END + CASE WHEN m.y < cy THEN (cy - m.y) / (a + 0.25) ELSE (m.y - cy) / (a - 0.25) END < 1
     WHERE ndvi IS NOT NULL GROUP BY 1""",
 )
 def zonal_pyramid(t):
     """Large and small slanted zones: whole blocks from their sums, pixels along the borders."""
-    out = Z.centre_stats(Z.zone_totals(Z.pixel_pyramid(centred(t), 1.0), districts(t), "id_recinto"), "id_recinto")
+    out = Z.centre_stats(Z.zone_totals(Z.pixel_pyramid(centred(t), 1.0), districts(t), "id_recinto", touch=False), "id_recinto")
     return out.select("id_recinto", "n", *[fixed(c, 6).alias(c) for c in ("mean", "min", "max", "std")])
 
 
