@@ -258,6 +258,55 @@ def is_simple(ring: Column) -> Column:
     return let(edges(ring), test)
 
 
+def anticlockwise(ring: Column) -> Column:
+    """Open ring that turns left."""
+    return let(open_ring(ring), lambda r: F.when(signed_area(r) < 0, F.reverse(r)).otherwise(r))
+
+
+def is_convex(ring: Column) -> Column:
+    """No right turn in an open anticlockwise ring of three or more vertices."""
+
+    def turns(es: Column) -> Column:
+        following = F.concat(F.slice(es, F.lit(2), F.greatest(F.size(es) - 1, F.lit(0))), F.slice(es, 1, 1))
+        cross = lambda e, f: (e["b"]["x"] - e["a"]["x"]) * (f["b"]["y"] - f["a"]["y"]) - (e["b"]["y"] - e["a"]["y"]) * (f["b"]["x"] - f["a"]["x"])
+        return (F.size(es) >= 3) & F.forall(F.zip_with(es, following, cross), lambda c: c >= -1e-12)
+
+    return let(edges(ring), turns)
+
+
+def clip_convex(subject: Column, clip: Column) -> Column:
+    """The part of an open ring inside a convex anticlockwise one: each side of the clip ring cuts what the sides before it left.
+
+    The area is right for any simple subject; of a non-convex one the parts may hang together by sides that run to and fro.
+    """
+    none = F.array().cast(RING_TYPE)
+
+    def cut(ring: Column, e: Column) -> Column:
+        dx, dy = e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"]
+        sided = F.transform(ring, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), (dx * (p["y"] - e["a"]["y"]) - dy * (p["x"] - e["a"]["x"])).alias("s")))
+
+        def kept(pts: Column) -> Column:
+            before = F.concat(F.slice(pts, -1, 1), F.slice(pts, F.lit(1), F.size(pts) - 1))
+
+            def piece(p: Column, q: Column) -> Column:
+                share = p["s"] / (p["s"] - q["s"])
+                crossing = point(p["x"] + (q["x"] - p["x"]) * share, p["y"] + (q["y"] - p["y"]) * share)
+                here = point(q["x"], q["y"])
+                crosses, inside = (p["s"] >= 0) != (q["s"] >= 0), q["s"] >= 0
+                return F.when(crosses & inside, F.array(crossing, here)).when(crosses, F.array(crossing)).when(inside, F.array(here)).otherwise(none)
+
+            return F.when(F.size(pts) > 0, F.flatten(F.zip_with(before, pts, piece))).otherwise(none)
+
+        return let(sided, kept)
+
+    return F.aggregate(edges(clip), subject.cast(RING_TYPE), cut)
+
+
+def convex_overlap(a: Column, b: Column) -> Column:
+    """Common area of a simple ring and a convex one, both open and anticlockwise."""
+    return let(clip_convex(a, b), lambda r: F.when(F.size(r) >= 3, F.abs(signed_area(r))).otherwise(F.lit(0.0)))
+
+
 def parse_wkt_parts(wkt: Column) -> Column:
     """All parts of a WKT polygon or multipolygon, each with its outer ring and then its holes; null for other text."""
     pattern = r"(?is)^\s*(MULTI)?POLYGON\s*Z?\s*(\(.*\))\s*$"

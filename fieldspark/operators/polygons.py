@@ -257,24 +257,35 @@ def _schema(df: DataFrame, extra: str) -> str:
     return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), extra])
 
 
-def intersection_area(pairs: DataFrame, ring_a: str = "ring", ring_b: str = "ring_r") -> DataFrame:
-    """Adds ``overlap``, the common area of two rings per row; ring columns are dropped."""
+def intersection_area(pairs: DataFrame, ring_a: str = "ring", ring_b: str = "ring_r", convex: bool = False) -> DataFrame:
+    """Adds ``overlap``, the common area of two rings per row; ring columns are dropped.
+
+    Where one of the rings is convex the area is a column expression; only pairs of two others go through Python. With ``convex`` the second
+    ring is known to be convex, and the plan has no Python at all.
+    """
     rest = [c for c in pairs.columns if c not in (ring_a, ring_b)]
+    turned = pairs.withColumns({ring_a: R.anticlockwise(F.col(ring_a)), ring_b: R.anticlockwise(F.col(ring_b))})
+    overlap = R.convex_overlap(F.col(ring_a), F.col(ring_b)).alias("overlap")
+    if convex:
+        return turned.select(*rest, overlap)
+    sided = turned.withColumns({"_a": R.is_convex(F.col(ring_a)), "_b": R.is_convex(F.col(ring_b))})
+    plain = sided.where("_a or _b").select(*rest, F.when(F.col("_b"), overlap).otherwise(R.convex_overlap(F.col(ring_b), F.col(ring_a))).alias("overlap"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             areas = [intersection_area_of(_points(a), _points(b)) for a, b in zip(pdf[ring_a], pdf[ring_b])]
             yield pdf[rest].assign(overlap=np.array(areas, float))
 
-    return _spread(pairs, rest).mapInPandas(run, _schema(pairs.select(*rest), "overlap double"))
+    hard = _spread(sided.where("not (_a or _b)").select(*rest, ring_a, ring_b), rest)
+    return plain.union(hard.mapInPandas(run, _schema(pairs.select(*rest), "overlap double")))
 
 
-def max_overlap(left: DataFrame, right: DataFrame, left_key: str, right_key: str, cell: float) -> DataFrame:
-    """Per left polygon the intersecting right polygon with the largest common area; ties by key."""
+def max_overlap(left: DataFrame, right: DataFrame, left_key: str, right_key: str, cell: float, convex: bool = False) -> DataFrame:
+    """Per left polygon the intersecting right polygon with the largest common area; ties by key. ``convex``: the right ones are."""
     pairs = join_polygons(left, right, cell).select(left_key, right_key, "ring", "ring_r")
     order = F.struct(F.col("overlap"), -F.col(right_key))
     return (
-        intersection_area(pairs)
+        intersection_area(pairs, convex=convex)
         .groupBy(left_key)
         .agg(F.max_by(right_key, order).alias(right_key), F.max("overlap").alias("overlap"))
     )

@@ -10,6 +10,7 @@ from fieldspark.functions.numbers import fixed
 from fieldspark.operators import merge as M
 from fieldspark.operators import overlay as O
 from fieldspark.operators import polygons as G
+from fieldspark.operators import simplify as SI
 from fieldspark.operators import spatial as SP
 from fieldspark.plans.q_raster import centroids, neighbour_mean, zones
 from fieldspark.plans.registry import query
@@ -203,7 +204,7 @@ _OVER = "greatest(0, least(p.x0 + p.w, c.x0 + c.w) - greatest(p.x0, c.x0)) * gre
 @query("intersection_area", f"SELECT p.id_recinto, c.celda, round({_OVER}, 6) AS overlap FROM v_plot p JOIN v_cell c ON {_MEET}")
 def intersection_area(t):
     pairs = SP.join_polygons(zones(t), cells(t), 4.0).select("id_recinto", "celda", "ring", "ring_r")
-    return G.intersection_area(pairs).withColumn("overlap", fixed("overlap", 6))
+    return G.intersection_area(pairs, convex=True).withColumn("overlap", fixed("overlap", 6))
 
 
 @query(
@@ -212,7 +213,7 @@ def intersection_area(t):
     FROM v_plot p JOIN v_cell c ON {_MEET}) WHERE rn = 1""",
 )
 def spatial_join_max_overlap(t):
-    return G.max_overlap(zones(t), cells(t), "id_recinto", "celda", 4.0).withColumn("overlap", fixed("overlap", 6))
+    return G.max_overlap(zones(t), cells(t), "id_recinto", "celda", 4.0, convex=True).withColumn("overlap", fixed("overlap", 6))
 
 
 _RECT_D = "sqrt(pow(greatest(p.x0 - qx, 0, qx - p.x0 - p.w), 2) + pow(greatest(p.y0 - qy, 0, qy - p.y0 - p.h), 2))"
@@ -450,6 +451,24 @@ def simplify_polygons(t):
     return out.select("id_recinto", fixed(R.area(F.col("ring")), 9).alias("area"), "n_before", "n_after")
 
 
+@query(
+    "simplify_shared_borders",
+    """SELECT 2 * id_recinto + k AS pieza, round(w * h / 2, 6) AS area, CAST(7 AS INT) AS n_before, CAST(4 AS INT) AS n_after FROM v_plot, range(2) r(k)""",
+)
+def simplify_shared_borders(t):
+    """Each plot, moved to a place of its own, as two pieces with a crooked border between them, which both draw in their own direction."""
+    k = F.col("id_recinto")
+    x, y = (k % 1000) * 10.0, F.floor(k / 1000) * 10.0
+    w, h = F.col("w"), F.col("h")
+    at = lambda p, q, off=0.0: R.point(x + w * p + off, y + h * q)
+    crooked = [at(0.5, 0.25, 0.0078125), at(0.5, 0.5, -0.0078125), at(0.5, 0.75, 0.0078125)]
+    left = F.array(at(0, 0), at(0.5, 0), *crooked, at(0.5, 1), at(0, 1))
+    right = F.array(at(0.5, 1), *reversed(crooked), at(0.5, 0), at(1, 0), at(1, 1))
+    both = t.v_plot.select(F.posexplode(F.array(left, right)).alias("k", "ring"), "id_recinto").select((2 * F.col("id_recinto") + F.col("k")).alias("pieza"), "ring")
+    out = SI.simplify_together(both, 0.05, 2.0)
+    return out.select("pieza", fixed(R.area(F.col("ring")), 6).alias("area"), "n_before", "n_after")
+
+
 @query(
     "best_neighbor",
     "SELECT id_recinto * 10 + k AS id_subparcela, id_recinto * 10 + CASE k WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 2 END AS vecino, h AS borde FROM v_plot, range(1, 4) r(k)",

@@ -11,7 +11,7 @@ from fieldspark.operators import irrigation as I
 from fieldspark.operators import polygons as G
 from fieldspark.operators import series as S
 from fieldspark.operators import spatial as SP
-from fieldspark.plans.q_interpolation import lag_frame
+from fieldspark.plans.q_interpolation import _IDW, _LONG, _NEAR, _PT, _RUN, lag_frame
 from fieldspark.plans.q_joins import DECLARED_SQL, PLOT_KEY, declared
 from fieldspark.plans.registry import query
 from fieldspark.plans.views import with_ring
@@ -202,7 +202,8 @@ def irrigation_alerts(t):
     )
     plots = with_ring(t.v_plot).filter(F.coalesce("activa", F.lit(True)) & (F.col("sistexp") == "R"))
     best = G.max_overlap(
-        plots.select("id_recinto", "ring", "minx", "miny", "maxx", "maxy"), today.select("celda", "ring", "minx", "miny", "maxx", "maxy"), "id_recinto", "celda", 4.0
+        plots.select("id_recinto", "ring", "minx", "miny", "maxx", "maxy"), today.select("celda", "ring", "minx", "miny", "maxx", "maxy"), "id_recinto", "celda", 4.0,
+        convex=True,
     )
     rows = best.join(today.select("celda", "riego_mm", "color"), "celda").withColumn("sistexp_cod", F.lit("R"))
     return I.irrigation_alerts(rows).select("id_recinto", "celda", "riego_mm", "color")
@@ -284,7 +285,13 @@ def predict_per_crop(t):
     return out.select("id_recinto", "Cl", "Rg", "Ev_t", *[fixed(c, 4).alias(c) for c in FC.OUTPUTS])
 
 
-@query("predict_outcomes")
+@query(
+    "predict_outcomes",
+    f"""WITH {_PT}, {_LONG}, {_NEAR.format(where=f"l.fecha BETWEEN {_RUN} - 14 AND {_RUN}")}, {_IDW},
+    k AS (SELECT id_recinto, count(valor) FILTER (lag >= 4 OR variable = 'etpmon') = 37 AS entrena, count(valor) FILTER (lag <= 10) = 33 AS lista FROM (SELECT *, {_RUN} - fecha AS lag FROM idw) GROUP BY 1),
+    c AS (SELECT {_name_sql('(pt.id_recinto % 8)')} AS cl, count(*) AS n, count(*) FILTER (entrena) AS n_entrena, count(*) FILTER (lista) AS n_lista FROM pt LEFT JOIN k ON k.id_recinto = pt.id_recinto GROUP BY 1)
+    SELECT CASE WHEN n_entrena < 6 THEN 'sin_modelo' WHEN n_lista = 0 THEN 'sin_filas' ELSE 'ok' END AS resultado, count(*) AS cultivos, CAST(sum(n) AS BIGINT) AS filas FROM c GROUP BY 1""",
+)
 def predict_outcomes(t):
     f, models, _ = forecasts(t)
     return FC.prediction_outcomes(f, models)
