@@ -288,8 +288,8 @@ def predict_per_crop(t):
 @query(
     "predict_outcomes",
     f"""WITH {_PT}, {_LONG}, {_NEAR.format(where=f"l.fecha BETWEEN {_RUN} - 14 AND {_RUN}")}, {_IDW},
-    k AS (SELECT id_recinto, count(valor) FILTER (lag >= 4 OR variable = 'etpmon') = 37 AS entrena, count(valor) FILTER (lag <= 10) = 33 AS lista FROM (SELECT *, {_RUN} - fecha AS lag FROM idw) GROUP BY 1),
-    c AS (SELECT {_name_sql('(pt.id_recinto % 8)')} AS cl, count(*) AS n, count(*) FILTER (entrena) AS n_entrena, count(*) FILTER (lista) AS n_lista FROM pt LEFT JOIN k ON k.id_recinto = pt.id_recinto GROUP BY 1)
+    kk AS (SELECT id_recinto, count(valor) FILTER (lag >= 4 OR variable = 'etpmon') = 37 AS entrena, count(valor) FILTER (lag <= 10) = 33 AS lista FROM (SELECT *, {_RUN} - fecha AS lag FROM idw) GROUP BY 1),
+    c AS (SELECT {_name_sql('(pt.id_recinto % 8)')} AS cl, count(*) AS n, count(*) FILTER (entrena) AS n_entrena, count(*) FILTER (lista) AS n_lista FROM pt LEFT JOIN kk ON kk.id_recinto = pt.id_recinto GROUP BY 1)
     SELECT CASE WHEN n_entrena < 6 THEN 'sin_modelo' WHEN n_lista = 0 THEN 'sin_filas' ELSE 'ok' END AS resultado, count(*) AS cultivos, CAST(sum(n) AS BIGINT) AS filas FROM c GROUP BY 1""",
 )
 def predict_outcomes(t):

@@ -211,6 +211,42 @@ def scan_catalog_xlsx(t):
     return out.select("catalogo", "codigo", "nombre", "descripcion", "fecha_baja")
 
 
+def exported(t, name):
+    """A sheet with the columns of the catalogues it feeds, all from parts."""
+    k = F.col("p_partkey")
+    day = lambda every: F.when(k % every == 0, F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (k % 700).cast("int")), "dd/MM/yyyy"))
+    values = {"_pos": k}
+    for _, sheet, code, label, description, parent in landing.CATALOG_COLUMNS:
+        if sheet == name:
+            for column, value in ((code, F.when(k % 9 == 0, " ").otherwise((k % 500).cast("string"))), (label, F.col("p_name")), (description, F.col("p_type")), (parent, F.col("p_brand"))):
+                if column:
+                    values[column] = value
+    values[landing.END_DATE] = day(4)
+    if name == "FERT_DETALLE_MATERIAL":
+        values["Nombre producto"] = F.when(k % 6 == 0, " ").otherwise(F.col("p_name"))
+    if name == "FITOS_PRODUCTOS":
+        values |= {"Formulado": F.when(k % 5 != 0, F.col("p_type")), "Titular": F.col("p_brand"), "Estado": F.when(k % 2 == 0, " ").otherwise("Vigente"), "FechaCaducidad": day(3), "FechaLimiteVenta": day(2)}
+    return t.part.select(*[v.alias(c) for c, v in values.items()])
+
+
+_SHEETS = ", ".join(f"('{c}', {d is not None}, {p is not None})" for c, _, _, _, d, p in landing.CATALOG_COLUMNS)
+
+
+@query(
+    "catalog_all_sheets",
+    f"""WITH spec(catalogo, d, p) AS (VALUES {_SHEETS}), k AS (SELECT *, p_partkey AS n, DATE '2024-01-01' + CAST(p_partkey % 700 AS INT) AS dia FROM part),
+    a AS (SELECT catalogo, n, CASE WHEN catalogo = 'MVR_TIPO' THEN p_brand WHEN n % 9 = 0 THEN '' ELSE CAST(n % 500 AS VARCHAR) END AS codigo, CASE WHEN p THEN p_brand ELSE '' END AS codigo_padre,
+        CASE WHEN catalogo = 'FERT_PRODUCTO' AND n % 6 = 0 THEN 'Fertilizante ' || CAST(n % 500 AS VARCHAR) ELSE p_name END AS nombre,
+        CASE WHEN catalogo = 'FITOS_PRODUCTOS' THEN CASE WHEN n % 5 <> 0 THEN p_type || ' · ' ELSE '' END || 'Titular: ' || p_brand || CASE WHEN n % 2 = 1 THEN ' · Estado: Vigente' ELSE '' END WHEN d THEN p_type END AS descripcion,
+        CASE WHEN catalogo = 'FERT_PRODUCTO' THEN NULL WHEN catalogo = 'FITOS_PRODUCTOS' THEN CASE WHEN n % 3 = 0 OR n % 2 = 0 THEN dia END WHEN n % 4 = 0 THEN dia END AS fecha_baja FROM k, spec)
+    SELECT catalogo, codigo, codigo_padre, nombre, descripcion, fecha_baja FROM (SELECT *, row_number() OVER (PARTITION BY catalogo, codigo, codigo_padre ORDER BY n) AS rn FROM a WHERE codigo <> '') WHERE rn = 1""",
+)
+def catalog_all_sheets(t):
+    """All 33 catalogues of the 32 sheets, parents, children and registered products included."""
+    rows = landing.catalog_unify(landing.catalog_sheets(lambda name: exported(t, name)))
+    return rows.select("catalogo", "codigo", "codigo_padre", "nombre", "descripcion", "fecha_baja")
+
+
 @query(
     "crop_popup_view",
     "SELECT c.id_cultivo, c.cod_producto, d.descripcion AS cultivo FROM v_crop c LEFT JOIN v_product d ON CAST(d.codigo AS DOUBLE) = CAST(c.cod_producto AS DOUBLE)",

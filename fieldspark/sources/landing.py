@@ -365,39 +365,80 @@ def catalog_unify(sheets: list[DataFrame]) -> DataFrame:
 
 
 def catalog_sheets(sheet_of, pos: Column | None = None) -> list[DataFrame]:
-    """The known catalogues from exported sheets; ``sheet_of(file key)`` gives the sheet as a DataFrame or null."""
+    """The known catalogues from exported sheets; ``sheet_of(sheet name)`` gives a sheet as a DataFrame or null. Missing columns count as empty."""
     out = []
-    for catalog, key, code, name, description in CATALOG_COLUMNS:
-        sheet = sheet_of(key)
+    for catalog, name, *columns in CATALOG_COLUMNS:
+        sheet = sheet_of(name)
         if sheet is None:
             continue
-        end = "Fecha de baja" if "Fecha de baja" in sheet.columns else None
-        out.append(
-            catalog_rows(
-                sheet,
-                catalog,
-                F.col(f"`{code}`"),
-                F.col(f"`{name}`"),
-                description=F.col(f"`{description}`") if description and description in sheet.columns else None,
-                end_date=_end_date(F.col(f"`{end}`")) if end else None,
-            )
-        )
+        code, label, description, parent = (_column(sheet, c) for c in columns)
+        end = _date_of(sheet, END_DATE)
+        if catalog == "FERT_PRODUCTO":
+            label, end = F.coalesce(blank_to_null(label), F.concat(F.lit("Fertilizante "), code)), None
+        elif catalog == "FITOS_PRODUCTOS":
+            texts = [(head, blank_to_null(_column(sheet, c))) for head, c in PRODUCT_TEXTS]
+            description = joined_description(*[F.concat(F.lit(head), text) for head, text in texts])
+            end = F.coalesce(*[_date_of(sheet, c) for c in PRODUCT_DATES])
+        rows = catalog_rows(sheet, catalog, code, label, parent=parent, description=description, end_date=end)
+        if catalog == "MVR_TIPO":  # a parent keeps its own columns, not those of one of its children
+            own = sheet.select(*[c for c in PARENT_EXTRA if c in sheet.columns])
+            rows = rows.withColumn("extra", F.to_json(F.from_json("extra", own.schema)))
+        out.append(rows)
     return out
 
 
+def _column(sheet: DataFrame, name: str | None) -> Column:
+    return F.col(f"`{name}`").cast("string") if name and name in sheet.columns else F.lit(None).cast("string")
+
+
+def _date_of(sheet: DataFrame, name: str) -> Column:
+    return _end_date(_column(sheet, name))
+
+
 def _end_date(col: Column) -> Column:
     from fieldspark.functions.dates import parse_any_date
 
     return parse_any_date(col.cast("string"))
 
 
-# Catalogue, exported sheet, code column, name column, description column.
+# Catalogue, exported sheet, and its columns of code, name, description and parent.
 CATALOG_COLUMNS = (
-    ("ACTIVIDAD_AGRARIA", "ACTIVIDAD_AGRARIA", "Código SIEX", "Actividad agraria", None),
-    ("ACTIVIDAD_CUBIERTA", "ACTIVIDAD_CUBIERTA", "Código SIEX", "Actividad sobre la cubierta", None),
-    ("APROVECHAMIENTO", "APROVECHAMIENTO", "Código SIEX", "Aprovechamiento", "Descripción"),
-    ("TIPO_COBERTURA_SUELO", "TIPO_COBERTURA_SUELO", "Código SIEX", "Tipo de cobertura del suelo", None),
-    ("DESTINO_CULTIVO", "DESTINO_CULTIVO", "Código SIEX", "Destino del cultivo", "Observaciones"),
-    ("SISTEMA_CULTIVO", "SISTEMA_CULTIVO", "Código SIEX", "Sistema de cultivo", None),
-    ("TIPO_LABOR", "TIPO_LABOR", "Código SIEX", "Descripción", None),
+    ("ACTIVIDAD_AGRARIA", "ACTIVIDAD_AGRARIA", "Código SIEX", "Actividad agraria", None, None),
+    ("ACTIVIDAD_CUBIERTA", "ACTIVIDAD_CUBIERTA", "Código SIEX", "Actividad sobre la cubierta", None, None),
+    ("APROVECHAMIENTO", "APROVECHAMIENTO", "Código SIEX", "Aprovechamiento", "Descripción", None),
+    ("TIPO_COBERTURA_SUELO", "TIPO_COBERTURA_SUELO", "Código SIEX", "Tipo de cobertura del suelo", None, None),
+    ("DESTINO_CULTIVO", "DESTINO_CULTIVO", "Código SIEX", "Destino del cultivo", "Observaciones", None),
+    ("MVR_TIPO", "MATERIAL_VEGETAL", "Código del tipo", "Tipo de material vegetal de reproducción", None, None),
+    ("MVR_DETALLE", "MATERIAL_VEGETAL", "Código", "Detalle del tipo", None, "Código del tipo"),
+    ("SISTEMA_CULTIVO", "SISTEMA_CULTIVO", "Código SIEX", "Sistema de cultivo", None, None),
+    ("TIPO_LABOR", "TIPO_LABOR", "Código SIEX", "Descripción", None, None),
+    ("MVR_PROCEDENCIA", "MVR_PROCEDENCIA", "Código SIEX", "Procedencia del material vegetal", None, None),
+    ("SENP", "SENP", "Código SIEX", "Tipo", "Observaciones", None),
+    ("RIEGO_SISTEMA", "RIEGO_SISTEMA", "Código SIEX", "Sistema de riego", None, None),
+    ("RIEGO_PROCEDENCIA", "RIEGO_PROCEDENCIA", "Código SIEX", "Procedencia del agua de riego", "Observaciones", None),
+    ("FERT_TIPO", "FERT_TIPO", "Código SIEX", "Tipo de fertilización", None, None),
+    ("FERT_METODO", "FERT_METODO", "Código SIEX", "Método de fertilización", None, None),
+    ("FERT_MATERIAL", "FERT_MATERIAL", "Código SIEX", "Tipo de material", "Campos a registrar (información disponible según tipo de producto o material)", None),
+    ("FERT_TRAT_ESTIERCOL", "FERT_TRAT_ESTIERCOL", "Código SIEX", "Tratamiento de estiércoles", None, None),
+    ("FERT_MACRO", "FERT_MACRO", "Código SIEX", "Descripción", None, None),
+    ("FERT_MICRO", "FERT_MICRO", "Código SIEX", "Descripción", None, None),
+    ("FERT_METALES", "FERT_METALES", "Código SIEX", "Descripción", None, None),
+    ("FERT_PRODUCTO", "FERT_DETALLE_MATERIAL", "C_FERTILIZANTE", "Nombre producto", "Fabricante", "Código SIEX"),
+    ("FITOS_TIPO_MEDIDA", "FITOS_TIPO_MEDIDA", "Código SIEX", "Tipo de medida fitosanitaria", None, None),
+    ("FITOS_TIPO_PRODUCTO", "FITOS_TIPO_PRODUCTO", "Código SIEX", "Tipo de producto fitosanitario", None, None),
+    ("FITOS_ESTADO_FENO", "FITOS_ESTADO_FENO", "Código SIEX", "Estado fenológico", None, None),
+    ("FITOS_MALAS_HIERBAS", "FITOS_MALAS_HIERBAS", "Código SIEX", "Nombre científico", "Observaciones", "Categoría"),
+    ("FITOS_ENFERMEDADES", "FITOS_ENFERMEDADES", "Código SIEX", "Nombre científico", "Observaciones", "Categoría"),
+    ("FITOS_PLAGAS", "FITOS_PLAGAS", "Código SIEX", "Nombre científico", "Observaciones", "Categoría"),
+    ("FITOS_REGULADORES_OTROS", "FITOS_REGULADORES_OTROS", "Código SIEX", "Nombre científico / Denominación en inglés", "Observaciones", "Categoría"),
+    ("FITOS_MEDIDA_PREV", "FITOS_MEDIDA_PREV", "Código SIEX", "Medida", "Observaciones", None),
+    ("FITOS_EFICACIA", "FITOS_EFICACIA", "Código SIEX", "Eficacia del tratamiento", None, None),
+    ("FITOS_AUT_EXCEP", "FITOS_AUT_EXCEP", "Código SIEX", "Producto comercial", "Sustancia activa o formulado", None),
+    ("FITOS_JUSTIFICACION", "FITOS_JUSTIFICACION", "Código SIEX", "Justificación de la actuación", None, None),
+    ("FITOS_PRODUCTOS", "FITOS_PRODUCTOS", "NumRegistro", "Nombre", None, None),
 )
+# The column of the end date, the columns of a parent, and what the description and the end date of a registered product come from.
+END_DATE = "Fecha de baja"
+PARENT_EXTRA = ("Código del tipo", "Tipo de material vegetal de reproducción")
+PRODUCT_TEXTS = (("", "Formulado"), ("Titular: ", "Titular"), ("Fabricante: ", "Fabricante"), ("Estado: ", "Estado"), ("Obs: ", "Observaciones"))
+PRODUCT_DATES = ("FechaCaducidad", "FechaLimiteVenta")
