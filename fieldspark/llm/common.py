@@ -16,7 +16,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes a table into the shared folder and reads it back: cuts the lineage, and later reads take only the columns they need."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._scratch = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that ``stored`` wrote, once all that was derived from them is stored or checkpointed itself.
+
+    Shuffle files of what is done go when the driver collects its garbage; with a large heap that may be late, so it is asked to.
+    """
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._scratch)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        spark._jvm.System.gc()
 
 
 def running_totals(df: DataFrame, order: list[Column], totals: dict[str, Column], within: list[str] | None = None) -> DataFrame:
@@ -52,22 +67,30 @@ def running_totals(df: DataFrame, order: list[Column], totals: dict[str, Column]
     )
 
 
+#: Copies of each node's smallest neighbour, so that the edges of a hot node are dealt over several tasks.
+NODE_SALTS = 4
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)``: returns (node, component), the smallest reachable node, for all nodes with edges.
 
     Alternates two contraction steps until nothing changes: larger neighbours of each node move to its smallest neighbour,
     then smaller ones do. Only edges that still connect something are kept, at most one new row per row, and each round is cut
-    by a reliable checkpoint. Hot nodes are summed up by partial aggregation; the joins back are plain shuffled joins.
+    by a reliable checkpoint. The smallest neighbour is found with partial aggregation and meets the edges salted, so a hot node's edges are
+    never one task; after that step a node has one edge for each of its groups, which a window sees.
     """
     now = cut_lineage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    salts = F.explode(F.sequence(F.lit(0), F.lit(NODE_SALTS - 1)))
     seen = None
     for _ in range(rounds):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        lowest = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
-        large = both.join(lowest, F.col("a") == F.col("n")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        lowest = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), "m")
-        small = large.join(lowest, F.col("a") == F.col("n")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = cut_lineage(small.union(lowest.select("n", "m").toDF("a", "b")).distinct())
+        lowest = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"), salts.alias("to"))
+        dealt = both.where("b > a").withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(NODE_SALTS)).cast("int"))
+        large = dealt.join(lowest, (F.col("a") == F.col("n")) & (F.col("salt") == F.col("to"))).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        near = large.withColumn("m", F.min("b").over(Window.partitionBy("a")))
+        pair = F.when(F.col("b") != F.col("m"), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))).otherwise(F.struct("a", F.col("m").alias("b")))
+        # an edge to the smallest one stays, every other one becomes an edge between two smaller nodes
+        now = cut_lineage(near.select(pair.alias("e")).select("e.*").distinct())
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
             break

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldspark.llm.common import components, stored, table
+from fieldspark.llm.common import components, discard, stored, table
 from fieldspark.llm.queries import query
 from fieldspark.llm.words import NONSPACE, mix64, ngram_hashes, pieces, split_words, with_columns
 
@@ -108,14 +108,16 @@ SHOWN = [T.StructField("n_shingles", T.LongType()), T.StructField("node", T.Long
 def possible_nodes(rows: DataFrame) -> DataFrame:
     """node of the classes that show as many common shingles as any partner asks for."""
     tokens = rows.where("n_shingles > 3").select("node", F.col("n_shingles").alias("n"), F.explode("tokens").alias("token"))
-    common = tokens.groupBy("token").agg(F.count("*").alias("freq")).where("freq > 1").select("token")
-    left = stored(tokens.join(common, "token").distinct(), "common")
+    repeated = tokens.groupBy("token").agg(F.count("*").alias("freq")).where("freq > 1").select("token")
+    left = common = stored(tokens.join(repeated, "token").distinct(), "common")
     enough = left.groupBy("node", "n").count().where(F.col("count") >= extra_column(F.col("n"))).select("node")
     # counted again among the classes that are left: the shingles of passages are gone with most of their documents
     left = left.join(enough, "node", "left_semi")
     again = left.groupBy("token").agg(F.count("*").alias("freq")).where("freq > 1").select("token")
     shared = left.join(again, "token").groupBy("node", "n").count()
-    return stored(shared.where(F.col("count") >= extra_column(F.col("n"))).select("node"), "possible")
+    possible = stored(shared.where(F.col("count") >= extra_column(F.col("n"))).select("node"), "possible")
+    discard(common)
+    return possible
 
 
 def common_shingles(texts: DataFrame) -> DataFrame:
@@ -280,12 +282,20 @@ def combined(ranked: DataFrame, frequent: DataFrame) -> DataFrame:
     return pairs.select(F.xxhash64("first", "token").alias("key"), F.col("first").alias("token"), F.col("token").alias("second"), "place", "node", "n", "own")
 
 
-def class_groups(docs: DataFrame, text: str, rows: DataFrame) -> DataFrame:
-    """(node, component): classes that link directly or through others, only those with links."""
-    texts = texts_of(docs, text, possible_nodes(rows))
+def class_groups(docs: DataFrame, text: str, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((node, component), rows without tokens): classes that link directly or through others, only those with links.
+
+    The shown shingles are the largest table; it and all others go as soon as what follows from them is stored.
+    """
+    possible = possible_nodes(rows)
+    slim = stored(rows.drop("tokens"), "rows")
+    discard(rows)
+    texts = texts_of(docs, text, possible)
+    discard(possible)
     ranked = common_shingles(texts)
     keyed = ranked.where("place <= short").select(F.col("token").alias("key"), "token", F.lit(None).cast("long").alias("second"), "place", "node", "n", "own")
     buckets = stored(open_buckets(keyed, None), "buckets")
+    scratch = [texts, ranked, buckets]
     links = seen = groups = None
     for turn in range(ROUNDS):
         pairs = leader_pairs(buckets, turn)
@@ -295,6 +305,7 @@ def class_groups(docs: DataFrame, text: str, rows: DataFrame) -> DataFrame:
         links = found if links is None else links.union(found)
         groups = components(links)
         buckets = stored(open_buckets(keyed, groups), "buckets")
+        scratch += [pairs, found, buckets]
     front = ranked.where(F.col("place") <= F.least(F.lit(HEAD), F.col("short")))
     heads = front.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "token"))), lambda x: x["token"]).alias("head"))
     heads = heads.join(texts.select("node", "bits"), "node")
@@ -302,20 +313,22 @@ def class_groups(docs: DataFrame, text: str, rows: DataFrame) -> DataFrame:
     rare = buckets.join(frequent, "token", "left_anti")
     pairs = all_pairs(rare, heads).union(all_pairs(open_buckets(combined(ranked, frequent), groups), heads))
     pairs = stored(pairs.distinct().join(seen, ["a", "b"], "left_anti"), "pairs")
-    return components(links.union(verified(pairs, texts)))
+    groups = components(links.union(verified(pairs, texts)))
+    discard(pairs, *scratch)
+    return groups, slim
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: its id, n_shingles, component_id (the smallest id of its group)."""
     marked = with_columns(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("_text")), "_text", SHOWN, _shown)
-    rows = stored(marked.drop("_text"), "rows")
+    groups, rows = class_groups(docs, text, stored(marked.drop("_text"), "shown"))
+    groups = groups.withColumnRenamed("node", "_n")
     classes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
-    groups = class_groups(docs, text, rows).withColumnRenamed("node", "_n")
     named = classes.join(groups, F.col("node") == F.col("_n"), "left").withColumn("group", F.coalesce("component", "node"))
     smallest = named.groupBy("group").agg(F.min("first_id").alias("component_id"))
     special = named.where("copies > 1 or component is not null").join(smallest, "group").select("node", "component_id")
     dealt = special.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    own = rows.drop("tokens").withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    own = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     joined = own.join(dealt, ["node", "_salt"], "left")
     alone = F.col("n_shingles") == 0
     return joined.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
@@ -331,8 +344,8 @@ def first_of_groups(docs: DataFrame) -> DataFrame:
     empty = [c.isNull() for c in row]
     keyed = docs.withColumns({"_k1": F.xxhash64(*row, *empty), "_k2": F.xxhash64(*empty, *reversed(row))})
     shown = with_columns(keyed.select("doc_id", *key, F.col("text").alias("_text")), "_text", SHOWN, _shown)
-    rows = stored(shown.drop("_text").withColumn("no_id", F.col("doc_id").isNull()), "rows")
-    groups = class_groups(docs, "text", rows).withColumnRenamed("node", "_n")
+    groups, rows = class_groups(docs, "text", stored(shown.drop("_text").withColumn("no_id", F.col("doc_id").isNull()), "shown"))
+    groups = groups.withColumnRenamed("node", "_n")
     place = F.struct("doc_id", *key)
     kinds = rows.where("n_shingles > 0").groupBy("node", "no_id", "doc_id", *key).agg(F.count("*").alias("copies"))
     classes = kinds.groupBy("node", "no_id").agg(F.min(place).alias("first"), F.count("*").alias("kinds"))
