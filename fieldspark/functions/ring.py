@@ -342,6 +342,28 @@ def parts_contain(parts: Column, x: Column, y: Column) -> Column:
     return F.exists(parts, holds)
 
 
+def parts_edges(parts: Column) -> Column:
+    """The edges of all rings. Crossings are counted over all of them, so holes are outside and several parts inside."""
+    return F.flatten(F.transform(F.flatten(parts), edges))
+
+
+def shape_edges(df, ring: str = "ring", parts: str = "parts") -> Column:
+    """The edges of a row's geometry: of its parts if the table has such a column, else of its ring."""
+    return parts_edges(F.col(parts)) if parts in df.columns else edges(F.col(ring))
+
+
+def edges_meet_square(es: Column, x0: Column, y0: Column, x1: Column, y1: Column, slack: float = 0.0) -> Column:
+    """Whether any edge shares a point with a closed rectangle: boxes meet, and the rectangle is not on one side of the edge's line."""
+
+    def meets(e: Column) -> Column:
+        ax, ay, bx, by = e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"]
+        boxes = (F.least(ax, bx) <= x1) & (F.greatest(ax, bx) >= x0) & (F.least(ay, by) <= y1) & (F.greatest(ay, by) >= y0)
+        off = F.abs((bx - ax) * ((y0 + y1) / 2 - ay) - (by - ay) * ((x0 + x1) / 2 - ax))
+        return boxes & (off <= ((x1 - x0) / 2 + slack) * F.abs(by - ay) + ((y1 - y0) / 2 + slack) * F.abs(bx - ax))
+
+    return F.exists(es, meets)
+
+
 def parts_outline(parts: Column) -> Column:
     """The points of all outer rings, for bounds."""
     return F.flatten(F.transform(parts, lambda part: F.get(part, F.lit(0))))

@@ -280,6 +280,21 @@ def intersection_area(pairs: DataFrame, ring_a: str = "ring", ring_b: str = "rin
     return plain.union(hard.mapInPandas(run, _schema(pairs.select(*rest), "overlap double")))
 
 
+def parts_intersection_area(pairs: DataFrame, keys: list[str], parts_a: str = "parts", parts_b: str = "parts_r", convex: bool = False) -> DataFrame:
+    """Common area of two geometries of several parts with holes: keys, ``overlap``.
+
+    The rings of both meet in pairs; a pair of an outer ring and a hole counts negative, as holes lie inside their outer ring.
+    """
+
+    def rings(parts: str, name: str) -> Column:
+        signed = F.flatten(F.transform(parts, lambda part: F.transform(part, lambda r, i: F.struct(r.alias("ring"), F.when(i == 0, 1.0).otherwise(-1.0).alias("sign")))))
+        return F.explode(signed).alias(name)
+
+    one = pairs.select(*keys, parts_b, rings(parts_a, "a")).select(*keys, "a", rings(parts_b, "b"))
+    flat = one.select(*keys, F.col("a.ring").alias("ring"), F.col("b.ring").alias("ring_r"), (F.col("a.sign") * F.col("b.sign")).alias("_sign"))
+    return intersection_area(flat, convex=convex).groupBy(*keys).agg(F.sum(F.col("_sign") * F.col("overlap")).alias("overlap"))
+
+
 def max_overlap(left: DataFrame, right: DataFrame, left_key: str, right_key: str, cell: float, convex: bool = False) -> DataFrame:
     """Per left polygon the intersecting right polygon with the largest common area; ties by key. ``convex``: the right ones are."""
     pairs = join_polygons(left, right, cell).select(left_key, right_key, "ring", "ring_r")

@@ -50,7 +50,7 @@ def join_points_polygons(
     ring: str = "ring",
     boundary: str = "include",
 ) -> DataFrame:
-    """Pairs (point row, polygon row) where the polygon holds the point. ``polygons`` needs box columns."""
+    """Pairs (point row, polygon row) where the polygon holds the point. ``polygons`` needs box columns, and ``parts`` or the ring."""
     keyed = points.withColumn("_lv", F.explode(levels_in_use(polygons, cell)))
     keyed = keyed.withColumns(
         {"_cx": _axis(F.col(x), cell, F.col("_lv")), "_cy": _axis(F.col(y), cell, F.col("_lv"))}
@@ -67,6 +67,8 @@ def join_points_polygons(
         & (py <= cells["maxy"])
     )
     pairs = keyed.join(cells, near).drop("_lv", "_cx", "_cy")
+    if "parts" in polygons.columns:
+        return pairs.filter(R.let(R.parts_edges(F.col("parts")), lambda es: R.edges_hold(es, F.col(x), F.col(y), boundary)))
     return pairs.filter(R.contains_point(F.col(ring), F.col(x), F.col(y), boundary))
 
 

@@ -65,30 +65,23 @@ def _square(bx: Column, by: Column, side: float) -> list[Column]:
 
 
 def _place(side: float) -> Column:
-    """``in``, ``out`` or ``border`` for a square and a ring, border if any edge meets the closed square."""
+    """``in``, ``out`` or ``border`` for a square and the edges of a zone, border if any edge meets the closed square."""
     x0, y0, x1, y1 = _square(F.col("bx"), F.col("by"), side)
-
-    def reaches(e: Column) -> Column:
-        ax, ay, bx, by = e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"]
-        boxes = (F.least(ax, bx) <= x1) & (F.greatest(ax, bx) >= x0) & (F.least(ay, by) <= y1) & (F.greatest(ay, by) >= y0)
-        # the middle of the square is no farther from the line than its corners reach; a trifle more counts as border
-        off = F.abs((bx - ax) * ((y0 + y1) / 2 - ay) - (by - ay) * ((x0 + x1) / 2 - ax))
-        return boxes & (off <= (side / 2 + 1e-9) * (F.abs(bx - ax) + F.abs(by - ay)))
-
     return (
-        F.when(F.exists(R.edges(F.col("ring")), reaches), "border")
-        .when(R.contains_point(F.col("ring"), (x0 + x1) / 2, (y0 + y1) / 2), "in").otherwise("out")
+        F.when(R.edges_meet_square(F.col("es"), x0, y0, x1, y1, 1e-9), "border")
+        .when(R.edges_hold(F.col("es"), (x0 + x1) / 2, (y0 + y1) / 2), "in").otherwise("out")
     )
 
 
 def zone_totals(pyramid: Pyramid, zones: DataFrame, key: str, touch: bool = True) -> DataFrame:
-    """Per zone with any pixel: the statistics by the centre rule and, with ``touch``, by the touch rule. ``zones``: key, ``ring`` and its box.
+    """Per zone with any pixel: the statistics by the centre rule and, with ``touch``, by the touch rule. ``zones``: key, ``ring`` or ``parts`` (several parts, with
+    holes), and the box.
 
     A pixel counts by the centre rule if its centre lies in the zone (a centre on a shared border belongs to one neighbour), by the touch rule if
     its closed square shares any point with it.
     """
     size, sides = pyramid.size, pyramid.sides
-    box = zones.select(key, "ring", "minx", "miny", "maxx", "maxy")
+    box = zones.select(key, R.shape_edges(zones).alias("es"), "minx", "miny", "maxx", "maxy")
 
     def span(lo: str, hi: str, side: float) -> Column:
         # closed squares: a border that lies on a grid line touches both sides
@@ -116,10 +109,10 @@ def zone_totals(pyramid: Pyramid, zones: DataFrame, key: str, touch: bool = True
     def near(p: Column) -> Column:
         return (x0(p) <= F.col("maxx")) & (x0(p) + size >= F.col("minx")) & (y0(p) <= F.col("maxy")) & (y0(p) + size >= F.col("miny"))
 
-    tested = met.where("place = 'border'").join(pyramid.pixels, ["bx", "by"]).select(key, "ring", F.explode(F.filter("pixels", near)).alias("p"))
+    tested = met.where("place = 'border'").join(pyramid.pixels, ["bx", "by"]).select(key, "es", F.explode(F.filter("pixels", near)).alias("p"))
     p = F.col("p")
-    tested = tested.withColumn("_c", R.contains_point(F.col("ring"), x0(p) + size / 2, y0(p) + size / 2, "half_open"))
-    touched = F.col("_c") | R.polygons_intersect(F.col("ring"), R.rectangle(x0(p), y0(p), x0(p) + size, y0(p) + size))
+    tested = tested.withColumn("_c", R.edges_hold(F.col("es"), x0(p) + size / 2, y0(p) + size / 2, "half_open"))
+    touched = F.col("_c") | R.edges_meet_square(F.col("es"), x0(p), y0(p), x0(p) + size, y0(p) + size)
     tested = tested.withColumn("_t", touched) if touch else tested.where("_c").withColumn("_t", F.lit(False))
     kept = lambda c: F.when(F.col("_t") if c.startswith("t") else F.col("_c"), p[c])
     single = tested.select(key, *[kept(c).alias(c) for c in STATS])

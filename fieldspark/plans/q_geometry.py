@@ -12,7 +12,7 @@ from fieldspark.operators import overlay as O
 from fieldspark.operators import polygons as G
 from fieldspark.operators import simplify as SI
 from fieldspark.operators import spatial as SP
-from fieldspark.plans.q_raster import centroids, neighbour_mean, zones
+from fieldspark.plans.q_raster import _PARTED, centroids, neighbour_mean, parted, zones
 from fieldspark.plans.registry import query
 from fieldspark.plans.views import with_ring
 
@@ -207,6 +207,29 @@ def intersection_area(t):
     return G.intersection_area(pairs, convex=True).withColumn("overlap", fixed("overlap", 6))
 
 
+def _common(x0, x1, y0, y1):
+    return f"greatest(0, least({x1}, c.x0 + c.w) - greatest({x0}, c.x0)) * greatest(0, least({y1}, c.y0 + c.h) - greatest({y0}, c.y0))"
+
+
+_PARTS_OVER = (
+    _common("z.x0", "z.x0 + z.w", "z.y0", "z.y0 + z.h") + " - " + _common("z.x0 + z.w / 4", "z.x0 + z.w * 3 / 4", "z.y0 + z.h / 4", "z.y0 + z.h * 3 / 4")
+    + " + CASE WHEN z.dos THEN " + _common("z.x0 + z.w * 1.5", "z.x0 + z.w * 2", "z.y0", "z.y0 + z.h") + " ELSE 0 END"
+)
+
+
+@query(
+    "intersection_area_parts",
+    f"""WITH {_PARTED} SELECT z.id_recinto, c.celda, round({_PARTS_OVER}, 6) AS overlap FROM pz z JOIN v_cell c
+    ON z.x0 <= c.x0 + c.w AND z.x0 + CASE WHEN z.dos THEN 2 ELSE 1 END * z.w >= c.x0 AND z.y0 <= c.y0 + c.h AND z.y0 + z.h >= c.y0""",
+)
+def intersection_area_parts(t):
+    """Common area of cells with geometries that have holes and several parts."""
+    left = parted(t).withColumn("ring", R.rectangle(*[F.col(c) for c in BOX[1:]]))
+    right = with_ring(t.v_cell).select("celda", *BOX, F.array(F.array("ring")).alias("parts_r"))
+    pairs = SP.join_polygons(left, right, 16.0, touching=False).select("id_recinto", "celda", "parts", "parts_r")
+    return G.parts_intersection_area(pairs, ["id_recinto", "celda"], convex=True).withColumn("overlap", fixed("overlap", 6))
+
+
 @query(
     "spatial_join_max_overlap",
     f"""SELECT id_recinto, celda, overlap FROM (SELECT p.id_recinto, c.celda, round({_OVER}, 6) AS overlap, row_number() OVER (PARTITION BY p.id_recinto ORDER BY {_OVER} DESC, c.celda) AS rn

@@ -306,6 +306,43 @@ def districts(t):
     return R.with_bounds(t.v_plot.select("id_recinto", reach.alias("reach"), ring.alias("ring")))
 
 
+def parted(t):
+    """Plots blown up, by id: with a hole, or of two parts of which one has a hole."""
+    x, y, w, h = F.col("x0"), F.col("y0"), F.col("w") * 4, F.col("h") * 4
+    at = lambda u, v: R.point(x + w * u, y + h * v)
+    box = lambda a, b, c, d: F.array(at(a, b), at(c, b), at(c, d), at(a, d))
+    holed = F.array(box(0, 0, 1, 1), F.reverse(box(0.25, 0.25, 0.75, 0.75)))
+    parts = F.when(F.col("id_recinto") % 2 == 0, F.array(holed)).otherwise(F.array(holed, F.array(box(1.5, 0, 2, 1))))
+    z = t.v_plot.select("id_recinto", parts.alias("parts"))
+    return R.with_bounds(z.withColumn("ring", R.parts_outline(F.col("parts")))).drop("ring")
+
+
+_PARTED = """pz AS (SELECT id_recinto, x0, y0, 4 * w AS w, 4 * h AS h, id_recinto % 2 = 1 AS dos FROM v_plot)"""
+_IN_PARTED = """(({x} > z.x0 AND {x} < z.x0 + z.w AND {y} > z.y0 AND {y} < z.y0 + z.h AND NOT ({x} > z.x0 + z.w / 4 AND {x} < z.x0 + z.w * 3 / 4 AND {y} > z.y0 + z.h / 4 AND {y} < z.y0 + z.h * 3 / 4))
+      OR (z.dos AND {x} > z.x0 + z.w * 1.5 AND {x} < z.x0 + z.w * 2 AND {y} > z.y0 AND {y} < z.y0 + z.h))"""
+
+
+@query(
+    "zonal_parts",
+    f"""WITH {_PX}, {_MOSAIC}, {_CENTRE}, {_PARTED} SELECT id_recinto, round(avg(ndvi), 6) AS mean, round(min(ndvi), 6) AS min, round(max(ndvi), 6) AS max, count(*) AS n
+    FROM pz z JOIN m ON {_IN_PARTED.format(x='m.x', y='m.y')} WHERE ndvi IS NOT NULL GROUP BY 1""",
+)
+def zonal_parts(t):
+    """Zones with holes and of several parts."""
+    out = Z.centre_stats(Z.zone_totals(Z.pixel_pyramid(centred(t), 1.0), parted(t), "id_recinto", touch=False), "id_recinto")
+    return out.select("id_recinto", "n", *[fixed(c, 6).alias(c) for c in ("mean", "min", "max")])
+
+
+@query(
+    "points_in_parts",
+    f"""WITH {_PARTED} SELECT id_recinto, count(*) AS n, CAST(sum(estacion_id) AS BIGINT) AS suma FROM pz z JOIN v_station s ON {_IN_PARTED.format(x='(s.x + 0.125)', y='(s.y + 0.125)')} GROUP BY 1""",
+)
+def points_in_parts(t):
+    points = t.v_station.select("estacion_id", (F.col("x") + 0.125).alias("x"), (F.col("y") + 0.125).alias("y"))
+    pairs = SP.join_points_polygons(points, parted(t), 16.0, boundary="half_open")
+    return pairs.groupBy("id_recinto").agg(F.count(F.lit(1)).alias("n"), F.sum("estacion_id").alias("suma"))
+
+
 @query(
     "zonal_pyramid",
     f"""WITH {_PX}, {_MOSAIC}, {_CENTRE}, z AS (SELECT id_recinto, x0 + 0.25 AS cx, y0 + 0.25 AS cy, CASE id_recinto % 5 WHEN 0 THEN 60.0::DOUBLE WHEN 1 THEN 25.0::DOUBLE ELSE 9.0::DOUBLE END + w AS a FROM v_plot)
