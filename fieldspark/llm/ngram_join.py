@@ -335,10 +335,9 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
 
 
 def first_of_groups(docs: DataFrame) -> DataFrame:
-    """One row of each group stays: the one with the smallest id. Rows without words stay.
+    """One row of each group stays: the one with the smallest id, one without an id only if all are. Rows without words stay.
 
-    Rows are told apart by two hashes over all their columns, so an id may have several texts; rows equal in all columns stay once. A row
-    without an id cannot be named as the copy of another: of those in a group one stays besides the one with an id.
+    Rows are told apart by two hashes over all their columns, so an id may have several texts; rows equal in all columns stay once.
     """
     row, key = [F.col(c) for c in docs.columns], ["_k1", "_k2"]
     empty = [c.isNull() for c in row]
@@ -346,15 +345,15 @@ def first_of_groups(docs: DataFrame) -> DataFrame:
     shown = with_columns(keyed.select("doc_id", *key, F.col("text").alias("_text")), "_text", SHOWN, _shown)
     groups, rows = class_groups(docs, "text", stored(shown.drop("_text").withColumn("no_id", F.col("doc_id").isNull()), "shown"))
     groups = groups.withColumnRenamed("node", "_n")
-    place = F.struct("doc_id", *key)
+    place = F.struct("no_id", "doc_id", *key)
     kinds = rows.where("n_shingles > 0").groupBy("node", "no_id", "doc_id", *key).agg(F.count("*").alias("copies"))
-    classes = kinds.groupBy("node", "no_id").agg(F.min(place).alias("first"), F.count("*").alias("kinds"))
+    classes = kinds.groupBy("node").agg(F.min(place).alias("first"), F.count("*").alias("kinds"))
     named = classes.join(groups, F.col("node") == F.col("_n"), "left").withColumn("group", F.coalesce("component", "node"))
-    smallest = named.groupBy("group", "no_id").agg(F.min("first").alias("stays"), F.sum("kinds").alias("of_group"))
-    special = named.join(smallest, ["group", "no_id"]).where("of_group > 1").select("node", "no_id", "stays")
+    smallest = named.groupBy("group").agg(F.min("first").alias("stays"), F.sum("kinds").alias("of_group"))
+    special = named.join(smallest, "group").where("of_group > 1").select("node", "stays")
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     own = kinds.withColumn("_salt", F.pmod(F.xxhash64("_k1"), F.lit(SALTS)).cast("int"))
-    told = own.join(special.withColumn("_salt", salts), ["node", "no_id", "_salt"], "left")
+    told = own.join(special.withColumn("_salt", salts), ["node", "_salt"], "left")
     keep = F.col("stays").isNull() | place.eqNullSafe(F.col("stays"))
     marks = stored(told.select(*key, "copies", keep.alias("keep")).where("not keep or copies > 1"), "marks")
     dealt = marks.withColumn("_salt", salts)
