@@ -1,14 +1,17 @@
-"""License scan: exact containment join of text blocks with license templates.
+"""License scan: exact containment join of text blocks with license templates, and sentences word by word.
 
-A block is a stretch of up to ``BLOCK`` words of a line, the next one beginning ``STEP`` words later, so every place of up to ``STEP``
-words lies whole in a block, and long lines are read to their end. With ``across_lines``, as in the query, the words of the whole text are
-cut into blocks too, so a hard-wrapped header is found. A template longer than ``STEP`` words makes steps and blocks longer. A block matches a template when it holds at least ``THRESHOLD`` of
-the template's distinct words. The join is exact: words are ordered by how often the whole corpus uses them, rare ones first; a matching
-block must hold one of the first n - o + 1 words of the template (o: words needed of n), have o template words at all (length filter),
-and have enough words left behind the first common one on either side (positional filter). Only blocks that pass are counted out.
+Templates are the paragraphs that licenses are put on files with. A block is a stretch of words of the whole text (or, without ``across_lines``,
+of a line), twice as long as the longest template, the next one beginning half a block later; so every place as long as a template
+lies whole in a block, and hard-wrapped or commented headers are found. A block matches a template when it holds at least ``THRESHOLD`` of
+its distinct words, and all of its key words if it has any (by which it differs from its kin). The join is exact: words are ordered by how
+often the whole corpus uses them, rare ones first; a matching block must hold one of the first n - o + 1 words of the template (o: words
+needed of n), have o template words at all (length filter), and have enough words left behind the first common one on either side
+(positional filter). Only blocks that pass are counted out. A template's label does not count in a text that also matches a more specific
+one, which holds its words and has key words besides: a header of the lesser or the network license is not one of the general license, too.
 
-Besides, fixed phrases are searched word by word in the whole text. The templates are a fixed, small list, so their tables go to every
-task; the corpus frequencies are one number per template word.
+Statements, one sentence or less, are found only with their words in order, one after the other, wherever lines break; so are the base
+phrases. Templates, statements and phrases are a fixed, small list, so their tables go to every task; the corpus frequencies are one
+number per template word.
 
 Odd inputs: null texts are empty; empty texts give no words, no labels, score 0; repeated rows each give their row; other columns
 stay, those that clash with the new ones are replaced; an empty table gives an empty result.
@@ -17,6 +20,7 @@ stay, those that clash with the new ones are replaced; an empty table gives an e
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +42,10 @@ PHRASES = [
     ("mit license", "mit"),
 ]
 
-#: Sentences by which licenses are known, words only, and their labels.
-TEMPLATES = [
+#: Statements of a license, their words in order, and their labels.
+STATEMENTS = [
     ("this work is licensed under the gnu general public license version 3", "gpl"),
-    ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "gpl"),
+    ("free software you can redistribute it and or modify it under the terms of the gnu general public license", "gpl"),
     ("free software you can redistribute it and or modify it under the terms of the gnu lesser general public license", "lgpl"),
     ("under the terms of the gnu affero general public license as published by the free software foundation", "agpl"),
     ("licensed under the apache license version 2 0", "apache"),
@@ -60,6 +64,72 @@ TEMPLATES = [
     ("all rights reserved", "reserved"),
 ]
 
+_GNU = (
+    "This {0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1} as published by the Free Software Foundation, either"
+    " version 3 of the License, or (at your option) any later version. This {0} is distributed in the hope that it will be useful, but WITHOUT ANY"
+    " WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {1} for more details."
+    " You should have received a copy of the GNU {1} along with this {0}. If not, see <https://www.gnu.org/licenses/>."
+)
+_CC = (
+    "This work is licensed under the Creative Commons {0} 4.0 International License. To view a copy of this license, visit"
+    " http://creativecommons.org/licenses/{1}/4.0/ or send a letter to Creative Commons, PO Box 1866, Mountain View, CA 94042, USA."
+)
+
+#: The paragraphs by which licenses are put on files, their labels, and key words.
+PARAGRAPHS = [
+    (_GNU.format("program", "General Public License"), "gpl", ""),
+    (_GNU.format("library", "Lesser General Public License"), "lgpl", "lesser"),
+    (_GNU.format("program", "Affero General Public License"), "agpl", "affero"),
+    (
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a'
+        " copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed"
+        ' under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for'
+        " the specific language governing permissions and limitations under the License.",
+        "apache", "apache",
+    ),
+    (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the"
+        ' "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish,'
+        " distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the"
+        " following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "mit", "",
+    ),
+    (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+        " Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in"
+        " binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other"
+        " materials provided with the distribution.",
+        "bsd", "",
+    ),
+    (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above"
+        " copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH"
+        " REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
+        "isc", "",
+    ),
+    (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You"
+        " can obtain one at https://mozilla.org/MPL/2.0/.",
+        "mpl", "mozilla",
+    ),
+    (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute"
+        " this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+        "unlicense", "unencumbered",
+    ),
+    (_CC.format("Attribution", "by"), "cc-by", ""),
+    (_CC.format("Attribution-ShareAlike", "by-sa"), "cc-by-sa", "sharealike"),
+    (_CC.format("Attribution-NonCommercial", "by-nc"), "cc-by-nc", "noncommercial"),
+    (_CC.format("Attribution-NoDerivatives", "by-nd"), "cc-by-nd", "noderivatives"),
+]
+
+
+def words_only(text: str) -> str:
+    return " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]+", lambda m: m[0].lower(), text)))
+
+
+TEMPLATES = [(words_only(text), label, keys) for text, label, keys in PARAGRAPHS]
+
 FIELDS = [
     T.StructField("n_words", T.LongType()),
     T.StructField("n_base", T.LongType()),
@@ -79,8 +149,8 @@ def needed(n: int, threshold: float) -> int:
 class Vocabulary:
     """The distinct words of the templates by their hash."""
 
-    def __init__(self, templates: list[tuple[str, str]]):
-        sets = [sorted(set(text.split())) for text, _ in templates]
+    def __init__(self, templates: list[tuple]):
+        sets = [sorted(set(t[0].split())) for t in templates]
         words = sorted({w for s in sets for w in s})
         hashes = split_words(pa.array(words), ALNUM).hashes()
         order = np.argsort(hashes)
@@ -113,9 +183,13 @@ def corpus_frequencies(docs: DataFrame, text: str, vocabulary: Vocabulary) -> np
 
 
 class Index:
-    """Templates with their words in global order, and the inverted index of their prefixes."""
+    """Templates with their words in global order, and the inverted index of their prefixes.
+
+    ``templates``: (words, label) or (words, label, key words).
+    """
 
-    def __init__(self, vocabulary: Vocabulary, frequencies: np.ndarray, labels: list[str], threshold: float):
+    def __init__(self, vocabulary: Vocabulary, frequencies: np.ndarray, templates: list[tuple], threshold: float):
+        labels = [t[1] for t in templates]
         order = np.lexsort((np.arange(len(frequencies)), frequencies))
         self.vocabulary, self.labels, self.rank = vocabulary, labels, np.empty(len(order), np.int64)
         self.rank[order] = np.arange(len(order))
@@ -128,6 +202,17 @@ class Index:
             self.holds[k, ranks] = True
             for place, r in enumerate(ranks[: self.size[k] - self.needed[k] + 1]):
                 prefix[r].append((k, place))
+        keys = [set(t[2].split()) if len(t) > 2 else set() for t in templates]
+        number = {w: i for i, w in enumerate(vocabulary.words)}
+        self.key = np.zeros_like(self.holds)
+        for k, own in enumerate(keys):
+            self.key[k, [self.rank[number[w]] for w in own]] = True
+        self.n_keys = self.key.sum(1)
+        sets = [set(t[0].split()) for t in templates]
+        #: by template: those that are more specific
+        self.above = [
+            [a for a in range(len(sets)) if keys[a] and not keys[a] <= sets[b] and len(sets[a] & sets[b]) >= self.needed[b]] for b in range(len(sets))
+        ]
         self.prefix_at = np.concatenate(([0], np.cumsum([len(p) for p in prefix])))
         flat = [x for p in prefix for x in p]
         self.prefix = np.array(flat, np.int64).reshape(-1, 2)
@@ -152,7 +237,9 @@ class Index:
         word = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[which], n)
         hit = self.holds[np.repeat(template, n), rank[word]]
         common = np.add.reduceat(hit.astype(np.int64), np.cumsum(n) - n) if len(n) else np.zeros(0, np.int64)
-        ok = common >= self.needed[template]
+        key = self.key[np.repeat(template, n), rank[word]]
+        keys = np.add.reduceat(key.astype(np.int64), np.cumsum(n) - n) if len(n) else np.zeros(0, np.int64)
+        ok = (common >= self.needed[template]) & (keys == self.n_keys[template])
         return block[first[which[ok]]], template[ok], common[ok] / self.size[template[ok]]
 
 
@@ -172,18 +259,23 @@ def block_pairs(new: np.ndarray, known: np.ndarray, rank: np.ndarray, width: int
     return pairs, np.repeat(start, blocks)
 
 
-def scan_texts(column: pa.Array, index: Index, phrases: list[tuple[np.ndarray, str]], step: int = STEP, across_lines: bool = False) -> list:
+def occurrences(phrase: np.ndarray, hashes: np.ndarray, row_of: np.ndarray) -> np.ndarray:
+    """First words of all places where the words of a phrase follow each other in a row."""
+    upto = max(0, len(hashes) - len(phrase) + 1)
+    here = np.flatnonzero(hashes[:upto] == phrase[0])
+    for j in range(1, len(phrase)):
+        here = here[hashes[here + j] == phrase[j]]
+    return here[row_of[here] == row_of[here + len(phrase) - 1]]
+
+
+def scan_texts(column: pa.Array, index: Index, phrases: list, statements: list, step: int = STEP, across_lines: bool = False) -> list:
     words = split_words(column, ALNUM)
     hashes, row_of = words.hashes(), words.rows()
     n_rows = len(column)
     n_base, first, last = np.zeros(n_rows, np.int64), np.full(n_rows, np.iinfo(np.int64).max), np.full(n_rows, -1)
     base: list[set] = [set() for _ in range(n_rows)]
     for phrase, label in phrases:
-        upto = max(0, len(hashes) - len(phrase) + 1)
-        here = np.flatnonzero(hashes[:upto] == phrase[0])
-        for j in range(1, len(phrase)):
-            here = here[hashes[here + j] == phrase[j]]
-        here = here[row_of[here] == row_of[here + len(phrase) - 1]]
+        here = occurrences(phrase, hashes, row_of)
         row, place = row_of[here], here - words.row_at[row_of[here]]
         np.add.at(n_base, row, 1)
         np.minimum.at(first, row, place)
@@ -193,18 +285,23 @@ def scan_texts(column: pa.Array, index: Index, phrases: list[tuple[np.ndarray, s
     found = index.vocabulary.numbers(hashes)
     known = np.flatnonzero(found >= 0)
     labels, score = [set(b) for b in base], np.where(n_base > 0, 1.0, 0.0)
+    for phrase, label in statements:
+        for r in np.unique(row_of[occurrences(phrase, hashes, row_of)]):
+            labels[r].add(label)
+            score[r] = 1.0
     if len(known):
         # lines: a new one begins with each row and after each line break
         breaks = np.cumsum(words.raw == 10)[words.start] if len(words.raw) else np.zeros(0, np.int64)
         text_start = np.concatenate(([True], row_of[1:] != row_of[:-1]))
         line_start = text_start | np.concatenate(([True], breaks[1:] != breaks[:-1]))
         rank, width = index.rank[found[known]], len(index.rank)
-        for new in (line_start, text_start) if across_lines else (line_start,):
-            pairs, first_of = block_pairs(new, known, rank, width, step)
-            block, template, share = index.matches(pairs // width, pairs % width)
-            row = row_of[first_of[block]]
-            np.maximum.at(score, row, share)
-            for r, t in set(zip(row.tolist(), template.tolist(), strict=True)):
+        pairs, first_of = block_pairs(text_start if across_lines else line_start, known, rank, width, step)
+        block, template, share = index.matches(pairs // width, pairs % width)
+        row = row_of[first_of[block]]
+        np.maximum.at(score, row, share)
+        matched = set(zip(row.tolist(), template.tolist(), strict=True))
+        for r, t in matched:
+            if not any((r, a) in matched for a in index.above[t]):
                 labels[r].add(index.labels[t])
     none = n_base == 0
     return [
@@ -219,18 +316,22 @@ def scan_texts(column: pa.Array, index: Index, phrases: list[tuple[np.ndarray, s
 
 
 def scan_licenses(
-    docs: DataFrame, text: str = "text", templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD, across_lines: bool = False
+    docs: DataFrame, text: str = "text", templates=TEMPLATES, phrases=PHRASES, statements=STATEMENTS, threshold: float = THRESHOLD, across_lines: bool = True
 ) -> DataFrame:
     """``docs`` with n_words, n_base, first_word, last_word, base_labels, labels and score (the largest containment found)."""
-    step = max(STEP, *[len(t.split()) for t, _ in templates])
+    step = step_of(templates)
     vocabulary = Vocabulary(templates)
-    index = Index(vocabulary, corpus_frequencies(docs, text, vocabulary), [label for _, label in templates], threshold)
-    coded = [(split_words(pa.array([phrase]), ALNUM).hashes(), label) for phrase, label in phrases]
-    return with_columns(docs, text, FIELDS, lambda column: scan_texts(column, index, coded, step, across_lines))
+    index = Index(vocabulary, corpus_frequencies(docs, text, vocabulary), templates, threshold)
+    coded, said = ([(split_words(pa.array([phrase]), ALNUM).hashes(), label) for phrase, label in own] for own in (phrases, statements))
+    return with_columns(docs, text, FIELDS, lambda column: scan_texts(column, index, coded, said, step, across_lines))
+
 
+def step_of(templates: list[tuple]) -> int:
+    return max(STEP, *[len(t[0].split()) for t in templates])
 
-def _values(pairs: list[tuple[str, str]]) -> str:
-    return ", ".join(f"('{a}', '{b}')" for a, b in pairs)
+
+def _values(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join(f"'{v}'" for v in row) + ")" for row in rows)
 
 
 ORACLE = rf"""
@@ -240,29 +341,38 @@ WITH d AS (
 ), w AS (
   SELECT doc_id, k, t, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM d
 ), p AS (
-  SELECT string_split(phrase, ' ') AS phrase, label FROM (VALUES {_values(PHRASES)}) AS v(phrase, label)
-), places AS (
-  SELECT k, s - 1 AS place, label
-  FROM (SELECT k, words, phrase, label, unnest(range(1, len(words) - len(phrase) + 2)) AS s FROM w, p WHERE len(words) >= len(phrase))
+  SELECT string_split(phrase, ' ') AS phrase, label, true AS base FROM (VALUES {_values(PHRASES)}) AS v(phrase, label)
+  UNION ALL SELECT string_split(phrase, ' '), label, false FROM (VALUES {_values(STATEMENTS)}) AS v(phrase, label)
+), found AS (
+  SELECT k, s - 1 AS place, label, base
+  FROM (SELECT k, words, phrase, label, base, unnest(range(1, len(words) - len(phrase) + 2)) AS s FROM w, p
+        WHERE len(words) >= len(phrase) AND contains(' ' || array_to_string(words, ' ') || ' ', ' ' || array_to_string(phrase, ' ') || ' '))
   WHERE words[s : s + len(phrase) - 1] = phrase
+), places AS (
+  SELECT k, place, label FROM found WHERE base
 ), base AS (
   SELECT k, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word FROM places GROUP BY k
-), lines AS (
-  SELECT k, regexp_extract_all(line, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM (SELECT k, unnest(string_split(t, chr(10))) AS line FROM w)
 ), blocks AS (
-  SELECT k, list_distinct(words[s + 1 : s + {BLOCK}]) AS b
-  FROM (SELECT k, words, unnest(range(0, greatest(len(words) - {STEP}, 1), {STEP})) AS s FROM lines WHERE len(words) > 0)
+  SELECT k, list_distinct(words[s + 1 : s + {2 * step_of(TEMPLATES)}]) AS b
+  FROM (SELECT k, words, unnest(range(0, greatest(len(words) - {step_of(TEMPLATES)}, 1), {step_of(TEMPLATES)})) AS s FROM w WHERE len(words) > 0)
 ), tm AS (
-  SELECT list_distinct(string_split(template, ' ')) AS t, label FROM (VALUES {_values(TEMPLATES)}) AS v(template, label)
+  SELECT n, list_distinct(string_split(template, ' ')) AS t, label, list_filter(string_split(keys, ' '), lambda x: x <> '') AS keys
+  FROM (SELECT *, row_number() OVER () AS n FROM (VALUES {_values(TEMPLATES)}) AS v(template, label, keys))
+), above AS (
+  SELECT a.n AS a, b.n AS b FROM tm a, tm b
+  WHERE len(a.keys) > 0 AND len(list_intersect(a.keys, b.t)) < len(a.keys) AND len(list_intersect(a.t, b.t)) >= ceil(len(b.t) * {THRESHOLD} - 1e-9)
 ), m AS (
-  SELECT k, label, len(list_intersect(b, t)) / len(t) AS share FROM blocks, tm
-  WHERE len(b) >= ceil(len(t) * {THRESHOLD} - 1e-9) AND len(list_intersect(b, t)) >= ceil(len(t) * {THRESHOLD} - 1e-9)
+  SELECT k, n, label, max(len(list_intersect(b, t)) / len(t)) AS share FROM blocks, tm
+  WHERE len(b) >= ceil(len(t) * {THRESHOLD} - 1e-9) AND len(list_intersect(b, t)) >= ceil(len(t) * {THRESHOLD} - 1e-9) AND len(list_intersect(b, keys)) = len(keys)
+  GROUP BY k, n, label
+), own AS (
+  SELECT k, label FROM m WHERE NOT EXISTS (SELECT 1 FROM m x JOIN above ON above.a = x.n WHERE x.k = m.k AND above.b = m.n)
 ), s AS (
-  SELECT k, max(share) AS score FROM m GROUP BY k
+  SELECT k, max(share) AS score FROM (SELECT k, share FROM m UNION ALL SELECT k, 1 FROM found) GROUP BY k
 ), bl AS (
   SELECT k, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT DISTINCT k, label FROM places) GROUP BY k
 ), al AS (
-  SELECT k, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT k, label FROM places UNION SELECT k, label FROM m) GROUP BY k
+  SELECT k, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT k, label FROM found UNION SELECT k, label FROM own) GROUP BY k
 )
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, first_word, last_word,
        coalesce(bl.labels, '') AS base_labels, coalesce(al.labels, '') AS labels,
@@ -273,4 +383,4 @@ FROM w LEFT JOIN base USING (k) LEFT JOIN s USING (k) LEFT JOIN bl USING (k) LEF
 
 @query("op4_license_scan", ORACLE)
 def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
-    return scan_licenses(table(spark, folder, "documents").select("doc_id", "text"), across_lines=True).drop("text")
+    return scan_licenses(table(spark, folder, "documents").select("doc_id", "text")).drop("text")

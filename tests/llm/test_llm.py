@@ -212,7 +212,7 @@ def test_license_join_is_exact(spark):
     rng = random.Random(9)
     templates = [(" ".join(rng.sample([f"w{k}" for k in range(30)], rng.randrange(2, 12))), f"l{k}") for k in range(15)]
     rows = [(i, "\n".join(prose(rng, rng.choice([3, 20, 63, 64, 65, 96, 97, 150]), 30) for _ in range(rng.randrange(0, 4))), "s") for i in range(40)] + ODD
-    got = lic.scan_licenses(documents(spark, rows), templates=templates, threshold=0.8).select("doc_id", "labels", "score").collect()
+    got = lic.scan_licenses(documents(spark, rows), templates=templates, statements=[], threshold=0.8, across_lines=False).select("doc_id", "labels", "score").collect()
     want = []
     for i, text, _ in rows:
         labels, score = set(), 0.0
@@ -237,6 +237,41 @@ def test_license_phrases(spark):
     assert lic.scan_licenses(docs.limit(0)).count() == 0
 
 
+def header(text, mark="# ", width=9):
+    """A paragraph as a commented, hard-wrapped header."""
+    w = text.split()
+    return "\n".join(mark + " ".join(w[k : k + width]) for k in range(0, len(w), width))
+
+
+def test_headers_have_their_own_label_only(spark):
+    lead = "\n".join(f"line{k} of code" for k in range(70))
+    rows = [(k, f"{lead}\n{header(text)}\n{lead}", label) for k, (text, label, _) in enumerate(lic.PARAGRAPHS)]
+    # some words of a header changed or left out
+    rows += [(100 + k, header(" ".join(x for i, x in enumerate(text.split()) if i % 25 != 7)), label) for k, (text, label, _) in enumerate(lic.PARAGRAPHS[:7])]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in lic.scan_licenses(documents(spark, rows)).collect()}
+    for k, _, label in rows:
+        assert label in got[k][0].split(",") and got[k][1] >= 0.9, (k, label, got[k])
+        extra = set(got[k][0].split(",")) - {label}
+        assert not extra, (label, extra)
+
+
+def test_prose_is_no_license(spark):
+    texts = [
+        "all the people have their rights and a table was reserved", "the mit people released the film under the license",
+        "a general license for the public of gnu", "permission to copy this software is not granted to any person free of charge",
+        "works under cc and by 4 0 licensed", "the binary source and forms are permitted with modification or without redistribution and use",
+    ]
+    got = lic.scan_licenses(documents(spark, [(k, t, "s") for k, t in enumerate(texts)])).select("labels", "score").distinct().collect()
+    assert [tuple(r) for r in got] == [("", 0.0)]
+
+
+def test_license_scan_of_odd_texts(spark):
+    for across in (True, False):
+        got = lic.scan_licenses(documents(spark, ODD), across_lines=across).collect()
+        assert len(got) == len(ODD) and {(r["labels"], r["score"], r["n_base"]) for r in got} == {("", 0.0, 0)}
+    assert lic.scan_licenses(documents(spark, ODD).limit(0)).count() == 0
+
+
 def test_wrapped_and_long_licenses(spark, tmp_path):
     bsd = " * Redistribution and use in source and binary forms, with or\n * without modification, are permitted"
     isc = "# Permission to use, copy, modify, and/or distribute\n# this software for any purpose with or\n# without fee is hereby granted"
