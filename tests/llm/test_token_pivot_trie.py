@@ -174,7 +174,7 @@ def test_bounds_leave_blocks_out(spark, monkeypatch):
 def test_search_on_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 2.0]), (100, None), (200, [nan, 1.0]), (300, [inf, 0.0]), (400, [None, 1.0]), (500, [0.0, 0.0]), (None, [1.0, 2.0]), (None, [3.0, 1.0]),
-            (1, [1.0, 2.0]), (1, [1.0, 2.0]), (0, [1.0, 2.0]), (600, [5.0]), (700, []), (-100, [-0.1, 0.30001]), (2, [0.3, -7.25])]
+            (1, [1.0, 2.0]), (1, [1.0, 2.0]), (0, [1.0, 2.0]), (600, [5.0]), (700, []), (-100, [-0.1, 0.30001]), (800, [1e6, -3e7]), (3, [65536.5, 2.0]), (2, [0.3, -7.25])]
     assert found(pivot.top_products(small(spark, rows))) == brute_top(rows)
     assert found(pivot.top_products(small(spark, [(0, [1.0])]))) == []
     assert pivot.top_products(small(spark, rows[:1]).limit(0)).count() == 0
