@@ -105,16 +105,18 @@ def _shown(column: pa.Array) -> list:
 SHOWN = [T.StructField("n_shingles", T.LongType()), T.StructField("node", T.LongType()), T.StructField("tokens", T.ArrayType(T.LongType()))]
 
 
+def counted(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """Adds how many rows have the same key. Rows travel once; a hot key's rows are spilled, not held."""
+    return rows.withColumn(name, F.count("*").over(Window.partitionBy(key)))
+
+
 def possible_nodes(rows: DataFrame) -> DataFrame:
     """node of the classes that show as many common shingles as any partner asks for."""
     tokens = rows.where("n_shingles > 3").select("node", F.col("n_shingles").alias("n"), F.explode("tokens").alias("token"))
-    repeated = tokens.groupBy("token").agg(F.count("*").alias("freq")).where("freq > 1").select("token")
-    left = common = stored(tokens.join(repeated, "token").distinct(), "common")
-    enough = left.groupBy("node", "n").count().where(F.col("count") >= extra_column(F.col("n"))).select("node")
+    common = stored(counted(tokens, "token", "freq").where("freq > 1").select("token", "node", "n").distinct(), "common")
+    left = counted(common, "node", "have").where(F.col("have") >= extra_column(F.col("n"))).select("token", "node", "n")
     # counted again among the classes that are left: the shingles of passages are gone with most of their documents
-    left = left.join(enough, "node", "left_semi")
-    again = left.groupBy("token").agg(F.count("*").alias("freq")).where("freq > 1").select("token")
-    shared = left.join(again, "token").groupBy("node", "n").count()
+    shared = counted(left, "token", "freq").where("freq > 1").groupBy("node", "n").count()
     possible = stored(shared.where(F.col("count") >= extra_column(F.col("n"))).select("node"), "possible")
     discard(common)
     return possible
@@ -136,10 +138,9 @@ def common_shingles(texts: DataFrame) -> DataFrame:
 
     sets = texts.select("node", "text").mapInArrow(run, "node long, n long, tokens array<long>")
     tokens = sets.select("node", "n", F.explode("tokens").alias("token"))
-    common = tokens.groupBy("token").agg(F.count("*").alias("freq")).where("freq > 1")
     of_class = Window.partitionBy("node")
     least = F.ceil(F.col("n") * PERCENT / 100).cast("long")
-    ranked = tokens.join(common, "token").withColumns(
+    ranked = counted(tokens, "token", "freq").where("freq > 1").withColumns(
         {"place": F.row_number().over(of_class.orderBy("freq", "token")), "have": F.count("*").over(of_class)}
     )
     ranked = ranked.withColumns({"own": F.col("n") - F.col("have"), "short": F.col("have") - least + 1})
