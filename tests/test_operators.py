@@ -55,6 +55,17 @@ def test_quantiles_match_numpy(spark):
         assert [got[g].a, got[g].b, got[g].c] == pytest.approx(list(want))
 
 
+def test_quantiles_of_a_column_by_histograms(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    probs = {"a": 0.0, "b": 0.01, "c": 0.37, "d": 0.5, "e": 0.999, "f": 1.0}
+    for v in (rng.normal(size=3000), np.concatenate([rng.normal(size=500).round(1), np.full(700, 0.25), [1e12, -1e15, 3.0]]), np.full(9, 2.5), np.array([7.0]), np.array([-0.0, 0.0, 5e-324])):
+        df = spark.createDataFrame([(float(x),) for x in v] + [(None,)], "v double").repartition(5)
+        got = exact_quantiles(df, [], "v", probs).first()
+        assert got["n"] == len(v)
+        assert [got[k] for k in probs] == pytest.approx(list(np.quantile(v, list(probs.values()))), rel=1e-12, abs=1e-12)
+    assert exact_quantiles(df.limit(0), [], "v", probs).collect() == []
+
+
 @pytest.mark.parametrize("reach", [0, 1, 3])
 def test_dilation(spark, reach):
     rng = np.random.default_rng(2)
