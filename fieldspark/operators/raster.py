@@ -312,11 +312,11 @@ def fill_gaps(raster: DataFrame, max_gap: int = 50, block: int = 256, keys: list
     A pixel of such a group sees the whole group within ``max_gap`` rows and columns. Blocks with that margin are
     therefore independent: no labels travel between them and the block size bounds the group. A null pixel gets the mean
     of the linear interpolations along its row and along its column between the valid pixels that border the gap, else
-    the nearest valid pixel around the gap.
+    the nearest valid pixel that touches the gap. ``large`` marks null pixels of larger groups.
     """
     keys = keys or ["tile"]
-    halo = max_gap + 6
-    schema = ", ".join([*(f"{k} {dict(raster.dtypes)[k]}" for k in keys), "r int, c int, ndvi double, filled boolean"])
+    halo = max_gap + 2
+    schema = ", ".join([*(f"{k} {dict(raster.dtypes)[k]}" for k in keys), "r int, c int, ndvi double, filled boolean, large boolean"])
     r, c = F.col("r").cast("int"), F.col("c").cast("int")
 
     def homes(v: Column) -> Column:
@@ -336,50 +336,63 @@ def fill_gaps(raster: DataFrame, max_gap: int = 50, block: int = 256, keys: list
         known = np.zeros(grid.shape, bool)
         grid[rows, cols] = pdf["ndvi"].to_numpy(float)
         known[rows, cols] = True
-        values = _fill_block(grid, known, max_gap)
-        pdf = pdf.assign(_v=values[rows, cols])
+        values, large = _fill_block(grid, known, max_gap)
+        pdf = pdf.assign(_v=values[rows, cols], _l=large[rows, cols])
         core = pdf[(pdf["r"] // block == br) & (pdf["c"] // block == bc)]
         out = core[[*keys, "r", "c"]].copy()
         out["ndvi"] = core["_v"].where(core["_v"].notna(), None)
         out["filled"] = core["ndvi"].isna() & core["_v"].notna()
+        out["large"] = core["_l"]
         return out
 
     return spread.groupBy(*keys, "_br", "_bc").applyInPandas(fill, schema)
 
 
 def label_gaps(empty: np.ndarray) -> np.ndarray:
-    """Labels of 4-connected groups, 0 outside."""
+    """Labels of 4-connected groups, 0 outside. Runs of a row are joined with those above that they touch; no pixel is walked alone."""
+    height, width = empty.shape
+    edge = np.diff(np.pad(empty, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    row, begin = np.nonzero(edge == 1)
+    end = np.nonzero(edge == -1)[1]
+    if not len(row):
+        return np.zeros(empty.shape, int)
+    # runs are in the order of row and column, so those of the row above that overlap follow each other
+    span = width + 1
+    lo = np.searchsorted(row * span + end, (row - 1) * span + begin, "right")
+    hi = np.maximum(lo, np.searchsorted(row * span + begin, (row - 1) * span + end, "left"))
+    below = np.repeat(np.arange(len(row)), hi - lo)
+    above = np.arange(len(below)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)
+    group = np.arange(len(row))
+    while True:
+        least = np.minimum(group[below], group[above])
+        new = group.copy()
+        np.minimum.at(new, group[below], least)
+        np.minimum.at(new, group[above], least)
+        new = new[new]
+        if (new == group).all():
+            break
+        group = new
+    number = np.unique(group, return_inverse=True)[1].reshape(-1) + 1
     labels = np.zeros(empty.shape, int)
-    current = 0
-    for start in zip(*np.nonzero(empty)):
-        if labels[start]:
-            continue
-        current += 1
-        labels[start] = current
-        stack = [start]
-        while stack:
-            i, j = stack.pop()
-            for a, b in ((i - 1, j), (i + 1, j), (i, j - 1), (i, j + 1)):
-                if 0 <= a < empty.shape[0] and 0 <= b < empty.shape[1] and empty[a, b] and not labels[a, b]:
-                    labels[a, b] = current
-                    stack.append((a, b))
+    labels[empty] = np.repeat(number, end - begin)
     return labels
 
 
-def _fill_block(grid: np.ndarray, known: np.ndarray, max_gap: int) -> np.ndarray:
+def _fill_block(grid: np.ndarray, known: np.ndarray, max_gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """(values with small gaps filled, which pixels lie in large gaps)."""
     out = grid.copy()
     labels = label_gaps(np.isnan(grid) & known)
-    if not labels.any():
-        return out
     sizes = np.bincount(labels.ravel())
+    large = (sizes[labels] > max_gap) & (labels > 0)
+    if not labels.any():
+        return out, large
     order = np.argsort(labels.ravel(), kind="stable")
     starts = np.concatenate([[0], np.cumsum(sizes)])
     for gap in range(1, len(sizes)):
         if sizes[gap] > max_gap:
             continue
         cells = np.stack(np.unravel_index(order[starts[gap] : starts[gap + 1]], grid.shape), axis=1)
-        # fixed values: how far around a gap of n pixels its border is read
-        ring = _ring_around(grid, cells, min(5, max(2, int(math.sqrt(sizes[gap]) / 2))))
+        ring = _border_of(grid, cells)
         if len(ring) == 0:
             continue
         ring_values = grid[ring[:, 0], ring[:, 1]]
@@ -391,17 +404,18 @@ def _fill_block(grid: np.ndarray, known: np.ndarray, max_gap: int) -> np.ndarray
             else:
                 d2 = (ring[:, 0] - i) ** 2 + (ring[:, 1] - j) ** 2
                 out[i, j] = ring_values[int(np.argmin(d2))]
-    return out
-
-
-def _ring_around(grid: np.ndarray, cells: np.ndarray, reach: int) -> np.ndarray:
-    """Valid pixels within ``reach`` rows and columns of the gap."""
-    lo = np.maximum(cells.min(axis=0) - reach, 0)
-    hi = np.minimum(cells.max(axis=0) + reach, np.array(grid.shape) - 1)
-    near = np.zeros(tuple(hi - lo + 1), bool)
-    for i, j in cells - lo:
-        near[max(i - reach, 0) : i + reach + 1, max(j - reach, 0) : j + reach + 1] = True
-    valid = near & ~np.isnan(grid[lo[0] : hi[0] + 1, lo[1] : hi[1] + 1])
+    return out, large
+
+
+def _border_of(grid: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """Valid pixels that touch the gap, at a side or a corner."""
+    lo = np.maximum(cells.min(axis=0) - 1, 0)
+    hi = np.minimum(cells.max(axis=0) + 1, np.array(grid.shape) - 1)
+    near = np.zeros(tuple(hi - lo + 3), bool)
+    for di in (0, 1, 2):
+        for dj in (0, 1, 2):
+            near[cells[:, 0] - lo[0] + di, cells[:, 1] - lo[1] + dj] = True
+    valid = near[1:-1, 1:-1] & ~np.isnan(grid[lo[0] : hi[0] + 1, lo[1] : hi[1] + 1])
     return np.argwhere(valid) + lo
 
 

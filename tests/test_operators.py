@@ -99,6 +99,35 @@ def test_fill_gaps_reproduces_linear_field(spark):
     assert np.array_equal(np.nan_to_num(got, nan=-9), np.nan_to_num(one_block, nan=-9))
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_gaps_are_four_connected(seed):
+    rng = np.random.default_rng(seed)
+    empty = rng.random((rng.integers(1, 25), rng.integers(1, 25))) < rng.choice([0.2, 0.6, 0.9])
+    labels = RA.label_gaps(empty)
+    assert ((labels > 0) == empty).all()
+    seen = {}
+    for start in zip(*np.nonzero(empty)):
+        if start in seen:
+            continue
+        seen[start], todo = start, [start]
+        while todo:
+            i, j = todo.pop()
+            for p in ((i - 1, j), (i + 1, j), (i, j - 1), (i, j + 1)):
+                if 0 <= p[0] < empty.shape[0] and 0 <= p[1] < empty.shape[1] and empty[p] and p not in seen:
+                    seen[p] = start
+                    todo.append(p)
+    pairs = {(labels[p], s) for p, s in seen.items()}
+    assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+
+
+def test_large_gaps_are_marked(spark):
+    field = np.ones((30, 30))
+    field[3:5, 3:5] = np.nan
+    field[10:20, 10:20] = np.nan
+    out = RA.fill_gaps(grid_frame(spark, field), 50, block=8).where("large").select("r", "c").collect()
+    assert sorted(map(tuple, out)) == [(r, c) for r in range(10, 20) for c in range(10, 20)]
+
+
 def test_fill_mean_smooth(spark):
     rng = np.random.default_rng(3)
     v = rng.random((9, 11))
