@@ -6,11 +6,12 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldspark.functions import ring as R
 from fieldspark.functions.numbers import fixed
+from fieldspark.session import cut_lineage
 
 # Inverse-distance powers by variable (other variables: the default given by the caller).
 IDW_POWERS = {
@@ -35,7 +36,9 @@ MIN_NEIGHBOURS = 4
 MAX_NEIGHBOURS = 6
 
 CHUNK = 1024  # stations held by one array
-LISTED = 48  # nearest stations that are looked at first
+LISTED = 48  # values of one group in a cell of targets before it is halved
+LEVELS = 10  # halvings of the largest radius
+FINER = 12  # halvings of a neighbour search's cell where references are dense
 SALTS = 16  # copies of each station array, or of a cell's row, so that one crowded cell spreads over tasks
 TARGETS = 1024  # targets of one cell that are interpolated together
 GROUPS = 64  # groups (dates, variables …) that are interpolated together
@@ -69,8 +72,15 @@ def knn_join(
     Both sides have ``x, y``. For each occupied target cell the finest grid level is chosen whose 3×3 block holds at
     least ``k`` references; then the k-th neighbour lies within 2·sqrt(2) cell sides, that is inside the 7×7 block. Only
     the cells needed by some target are packed, in arrays of bounded size, and each array gives at most ``k`` candidates.
+    Where references are denser than about ``k`` in a cell of side ``cell``, the grid begins with finer cells; of references at one position
+    only the first ``k`` by key can count.
     """
     refs = refs.select(F.col(ref_key), F.col("x").cast("double"), F.col("y").cast("double"))
+    refs = refs.withColumn("_rn", F.row_number().over(Window.partitionBy("x", "y").orderBy(ref_key))).filter(F.col("_rn") <= k).drop("_rn")
+    held = refs.groupBy(*[F.floor(F.col(v) / F.lit(cell)).alias(f"_c{v}") for v in "xy"]).agg(F.count(F.lit(1)).alias("n"))
+    crowd = (held.agg(F.max("n")).first()[0] or 1) / k
+    finer = min(FINER, max(0, math.ceil(math.log2(crowd) / 2))) if crowd > 1 else 0
+    cell, levels = cell / 2**finer, levels + finer
 
     def axis(v: str) -> Column:
         return F.floor(F.col(v) / F.lit(cell)).cast("long")
@@ -130,7 +140,11 @@ def knn_join(
         .groupBy("_lv", "_cx", "_cy", _bucket(F.col(ref_key), chunks).alias("_ch"))
         .agg(F.collect_list(F.struct("x", "y", F.col(ref_key).alias("id"))).alias("_refs"))
     )
-    candidates = wanted.join(packed, ["_lv", "_cx", "_cy"]).select("_tx", "_ty", "_refs")
+    # the arrays around a cell of targets are put together, again up to a bounded size
+    arrays = cut_lineage(wanted.join(packed, ["_lv", "_cx", "_cy"]).select("_tx", "_ty", "_refs"))
+    sizes = arrays.groupBy("_tx", "_ty").agg(F.ceil(F.sum(F.size("_refs")) / CHUNK).cast("int").alias("_n"))
+    part = F.pmod(F.xxhash64(F.get("_refs", F.lit(0))["id"]), F.col("_n"))
+    candidates = arrays.join(sizes, ["_tx", "_ty"]).groupBy("_tx", "_ty", part.alias("_part")).agg(F.flatten(F.collect_list("_refs")).alias("_refs")).drop("_part")
 
     def scored(tx: Column, ty: Column) -> Column:
         def one(r: Column) -> Column:
@@ -171,52 +185,44 @@ def _dealt(targets: DataFrame, key: str) -> DataFrame:
     return targets.repartition(int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
-def _weighted_means(
-    targets: np.ndarray, stations: np.ndarray, values: np.ndarray, power: np.ndarray, radii: tuple[float, ...], min_n: int, max_n: int, listed: int
+def _nearest_means(
+    targets: np.ndarray, stations: np.ndarray, values: np.ndarray, power: float, radii: tuple[float, ...], min_n: int, max_n: int
 ) -> np.ndarray:
-    """Inverse-distance means, targets x groups; NaN without coverage.
+    """Inverse-distance means of one group by target; NaN without coverage.
 
-    ``targets`` and ``stations`` are coordinates, ``values`` is stations x groups with NaN where a station has none. Stations are in the order of
-    their keys, which decides ties. The ``listed`` nearest are looked at first, and four times as many wherever these leave a group short.
+    ``targets`` and ``stations`` are coordinates, ``values`` the stations' values. Stations are in the order of their keys, which decides ties.
     """
-    dx, dy = (stations[None, :, k] - targets[:, None, k] for k in (0, 1))
-    distance = np.sqrt(dx * dx + dy * dy)
-    order = np.argsort(distance, 1, kind="stable")
-    distance = np.take_along_axis(distance, order, 1)
-    in_reach = (distance <= max(radii)).sum(1)
-    n_groups = values.shape[1]
-    near = np.full((max_n, len(targets), n_groups), np.nan)
-    found = np.full((max_n, len(targets), n_groups), np.nan)
-    todo, look = np.arange(len(targets)), max(listed, max_n)
-    while len(todo):
-        look = min(look, stations.shape[0])
-        short = []
-        at_once = max(1, ELEMENTS // max(1, look * n_groups))
-        for begin in range(0, len(todo), at_once):
-            rows = todo[begin : begin + at_once]
-            v, d = values[order[rows, :look]], distance[rows, :look]
-            there = ~np.isnan(v) & (d <= max(radii))[:, :, None]
-            rank = np.cumsum(there, 1, dtype=np.int32)
-            last = rank[:, -1, :]
-            for k in range(max_n):
-                at = (rank <= k).sum(1)  # place of the next one with a value
-                has = last > k
-                safe = np.where(has, at, 0)
-                near[k, rows] = np.where(has, np.take_along_axis(d, safe, 1), np.nan)
-                found[k, rows] = np.where(has, np.take_along_axis(v, safe[:, None, :], 1)[:, 0, :], np.nan)
-            short.append(rows[(last < max_n).any(1) & (in_reach[rows] > look)])
-        todo, look = np.concatenate(short), look * 4
-    limit = near[min_n - 1]
-    radius = np.full(limit.shape, np.nan)
-    for r in sorted(radii, reverse=True):
-        radius = np.where(limit <= r, r, radius)
-    top, bottom = np.zeros(limit.shape), np.zeros(limit.shape)
-    for k in range(max_n):
-        weight = np.where(near[k] <= radius, 1.0 / np.maximum(near[k], 1e-12) ** power, 0.0)
-        top += np.where(weight > 0, weight * found[k], 0.0)
-        bottom += weight
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return np.where(np.isnan(radius), np.nan, top / bottom)
+    out = np.full(len(targets), np.nan)
+    at_once = max(1, ELEMENTS // len(stations))
+    for begin in range(0, len(targets), at_once):
+        part = targets[begin : begin + at_once]
+        dx, dy = (stations[None, :, k] - part[:, None, k] for k in (0, 1))
+        distance = np.sqrt(dx * dx + dy * dy)
+        rows = np.arange(len(part))
+        near, found = np.full((max_n, len(part)), np.nan), np.full((max_n, len(part)), np.nan)
+        for k in range(min(max_n, len(stations))):
+            nearest = distance.argmin(1)  # the first of equal ones
+            d = distance[rows, nearest]
+            near[k] = np.where(d <= max(radii), d, np.nan)
+            found[k] = values[nearest]
+            distance[rows, nearest] = np.inf
+        limit = near[min_n - 1]
+        radius = np.full(limit.shape, np.nan)
+        for r in sorted(radii, reverse=True):
+            radius = np.where(limit <= r, r, radius)
+        top, bottom = np.zeros(limit.shape), np.zeros(limit.shape)
+        for k in range(max_n):
+            weight = np.where(near[k] <= radius, 1.0 / np.maximum(near[k], 1e-12) ** power, 0.0)
+            top += np.where(weight > 0, weight * found[k], 0.0)
+            bottom += weight
+        with np.errstate(invalid="ignore", divide="ignore"):
+            out[begin : begin + at_once] = np.where(np.isnan(radius), np.nan, top / bottom)
+    return out
+
+
+def _at_level(level: Column, column: str) -> Column:
+    """Cell of a level from a cell of the finest one."""
+    return F.call_function("shiftright", F.col(column), F.lit(LEVELS) - level)
 
 
 def idw_adaptive(
@@ -230,74 +236,129 @@ def idw_adaptive(
     min_n: int = MIN_NEIGHBOURS,
     max_n: int = MAX_NEIGHBOURS,
     listed: int = LISTED,
+    wide: tuple[str, list[str]] | None = None,
 ) -> DataFrame:
     """Inverse-distance value of every target for every group (date, variable …), null without coverage.
 
     ``values``: station key, ``x, y``, ``valor`` and the group columns, one row per station and group. ``power`` may use group columns. The nearest
-    ``max_n`` stations with a value within the largest radius count, those inside the first radius that holds ``min_n`` of them.
+    ``max_n`` stations with a value within the largest radius count, those inside the first radius that holds ``min_n`` of them. With ``wide``, a
+    group column and names of its groups, each target key with a position comes back once with a column per name, so that no long form is shuffled.
 
-    Blocks meet: up to about ``TARGETS`` targets of one cell as wide as the largest radius, with the values that the stations of the 3 x 3 cells
-    around have for about ``GROUPS`` groups. Distances are taken once per block and its groups go through them together. A station row is copied to
-    the blocks of nine cells; a task holds one block, that is the stations of one neighbourhood.
+    Blocks are the widest cells that hold at most about ``TARGETS`` targets and ``listed`` values of any one group; the widest of all is as wide as the
+    largest radius. For each block and group the finest level is taken whose 3 x 3 cells hold ``max_n`` values: the nearest ones then lie in its
+    7 x 7 cells, and only these values meet the block. Where no level has enough, the 3 x 3 cells of the widest level do. So what a block
+    receives depends on ``max_n`` and not on how many stations there are.
     """
-    reach = max(radii)
-    axis = lambda v: F.floor(F.col(v) / F.lit(reach)).cast("long")
+    reach = max(radii) * (1 + 1e-9)
+    axis = lambda v: F.floor(F.col(v) * F.lit(2**LEVELS / reach)).cast("long")
     gid = F.xxhash64(*group)
-    clean = values.groupBy(F.col(station_key).alias("_id"), *group).agg(
-        F.first(F.col("valor").cast("double")).alias("_v"), F.first(F.col("x").cast("double")).alias("_x"), F.first(F.col("y").cast("double")).alias("_y")
-    ).withColumn("_gid", gid)
-    groups = values.select(*group).distinct().withColumns({"_gid": gid, "_power": power.cast("double")})
-    blocks = F.greatest(F.ceil(values.agg(F.approx_count_distinct(gid)).scalar() / GROUPS), F.lit(1)).cast("int")
-    block = F.pmod("_gid", blocks).cast("int")
-
-    placed = targets.select(target_key, F.col("x").cast("double").alias("_x"), F.col("y").cast("double").alias("_y")).withColumns({"_cx": axis("_x"), "_cy": axis("_y")})
-    cells = placed.groupBy("_cx", "_cy").agg(F.ceil(F.count(F.lit(1)) / TARGETS).cast("int").alias("_chunks"))
-    salted = cells.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    clean = cut_lineage(
+        values.groupBy(F.col(station_key).alias("_id"), *group)
+        .agg(*[F.first(F.col(c).cast("double")).alias(n) for c, n in (("valor", "_v"), ("x", "_x"), ("y", "_y"))])
+        .withColumns({"_gid": gid, "_fx": axis("_x"), "_fy": axis("_y"), "_power": power.cast("double")})
+    )
+    groups = clean.select("_gid", *group, "_power").distinct()
+    clean = clean.where(" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in ("_v", "_x", "_y"))).select("_gid", "_id", "_x", "_y", "_v", "_fx", "_fy")
+    placed = targets.select(target_key, F.col("x").cast("double").alias("_x"), F.col("y").cast("double").alias("_y")).where("_x IS NOT NULL AND _y IS NOT NULL")
+    if wide:
+        placed = placed.dropDuplicates([target_key])
+    placed = placed.withColumns({"_fx": axis("_x"), "_fy": axis("_y")})
+
+    def at_levels(fine: DataFrame, keys: list[str]) -> DataFrame:
+        """Counts of fine cells as counts of the cells of every level."""
+        every = fine.withColumn("_lv", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))))
+        return every.withColumns({"_cx": _at_level(F.col("_lv"), "_fx"), "_cy": _at_level(F.col("_lv"), "_fy")}).groupBy("_lv", "_cx", "_cy", *keys).agg(F.sum("n").alias("n"))
+
+    held = at_levels(clean.groupBy("_fx", "_fy", "_gid").agg(F.count(F.lit(1)).alias("n")), ["_gid"])
+    occupied = placed.groupBy("_fx", "_fy").agg(F.count(F.lit(1)).alias("n"))
+    dense = held.groupBy("_lv", "_cx", "_cy").agg(F.max("n").alias("_most"))
+    fits = (
+        at_levels(occupied, [])
+        .join(dense, ["_lv", "_cx", "_cy"], "left")
+        .where(((F.col("n") <= TARGETS) & (F.coalesce("_most", F.lit(0)) <= listed)) | (F.col("_lv") == LEVELS))
+        .select("_lv", "_cx", "_cy", F.ceil(F.col("n") / TARGETS).cast("int").alias("_chunks"))
+    )
+    levels = F.explode(F.sequence(F.lit(0), F.lit(LEVELS)))
+    chosen = cut_lineage(
+        occupied.withColumn("_lv", levels)
+        .withColumns({"_cx": _at_level(F.col("_lv"), "_fx"), "_cy": _at_level(F.col("_lv"), "_fy")})
+        .join(fits, ["_lv", "_cx", "_cy"])
+        .groupBy("_fx", "_fy")
+        .agg(F.min(F.struct("_lv", "_cx", "_cy", "_chunks")).alias("_b"))
+        .select("_fx", "_fy", "_b.*")
+    )
+    cell = ["_lv", "_cx", "_cy"]
+    cells = chosen.select(*cell, "_chunks").distinct()
+    up = lambda c, level: F.call_function("shiftright", F.col(c), F.col("_lv") - level)
+
+    # finest level per block and group with enough values around; 0 where there is none
+    around = cells.select(*cell, F.explode(F.sequence(F.lit(0), F.col("_lv"))).alias("_wl")).where("_wl >= 2")
+    around = around.withColumn("_dx", F.explode(_neighbour_offsets(1))).withColumn("_dy", F.explode(_neighbour_offsets(1)))
+    around = around.withColumns({"_wx": up("_cx", F.col("_wl")) + F.col("_dx"), "_wy": up("_cy", F.col("_wl")) + F.col("_dy")})
+    enough = (
+        around.join(held.select(F.col("_lv").alias("_wl"), F.col("_cx").alias("_wx"), F.col("_cy").alias("_wy"), "_gid", "n"), ["_wl", "_wx", "_wy"])
+        .groupBy(*cell, "_gid", "_wl")
+        .agg(F.sum("n").alias("n"))
+        .where(F.col("n") >= max_n)
+        .groupBy(*cell, "_gid")
+        .agg(F.max("_wl").alias("_wl"))
+    )
+    blocks = F.lit(1) if wide else F.greatest(F.ceil(groups.agg(F.count(F.lit(1))).scalar() / GROUPS), F.lit(1)).cast("int")
+    heads = cut_lineage(
+        cells.withColumn("_gid", F.explode(groups.agg(F.collect_list("_gid")).scalar()))
+        .join(enough, [*cell, "_gid"], "left")
+        .withColumns({"_wl": F.coalesce("_wl", F.lit(0)), "_block": F.pmod("_gid", blocks).cast("int"), "_chunk": F.sequence(F.lit(0), F.col("_chunks") - 1)})
+        .drop("_chunks")
+    )
+    offsets = F.when(F.col("_wl") == 0, _neighbour_offsets(1)).otherwise(_neighbour_offsets(3))
+    wanted = heads.withColumn("_dx", F.explode(offsets)).withColumn("_dy", F.explode(offsets))
+    wanted = wanted.withColumns({"_wx": up("_cx", F.col("_wl")) + F.col("_dx"), "_wy": up("_cy", F.col("_wl")) + F.col("_dy")}).drop("_dx", "_dy")
+    there = ["_wl", "_wx", "_wy", "_gid"]
+    packed = (
+        clean.withColumn("_wl", F.explode(heads.agg(F.collect_set("_wl")).scalar()))
+        .withColumns({"_wx": _at_level(F.col("_wl"), "_fx"), "_wy": _at_level(F.col("_wl"), "_fy")})
+        .join(wanted.select(*there).distinct(), there, "left_semi")
+        .groupBy(*there)
+        .agg(F.collect_list(F.struct("_id", "_x", "_y", "_v")).alias("_s"))
+    )
+    keys = [*cell, "_chunk", "_block"]
+    none = [F.lit(None).cast(groups.schema[c].dataType).alias(c) for c in [*group, "_power"]]
+    stations = wanted.join(packed, there).select(*cell, F.explode("_chunk").alias("_chunk"), "_block", "_gid", *none, *[F.col("_s")[c].alias(c) for c in ("_id", "_x", "_y", "_v")])
+    # every block also knows its groups: they come back for targets without any station
+    own = heads.withColumn("_chunk", F.explode("_chunk")).join(groups, "_gid")
+    own = own.select(*keys, "_gid", *group, "_power", *[F.lit(None).cast(stations.schema[c].dataType).alias(c) for c in ("_id", "_x", "_y", "_v")])
+    right = stations.union(own)
     left = (
-        placed.withColumn("_salt", _bucket(F.col(target_key), SALTS))
-        .join(salted, ["_cx", "_cy", "_salt"])
+        placed.join(chosen, ["_fx", "_fy"])
         .withColumn("_chunk", F.pmod(F.xxhash64(F.lit("chunk"), target_key), F.col("_chunks")).cast("int"))
         .withColumn("_block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("_cx", "_cy", "_chunk", "_block", target_key, "_x", "_y")
-    )
-    chunks = cells.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))).select("_cx", "_cy", "_chunk")
-    around = clean.withColumns({"_sx": axis("_x"), "_sy": axis("_y"), "_block": block})
-    around = around.withColumn("_cx", F.explode(F.transform(_neighbour_offsets(1), lambda d: F.col("_sx") + d)))
-    around = around.withColumn("_cy", F.explode(F.transform(_neighbour_offsets(1), lambda d: F.col("_sy") + d)))
-    columns = ["_cx", "_cy", "_chunk", "_block", "_gid", *group, "_id", "_x", "_y", "_v"]
-    none = F.lit(None).cast("double")
-    stations = around.join(chunks, ["_cx", "_cy"]).select(*columns, none.alias("_power"))
-    # every block also knows its groups: they come back for targets without any station
-    own = groups.groupBy(block.alias("_block")).agg(F.collect_list(F.struct("_gid", *group, "_power")).alias("_groups"))
-    heads = (
-        chunks.withColumn("_block", F.explode(F.sequence(F.lit(0), blocks - 1))).join(own, "_block")
-        .withColumn("_g", F.explode("_groups")).select("_cx", "_cy", "_chunk", "_block", "_g.*")
-        .withColumns({"_id": F.lit(0).cast(clean.schema["_id"].dataType), "_x": none, "_y": none, "_v": none})
+        .select(*keys, target_key, "_x", "_y")
     )
-    right = stations.union(heads.select(*columns, "_power"))
 
     def interpolate(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        is_head = right["_power"].notna().to_numpy()
+        is_head = right["_v"].isna()
         heads, held = right[is_head].sort_values("_gid"), right[~is_head]
-        n_targets, n_groups = len(left), len(heads)
-        out = np.full((n_targets, n_groups), np.nan)
-        if n_targets and n_groups and len(held):
-            _, first, place = np.unique(held["_id"].to_numpy(), return_index=True, return_inverse=True)
-            value = np.full((len(first), n_groups), np.nan)
-            value[place, np.searchsorted(heads["_gid"].to_numpy(), held["_gid"].to_numpy())] = held["_v"]
-            where = held[["_x", "_y"]].to_numpy()[first]
-            out = _weighted_means(left[["_x", "_y"]].to_numpy(), where, value, heads["_power"].to_numpy(), radii, min_n, max_n, listed)
-        rows = np.repeat(np.arange(n_targets), n_groups)
+        place = {g: i for i, g in enumerate(heads["_gid"])}
+        out = np.full((len(left), len(heads)), np.nan)
+        at, powers = left[["_x", "_y"]].to_numpy(), heads["_power"].to_numpy()
+        for g, rows in held.groupby("_gid") if len(left) else ():
+            order = pd.Series(np.concatenate(rows["_id"].to_numpy())).sort_values(kind="stable").index.to_numpy()
+            x, y, v = (np.concatenate(rows[c].to_numpy())[order] for c in ("_x", "_y", "_v"))
+            out[:, place[g]] = _nearest_means(at, np.column_stack([x, y]), v, powers[place[g]], radii, min_n, max_n)
+        if wide:
+            columns = {name: i for i, name in enumerate(heads[wide[0]])}
+            return pd.DataFrame({target_key: left[target_key], **{n: out[:, columns[n]] if n in columns else np.full(len(left), np.nan) for n in wide[1]}})
+        rows = np.repeat(np.arange(len(left)), len(heads))
         frame = {target_key: left[target_key].to_numpy()[rows]}
-        frame |= {c: np.tile(heads[c].to_numpy(), n_targets) for c in group}
+        frame |= {c: np.tile(heads[c].to_numpy(), len(left)) for c in group}
         flat = pd.Series(out.reshape(-1))
         return pd.DataFrame(frame).assign(valor=flat.astype(object).where(flat.notna(), None))
 
     kinds = {f.name: f.dataType.simpleString() for f in [*targets.schema.fields, *values.schema.fields]}
     kinds[target_key] = targets.schema[target_key].dataType.simpleString()
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in [target_key, *group]), "valor double"])
-    keys = ["_cx", "_cy", "_chunk", "_block"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(interpolate, schema)
+    schema = ", ".join([f"`{target_key}` {kinds[target_key]}", *([f"`{n}` double" for n in wide[1]] if wide else [*(f"`{c}` {kinds[c]}" for c in group), "valor double"])])
+    out = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(interpolate, schema)
+    return out.select(target_key, *[F.nanvl(F.col(f"`{n}`"), F.lit(None)).alias(n) for n in wide[1]]) if wide else out
 
 
 def power_of(variable: Column, default: float = 2.5) -> Column:
@@ -436,15 +497,13 @@ def lag_features(plots: DataFrame, daily: DataFrame, run_date: Column, plot_key:
     long = lagged.unpivot(["estacion_id", "x", "y", "lag"], variables, "variable", "valor").filter(
         "valor IS NOT NULL AND (variable <> 'etpmon' OR valor > 0)"
     )
-    values = idw_adaptive(
-        plots, long, plot_key, "estacion_id", ["variable", "lag"], power_of(F.col("variable"))
-    )
     named = F.concat(
         F.element_at(F.create_map(*[F.lit(v) for kv in LAG_PREFIX.items() for v in kv]), F.col("variable")),
         F.when(F.col("lag") == 0, F.lit("_t")).otherwise(F.concat(F.lit("_t-"), F.col("lag").cast("string"))),
     )
     names = [n for prefix in LAG_PREFIX.values() for n in lag_names(prefix, days)]
-    wide = values.withColumn("_n", named).groupBy(plot_key).pivot("_n", names).agg(F.first("valor", ignorenulls=True))
+    values = long.withColumn("columna", named)
+    wide = idw_adaptive(plots, values, plot_key, "estacion_id", ["columna", "variable"], power_of(F.col("variable")), wide=("columna", names))
     rounded = wide.select(plot_key, *[fixed(F.col(f"`{n}`"), 3).alias(n) for n in names])
     return plots.select(plot_key).join(rounded, plot_key, "left")
 
@@ -462,9 +521,8 @@ def eto_history(
         .select("estacion_id", "x", "y", F.col("variable").alias("columna"), "variable", "valor")
         .filter("valor IS NOT NULL")
     )
-    values = idw_adaptive(
-        plots, eto.unionByName(other), plot_key, "estacion_id", ["columna", "variable"], power_of(F.col("variable"), 3.0)
-    )
     names = [f"eto_{d}" for d in range(days + 1)] + variables
-    wide = values.groupBy(plot_key).pivot("columna", names).agg(F.first("valor", ignorenulls=True))
+    wide = idw_adaptive(
+        plots, eto.unionByName(other), plot_key, "estacion_id", ["columna", "variable"], power_of(F.col("variable"), 3.0), wide=("columna", names)
+    )
     return plots.select(plot_key).join(wide.select(plot_key, *[fixed(n, 3).alias(n) for n in names]), plot_key, "left")

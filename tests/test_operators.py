@@ -1,6 +1,7 @@
 """Brute force, properties and reruns on small fixtures."""
 
 import datetime as dt
+import math
 import re
 import time
 
@@ -245,6 +246,55 @@ def test_idw_properties(spark):
     assert [x.valor for x in I.idw_adaptive(far, constant, "id", "e", ["g"], F.lit(2.0)).collect()] == [None] * 30
 
 
+def test_idw_blocks_receive_few_values(spark):
+    """Stations lie dense and plots many: what meets a block stays near its neighbours' number, and the values are those of brute force."""
+    rng = np.random.default_rng(11)
+    st = [(s, *(rng.random(2) * 300).tolist()) for s in range(600)]
+    rows = [(s, x, y, g, float(s % 17 + g)) for s, x, y in st for g in range(3) if g < 2 or s % 41 == 0]
+    pts = [(i, *(rng.random(2) * 300).tolist()) for i in range(200)] + [(1000 + i, 150.0, 150.0) for i in range(20)] + [(2000, None, 3.0)]
+    values = spark.createDataFrame(rows, "e int, x double, y double, g int, valor double")
+    plots = spark.createDataFrame(pts, "id int, x double, y double")
+    want = {}
+    for i, px, py in pts[:-1]:
+        for g in range(3):
+            near = sorted((math.sqrt((x - px) ** 2 + (y - py) ** 2), e, v) for e, x, y, h, v in rows if h == g)[:6]
+            radius = next((r for r in I.RADII_KM if near[3][0] <= r), 0)
+            held = [(d**-2.5, v) for d, _, v in near if d <= radius]
+            want[i, g] = sum(w * v for w, v in held) / sum(w for w, _ in held) if held else None
+    many, cut, kept = I.TARGETS, I.cut_lineage, []
+    try:
+        I.TARGETS, I.cut_lineage = 16, lambda df: kept.append(cut(df)) or kept[-1]
+        got = {(x.id, x.g): x.valor for x in I.idw_adaptive(plots, values, "id", "e", ["g"], F.lit(2.5), listed=8).collect()}
+    finally:
+        I.TARGETS, I.cut_lineage = many, cut
+    assert got == {k: pytest.approx(v) for k, v in want.items()}
+    # cells of a sixteenth of the radius and less are enough around most blocks, so they receive few of the 600 stations
+    levels = [x._wl for x in kept[-1].collect()]
+    assert sum(lv >= 2 for lv in levels) > 0.6 * len(levels)
+    wide = I.idw_adaptive(plots, values.withColumn("n", F.concat(F.lit("g"), "g")), "id", "e", ["n"], F.lit(2.5), wide=("n", ["g0", "g2", "none"])).collect()
+    assert len(wide) == 220 and {x.none for x in wide} == {None}
+    assert {(x.id, g): x[f"g{g}"] for x in wide for g in (0, 2)} == {k: pytest.approx(v) for k, v in want.items() if k[1] != 1}
+
+
+def test_knn_packs_only_what_is_near(spark):
+    """Dense references and many copies at one position: few candidates per target, exact neighbours."""
+    rng = np.random.default_rng(5)
+    refs = [(i, *(rng.random(2) * 10).tolist()) for i in range(3000)] + [(9000 + i, 5.0, 5.0) for i in range(3000)]
+    targets = [(i, *(rng.random(2) * 10).tolist()) for i in range(40)]
+    got, kept, cut = {}, [], I.cut_lineage
+    try:
+        I.cut_lineage = lambda df: kept.append(cut(df)) or kept[-1]
+        out = I.knn_join(spark.createDataFrame(targets, "tid int, x double, y double"), spark.createDataFrame(refs, "rid int, x double, y double"), 4, "tid", "rid", cell=10.0)
+    finally:
+        I.cut_lineage = cut
+    assert kept[0].agg(F.sum(F.size("_refs"))).first()[0] < 200 * len(targets)
+    for x in out.collect():
+        got.setdefault(x.tid, []).append((x["rank"], x.rid))
+    for tid, tx, ty in targets:
+        want = [rid for _, rid in sorted(((x - tx) ** 2 + (y - ty) ** 2, rid) for rid, x, y in refs)[:4]]
+        assert [rid for _, rid in sorted(got[tid])] == want
+
+
 def test_latest_snapshot_has_all_its_files(spark, tmp_path):
     from fieldspark.sources import files
 
