@@ -264,10 +264,12 @@ def intersection_area(pairs: DataFrame, ring_a: str = "ring", ring_b: str = "rin
     ring is known to be convex, and the plan has no Python at all.
     """
     rest = [c for c in pairs.columns if c not in (ring_a, ring_b)]
+    boxes = R.is_box(F.col(ring_a)) & R.is_box(F.col(ring_b))
+    if convex:
+        clipped = R.convex_overlap(R.anticlockwise(F.col(ring_a)), R.anticlockwise(F.col(ring_b)))
+        return pairs.select(*rest, F.when(boxes, R.box_overlap(F.col(ring_a), F.col(ring_b))).otherwise(clipped).alias("overlap"))
     turned = pairs.withColumns({ring_a: R.anticlockwise(F.col(ring_a)), ring_b: R.anticlockwise(F.col(ring_b))})
     overlap = R.convex_overlap(F.col(ring_a), F.col(ring_b)).alias("overlap")
-    if convex:
-        return turned.select(*rest, overlap)
     sided = turned.withColumns({"_a": R.is_convex(F.col(ring_a)), "_b": R.is_convex(F.col(ring_b))})
     plain = sided.where("_a or _b").select(*rest, F.when(F.col("_b"), overlap).otherwise(R.convex_overlap(F.col(ring_b), F.col(ring_a))).alias("overlap"))
 
@@ -296,19 +298,26 @@ def parts_intersection_area(pairs: DataFrame, keys: list[str], parts_a: str = "p
 
 
 def max_overlap(left: DataFrame, right: DataFrame, left_key: str, right_key: str, cell: float, convex: bool = False) -> DataFrame:
-    """Per left polygon the intersecting right polygon with the largest common area; ties by key. ``convex``: the right ones are."""
-    pairs = join_polygons(left, right, cell).select(left_key, right_key, "ring", "ring_r")
+    """Per left polygon the intersecting right polygon with the largest common area; ties by key. ``convex``: the right ones are.
+
+    Equal shapes share their answer, so distinct shapes meet, each right one with its first key.
+    """
+    shape = ["ring", "minx", "miny", "maxx", "maxy"]
+    firsts = right.groupBy(*shape).agg(F.min(right_key).alias(right_key))
+    pairs = join_polygons(left.select(*shape).distinct(), firsts, cell).select(F.col("ring").alias("_shape"), right_key, "ring", "ring_r")
     order = F.struct(F.col("overlap"), -F.col(right_key))
-    return (
-        intersection_area(pairs, convex=convex)
-        .groupBy(left_key)
-        .agg(F.max_by(right_key, order).alias(right_key), F.max("overlap").alias("overlap"))
-    )
+    best = lambda df, key: df.groupBy(key).agg(F.max_by(right_key, order).alias(right_key), F.max("overlap").alias("overlap"))
+    by_shape = best(intersection_area(pairs, convex=convex), "_shape")
+    return best(left.select(left_key, F.col("ring").alias("_shape")).join(by_shape, "_shape"), left_key)
 
 
 def clip_polygons(pairs: DataFrame, ring: str = "ring", by: str = "ring_r") -> DataFrame:
-    """Replaces ``ring`` by the largest part of its intersection with ``by``; unchanged when they do not meet."""
+    """Replaces ``ring`` by the largest part of its intersection with ``by``; unchanged when they do not meet. Only pairs of other rings than
+    upright rectangles go through Python."""
     rest = [c for c in pairs.columns if c not in (ring, by)]
+    x0, y0, x1, y1 = R.common_box(F.col(ring), F.col(by))
+    boxes, meet = R.is_box(F.col(ring)) & R.is_box(F.col(by)), (x0 < x1) & (y0 < y1)
+    plain = pairs.where(boxes).select(*rest, F.when(meet, R.rectangle(x0, y0, x1, y1)).otherwise(F.col(ring)).cast(RING_SQL).alias(ring), meet.alias("clipped"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -319,7 +328,8 @@ def clip_polygons(pairs: DataFrame, ring: str = "ring", by: str = "ring_r") -> D
                 flags.append(bool(parts))
             yield pdf[rest].assign(**{ring: rings, "clipped": flags})
 
-    return _spread(pairs, rest).mapInPandas(run, _schema(pairs.select(*rest), f"{ring} {RING_SQL}, clipped boolean"))
+    hard = _spread(pairs.where(~boxes), rest)
+    return plain.union(hard.mapInPandas(run, _schema(pairs.select(*rest), f"{ring} {RING_SQL}, clipped boolean")))
 
 
 def samples_inside(ring: Column, ax: Column, ay: Column, bx: Column, by: Column, n: int = 20) -> Column:
@@ -337,7 +347,9 @@ def split_by_lines(
     The line is extended across the polygon and cuts it into two half planes. A polygon is cut only where at least
     ``min_samples`` of 21 points of the drawn line lie inside; parts below ``min_area`` are left out; a polygon hit by
     several lines is cut by them in order of ``line_id``. Polygons that no line divides come back whole as part 0.
+    Of equal lines only the first cuts, as no later one divides a part again.
     """
+    lines = lines.groupBy("ax", "ay", "bx", "by").agg(F.min("line_id").alias("line_id"))
     boxed = lines.select(
         "line_id", "ax", "ay", "bx", "by",
         R.rectangle(F.least("ax", "bx"), F.least("ay", "by"), F.greatest("ax", "bx"), F.greatest("ay", "by")).alias("ring"),

@@ -23,6 +23,12 @@ def _axis(v: Column, cell: float, level: Column) -> Column:
     return F.floor(v / (F.lit(cell) * F.pow(F.lit(2.0), level))).cast("long")
 
 
+def _by_cell(df: DataFrame, *cell: str) -> DataFrame:
+    """Rows dealt out by grid cell to all tasks. The size of a table says little about its pairs: a table of one small file would leave them
+    to one task, and a broadcast of rows that were copied to their cells fills the driver."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cell)
+
+
 def explode_cells(df: DataFrame, cell: float, prefix: str = "_") -> DataFrame:
     """One row per covered cell of the box columns ``minx..maxy``; adds level and cell keys."""
     df = df.withColumn(f"{prefix}lv", _level(F.col("minx"), F.col("miny"), F.col("maxx"), F.col("maxy"), cell))
@@ -55,7 +61,8 @@ def join_points_polygons(
     keyed = keyed.withColumns(
         {"_cx": _axis(F.col(x), cell, F.col("_lv")), "_cy": _axis(F.col(y), cell, F.col("_lv"))}
     )
-    cells = explode_cells(polygons, cell)
+    keyed = _by_cell(keyed, "_lv", "_cx", "_cy")
+    cells = _by_cell(explode_cells(polygons, cell), "_lv", "_cx", "_cy")
     px, py = keyed[x], keyed[y]
     near = (
         (keyed["_lv"] == cells["_lv"])
@@ -66,7 +73,7 @@ def join_points_polygons(
         & (py >= cells["miny"])
         & (py <= cells["maxy"])
     )
-    pairs = keyed.join(cells, near).drop("_lv", "_cx", "_cy")
+    pairs = keyed.join(cells.hint("shuffle_merge"), near).drop("_lv", "_cx", "_cy")
     if "parts" in polygons.columns:
         return pairs.filter(R.let(R.parts_edges(F.col("parts")), lambda es: R.edges_hold(es, F.col(x), F.col(y), boundary)))
     return pairs.filter(R.contains_point(F.col(ring), F.col(x), F.col(y), boundary))
@@ -111,7 +118,8 @@ def join_polygons(
         & (_axis(F.greatest("minx", "minx_r"), cell, F.col("_lv")) == F.col("_cx"))
         & (_axis(F.greatest("miny", "miny_r"), cell, F.col("_lv")) == F.col("_cy"))
     )
-    pairs = l.join(r, near).drop("_own", "_own_r", "_lv", "_lv_r", "_cx", "_cx_r", "_cy", "_cy_r")
+    l, r = _by_cell(l, "_lv", "_cx", "_cy"), _by_cell(r, "_lv_r", "_cx_r", "_cy_r")
+    pairs = l.join(r.hint("shuffle_merge"), near).drop("_own", "_own_r", "_lv", "_lv_r", "_cx", "_cx_r", "_cy", "_cy_r")
     return pairs.filter(R.polygons_intersect(F.col("ring"), F.col("ring_r"))) if touching else pairs
 
 
@@ -124,12 +132,11 @@ def first_match(pairs: DataFrame, key: list[str], order: list[Column]) -> DataFr
 def point_in_polygon_first(
     points: DataFrame, polygons: DataFrame, cell: float, point_key: str, polygon_key: str, boundary: str = "exclude"
 ) -> DataFrame:
-    """Every point once, with the lowest-keyed polygon that holds it (null when none)."""
-    hits = (
-        join_points_polygons(points.select(point_key, "x", "y"), polygons, cell, boundary=boundary)
-        .groupBy(point_key)
-        .agg(F.min(polygon_key).alias(polygon_key))
-    )
+    """Every point once, with the lowest-keyed polygon that holds it (null when none). Distinct positions meet distinct shapes with their first key."""
+    shape = [c for c in ("ring", "parts", "minx", "miny", "maxx", "maxy") if c in polygons.columns]
+    firsts = polygons.groupBy(*shape).agg(F.min(polygon_key).alias(polygon_key))
+    held = join_points_polygons(points.select("x", "y").distinct(), firsts, cell, boundary=boundary).groupBy("x", "y").agg(F.min(polygon_key).alias(polygon_key))
+    hits = points.select(point_key, "x", "y").join(held, ["x", "y"]).groupBy(point_key).agg(F.min(polygon_key).alias(polygon_key))
     return points.join(hits, point_key, "left")
 
 

@@ -416,11 +416,17 @@ def ndvi_fallback_chain(t):
 
 def neighbour_mean(t):
     """Mean of the last index of the other plots that intersect each plot."""
-    left = zones(t)
-    right = zones(t).withColumnRenamed("id_recinto", "otro")
-    pairs = SP.join_polygons(left, right, 4.0).filter("id_recinto <> otro").select("id_recinto", "otro")
-    last = SE.latest_ndvi(t.v_ndvi).select(F.col("id_recinto").alias("otro"), "ndvi")
-    return pairs.join(last, "otro").groupBy("id_recinto").agg(F.avg("ndvi").alias("ndvi"))
+    # plots of one shape have the same neighbours: shapes meet, with sums; what a plot's own rows add is taken off again
+    box = ["ring", "minx", "miny", "maxx", "maxy"]
+    last = SE.latest_ndvi(t.v_ndvi).select("id_recinto", "ndvi")
+    right = zones(t).join(last, "id_recinto")
+    shapes = right.groupBy(*box).agg(F.sum("ndvi").alias("_s"), F.count("ndvi").alias("_n"))
+    around = SP.join_polygons(zones(t).select(*box).distinct(), shapes, 4.0).groupBy("ring").agg(F.sum("_s").alias("_s"), F.sum("_n").alias("_n"))
+    same = zones(t).select("id_recinto", "ring").distinct().join(right.select("id_recinto", F.col("ring").alias("ring_r"), "ndvi"), "id_recinto")
+    own = same.filter(R.polygons_intersect(F.col("ring"), F.col("ring_r"))).groupBy("id_recinto", "ring").agg(F.sum("ndvi").alias("_os"), F.count("ndvi").alias("_on"))
+    rows = zones(t).select("id_recinto", "ring").join(around, "ring").join(own, ["id_recinto", "ring"], "left")
+    others = rows.withColumns({"_s": F.col("_s") - F.coalesce("_os", F.lit(0.0)), "_n": F.col("_n") - F.coalesce("_on", F.lit(0))}).filter("_n > 0 AND id_recinto IS NOT NULL")
+    return others.groupBy("id_recinto").agg((F.sum("_s") / F.sum("_n")).alias("ndvi"))
 
 
 @query(

@@ -444,3 +444,61 @@ def test_plans(spark, inputs):
     assert "PythonUDF" not in plan_of(QUERIES["irrigation_dose"](inputs))
 
 
+
+
+def test_boxes_agree_with_general_rings(spark):
+    """Upright rectangles take the short way; with a vertex more on a side they take the long one, to the same answer."""
+    rng = np.random.default_rng(3)
+    rows = [(i, *rng.integers(0, 6, 2).tolist(), *rng.integers(1, 4, 2).tolist(), *rng.integers(0, 6, 2).tolist(), *rng.integers(1, 4, 2).tolist()) for i in range(120)]
+    df = spark.createDataFrame(rows, "i int, ax int, ay int, aw int, ah int, bx int, by int, bw int, bh int")
+    box = lambda p: R.rectangle(F.col(f"{p}x"), F.col(f"{p}y"), F.col(f"{p}x") + F.col(f"{p}w"), F.col(f"{p}y") + F.col(f"{p}h"))
+    more = lambda ring: F.concat(ring, F.array(R.point(F.get(ring, F.lit(0))["x"], (F.get(ring, F.lit(0))["y"] + F.get(ring, F.lit(3))["y"]) / 2)))
+    df = df.select("i", box("a").alias("a"), box("b").alias("b"), more(box("a")).alias("al"), more(box("b")).alias("bl"), F.col("bx").cast("double").alias("x"), F.col("by").cast("double").alias("y"))
+    tests = [lambda a, b: R.polygons_intersect(a, b), lambda a, b: R.covered_by_tolerance(a, b, 1.0001), lambda a, b: R.covered_by_tolerance(F.reverse(a), b, 0.5)]
+    tests += [lambda a, b, k=k: R.contains_point(a, F.col("x"), F.col("y"), k) for k in ("include", "exclude", "half_open")]
+    assert df.select(F.count_if(R.is_box(F.col("a"))), F.count_if(R.is_box(F.col("al")))).first() == (120, 0)
+    got = df.select(*[t(F.col("a"), F.col("b")).alias(f"s{i}") for i, t in enumerate(tests)], *[t(F.col("al"), F.col("bl")).alias(f"l{i}") for i, t in enumerate(tests)]).collect()
+    for i in range(len(tests)):
+        assert [r[f"s{i}"] for r in got] == [r[f"l{i}"] for r in got], i
+        assert len({r[f"s{i}"] for r in got}) == 2
+    short = {r.i: r.overlap for r in G.intersection_area(df.select("i", F.col("a").alias("ring"), F.col("b").alias("ring_r")), convex=True).collect()}
+    long = {r.i: r.overlap for r in G.intersection_area(df.select("i", F.col("al").alias("ring"), F.col("bl").alias("ring_r")), convex=True).collect()}
+    assert short == pytest.approx(long)
+    clip = lambda a, b: {r.i: (r.clipped, r.area if r.clipped else None) for r in G.clip_polygons(df.select("i", F.col(a).alias("ring"), F.col(b).alias("ring_r"))).withColumn("area", R.area(F.col("ring"))).collect()}
+    assert clip("a", "b") == {k: (c, pytest.approx(v) if c else None) for k, (c, v) in clip("al", "bl").items()}
+
+
+def test_pairs_of_polygons_use_all_tasks(spark):
+    """A table of one file must not leave its pairs to one task, nor send its copied rows to the driver."""
+    one = lambda name: R.with_bounds(spark.range(0, 400, 1, 1).select(F.col("id").alias(name), R.rectangle(F.col("id"), F.lit(0), F.col("id") + 3, F.lit(2)).alias("ring")))
+    pairs = SP.join_polygons(one("p"), one("q"), 4.0)
+    assert pairs.select(F.spark_partition_id().alias("t")).distinct().count() > 4
+    assert "BroadcastHashJoin" not in plan_of(pairs)
+    assert pairs.count() == 400 + 2 * (399 + 398 + 397)
+
+
+def test_equal_shapes_share_their_answer(spark):
+    """Copies of a shape meet once: kernels run on distinct shapes, and every row gets its answer."""
+    box = lambda x, w: R.rectangle(x, F.lit(0), x + w, F.lit(2))
+    left = R.with_bounds(spark.range(60).select((F.col("id") + 100).alias("p"), box(F.col("id") % 3 * 5, F.lit(2)).alias("ring")))
+    right = R.with_bounds(spark.range(40).select(F.col("id").alias("q"), box(F.col("id") % 4 * 5 + 1, F.lit(4)).alias("ring")))
+    seen, joined = [], G.join_polygons
+    try:
+        G.join_polygons = lambda a, b, *rest, **kw: seen.append((a.count(), b.count())) or joined(a, b, *rest, **kw)
+        got = {r.p: (r.q, r.overlap) for r in G.max_overlap(left, right, "p", "q", 4.0, convex=True).collect()}
+        assert seen == [(3, 4)]
+        lines = spark.range(50).select(F.col("id").alias("line_id"), F.lit(1.0).alias("ax"), F.lit(0.5).alias("ay"), F.lit(1.0).alias("bx"), F.lit(1.5).alias("by"))
+        cut = G.split_by_lines(left, lines, "p", 4.0, 0.0001)
+        assert seen[1] == (60, 1)
+    finally:
+        G.join_polygons = joined
+    assert got == {100 + i: (i % 3, 1.0) for i in range(60)}
+    assert cut.count() == 60 + 20
+    points = spark.range(30).select(F.col("id").alias("k"), (F.col("id") % 3 * 5 + 1.0).alias("x"), F.lit(1.0).alias("y"))
+    hits, joined = [], SP.join_points_polygons
+    try:
+        SP.join_points_polygons = lambda a, b, *rest, **kw: hits.append((a.count(), b.count())) or joined(a, b, *rest, **kw)
+        first = SP.point_in_polygon_first(points, left, 4.0, "k", "p")
+    finally:
+        SP.join_points_polygons = joined
+    assert hits == [(3, 3)] and {r.k: r.p for r in first.collect()} == {k: 100 + k % 3 for k in range(30)}
