@@ -10,7 +10,7 @@ from fieldspark.operators import crops as C
 from fieldspark.plans.q_geometry import degrees
 from fieldspark.plans.registry import query
 from fieldspark.plans.views import with_ring
-from fieldspark.session import scratch_path
+from fieldspark.session import scratch_path, spread
 from fieldspark.sources import files, landing
 
 
@@ -124,7 +124,7 @@ def geometry_texts(t):
         .when(k == 4, dms)
         .otherwise(F.lit("POLYGON((1 2, x y))"))
     )
-    return with_ring(t.v_plot).select("id_recinto", text.alias("geom"))
+    return with_ring(spread(t.v_plot.select("id_recinto", "x0", "y0", "w", "h"))).select("id_recinto", text.alias("geom"))
 
 
 @query(
@@ -162,7 +162,8 @@ def feature_answers(t):
     )
     kinds = ["application/json", "text/html", "text/plain", "application/vnd.ogc.gml", "text/html", "application/json", "text/plain", "text/plain"]
     kind = F.element_at(F.array(*[F.lit(v) for v in kinds]), (k + 1).cast("int"))
-    return t.customer.select(F.col("c_custkey").alias("id"), body.alias("body"), kind.alias("content_type"))
+    customers = spread(t.customer.select("c_custkey", "c_mktsegment", "c_nationkey"))
+    return customers.select(F.col("c_custkey").alias("id"), body.alias("body"), kind.alias("content_type"))
 
 
 @query(
@@ -198,7 +199,7 @@ def forecast_docs(t):
         return F.struct(F.lit(date).alias("fecha"), temp.alias("temperatura"), sky.alias("estadoCielo"), humid.alias("humedadRelativa"), wind.alias("vientoAndRachaMax"), rain.alias("probPrecipitacion"))
 
     days = F.when(k % 2 == 0, F.array(day("2024-06-01T00:00:00", 1), day("2024-06-02T00:00:00", 3))).otherwise(F.array(day("2024-06-01T00:00:00", 1)))
-    return t.v_plot.select("id_recinto", F.to_json(F.struct(days.alias("dia"))).alias("doc"))
+    return spread(t.v_plot.select("id_recinto")).select("id_recinto", F.to_json(F.struct(days.alias("dia"))).alias("doc"))
 
 
 @query(

@@ -492,7 +492,7 @@ def test_equal_shapes_share_their_answer(spark):
         assert seen[1] == (60, 1)
     finally:
         G.join_polygons = joined
-    assert got == {100 + i: (i % 3, 1.0) for i in range(60)}
+    assert got == {100 + i: (i % 3, 2.0) for i in range(60)}
     assert cut.count() == 60 + 20
     points = spark.range(30).select(F.col("id").alias("k"), (F.col("id") % 3 * 5 + 1.0).alias("x"), F.lit(1.0).alias("y"))
     hits, joined = [], SP.join_points_polygons
@@ -502,3 +502,10 @@ def test_equal_shapes_share_their_answer(spark):
     finally:
         SP.join_points_polygons = joined
     assert hits == [(3, 3)] and {r.k: r.p for r in first.collect()} == {k: 100 + k % 3 for k in range(30)}
+
+
+def test_costly_rows_are_spread(spark, inputs):
+    from fieldspark.plans import q_geometry, q_sources
+
+    for rows in (q_sources.forecast_docs(inputs), q_sources.feature_answers(inputs), q_sources.geometry_texts(inputs), q_geometry.broken_rings(inputs)):
+        assert rows.rdd.getNumPartitions() == 8
