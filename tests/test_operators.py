@@ -368,6 +368,28 @@ def test_surfaces(spark):
     assert np.corrcoef([x.valor for x in gp], [want[x.cell] for x in gp])[0, 1] > 0.95
 
 
+def test_large_fits_need_no_dense_system(spark):
+    """The ways of many nodes give what one dense system gives; thousands of nodes are triangulated at once."""
+    rng = np.random.default_rng(4)
+    pts, v = rng.random((500, 2)) * (40, 3), rng.normal(size=500) * 5 + 20
+    q = pts / np.sqrt(120 / 500)
+    basis = lambda at: np.sqrt(((at[:, None] - q[None]) ** 2).sum(axis=2) + 1)
+    at = rng.random((200, 2)) * q.max(axis=0)
+    assert basis(at) @ SF.multiquadric_weights(q, v) == pytest.approx(basis(at) @ np.linalg.solve(basis(q), v), abs=1e-5)
+    smooth = np.sin(pts[:, 0] / 3) * 5 + rng.normal(size=500) * 0.1
+    st = [(i, *p, "v", float(z)) for i, (p, z) in enumerate(zip(pts.tolist(), smooth))]
+    df = spark.createDataFrame(st, "estacion_id int, x double, y double, variable string, valor double")
+    direct = {(r.x, r.y): (r.w, r.scale) for r in SF.kriging_fit(df, ["variable"]).collect()}
+    w, length = SF.gaussian_weights(pts, smooth)
+    assert all(direct[tuple(p)] == pytest.approx((z, length), rel=1e-5, abs=1e-5) for p, z in zip(pts.tolist(), w))
+    assert SF.rbf_fit(df, ["variable"]).rdd.getNumPartitions() >= SF.FIT_TASKS
+    many = rng.random((4000, 2))
+    found = SF.triangulate(many)
+    a, b, c = (many[list(k)] for k in zip(*found))
+    area = np.abs((b[:, 0] - a[:, 0]) * (c[:, 1] - a[:, 1]) - (b[:, 1] - a[:, 1]) * (c[:, 0] - a[:, 0])).sum() / 2
+    assert len(found) == len(set(map(frozenset, found))) and area == pytest.approx(1.0, abs=0.02)
+
+
 def test_models_recover_linear_rule(spark):
     rng = np.random.default_rng(9)
     names = [n for p in I.LAG_PREFIX.values() for n in I.lag_names(p)]
