@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldspark.functions import ring as R
+from fieldspark.session import cut_lineage, spread
 
 #: About a millionth of a unit, and a power of two: halves, quarters and so on stay as they are.
 GRAIN = 2.0**-20
@@ -438,7 +439,7 @@ def dissolve(
     """
     grain = grain_for(cell, grain)
     step = 2 * max(1, round(cell / grain))
-    pieces = pieces.select(*keys, "rings", F.col("layer") if layers > 1 else F.lit(0).alias("layer"))
+    pieces = spread(pieces.select(*keys, "rings", F.col("layer") if layers > 1 else F.lit(0).alias("layer")))
     names = [*keys, "layer", "row", "col", "event", "ax", "ay", "bx", "by", "w"]
     kind = _schema(pieces.select(*keys), "layer int, row long, col long, event boolean, ax long, ay long, bx long, by long, w long")
 
@@ -512,14 +513,56 @@ def dissolve(
     cells = kept.withColumn("_cell", F.xxhash64(*keys, "row", "col")).repartition(tasks, "_cell").sortWithinPartitions("_cell")
     borders = cells.mapInPandas(borders_of, f"{key_kind}, ax long, ay long, bx long, by long")
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        rings, opened = chain_rings(pdf[["ax", "ay", "bx", "by"]].to_numpy(np.int64))
+    def chained(edges: np.ndarray) -> dict:
+        rings, opened = chain_rings(edges)
         parts = assemble(rings)
-        out = {c: [pdf[c].iloc[0]] for c in keys}
-        out |= {"parts": [[[as_points(r, grain) for r in part] for part in parts]], "area": [parts_area(parts, grain)], "n_parts": [len(parts)], "n_open": [opened]}
-        return pd.DataFrame(out)
+        return {"parts": [[as_points(r, grain) for r in part] for part in parts], "area": parts_area(parts, grain), "n_parts": len(parts), "n_open": opened}
+
+    return each_key(borders, keys, ["ax", "ay", "bx", "by"], chained, f"parts {PARTS_SQL}, area double, n_parts int, n_open int")
+
+
+def each_key(rows: DataFrame, keys: list[str], values: list[str], make: Callable[[np.ndarray], dict], extra: str) -> DataFrame:
+    """One row per key from the numbers of its rows. The rows of many keys come as one batch, since a frame for each of millions of small keys costs more
+    than its work; and the keys are dealt out to all tasks, however few bytes they have."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select(*keys, *values).repartition(tasks, *keys).sortWithinPartitions(*keys)
+
+    def starts(pdf: pd.DataFrame) -> np.ndarray:
+        new = np.zeros(len(pdf), bool)
+        new[:1] = True
+        for k in keys:
+            code = pd.factorize(pdf[k], use_na_sentinel=False)[0]
+            new[1:] |= code[1:] != code[:-1]
+        return np.flatnonzero(new)
+
+    def made(pdf: pd.DataFrame, first: np.ndarray, end: int) -> pd.DataFrame:
+        numbers = pdf[values].to_numpy()
+        out = [make(numbers[lo:hi]) for lo, hi in zip(first, [*first[1:], end])]
+        frame = pdf[keys].iloc[first].reset_index(drop=True)
+        for name in out[0]:
+            frame[name] = [row[name] for row in out]
+        return frame
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            # a key that fills whole batches is joined once, at its end
+            if held and len(starts(pd.concat([held[-1].iloc[-1:], pdf], ignore_index=True))) == 1:
+                held.append(pdf)
+                continue
+            whole = pd.concat([*held, pdf], ignore_index=True) if held else pdf
+            first = starts(whole)
+            if len(first) > 1:
+                yield made(whole, first[:-1], int(first[-1]))
+            held = [whole.iloc[first[-1] :]]  # the last key may go on
+        if held:
+            whole = pd.concat(held, ignore_index=True)
+            yield made(whole, starts(whole), len(whole))
 
-    return borders.groupBy(*keys).applyInPandas(chain, f"{key_kind}, parts {PARTS_SQL}, area double, n_parts int, n_open int")
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema.fields)
+    return dealt.mapInPandas(run, f"{kind}, {extra}")
 
 
 # --- growing and closing --------------------------------------------------------------------------------------------------------------
@@ -548,7 +591,7 @@ def border_zones(pieces: DataFrame, keys: list[str], radius: float, corners: int
             yield pdf[keys].assign(rings=[[[{"x": x, "y": y} for x, y in z.tolist()]] for z in zones])
 
     slim = edges.select(*keys, *[F.col(f"e.{p}.{v}").alias(p + v) for p in "ab" for v in "xy"])
-    return slim.mapInPandas(run, _schema(pieces.select(*keys), "rings array<array<struct<x:double,y:double>>>"))
+    return spread(slim).mapInPandas(run, _schema(pieces.select(*keys), "rings array<array<struct<x:double,y:double>>>"))
 
 
 def grow(pieces: DataFrame, keys: list[str], radius: float, cell: float, grain: float = GRAIN) -> DataFrame:
@@ -568,7 +611,8 @@ def as_pieces(dissolved: DataFrame, keys: list[str]) -> DataFrame:
 
 def close_gaps(pieces: DataFrame, keys: list[str], radius: float, cell: float, grain: float = GRAIN) -> DataFrame:
     """The union of the pieces grown and shrunk by ``radius``: gaps of less than twice that are closed."""
-    return shrink(as_pieces(grow(pieces, keys, radius, cell, grain), keys), keys, radius, cell, grain)
+    grown = cut_lineage(as_pieces(grow(pieces, keys, radius, cell, grain), keys))  # read as pieces and for its border
+    return shrink(grown, keys, radius, cell, grain)
 
 
 def merge_pieces(
@@ -584,9 +628,9 @@ def merge_pieces(
         F.concat_ws(" + ", F.transform(F.array_sort(F.collect_list(F.struct(order, name))), lambda s: s[name])).alias("nombre"),
         F.count("*").alias("n_piezas"), F.sum(R.area(F.get("rings", F.lit(0)))).alias("area_sum"),
     )
-    plain = dissolve(rows, [key], cell).select(key, F.struct("parts", "area", "n_parts").alias("plain"))
+    plain = cut_lineage(dissolve(rows, [key], cell).select(key, F.struct("parts", "area", "n_parts").alias("plain")))
     apart = plain.where("plain.n_parts <> 1").select(key)
-    closed = close_gaps(rows.join(apart, key, "left_semi"), [key], radius, cell).select(key, F.struct("parts", "area", "n_parts").alias("closed"))
+    closed = close_gaps(cut_lineage(rows.join(apart, key, "left_semi")), [key], radius, cell).select(key, F.struct("parts", "area", "n_parts").alias("closed"))
     good = (F.col("closed.n_parts") == 1) & (F.col("closed.area") >= least_share * F.col("area_sum"))
     whole = F.col("plain.n_parts") == 1
     best = F.when(~whole & good, F.col("closed")).otherwise(F.col("plain"))

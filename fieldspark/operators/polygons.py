@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldspark.functions import ring as R
+from fieldspark.operators.overlay import each_key
 from fieldspark.operators.spatial import join_polygons
+from fieldspark.session import spread
 
 _DIGITS = 9
 RING_SQL = "array<struct<x:double,y:double>>"
@@ -411,14 +413,13 @@ def dissolve_adjacent(pieces: DataFrame, key: str, name: str = "nombre", order:
     is that of all pieces without the holes; ``n_open`` counts border edges that close no ring.
     ``status``: ``ok`` for one ring, ``needs_closing`` when the pieces leave a gap, a hole or an open border, or touch only at points.
     """
-    k = dict(pieces.dtypes)[key]
     labels = pieces.groupBy(key).agg(
         F.concat_ws(" + ", F.transform(F.array_sort(F.collect_list(F.struct(order, name))), lambda s: s[name])).alias("nombre"),
         F.sum(R.area(F.col("ring"))).alias("area_sum"),
         F.count(F.lit(1)).alias("n_piezas"),
     )
     turned = F.when(R.signed_area(F.col("ring")) < 0, F.reverse("ring")).otherwise(F.col("ring"))
-    edges = pieces.select(key, F.explode(R.edges(turned)).alias("e")).select(
+    edges = spread(pieces.select(key, turned.alias("_r"))).select(key, F.explode(R.edges(F.col("_r"))).alias("e")).select(
         key,
         *[F.round(F.col(f"e.{p}.{v}"), _DIGITS).alias(f"{p}{v}") for p in "ab" for v in "xy"],
     ).filter("ax <> bx OR ay <> by")
@@ -435,25 +436,17 @@ def dissolve_adjacent(pieces: DataFrame, key: str, name: str = "nombre", order:
         .filter("_s <> 0")
     )
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[["ax", "ay"]].to_numpy(float), pdf[["bx", "by"]].to_numpy(float)
-        flip = pdf["_s"].to_numpy() < 0
-        a, b = np.where(flip[:, None], b, a), np.where(flip[:, None], a, b)
+    def chained(edges: np.ndarray) -> dict:
+        flip = edges[:, 4:] < 0
+        a, b = np.where(flip, edges[:, 2:4], edges[:, :2]), np.where(flip, edges[:, :2], edges[:, 2:4])
         n_open = [0]
         rings = _chain(_cancel(a, b), 1e-10 * max(1.0, float(np.abs(a).max())), n_open)
         rings.sort(key=lambda r: -abs(_area(r)))
-        return pd.DataFrame(
-            {
-                key: [pdf[key].iloc[0]],
-                "ring": [_as_ring(rings[0] if rings else np.empty((0, 2)))],
-                "rings": [[_as_ring(r) for r in rings]],
-                "area": [abs(sum(_area(r) for r in rings))],
-                "n_rings": [len(rings)],
-                "n_open": [n_open[0]],
-            }
-        )
+        every = [_as_ring(r) for r in rings]
+        return {"ring": every[0] if every else [], "rings": every, "area": abs(sum(_area(r) for r in rings)), "n_rings": len(rings), "n_open": n_open[0]}
 
-    merged = left.groupBy(key).applyInPandas(chain, f"`{key}` {k}, ring {RING_SQL}, rings array<{RING_SQL}>, area double, n_rings int, n_open int")
+    extra = f"ring {RING_SQL}, rings array<{RING_SQL}>, area double, n_rings int, n_open int"
+    merged = each_key(left, [key], ["ax", "ay", "bx", "by", "_s"], chained, extra)
     status = F.when((F.col("n_rings") == 1) & (F.col("n_open") == 0) & (F.col("area") >= 0.85 * F.col("area_sum")), "ok").otherwise("needs_closing")
     return labels.join(merged, key).withColumn("status", status)
 
@@ -462,16 +455,22 @@ def _cancel(a: np.ndarray, b: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]
     """Cuts edges at vertices of other edges that lie on them, then removes opposite pairs."""
     vertices = np.unique(np.vstack([a, b]), axis=0)
     signed: dict[tuple, int] = {}
-    for p, q in zip(a, b):
-        d = q - p
-        length = math.hypot(*d)
-        rel = vertices - p
-        t = (rel @ d) / (length * length)
-        off = np.abs(rel[:, 0] * d[1] - rel[:, 1] * d[0]) / length
-        on = np.sort(t[(off <= 1e-9) & (t > 1e-12) & (t < 1 - 1e-12)])
-        chain = [tuple(np.round(p + d * s, _DIGITS)) for s in (0.0, *on, 1.0)]
-        for u, v in zip(chain, chain[1:]):
-            if u != v:
+    some = max(1, 2**16 // len(vertices))
+    for begin in range(0, len(a), some):
+        p, d = a[begin : begin + some], (b - a)[begin : begin + some]
+        length = np.hypot(d[:, 0], d[:, 1])[:, None]
+        rx, ry = vertices[:, 0] - p[:, :1], vertices[:, 1] - p[:, 1:]
+        t = (rx * d[:, :1] + ry * d[:, 1:]) / (length * length)
+        off = np.abs(rx * d[:, 1:] - ry * d[:, :1]) / length
+        which, at = np.nonzero((off <= 1e-9) & (t > 1e-12) & (t < 1 - 1e-12))
+        # start, vertices on the edge and end of every edge, in order
+        edge = np.concatenate([np.arange(len(p)), which, np.arange(len(p))])
+        share = np.concatenate([np.zeros(len(p)), t[which, at], np.ones(len(p))])
+        order = np.lexsort((share, edge))
+        edge, share = edge[order], share[order]
+        points = list(map(tuple, np.round(p[edge] + d[edge] * share[:, None], _DIGITS).tolist()))
+        for u, v, same in zip(points, points[1:], (edge[1:] == edge[:-1]).tolist()):
+            if same and u != v:
                 signed[(min(u, v), max(u, v))] = signed.get((min(u, v), max(u, v)), 0) + (1 if u < v else -1)
     return [
         (np.array(u if s > 0 else v), np.array(v if s > 0 else u)) for (u, v), s in signed.items() for _ in range(abs(s))

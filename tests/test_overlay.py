@@ -149,3 +149,23 @@ def test_growing_a_box(spark):
     assert area == pytest.approx(8 + 12 + O.CORNERS / 2 * math.sin(2 * math.pi / O.CORNERS), abs=1e-4)  # round corners are chords
     back = O.close_gaps(df, ["k"], 1.0, 3.0).first()
     assert back["n_parts"] == 1 and back["area"] == pytest.approx(8, abs=0.05)
+
+
+def test_dissolve_takes_many_keys_per_batch(spark):
+    """Keys are dealt out to all tasks and come many at a time, also where a key goes on from batch to batch; a null key is a key."""
+    from fieldspark.operators import polygons as G
+
+    box = lambda x, w: [(x, 0.0), (x + w, 0.0), (x + w, 1.0), (x, 1.0)]
+    rows = [(k, i, "P", box(float(i), 1.0)) for k in [None, *range(200)] for i in range(1 + (k or 0) % 7)]
+    pieces = spark.createDataFrame(rows, "k int, pos int, nombre string, ring array<struct<x:double,y:double>>")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        union = O.dissolve(pieces.select("k", F.array("ring").alias("rings")), ["k"], 4.0)
+        assert {r["k"]: (r["area"], r["n_parts"]) for r in union.collect()} == {k: (1.0 + (k or 0) % 7, 1) for k in [None, *range(200)]}
+        plan = union._jdf.queryExecution().toString()
+        adjacent = G.dissolve_adjacent(pieces, "k")
+        assert {r["k"]: (r["area"], r["n_rings"], r["status"]) for r in adjacent.collect()} == {k: (1.0 + k % 7, 1, "ok") for k in range(200)}
+        assert "FlatMapGroupsInPandas" not in plan + adjacent._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
