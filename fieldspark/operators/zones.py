@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldspark.functions import ring as R
-from fieldspark.session import cut_lineage
+from fieldspark.session import cut_lineage, spread
 
 #: Pixels along a block of each level, each a multiple of the next.
 SIDES = (64, 32, 8)
@@ -91,32 +91,42 @@ def zone_totals(pyramid: Pyramid, zones: DataFrame, key: str, touch: bool = True
         x0, y0, x1, y1 = _square(F.col("bx"), F.col("by"), side)
         return (x0 <= F.col("maxx")) & (x1 >= F.col("minx")) & (y0 <= F.col("maxy")) & (y1 >= F.col("miny"))
 
-    top = sides[0] * size
-    met = box.withColumn("bx", F.explode(span("minx", "maxx", top))).withColumn("by", F.explode(span("miny", "maxy", top))).withColumn("place", _place(top))
-    inside = None
-    for level, side in enumerate(sides):
-        if level:
-            by = sides[level - 1] // side
-            down = lambda c, by=by: F.explode(F.sequence(F.col(c) * by, F.col(c) * by + by - 1))
-            met = met.where("place = 'border'").withColumn("bx", down("bx")).withColumn("by", down("by")).where(reached(side * size))
-            met = met.withColumn("place", _place(side * size))
-        own = met.where("place = 'in'").select(key, F.lit(level).alias("level"), "bx", "by")
-        inside = own if inside is None else inside.union(own)
-    whole = inside.join(pyramid.sums, ["level", "bx", "by"]).select(key, *STATS)
+    top, last = sides[0] * size, len(sides) - 1
+    met = box.withColumn("bx", F.explode(span("minx", "maxx", top))).withColumn("by", F.explode(span("miny", "maxy", top)))
+    # blocks without pixels add nothing; the others are dealt out, as the tests of all levels follow in one go
+    held = pyramid.sums.where("level = 0").select("bx", "by")
+    met = spread(met.join(held, ["bx", "by"], "left_semi")).withColumns({"level": F.lit(0), "place": _place(top)}).where("place <> 'out'")
+    for level in range(1, last + 1):
+        by = sides[level - 1] // sides[level]
+        down = lambda c, by=by: F.sequence(F.col(c) * by, F.col(c) * by + by - 1)
+        open_ = F.col("place") == "border"
+        at = F.flatten(F.transform(down("bx"), lambda u: F.transform(down("by"), lambda v: F.struct(u.alias("bx"), v.alias("by")))))
+        met = met.withColumn("_at", F.explode(F.when(open_, at).otherwise(F.array(F.struct("bx", "by")))))
+        met = met.withColumns({"bx": F.col("_at.bx"), "by": F.col("_at.by")}).drop("_at").where(~open_ | reached(sides[level] * size))
+        now = {"level": F.when(open_, F.lit(level)).otherwise(F.col("level")), "place": F.when(open_, _place(sides[level] * size)).otherwise(F.col("place"))}
+        met = met.withColumns(now).where("place <> 'out'")
+    # edges beside the rows of a square say nothing about its pixels
+    y0, y1 = F.col("by") * (sides[last] * size), (F.col("by") + 1) * (sides[last] * size)
+    beside = lambda e: (F.least(e["a"]["y"], e["b"]["y"]) <= y1) & (F.greatest(e["a"]["y"], e["b"]["y"]) >= y0)
+    met = met.withColumn("es", F.when(F.col("place") == "border", F.filter("es", beside)))
 
     x0, y0 = lambda p: p["px"] * size, lambda p: p["py"] * size
+    pixels = pyramid.pixels.select(F.lit(last).alias("level"), "bx", "by", "pixels")
+    blocks = pyramid.sums.join(pixels, ["level", "bx", "by"], "left")
 
     def near(p: Column) -> Column:
         return (x0(p) <= F.col("maxx")) & (x0(p) + size >= F.col("minx")) & (y0(p) <= F.col("maxy")) & (y0(p) + size >= F.col("miny"))
 
-    tested = met.where("place = 'border'").join(pyramid.pixels, ["bx", "by"]).select(key, "es", F.explode(F.filter("pixels", near)).alias("p"))
-    p = F.col("p")
-    tested = tested.withColumn("_c", R.edges_hold(F.col("es"), x0(p) + size / 2, y0(p) + size / 2, "half_open"))
-    touched = F.col("_c") | R.edges_meet_square(F.col("es"), x0(p), y0(p), x0(p) + size, y0(p) + size)
-    tested = tested.withColumn("_t", touched) if touch else tested.where("_c").withColumn("_t", F.lit(False))
-    kept = lambda c: F.when(F.col("_t") if c.startswith("t") else F.col("_c"), p[c])
-    single = tested.select(key, *[kept(c).alias(c) for c in STATS])
-    return whole.union(single).groupBy(key).agg(*_totals())
+    def judged(p: Column) -> Column:
+        centre = R.edges_hold(F.col("es"), x0(p) + size / 2, y0(p) + size / 2, "half_open")
+        meets = centre | R.edges_meet_square(F.col("es"), x0(p), y0(p), x0(p) + size, y0(p) + size) if touch else F.lit(False)
+        return F.struct(p.alias("p"), centre.alias("c"), meets.alias("t"))
+
+    whole = F.array(F.struct(F.struct(F.lit(0).cast("long").alias("px"), F.lit(0).cast("long").alias("py"), *STATS).alias("p"), F.lit(True).alias("c"), F.lit(True).alias("t")))
+    single = F.filter(F.transform(F.filter("pixels", near), judged), lambda q: q["c"] | q["t"])
+    found = met.join(blocks, ["level", "bx", "by"]).select(key, F.explode(F.when(F.col("place") == "in", whole).otherwise(single)).alias("q"))
+    takes = lambda c: F.col("q.t" if c.startswith("t") else "q.c")
+    return found.select(key, *[F.when(takes(c), F.col("q.p")[c]).alias(c) for c in STATS]).groupBy(key).agg(*_totals())
 
 
 def centre_stats(totals: DataFrame, key: str) -> DataFrame:

@@ -62,3 +62,15 @@ def test_zones_take_whole_blocks(pixels, zones):
     text = totals._jdf.queryExecution().toString()
     assert "Cartesian" not in text and "Python" not in text and "BroadcastNestedLoop" not in text
     assert totals.first()["n"] == RA.zonal_stats(pixels, big, "id", 8.0).first()["n"]
+
+
+def test_zones_meet_their_blocks_once(spark, pixels, zones):
+    """One join of zones and blocks whatever the levels, and zones without pixels are gone before any test of squares."""
+    far = zones.withColumns({"id": F.col("id") + 1000, "ring": F.transform("ring", lambda p: R.point(p["x"] + 5000, p["y"]))})
+    many = zones.union(R.with_bounds(far.select("id", "ring")))
+    totals = Z.zone_totals(Z.pixel_pyramid(pixels, 1.0), many, "id")
+    plan = totals._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 1 and plan.count("Join LeftSemi") == 1
+    want = numbers(RA.zonal_all_touched(pixels, zones, "id", 1.0), ["mean", "min", "max"])
+    got = numbers(Z.touch_stats(totals, "id"), ["mean", "min", "max"])
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
