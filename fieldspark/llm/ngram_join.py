@@ -286,7 +286,8 @@ def combined(ranked: DataFrame, frequent: DataFrame) -> DataFrame:
 def class_groups(docs: DataFrame, text: str, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((node, component), rows without tokens): classes that link directly or through others, only those with links.
 
-    The shown shingles are the largest table; it and all others go as soon as what follows from them is stored.
+    The shown shingles are the largest table; it and all others go as soon as what follows from them is stored. Each step is a short query
+    of its own: the driver holds the plans, stages and tasks of a query until it ends, so one query for many steps fills its memory.
     """
     possible = possible_nodes(rows)
     slim = stored(rows.drop("tokens"), "rows")
@@ -296,7 +297,7 @@ def class_groups(docs: DataFrame, text: str, rows: DataFrame) -> tuple[DataFrame
     ranked = common_shingles(texts)
     keyed = ranked.where("place <= short").select(F.col("token").alias("key"), "token", F.lit(None).cast("long").alias("second"), "place", "node", "n", "own")
     buckets = stored(open_buckets(keyed, None), "buckets")
-    scratch = [texts, ranked, buckets]
+    scratch = [texts, ranked]
     links = seen = groups = None
     for turn in range(ROUNDS):
         pairs = leader_pairs(buckets, turn)
@@ -305,17 +306,26 @@ def class_groups(docs: DataFrame, text: str, rows: DataFrame) -> tuple[DataFrame
         seen = pairs if seen is None else seen.union(pairs)
         links = found if links is None else links.union(found)
         groups = components(links)
-        buckets = stored(open_buckets(keyed, groups), "buckets")
-        scratch += [pairs, found, buckets]
+        done, buckets = buckets, stored(open_buckets(keyed, groups), "buckets")
+        scratch += [pairs, found]
+        discard(done)
     front = ranked.where(F.col("place") <= F.least(F.lit(HEAD), F.col("short")))
     heads = front.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "token"))), lambda x: x["token"]).alias("head"))
-    heads = heads.join(texts.select("node", "bits"), "node")
-    frequent = buckets.groupBy("token").agg(F.count_distinct("group").alias("k")).where(F.col("k") > FREQUENT).select("token")
-    rare = buckets.join(frequent, "token", "left_anti")
-    pairs = all_pairs(rare, heads).union(all_pairs(open_buckets(combined(ranked, frequent), groups), heads))
-    pairs = stored(pairs.distinct().join(seen, ["a", "b"], "left_anti"), "pairs")
-    groups = components(links.union(verified(pairs, texts)))
-    discard(pairs, *scratch)
+    heads = stored(heads.join(texts.select("node", "bits"), "node"), "heads")
+    frequent = stored(buckets.groupBy("token").agg(F.count_distinct("group").alias("k")).where(F.col("k") > FREQUENT).select("token"), "frequent")
+    rare = stored(all_pairs(buckets.join(frequent, "token", "left_anti"), heads).join(seen, ["a", "b"], "left_anti"), "pairs")
+    scratch += [buckets, heads, frequent, rare]
+    pairs = rare
+    if not frequent.isEmpty():
+        joint = stored(open_buckets(combined(ranked, frequent), groups), "buckets")
+        often = stored(all_pairs(joint, heads).join(seen, ["a", "b"], "left_anti"), "pairs")
+        discard(joint)
+        scratch.append(often)
+        pairs = rare.union(often).distinct()
+    found = stored(verified(pairs, texts), "links")
+    if not found.isEmpty():
+        groups = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found))
+    discard(found, *scratch)
     return groups, slim
 
 
@@ -351,12 +361,13 @@ def first_of_groups(docs: DataFrame) -> DataFrame:
     classes = kinds.groupBy("node").agg(F.min(place).alias("first"), F.count("*").alias("kinds"))
     named = classes.join(groups, F.col("node") == F.col("_n"), "left").withColumn("group", F.coalesce("component", "node"))
     smallest = named.groupBy("group").agg(F.min("first").alias("stays"), F.sum("kinds").alias("of_group"))
-    special = named.join(smallest, "group").where("of_group > 1").select("node", "stays")
+    special = stored(named.join(smallest, "group").where("of_group > 1").select("node", "stays"), "special")
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     own = kinds.withColumn("_salt", F.pmod(F.xxhash64("_k1"), F.lit(SALTS)).cast("int"))
     told = own.join(special.withColumn("_salt", salts), ["node", "_salt"], "left")
     keep = F.col("stays").isNull() | place.eqNullSafe(F.col("stays"))
     marks = stored(told.select(*key, "copies", keep.alias("keep")).where("not keep or copies > 1"), "marks")
+    discard(special)
     dealt = marks.withColumn("_salt", salts)
     salted = keyed.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
     kept = salted.join(dealt, [*key, "_salt"], "left_anti").select(*docs.columns)

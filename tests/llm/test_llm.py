@@ -439,6 +439,24 @@ def test_one_row_of_each_group_stays(spark):
     assert got == sorted([*want, (8, ""), (8, ""), (None, ""), (None, "")], key=str)
 
 
+@pytest.mark.parametrize("frequent", [512, 2])
+def test_one_row_of_each_group_comes_from_short_queries(spark, monkeypatch, frequent):
+    """The driver holds the plan and the tasks of a query until it ends: no step may be one query of dozens of exchanges."""
+    exchanges = {}
+
+    def counted(df, name):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        exchanges[name] = max(exchanges.get(name, 0), len(re.findall("Exchange ", plan)))
+        return common.stored(df, name)
+
+    monkeypatch.setattr(ngram, "FREQUENT", frequent)
+    monkeypatch.setattr(ngram, "stored", counted)
+    rows = near_copies(random.Random(5))
+    kept = ngram.first_of_groups(documents(spark, rows)).collect()
+    assert {r["doc_id"] for r in kept} == {c for _, _, c in brute_groups(rows)}
+    assert max(exchanges.values()) <= 20, exchanges
+
+
 def test_components(spark):
     rng = random.Random(4)
     pairs = [(i, i + 1) for i in range(0, 60)] + [(1000, 1000 + k) for k in range(1, 50)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
