@@ -24,13 +24,15 @@ smallest id (null if it has none); an empty table gives an empty result; other c
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldspark.llm.common import components, discard, stored, table
+from fieldspark.llm.common import components, discard, free_shuffles, stored, table
 from fieldspark.llm.queries import query
 from fieldspark.llm.words import NONSPACE, mix64, ngram_hashes, pieces, split_words, with_columns
 
@@ -51,6 +53,8 @@ SALTS = 8
 #: Bits of the fixed-size filter (2 MB) that spares a pass over the texts the rows of other classes.
 FILTER_BITS = 1 << 24
 BUCKET_BITS = 8 * 4096
+#: Turns in which the shown shingles are counted.
+TURNS = 2
 
 
 def needed(n, percent=PERCENT):
@@ -111,14 +115,24 @@ def counted(rows: DataFrame, key: str, name: str) -> DataFrame:
 
 
 def possible_nodes(rows: DataFrame) -> DataFrame:
-    """node of the classes that show as many common shingles as any partner asks for."""
+    """node of the classes that show as many common shingles as any partner asks for.
+
+    ``rows`` (stored) and the shuffle of its shingles are the largest tables: shingles are counted in turns, each turn's shuffle goes
+    before the next, and ``rows`` goes after the last.
+    """
     tokens = rows.where("n_shingles > 3").select("node", F.col("n_shingles").alias("n"), F.explode("tokens").alias("token"))
-    common = stored(counted(tokens, "token", "freq").where("freq > 1").select("token", "node", "n").distinct(), "common")
+    parts = []
+    for turn in range(TURNS):
+        part = counted(tokens.where(F.pmod("token", F.lit(TURNS)) == turn), "token", "freq").where("freq > 1")
+        parts.append(stored(part.select("token", "node", "n").distinct(), "common"))
+        free_shuffles(rows.sparkSession)
+    discard(rows)
+    common = reduce(DataFrame.union, parts)
     left = counted(common, "node", "have").where(F.col("have") >= extra_column(F.col("n"))).select("token", "node", "n")
     # counted again among the classes that are left: the shingles of passages are gone with most of their documents
     shared = counted(left, "token", "freq").where("freq > 1").groupBy("node", "n").count()
     possible = stored(shared.where(F.col("count") >= extra_column(F.col("n"))).select("node"), "possible")
-    discard(common)
+    discard(*parts)
     return possible
 
 
@@ -289,9 +303,8 @@ def class_groups(docs: DataFrame, text: str, rows: DataFrame) -> tuple[DataFrame
     The shown shingles are the largest table; it and all others go as soon as what follows from them is stored. Each step is a short query
     of its own: the driver holds the plans, stages and tasks of a query until it ends, so one query for many steps fills its memory.
     """
-    possible = possible_nodes(rows)
     slim = stored(rows.drop("tokens"), "rows")
-    discard(rows)
+    possible = possible_nodes(rows)
     texts = texts_of(docs, text, possible)
     discard(possible)
     ranked = common_shingles(texts)
@@ -314,7 +327,7 @@ def class_groups(docs: DataFrame, text: str, rows: DataFrame) -> tuple[DataFrame
     heads = stored(heads.join(texts.select("node", "bits"), "node"), "heads")
     frequent = stored(buckets.groupBy("token").agg(F.count_distinct("group").alias("k")).where(F.col("k") > FREQUENT).select("token"), "frequent")
     rare = stored(all_pairs(buckets.join(frequent, "token", "left_anti"), heads).join(seen, ["a", "b"], "left_anti"), "pairs")
-    scratch += [buckets, heads, frequent, rare]
+    scratch.append(rare)
     pairs = rare
     if not frequent.isEmpty():
         joint = stored(open_buckets(combined(ranked, frequent), groups), "buckets")
@@ -322,6 +335,7 @@ def class_groups(docs: DataFrame, text: str, rows: DataFrame) -> tuple[DataFrame
         discard(joint)
         scratch.append(often)
         pairs = rare.union(often).distinct()
+    discard(buckets, heads, frequent)
     found = stored(verified(pairs, texts), "links")
     if not found.isEmpty():
         groups = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found))

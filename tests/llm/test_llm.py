@@ -457,6 +457,23 @@ def test_one_row_of_each_group_comes_from_short_queries(spark, monkeypatch, freq
     assert max(exchanges.values()) <= 20, exchanges
 
 
+def test_shown_shingles_are_counted_in_turns(spark, monkeypatch):
+    """Of the shuffle of all shown shingles, the largest, only a part is on disk beside them, and both are gone before the next one."""
+    steps = []
+
+    def noted(df, name):
+        steps.append(name)
+        return common.stored(df, name)
+
+    monkeypatch.setattr(ngram, "stored", noted)
+    monkeypatch.setattr(ngram, "free_shuffles", lambda session: steps.append("free"))
+    monkeypatch.setattr(ngram, "discard", lambda *tables: steps.extend(t._scratch.rsplit("/", 1)[1].split("-")[0] for t in tables))
+    rows = near_copies(random.Random(6)) + ODD
+    got = ngram.jaccard_groups(documents(spark, rows)).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute_groups(rows)
+    assert steps[: steps.index("possible")] == ["shown", "rows", *["common", "free"] * ngram.TURNS, "shown"] and ngram.TURNS > 1
+
+
 def test_components(spark):
     rng = random.Random(4)
     pairs = [(i, i + 1) for i in range(0, 60)] + [(1000, 1000 + k) for k in range(1, 50)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
