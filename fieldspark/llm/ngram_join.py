@@ -308,6 +308,7 @@ def class_groups(docs: DataFrame, text: str, rows: DataFrame) -> tuple[DataFrame
     texts = texts_of(docs, text, possible)
     discard(possible)
     ranked = common_shingles(texts)
+    free_shuffles(docs.sparkSession)
     keyed = ranked.where("place <= short").select(F.col("token").alias("key"), "token", F.lit(None).cast("long").alias("second"), "place", "node", "n", "own")
     buckets = stored(open_buckets(keyed, None), "buckets")
     scratch = [texts, ranked]
@@ -316,6 +317,7 @@ def class_groups(docs: DataFrame, text: str, rows: DataFrame) -> tuple[DataFrame
         pairs = leader_pairs(buckets, turn)
         pairs = stored(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
         found = stored(verified(pairs, texts), "links")
+        free_shuffles(docs.sparkSession)
         seen = pairs if seen is None else seen.union(pairs)
         links = found if links is None else links.union(found)
         groups = components(links)
