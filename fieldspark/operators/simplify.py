@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldspark.operators.overlay import GRAIN, _schema, as_points, grain_for, snapped
-from fieldspark.session import cut_lineage
+from fieldspark.session import cut_lineage, spread
 
 POINTS = "array<struct<x:long,y:long>>"
 RING_SQL = "array<struct<x:double,y:double>>"
@@ -49,6 +49,11 @@ def douglas_peucker(pts: np.ndarray, tolerance: float) -> np.ndarray:
     return keep
 
 
+def _merged(df: DataFrame) -> DataFrame:
+    """The side of a join that is never broadcast: rings become points, points sides, sides cells, but Spark judges their size by the input file's."""
+    return df.hint("shuffle_merge")
+
+
 def _cells(df: DataFrame, step: int, names: tuple[str, ...] = ("ax", "ay", "bx", "by")) -> DataFrame:
     """One row for each grid cell that the box of a side covers: adds _cx, _cy."""
     ax, ay, bx, by = (F.col(c) for c in names)
@@ -74,7 +79,7 @@ def _with_touching_points(rings: DataFrame, step: int) -> DataFrame:
     along, length2 = (ex * dx + ey * dy).cast("double"), (dx * dx + dy * dy).cast("double")
     off = F.abs((dx * ey - dy * ex).cast("double"))
     near = (off < 0.75 * F.sqrt(length2)) & (along > 0) & (along < length2)
-    met = _cells(sides, step).join(placed, ["_cx", "_cy"]).where(near)
+    met = _cells(sides, step).join(_merged(placed), ["_cx", "_cy"]).where(near)
     extra = met.select("rid", "seq", (along / length2).alias("t"), "px", "py").distinct()
     base = sides.select("rid", "seq", F.lit(0.0).alias("t"), F.col("ax").alias("px"), F.col("ay").alias("py"))
     # the points of one ring
@@ -154,7 +159,7 @@ def _clashing(shapes: DataFrame, step: int) -> DataFrame:
     outward = F.when(same("a", "a") | same("b", "b"), dot > 0).otherwise(dot < 0)
     clash = F.when(common == 0, meet).when(common == 1, straight & outward).otherwise(F.lit(True))
     other = (F.col("arc") != F.col("arc_r")) | (F.col("seq") != F.col("seq_r"))
-    hits = left.join(right, ["_cx", "_cy"]).where(other & clash & ~F.col("whole"))
+    hits = left.join(_merged(right), ["_cx", "_cy"]).where(other & clash & ~F.col("whole"))
     return hits.select("arc").distinct()
 
 
@@ -166,7 +171,7 @@ def simplify_together(polygons: DataFrame, tolerance: float, cell: float, ring:
     """
     grain = grain_for(cell, grain)
     step = 2 * max(1, round(cell / grain))
-    numbered = cut_lineage(polygons.withColumn("_rid", F.monotonically_increasing_id()))
+    numbered = cut_lineage(spread(polygons).withColumn("_rid", F.monotonically_increasing_id()))
     rest = [c for c in polygons.columns if c not in (ring, "n_before", "n_after")]
 
     def to_points(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -179,26 +184,27 @@ def simplify_together(polygons: DataFrame, tolerance: float, cell: float, ring:
             yield pd.DataFrame({"rid": pdf["rid"].to_numpy()[good], "pts": closed})
 
     given = numbered.where(F.col(ring).isNotNull()).select(F.col("_rid").alias("rid"), F.col(ring).alias("ring"))
-    rings = cut_lineage(_with_touching_points(given.mapInPandas(to_points, f"rid long, pts {POINTS}"), step))
+    points = cut_lineage(given.mapInPandas(to_points, f"rid long, pts {POINTS}"))  # read for sides and for corners
+    rings = cut_lineage(_with_touching_points(points, step))
     corners = rings.select("rid", F.posexplode(F.slice("pts", F.lit(1), F.size("pts") - 1)).alias("i", "p")).select("rid", "i", "p.x", "p.y")
-    nodes = corners.join(_nodes(rings), ["x", "y"]).groupBy("rid").agg(F.collect_list("i").alias("nodes"))
-    pieces = cut_lineage(rings.join(nodes, "rid", "left").mapInPandas(_cut_arcs, f"rid long, pos int, arc binary, turned boolean, points {POINTS}"))
+    nodes = corners.join(_merged(_nodes(rings)), ["x", "y"]).groupBy("rid").agg(F.collect_list("i").alias("nodes"))
+    pieces = cut_lineage(rings.join(_merged(nodes), "rid", "left").mapInPandas(_cut_arcs, f"rid long, pos int, arc binary, turned boolean, points {POINTS}"))
     arcs = pieces.groupBy("arc").agg(F.first("points").alias("points"))  # equal names, equal points
     slim = arcs.mapInPandas(_simplified(tolerance / grain * 2), f"arc binary, slim {POINTS}, whole boolean")
-    shapes = cut_lineage(arcs.join(slim, "arc").select("arc", F.col("slim").alias("pts"), "whole", "points"))
+    shapes = cut_lineage(arcs.join(_merged(slim), "arc").select("arc", F.col("slim").alias("pts"), "whole", "points"))
     while True:
         clashing = cut_lineage(_clashing(shapes, step))
         if clashing.isEmpty():
             break
-        back = shapes.join(clashing.withColumn("_back", F.lit(True)), "arc", "left")
+        back = shapes.join(_merged(clashing.withColumn("_back", F.lit(True))), "arc", "left")
         again = F.coalesce("_back", F.lit(False))
         shapes = cut_lineage(back.select("arc", F.when(again, F.col("points")).otherwise(F.col("pts")).alias("pts"), (F.col("whole") | again).alias("whole"), "points"))
-    used = pieces.select("rid", "pos", "arc", "turned").join(shapes.select("arc", "pts"), "arc")
+    used = pieces.select("rid", "pos", "arc", "turned").join(_merged(shapes.select("arc", "pts")), "arc")
     line = F.when(F.col("turned"), F.reverse("pts")).otherwise(F.col("pts"))
     rebuilt = used.select("rid", "pos", F.slice(line, F.lit(1), F.size("pts") - 1).alias("pts")).groupBy("rid").agg(
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "pts"))), lambda v: v["pts"])).alias("pts")
     )
     half = F.lit(grain / 2)
     out = rebuilt.select("rid", F.transform("pts", lambda p: F.struct((p["x"] * half).alias("x"), (p["y"] * half).alias("y"))).alias("_new"))
-    joined = numbered.withColumn("n_before", F.size(ring)).join(out, F.col("_rid") == F.col("rid"), "left")
+    joined = numbered.withColumn("n_before", F.size(ring)).join(_merged(out), F.col("_rid") == F.col("rid"), "left")
     return joined.select(*rest, F.when(F.col(ring).isNotNull(), F.coalesce("_new", F.col(ring))).alias(ring), "n_before", F.when(F.col(ring).isNotNull(), F.size(F.coalesce("_new", F.col(ring)))).alias("n_after"))

@@ -105,3 +105,15 @@ def test_convex_clip_is_the_python_clip(spark):
     fast = G.intersection_area(convex, convex=True)
     assert {r["k"]: pytest.approx(r["overlap"], abs=1e-9) for r in fast.collect()} == {k: want[k] for k in [r["k"] for r in convex.collect()]}
     assert "Python" not in fast._jdf.queryExecution().toString() and "InPandas" not in fast._jdf.queryExecution().toString()
+
+
+def test_simplifying_broadcasts_no_points(spark, tmp_path):
+    """A table of few bytes comes to many sides and cells: none of its joins may go through the driver."""
+    rows = [(1, ring([(0, 0), (4, 0), (4, 2), (0, 2)])), (2, ring([(0, 2), (4, 2), (4, 4), (0, 4)]))]
+    made = spark.createDataFrame(rows, f"id int, ring {RING}").withColumn("rid", F.lit(1).cast("long"))
+    made.withColumn("pts", F.expr(f"CAST(concat(ring, slice(ring, 1, 1)) AS {S.POINTS})")).write.parquet(str(tmp_path / "rings"))
+    df, points = (spark.read.parquet(str(tmp_path / "rings")).select(*c) for c in (["id", "ring"], ["rid", "pts"]))  # of known, small size
+    shapes = points.select(F.lit("a").cast("binary").alias("arc"), F.lit(False).alias("whole"), "pts")
+    for out in (S.simplify_together(df, 0.1, 1.5), S._with_touching_points(points, 8), S._clashing(shapes, 8)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
