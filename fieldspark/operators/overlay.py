@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldspark.functions import ring as R
@@ -27,6 +27,8 @@ GRAIN = 2.0**-20
 PARTS_SQL = "array<array<array<struct<x:double,y:double>>>>"
 #: Rows, or edge pieces of cells, that go through numpy together, about.
 TOGETHER, EDGES_TOGETHER = 512, 8192
+#: Corners of a key that is closed in one task, and such keys that go through numpy together.
+FEW, KEYS_TOGETHER = 256, 128
 #: Corners of a full circle.
 CORNERS = 16
 
@@ -57,14 +59,23 @@ def odd(cover: np.ndarray) -> np.ndarray:
 
 def merged_edges(edges: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each edge once, from its smaller end to its larger one, with the sum of its weights by that direction."""
+    return _merged(edges, weight, np.zeros(len(edges), bool))[:2]
+
+
+def _merged(edges: np.ndarray, weight: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``merged_edges``, and which of them are equal to a known one."""
     turn = (edges[:, 0] > edges[:, 2]) | ((edges[:, 0] == edges[:, 2]) & (edges[:, 1] > edges[:, 3]))
     edges = np.where(turn[:, None], edges[:, [2, 3, 0, 1]], edges)
     weight = np.where(turn[:, None], -weight, weight)
-    real = (edges[:, :2] != edges[:, 2:]).any(1)
-    once, place = np.unique(edges[real], axis=0, return_inverse=True)
-    total = np.zeros((len(once), weight.shape[1]), np.int64)
-    np.add.at(total, place.reshape(-1), weight[real])
-    return once, total
+    real = np.flatnonzero((edges[:, :2] != edges[:, 2:]).any(1))
+    order = real[np.lexsort(edges[real].T[::-1])]
+    edges = edges[order]
+    new = np.ones(len(edges), bool)
+    new[1:] = (edges[1:] != edges[:-1]).any(1)
+    first = np.flatnonzero(new)
+    if not len(first):
+        return edges, weight[:0], known[:0]
+    return edges[first], np.add.reduceat(weight[order], first), np.logical_or.reduceat(known[order], first)
 
 
 def _meeting_boxes(edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -89,28 +100,44 @@ def _side(e: np.ndarray, p: np.ndarray) -> np.ndarray:
     return (e[:, 2] - e[:, 0]) * (p[:, 1] - e[:, 1]) - (e[:, 3] - e[:, 1]) * (p[:, 0] - e[:, 0])
 
 
+def _reach(e: np.ndarray) -> np.ndarray:
+    """The largest ``_side`` of points less than half a grain from the edge (so never an odd one beside an even line)."""
+    return 0.75 * np.sqrt(((e[:, 2:] - e[:, :2]) ** 2).sum(1).astype(np.float64))
+
+
 def _on(e: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Points that are not an end of the edge, lie between its ends and less than half a grain from it (so never an odd one beside an even line)."""
+    """Points that are not an end of the edge, lie between its ends and less than half a grain from it."""
+    out = np.zeros(len(e), bool)
+    out[_places_on(e, p, _side(e, p), _reach(e))] = True
+    return out
+
+
+def _places_on(e: np.ndarray, p: np.ndarray, side: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """Where the points are ``_on`` the edges."""
+    near = np.flatnonzero(np.abs(side).astype(np.float64) < reach)
+    e, p = e[near], p[near]
     d = e[:, 2:] - e[:, :2]
     along = ((p - e[:, :2]) * d).sum(1)
-    length2 = (d * d).sum(1)
-    near = np.abs(_side(e, p)).astype(np.float64) < 0.75 * np.sqrt(length2.astype(np.float64))
-    return near & (along > 0) & (along < length2) & (p != e[:, :2]).any(1) & (p != e[:, 2:]).any(1)
+    return near[(along > 0) & (along < (d * d).sum(1)) & (p != e[:, :2]).any(1) & (p != e[:, 2:]).any(1)]
 
 
 def node(edges: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Cuts all edges where they meet, so that two edges share nothing but ends; equal ones are merged."""
     edges, weight = merged_edges(edges, weight)
+    fresh = np.ones(len(edges), bool)  # two edges that met before and stayed whole do not cut each other
     for _ in range(40):
         i, j = _meeting_boxes(edges)
-        cut_edge, cut_at = [], []
-        for one, other in ((i, j), (j, i)):
-            for end in (slice(0, 2), slice(2, 4)):
-                on = _on(edges[one], edges[other][:, end])
-                cut_edge.append(one[on])
-                cut_at.append(edges[other[on]][:, end])
+        some = fresh[i] | fresh[j]
+        i, j = i[some], j[some]
         a, b = edges[i], edges[j]
+        reach = _reach(edges)
         sides = [_side(a, b[:, :2]), _side(a, b[:, 2:]), _side(b, a[:, :2]), _side(b, a[:, 2:])]
+        cut_edge, cut_at = [], []
+        for k, (one, e, other) in enumerate(((i, a, b), (i, a, b), (j, b, a), (j, b, a))):
+            ends = other[:, 2:] if k % 2 else other[:, :2]
+            on = _places_on(e, ends, sides[k], reach[one])
+            cut_edge.append(one[on])
+            cut_at.append(ends[on])
         cross = (np.sign(sides[0]) * np.sign(sides[1]) < 0) & (np.sign(sides[2]) * np.sign(sides[3]) < 0)
         if cross.any():
             s, t = sides[2][cross].astype(np.float64), sides[3][cross].astype(np.float64)
@@ -135,7 +162,9 @@ def node(edges: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         chain_edge, chain_at = chain_edge[order], chain_at[order]
         same = chain_edge[1:] == chain_edge[:-1]
         new = np.hstack([chain_at[:-1][same], chain_at[1:][same]])
-        edges, weight = merged_edges(np.vstack([edges[whole], new]), np.vstack([weight[whole], weight[chain_edge[:-1][same]]]))
+        known = np.repeat([True, False], [whole.sum(), len(new)])
+        edges, weight, known = _merged(np.vstack([edges[whole], new]), np.vstack([weight[whole], weight[chain_edge[:-1][same]]]), known)
+        fresh = ~known
     raise RuntimeError("edges did not settle")
 
 
@@ -300,18 +329,21 @@ def overlay_many(rows: list[list[tuple[list, int]]], inside: Inside = covered) -
     """Parts of what the pieces of each row cover, in one task; a piece is (its rings as integer arrays, its layer)."""
     layers = 1 + max((layer for pieces in rows for _, layer in pieces), default=0)
     edges = [(ring_edges(r), layer, k) for k, pieces in enumerate(rows) for rings, layer in pieces for r in rings if len(r) > 2]
-    out: list[list] = [[] for _ in rows]
     if not edges:
-        return out
-    every = np.vstack([e for e, *_ in edges])
+        return [[] for _ in rows]
     of = np.repeat([k for *_, k in edges], [len(e) for e, *_ in edges])
     weight = np.eye(layers, dtype=np.int64)[np.repeat([layer for _, layer, _ in edges], [len(e) for e, *_ in edges])]
-    origin = np.full((len(rows), 2), np.iinfo(np.int64).max)
+    return _parts_of(np.vstack([e for e, *_ in edges]), of, weight, len(rows), inside)
+
+
+def _parts_of(every: np.ndarray, of: np.ndarray, weight: np.ndarray, rows: int, inside: Inside = covered) -> list[list[list[np.ndarray]]]:
+    """Parts for each row from the edges of closed rings; ``of`` is the row of each edge. Rows stand side by side in x."""
+    origin = np.full((rows, 2), np.iinfo(np.int64).max)
     np.minimum.at(origin, of, every[:, :2])  # ring edges begin at every vertex
     local = every - np.tile(origin[of], 2)
     lane = int(local.max()) + 2
     local[:, [0, 2]] += (of * lane)[:, None]
-    found: list[list] = [[] for _ in rows]
+    found: list[list] = [[] for _ in range(rows)]
     for r in chain_rings(border_edges(local, weight, inside))[0]:
         k = int(r[0, 0]) // lane
         found[k].append(r - [k * lane, 0] + origin[k])
@@ -333,6 +365,11 @@ def _schema(df: DataFrame, extra: str) -> str:
     return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), extra])
 
 
+def _boxed(rings: Column | str) -> Column:
+    """Each ring in a struct: rings of unequal length do not come to Python as one array of arrays."""
+    return F.transform(rings, lambda r: F.struct(r.alias("r")))
+
+
 def repair(polygons: DataFrame, ring: str = "ring", grain: float = GRAIN) -> DataFrame:
     """Valid geometry of any ring by the even-odd rule: adds ``parts`` (largest first, holes after their outer ring), ``area`` and ``n_parts``.
 
@@ -439,13 +476,13 @@ def dissolve(
     """
     grain = grain_for(cell, grain)
     step = 2 * max(1, round(cell / grain))
-    pieces = spread(pieces.select(*keys, "rings", F.col("layer") if layers > 1 else F.lit(0).alias("layer")))
+    pieces = spread(pieces.select(*keys, _boxed("rings").alias("rings"), F.col("layer") if layers > 1 else F.lit(0).alias("layer")))
     names = [*keys, "layer", "row", "col", "event", "ax", "ay", "bx", "by", "w"]
     kind = _schema(pieces.select(*keys), "layer int, row long, col long, event boolean, ax long, ay long, bx long, by long, w long")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rings = [[snapped(r, grain) for r in own if r is not None] if own is not None else [] for own in pdf["rings"]]
+            rings = [[snapped(r["r"], grain) for r in own if r["r"] is not None] if own is not None else [] for own in pdf["rings"]]
             edges = [np.vstack([np.zeros((0, 4), np.int64), *(ring_edges(r) for r in turned(own) if len(r) > 2)]) for own in rings]
             of = np.repeat(np.arange(len(pdf)), [len(e) for e in edges])
             every = np.vstack([np.zeros((0, 4), np.int64), *edges])
@@ -568,29 +605,52 @@ def each_key(rows: DataFrame, keys: list[str], values: list[str], make: Callable
 # --- growing and closing --------------------------------------------------------------------------------------------------------------
 
 
-def stadium(ax: float, ay: float, bx: float, by: float, radius: float, corners: int = CORNERS) -> np.ndarray:
-    """All points up to ``radius`` from an edge, as a convex ring with round ends."""
-    heading = math.atan2(by - ay, bx - ax)
-    turn = np.linspace(0, math.pi, corners // 2 + 1)
-    at_b = heading - math.pi / 2 + turn
-    at_a = heading + math.pi / 2 + turn
-    return np.column_stack([
-        np.concatenate([bx + radius * np.cos(at_b), ax + radius * np.cos(at_a)]),
-        np.concatenate([by + radius * np.sin(at_b), ay + radius * np.sin(at_a)]),
-    ])
-
+def zones(a: np.ndarray, b: np.ndarray, c: np.ndarray, radius: float, inner: bool = False, corners: int = CORNERS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """All points up to ``radius`` from edges a-b that are followed by b-c, as anticlockwise rings: (edge of each ring, rings x corners x 2), by number of corners.
 
-def border_zones(pieces: DataFrame, keys: list[str], radius: float, corners: int = CORNERS) -> DataFrame:
-    """keys, rings: one convex ring around each edge of each ring."""
-    rings = pieces.select(*keys, F.explode("rings").alias("ring"))
-    edges = rings.select(*keys, F.explode(R.edges(F.col("ring"))).alias("e")).where("e.a <> e.b")
+    Along an edge goes a strip with pointed ends, at a turn a wedge whose arc has chords of at most a ``corners``-th of a circle; pieces overlap, so rounding
+    opens nothing between them. ``inner`` gives only what lies on the left of rings with their inside there.
+    """
+    d, d2 = b - a, c - b
+    u, u2 = d / np.hypot(*d.T)[:, None], d2 / np.hypot(*d2.T)[:, None]
+    left, ahead = np.column_stack([-u[:, 1], u[:, 0]]) * radius, u * radius / 2
+    if inner:
+        strip = [a, b, b + left / 2 + ahead, b + left, a + left, a + left / 2 - ahead]
+    else:
+        strip = [a - left, b - left, b + ahead, b + left, a + left, a - ahead]
+    out = [(np.arange(len(a)), np.stack(strip, 1))]
+    turn = np.arctan2(u[:, 0] * u2[:, 1] - u[:, 1] * u2[:, 0], (u * u2).sum(1))
+    chords = np.maximum(1, np.ceil(np.abs(turn) * corners / (2 * math.pi) - 1e-9)).astype(int)
+    chords[(turn >= 0) if inner else (turn == 0)] = 0
+    for n in np.unique(chords[chords > 0]):
+        at = np.flatnonzero(chords == n)
+        side = np.where(turn[at] > 0, -1.0, 1.0)[:, None]  # the outside of the turn
+        first, last = left[at] * side, np.column_stack([-u2[at, 1], u2[at, 0]]) * radius * side
+        angle = np.arctan2(first[:, 1], first[:, 0])[:, None] + turn[at][:, None] * np.arange(1, n) / n
+        arc = np.stack([np.cos(angle), np.sin(angle)], 2) * radius
+        half = np.arctan2(first[:, 1], first[:, 0]) + turn[at] / 2
+        back = -np.column_stack([np.cos(half), np.sin(half)]) * radius / 2
+        wedge = b[at][:, None] + np.concatenate([back[:, None], first[:, None], arc, last[:, None]], 1)
+        out.append((at, np.where((turn[at] > 0)[:, None, None], wedge, wedge[:, ::-1])))
+    return out
+
+
+def border_zones(pieces: DataFrame, keys: list[str], radius: float, inner: bool = False, corners: int = CORNERS) -> DataFrame:
+    """keys, rings: convex rings around the edges of each ring, or what they hold of the inside."""
+    turning = F.transform(F.col("rings"), lambda r, i: F.when((R.signed_area(r) < 0) == (i == 0), F.reverse(r)).otherwise(r))
+    rings = pieces.select(*keys, F.explode(turning if inner else F.col("rings")).alias("ring"))
+    real = rings.select(*keys, F.filter(R.edges(F.col("ring")), lambda e: e["a"] != e["b"]).alias("es"))
+    ahead = F.concat(F.slice("es", 2, F.greatest(F.size("es") - 1, F.lit(0))), F.slice("es", 1, 1))
+    edges = real.select(*keys, F.explode(F.zip_with("es", ahead, lambda e, f: F.struct(e["a"].alias("a"), e["b"].alias("b"), f["b"].alias("c")))).alias("e"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            zones = [stadium(*v, radius, corners) for v in zip(pdf["ax"], pdf["ay"], pdf["bx"], pdf["by"])]
-            yield pdf[keys].assign(rings=[[[{"x": x, "y": y} for x, y in z.tolist()]] for z in zones])
+            if not len(pdf):
+                continue
+            for at, made in zones(*(pdf[[p + "x", p + "y"]].to_numpy(float) for p in "abc"), radius, inner, corners):
+                yield pdf[keys].iloc[at].assign(rings=[[[{"x": x, "y": y} for x, y in z]] for z in made.tolist()])
 
-    slim = edges.select(*keys, *[F.col(f"e.{p}.{v}").alias(p + v) for p in "ab" for v in "xy"])
+    slim = edges.select(*keys, *[F.col(f"e.{p}.{v}").alias(p + v) for p in "abc" for v in "xy"])
     return spread(slim).mapInPandas(run, _schema(pieces.select(*keys), "rings array<array<struct<x:double,y:double>>>"))
 
 
@@ -601,10 +661,43 @@ def grow(pieces: DataFrame, keys: list[str], radius: float, cell: float, grain:
 
 def shrink(pieces: DataFrame, keys: list[str], radius: float, cell: float, grain: float = GRAIN) -> DataFrame:
     """What lies farther than ``radius`` from the outside. ``pieces`` must not overlap."""
-    both = pieces.select(*keys, "rings", F.lit(0).alias("layer")).union(border_zones(pieces, keys, radius).select(*keys, "rings", F.lit(1).alias("layer")))
+    both = pieces.select(*keys, "rings", F.lit(0).alias("layer")).union(border_zones(pieces, keys, radius, True).select(*keys, "rings", F.lit(1).alias("layer")))
     return dissolve(both, keys, cell, layers=2, grain=grain)
 
 
+def _zone_edges(rings: list[np.ndarray], of: np.ndarray, radius: float, inner: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of the zones of integer rings without repeated vertices, and the row of each; ``of`` is the row of each ring."""
+    a, b, c = (np.vstack([np.roll(r, -k, axis=0) for r in rings]).astype(np.float64) for k in range(3))
+    home = np.repeat(of, [len(r) for r in rings])
+    edges, owner = [], []
+    for at, made in zones(a, b, c, radius, inner):
+        z = _even(made)
+        edges.append(np.concatenate([z, np.roll(z, -1, axis=1)], 2).reshape(-1, 4))
+        owner.append(np.repeat(home[at], made.shape[1]))
+    return np.vstack(edges), np.concatenate(owner)
+
+
+def _distinct(ring: np.ndarray) -> np.ndarray:
+    return ring[(ring != np.roll(ring, 1, axis=0)).any(1)] if len(ring) else ring
+
+
+def closed_many(rows: list[list[np.ndarray]], radius: float) -> list[list[list[np.ndarray]]]:
+    """Parts of the pieces of each row grown and shrunk by ``radius`` half grains, in one task; a piece is one integer ring."""
+    rings = [(r, k) for k, own in enumerate(rows) for r in map(_distinct, own) if len(r) > 2]
+    if not rings:
+        return [[] for _ in rows]
+    of = np.array([k for _, k in rings])
+    zone, home = _zone_edges([r for r, _ in rings], of, radius, False)
+    every = np.vstack([*(ring_edges(turned([r])[0]) for r, _ in rings), zone])
+    grown = _parts_of(every, np.concatenate([np.repeat(of, [len(r) for r, _ in rings]), home]), np.ones((len(every), 1), np.int64), len(rows))
+    rings = [(r, k) for k, parts in enumerate(grown) for part in parts for r in part]
+    of = np.array([k for _, k in rings])
+    zone, home = _zone_edges([r for r, _ in rings], of, radius, True)
+    own = np.vstack([ring_edges(r) for r, _ in rings])
+    weight = np.eye(2, dtype=np.int64)[np.repeat([0, 1], [len(own), len(zone)])]
+    return _parts_of(np.vstack([own, zone]), np.concatenate([np.repeat(of, [len(r) for r, _ in rings]), home]), weight, len(rows))
+
+
 def as_pieces(dissolved: DataFrame, keys: list[str]) -> DataFrame:
     return dissolved.select(*keys, F.explode("parts").alias("rings"))
 
@@ -621,20 +714,50 @@ def merge_pieces(
     """Chosen pieces of a plot as one: their union if that is one part, else the union with gaps closed, if that is one part of enough area.
 
     ``pieces``: key, ``ring``, name and order. Returns key, ``nombre`` (joined with " + "), ``n_piezas``, ``parts``, ``area`` and ``status``: ``ok``, ``closed`` or,
-    with the plain union's parts, ``rejected``.
+    with the plain union's parts, ``rejected``. Keys of up to ``FEW`` corners, which most are, are worked on whole in one task, many at a time, and only
+    their pieces travel; others are cut into cells.
     """
-    rows = pieces.select(key, name, order, F.array("ring").alias("rings"))
-    labels = rows.groupBy(key).agg(
-        F.concat_ws(" + ", F.transform(F.array_sort(F.collect_list(F.struct(order, name))), lambda s: s[name])).alias("nombre"),
-        F.count("*").alias("n_piezas"), F.sum(R.area(F.get("rings", F.lit(0)))).alias("area_sum"),
+    box = R.bounds(F.col("ring"))
+    sizes = pieces.groupBy(key).agg(
+        F.sum(F.greatest(F.size("ring"), F.lit(0))).alias("_n"),
+        F.greatest(*[F.max(box[f"max{v}"]) - F.min(box[f"min{v}"]) for v in "xy"]).alias("_side"),
     )
-    plain = cut_lineage(dissolve(rows, [key], cell).select(key, F.struct("parts", "area", "n_parts").alias("plain")))
+    few = F.coalesce((F.col("_n") <= FEW) & (F.col("_side") + 4 * radius <= EXTENT * GRAIN), F.lit(False))
+    rows = pieces.select(key, name, order, "ring").join(sizes.select(key, few.alias("_few")).hint("shuffle_merge"), key)
+
+    def gathered(df: DataFrame, *more: Column) -> DataFrame:
+        return df.groupBy(key).agg(
+            F.concat_ws(" + ", F.transform(F.array_sort(F.collect_list(F.struct(order, name))), lambda s: s[name])).alias("nombre"),
+            F.count("*").alias("n_piezas"), F.sum(R.area(F.col("ring"))).alias("area_sum"), *more,
+        )
+
+    small = gathered(rows.where("_few"), _boxed(F.collect_list("ring")).alias("_rings"))
+    here = small.drop("_rings").columns
+    shape = "struct<parts: {}, area: double, n_parts: int>".format(PARTS_SQL)
+
+    def as_shape(parts: list) -> dict | None:
+        return {"parts": [[as_points(r) for r in part] for part in parts], "area": parts_area(parts), "n_parts": len(parts)} if parts else None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in batches:
+            for begin in range(0, len(whole), KEYS_TOGETHER):
+                pdf = whole.iloc[begin : begin + KEYS_TOGETHER]
+                rings = [[snapped(r["r"]) for r in own] for own in pdf["_rings"]]
+                plain = overlay_many([[(turned([r]), 0) for r in own] for own in rings])
+                apart = [k for k, parts in enumerate(plain) if len(parts) > 1]
+                closed = dict(zip(apart, closed_many([rings[k] for k in apart], 2 * radius / GRAIN)))
+                out = pdf[here].assign(plain=[as_shape(parts) for parts in plain], closed=[as_shape(closed.get(k, [])) for k in range(len(plain))])
+                yield out[[parts != [] for parts in plain]]
+
+    joined = spread(small).mapInPandas(run, _schema(small.select(*here), f"plain {shape}, closed {shape}"))
+    large = rows.where("not _few").select(key, name, order, "ring", F.array("ring").alias("rings"))
+    plain = cut_lineage(dissolve(large, [key], cell).select(key, F.struct("parts", "area", "n_parts").alias("plain")))
     apart = plain.where("plain.n_parts <> 1").select(key)
-    closed = close_gaps(cut_lineage(rows.join(apart, key, "left_semi")), [key], radius, cell).select(key, F.struct("parts", "area", "n_parts").alias("closed"))
+    closed = close_gaps(cut_lineage(large.join(apart, key, "left_semi")), [key], radius, cell).select(key, F.struct("parts", "area", "n_parts").alias("closed"))
+    joined = joined.union(gathered(large).join(plain.hint("shuffle_merge"), key).join(closed.hint("shuffle_merge"), key, "left"))
     good = (F.col("closed.n_parts") == 1) & (F.col("closed.area") >= least_share * F.col("area_sum"))
     whole = F.col("plain.n_parts") == 1
     best = F.when(~whole & good, F.col("closed")).otherwise(F.col("plain"))
-    joined = labels.join(plain, key).join(closed, key, "left")
     return joined.select(
         key, "nombre", "n_piezas", best["parts"].alias("parts"), best["area"].alias("area"),
         F.when(whole, "ok").when(good, "closed").otherwise("rejected").alias("status"),

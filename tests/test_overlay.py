@@ -169,3 +169,30 @@ def test_dissolve_takes_many_keys_per_batch(spark):
         assert "FlatMapGroupsInPandas" not in plan + adjacent._jdf.queryExecution().toString()
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
+def test_closing_small_keys_is_closing_in_cells(spark, monkeypatch):
+    """A key that is worked on whole in one task comes out as one that is cut into cells, and its zones have few corners."""
+    rng = random.Random(11)
+
+    def star(x, y):
+        n = rng.randint(3, 9)
+        reach = [rng.uniform(3, 9) for _ in range(n)]
+        return [(x + r * math.cos(2 * math.pi * i / n), y + r * math.sin(2 * math.pi * i / n)) for i, r in enumerate(reach)]
+
+    rows = [(k, i, f"P{i}", star(rng.uniform(0, 16 + k), rng.uniform(0, 16))) for k in range(24) for i in range(1 + k % 4)]
+    rows += [(50, 0, "flat", [(0.0, 0.0), (1.0, 0.0), (2.0, 0.0)]), (51, 0, "none", None), (52, 0, "a", [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)]), (52, 1, "none", None)]
+    df = spark.createDataFrame(rows, "k int, pos int, nombre string, ring array<struct<x:double,y:double>>")
+    here = {r["k"]: r for r in O.merge_pieces(df, "k", 8.0).collect()}
+    monkeypatch.setattr(O, "FEW", 0)
+    cells = {r["k"]: r for r in O.merge_pieces(df, "k", 8.0).collect()}
+    assert set(here) == set(cells) == {*range(24), 52} and {"ok", "closed"} <= {r["status"] for r in here.values()}
+    for k, r in here.items():
+        for name in ("status", "nombre", "n_piezas"):
+            assert r[name] == cells[k][name], (k, name)
+        assert [len(p) for p in r["parts"]] == [len(p) for p in cells[k]["parts"]] and r["area"] == pytest.approx(cells[k]["area"], abs=1e-3)
+    round_ring = [(10 * math.cos(math.pi * i / 16), 10 * math.sin(math.pi * i / 16)) for i in range(32)]
+    ring = spark.createDataFrame([(1, [round_ring])], f"k int, rings {RINGS}")
+    assert O.border_zones(ring, ["k"], 1.0, True).select(F.sum(F.size(F.get("rings", F.lit(0))))).first()[0] == 32 * 6  # 32 * 18 before
+    area = O.shrink(ring, ["k"], 1.0, 4.0).first()["area"]
+    assert area == pytest.approx(16 * (10 - 1 / math.cos(math.pi / 32)) ** 2 * math.sin(math.pi / 16), abs=1e-3)
