@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldspark.functions import ring as R
@@ -284,16 +284,32 @@ def intersection_area(pairs: DataFrame, ring_a: str = "ring", ring_b: str = "rin
     return plain.union(hard.mapInPandas(run, _schema(pairs.select(*rest), "overlap double")))
 
 
-def parts_intersection_area(pairs: DataFrame, keys: list[str], parts_a: str = "parts", parts_b: str = "parts_r", convex: bool = False) -> DataFrame:
+def lone_boxes(key: str, parts: str) -> Column:
+    """``boxes`` for ``parts_intersection_area``: null for geometries of other rings than upright rectangles, and where a key comes again or is null."""
+    again = Window.partitionBy(key, F.when(F.col(key).isNull(), F.xxhash64(parts)))
+    alone = F.col(key).isNotNull() & (F.count(F.lit(1)).over(again) == 1)
+    return F.when(alone, R.parts_boxes(F.col(parts)))
+
+
+def parts_intersection_area(
+    pairs: DataFrame, keys: list[str], parts_a: str = "parts", parts_b: str = "parts_r", convex: bool = False, boxes: tuple[str, str] | None = None
+) -> DataFrame:
     """Common area of two geometries of several parts with holes: keys, ``overlap``.
 
-    The rings of both meet in pairs; a pair of an outer ring and a hole counts negative, as holes lie inside their outer ring.
+    The rings of both meet in pairs; a pair of an outer ring and a hole counts negative, as holes lie inside their outer ring. ``boxes``: columns of
+    ``lone_boxes``, made on each side before it was paired. Where both are given, a pair is a row of the result: it is neither
+    taken apart into rings nor shuffled. What else there is, is told by one side alone, so Spark drops it before the join.
     """
 
     def rings(parts: str, name: str) -> Column:
         signed = F.flatten(F.transform(parts, lambda part: F.transform(part, lambda r, i: F.struct(r.alias("ring"), F.when(i == 0, 1.0).otherwise(-1.0).alias("sign")))))
         return F.explode(signed).alias(name)
 
+    if boxes:
+        a, b = (F.col(c) for c in boxes)
+        plain = pairs.where(a.isNotNull() & b.isNotNull()).select(*keys, R.boxes_overlap(a, b).alias("overlap"))
+        rest = pairs.where(a.isNull()).union(pairs.where(a.isNotNull() & b.isNull()))
+        return plain.union(parts_intersection_area(rest, keys, parts_a, parts_b, convex))
     one = pairs.select(*keys, parts_b, rings(parts_a, "a")).select(*keys, "a", rings(parts_b, "b"))
     flat = one.select(*keys, F.col("a.ring").alias("ring"), F.col("b.ring").alias("ring_r"), (F.col("a.sign") * F.col("b.sign")).alias("_sign"))
     return intersection_area(flat, convex=convex).groupBy(*keys).agg(F.sum(F.col("_sign") * F.col("overlap")).alias("overlap"))
@@ -330,8 +346,9 @@ def clip_polygons(pairs: DataFrame, ring: str = "ring", by: str = "ring_r") -> D
                 flags.append(bool(parts))
             yield pdf[rest].assign(**{ring: rings, "clipped": flags})
 
-    hard = _spread(pairs.where(~boxes), rest)
-    return plain.union(hard.mapInPandas(run, _schema(pairs.select(*rest), f"{ring} {RING_SQL}, clipped boolean")))
+    # told by one ring alone each, so Spark drops the rectangles before the pairs are made
+    odd = pairs.where(~R.is_box(F.col(ring))).union(pairs.where(R.is_box(F.col(ring)) & ~R.is_box(F.col(by))))
+    return plain.union(_spread(odd, rest).mapInPandas(run, _schema(pairs.select(*rest), f"{ring} {RING_SQL}, clipped boolean")))
 
 
 def samples_inside(ring: Column, ax: Column, ay: Column, bx: Column, by: Column, n: int = 20) -> Column:

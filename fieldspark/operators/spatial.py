@@ -120,7 +120,10 @@ def join_polygons(
     )
     l, r = _by_cell(l, "_lv", "_cx", "_cy"), _by_cell(r, "_lv_r", "_cx_r", "_cy_r")
     pairs = l.join(r.hint("shuffle_merge"), near).drop("_own", "_own_r", "_lv", "_lv_r", "_cx", "_cx_r", "_cy", "_cy_r")
-    return pairs.filter(R.polygons_intersect(F.col("ring"), F.col("ring_r"))) if touching else pairs
+    # of upright rectangles the boxes have said all; the test of edges would keep the whole join from being compiled
+    if not touching or all(df.where(~R.is_own_box(F.col("ring"), *[F.col(c) for c in box])).isEmpty() for df in (left, right)):
+        return pairs
+    return pairs.filter(R.polygons_intersect(F.col("ring"), F.col("ring_r")))
 
 
 def first_match(pairs: DataFrame, key: list[str], order: list[Column]) -> DataFrame:

@@ -531,3 +531,55 @@ def test_costly_rows_are_spread(spark, inputs):
 
     for rows in (q_sources.forecast_docs(inputs), q_sources.feature_answers(inputs), q_sources.geometry_texts(inputs), q_geometry.broken_rings(inputs)):
         assert rows.rdd.getNumPartitions() == 8
+
+
+def _pairs_plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_common_area_of_parts_stays_a_row(spark):
+    """Pairs of rectangles with holes and several parts are neither taken apart nor shuffled; other rings, keys that come again and null keys are added up."""
+    box = lambda x, y, w, h: [(float(x), float(y)), (x + w * 1.0, float(y)), (x + w * 1.0, y + h * 1.0), (float(x), y + h * 1.0)]
+    kind = "array<array<array<struct<x:double,y:double>>>>"
+    holed, two = [[box(0, 0, 4, 4), box(1, 1, 2, 2)[::-1]]], [[box(0, 0, 2, 2)], [box(3, 0, 2, 2)]]
+    many = [[box(3 * i, 0, 1, 1)] for i in range(7)]
+    slanted = [[[(0.0, 0.0), (4.0, 0.0), (0.0, 4.0)]]]
+    left = [(1, holed), (2, two), (3, many), (4, slanted), (5, holed), (5, two), (None, two), (None, holed), (6, None)]
+    right = [(1, [[box(0, 0, 2, 2)]]), (2, [[box(0, 0, 20, 3)]]), (3, two), (4, [[box(0, 0, 2, 2)]]), (4, [[box(2, 2, 1, 1)]])]
+    a = spark.createDataFrame(left, f"izq int, parts {kind}").withColumn("boxes", G.lone_boxes("izq", "parts"))
+    b = spark.createDataFrame(right, f"der int, parts_r {kind}").withColumn("boxes_r", G.lone_boxes("der", "parts_r"))
+    assert {r["izq"] for r in a.where("boxes is not null").collect()} == {1, 2, 3}
+    pairs = a.crossJoin(b)
+    area = lambda df: {(r["izq"], r["der"]): round(r["overlap"], 9) for r in df.collect()}
+    fast, slow = G.parts_intersection_area(pairs, ["izq", "der"], boxes=("boxes", "boxes_r")), G.parts_intersection_area(pairs, ["izq", "der"])
+    assert area(fast) == area(slow) and fast.count() == slow.count() == 6 * 4
+    assert area(fast)[1, 1] == 3.0 and area(fast)[3, 2] == 7.0 and area(fast)[5, 4] == 3.0 + 0.0 + 4.0
+
+
+def test_pairs_of_rectangles_have_no_test_of_edges(spark):
+    """Where all rings are rectangles the join of boxes is the whole test, and the other rings of a clip are looked for on each side before the join."""
+    box = F.array(R.point(F.col("x"), F.lit(0.0)), R.point(F.col("x") + 2, F.lit(0.0)), R.point(F.col("x") + 2, F.lit(2.0)), R.point(F.col("x"), F.lit(2.0)))
+    slanted = F.array(R.point(F.col("x"), F.lit(0.0)), R.point(F.col("x") + 2, F.lit(0.0)), R.point(F.col("x"), F.lit(2.0)))
+    rows = spark.range(12).select("id", F.col("id").cast("double").alias("x"))
+    table = lambda ring: R.with_bounds(rows.select("id", ring.alias("ring")))
+    boxes, mixed = table(box), table(F.when(F.col("id") % 3 == 0, slanted).otherwise(box))
+    joined = lambda l, r: SP.join_polygons(l, r.withColumnRenamed("id", "o"), 1.0)
+    assert "aggregate(" not in _pairs_plan(joined(boxes, boxes)) and "aggregate(" in _pairs_plan(joined(mixed, boxes))
+    assert joined(boxes, boxes).count() == 12 + 2 * (11 + 10)
+    want = joined(mixed, mixed).where(R.polygons_intersect(F.col("ring"), F.col("ring_r"))).count()
+    assert joined(mixed, mixed).count() == want
+    clipped = lambda l, r: {(v["id"], v["o"]): (round(v["area"], 9), v["clipped"]) for v in G.clip_polygons(joined(l, r).select("id", "o", "ring", "ring_r")).select("id", "o", "clipped", R.area(F.col("ring")).alias("area")).collect()}
+    got = clipped(mixed, mixed)
+    assert len(got) == want and got[1, 2] == (2.0, True) and got[0, 0] == (2.0, True) and got[0, 1] == (0.5, True) and got[1, 0] == (0.5, True) and got[1, 3] == (4.0, False)
+
+
+def test_area_of_a_rectangle_is_that_of_its_edges(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for n in range(200):
+        x0, y0, x1, y1 = rng.uniform(-1e3, 1e3, 4).tolist()
+        ring = [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
+        ring = (ring[n % 4 :] + ring[: n % 4])[:: 1 if n % 3 else -1]
+        rows.append((ring + ring[: n % 2],))
+    out = spark.createDataFrame(rows, "ring array<struct<x:double,y:double>>").select(R.is_box(F.col("ring")).alias("b"), R.area(F.col("ring")).alias("a"), F.abs(R.signed_area(F.col("ring"))).alias("s"))
+    assert all(r["b"] and r["a"] == r["s"] for r in out.collect())
