@@ -6,11 +6,15 @@ one key per level that occurs in the polygon side.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldspark.functions import ring as R
 
+#: Points and polygons of a grid cell that meet at once, and edges that are looked at together.
+POINTS, POLYGONS, EDGES = 1024, 256, 1 << 20
 SPAN = 4  # widest box side, in cells, before a polygon moves to the next level
 
 
@@ -55,13 +59,24 @@ def join_points_polygons(
     y: str = "y",
     ring: str = "ring",
     boundary: str = "include",
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    """Pairs (point row, polygon row) where the polygon holds the point. ``polygons`` needs box columns, and ``parts`` or the ring."""
+    """Pairs (point row, polygon row) where the polygon holds the point. ``polygons`` needs box columns, and ``parts`` or the ring.
+
+    Polygons of ``parts`` meet the points of a cell in blocks, edge by edge in numpy. ``keep``: the columns that are wanted.
+    """
     keyed = points.withColumn("_lv", F.explode(levels_in_use(polygons, cell)))
     keyed = keyed.withColumns(
         {"_cx": _axis(F.col(x), cell, F.col("_lv")), "_cy": _axis(F.col(y), cell, F.col("_lv"))}
     )
     keyed = _by_cell(keyed, "_lv", "_cx", "_cy")
+    wanted = [*points.columns, *polygons.columns] if keep is None else keep
+    if "parts" in polygons.columns:
+        edged = polygons.withColumn("_es", R.parts_edges(F.col("parts"))).where(F.col("_es").isNotNull())
+        cells = _by_cell(explode_cells(edged, cell), "_lv", "_cx", "_cy")
+        own = [c for c in wanted if c in points.columns]
+        near = keyed.select("_lv", "_cx", "_cy", F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), *own)
+        return _held_points(near, cells, own, [c for c in wanted if c not in own], boundary).select(*wanted)
     cells = _by_cell(explode_cells(polygons, cell), "_lv", "_cx", "_cy")
     px, py = keyed[x], keyed[y]
     near = (
@@ -74,9 +89,71 @@ def join_points_polygons(
         & (py <= cells["maxy"])
     )
     pairs = keyed.join(cells.hint("shuffle_merge"), near).drop("_lv", "_cx", "_cy")
-    if "parts" in polygons.columns:
-        return pairs.filter(R.let(R.parts_edges(F.col("parts")), lambda es: R.edges_hold(es, F.col(x), F.col(y), boundary)))
-    return pairs.filter(R.contains_point(F.col(ring), F.col(x), F.col(y), boundary))
+    held = pairs.filter(R.contains_point(F.col(ring), F.col(x), F.col(y), boundary))
+    return held if keep is None else held.select(*keep)
+
+
+def _blocks(df: DataFrame, columns: list[str], name: str, size: int) -> DataFrame:
+    """Rows of a grid cell in arrays of at most ``size``."""
+    cell = ["_lv", "_cx", "_cy"]
+    nth = F.floor((F.row_number().over(Window.partitionBy(*cell).orderBy(F.lit(0))) - 1) / size)
+    return df.withColumn("_nth", nth).groupBy(*cell, "_nth").agg(F.collect_list(F.struct(*columns)).alias(name)).drop("_nth")
+
+
+def _held_points(points: DataFrame, polygons: DataFrame, own: list[str], other: list[str], boundary: str) -> DataFrame:
+    """Columns ``own`` of points and ``other`` of polygons for the pairs of a cell where the edges ``_es`` hold the point: ``ring.edges_hold`` on arrays."""
+    box = ["minx", "miny", "maxx", "maxy"]
+    near = _blocks(points, ["_x", "_y", *own], "_p", POINTS)
+    shapes = polygons.withColumns({f"_{c}": F.col(c).cast("double") for c in box})
+    blocks = near.join(_blocks(shapes, [f"_{c}" for c in box] + ["_es", *other], "_q", POLYGONS).hint("shuffle_merge"), ["_lv", "_cx", "_cy"]).select("_p", "_q")
+
+    def numbers(column: pa.Array) -> np.ndarray:
+        return column.to_numpy(zero_copy_only=False).astype(np.float64)
+
+    def held(x, y, ends, start, count, at, who) -> np.ndarray:
+        """For each pair (point ``at``, polygon ``who``) whether its edges hold it."""
+        n = count[who]
+        pair = np.repeat(np.arange(len(who)), n)
+        e = np.arange(len(pair)) + np.repeat(start[who] - np.cumsum(n) + n, n)
+        py = y[at][pair]
+        cut = np.flatnonzero((ends["ay"][e] > py) != (ends["by"][e] > py))
+        ax, ay, bx, by = (ends[c][e[cut]] for c in ("ax", "ay", "bx", "by"))
+        crosses = x[at][pair[cut]] < (bx - ax) * (py[cut] - ay) / (by - ay) + ax
+        inside = np.bincount(pair[cut[crosses]], minlength=len(who)) % 2 == 1
+        if boundary == "half_open":
+            return inside
+        px = x[at][pair]
+        ax, ay, bx, by = (ends[c][e] for c in ("ax", "ay", "bx", "by"))
+        within = (px >= np.minimum(ax, bx)) & (px <= np.maximum(ax, bx)) & (py >= np.minimum(ay, by)) & (py <= np.maximum(ay, by))
+        on = np.zeros(len(who), bool)
+        on[pair[within & ((bx - ax) * (py - ay) == (by - ay) * (px - ax))]] = True
+        return inside & ~on if boundary == "exclude" else inside | on
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                p, q = (batch.column(c).slice(i, 1).flatten() for c in ("_p", "_q"))
+                x, y = numbers(p.field("_x")), numbers(p.field("_y"))
+                x0, y0, x1, y1 = (numbers(q.field(f"_{c}"))[:, None] for c in box)
+                who, at = np.nonzero((x >= x0) & (x <= x1) & (y >= y0) & (y <= y1))
+                lists = q.field("_es")
+                flat = lists.flatten()
+                ends = {v + c: numbers(flat.field(v).field(c)) for v in "ab" for c in "xy"}
+                count = np.diff(np.asarray(lists.offsets)).astype(np.int64)
+                start = np.cumsum(count) - count
+                upto = np.cumsum(count[who])
+                begin = 0
+                while begin < len(who):
+                    end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + EDGES, "right")))
+                    good = held(x, y, ends, start, count, at[begin:end], who[begin:end])
+                    points_in, polygons_in = pa.array(at[begin:end][good]), pa.array(who[begin:end][good])
+                    begin = end
+                    if len(points_in):
+                        columns = [p.field(c).take(points_in) for c in own] + [q.field(c).take(polygons_in) for c in other]
+                        yield pa.RecordBatch.from_arrays(columns, [*own, *other])
+
+    fields = [*points.select(*own).schema.fields, *polygons.select(*other).schema.fields]
+    return blocks.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields))
 
 
 def join_polygons(
@@ -138,7 +215,7 @@ def point_in_polygon_first(
     """Every point once, with the lowest-keyed polygon that holds it (null when none). Distinct positions meet distinct shapes with their first key."""
     shape = [c for c in ("ring", "parts", "minx", "miny", "maxx", "maxy") if c in polygons.columns]
     firsts = polygons.groupBy(*shape).agg(F.min(polygon_key).alias(polygon_key))
-    held = join_points_polygons(points.select("x", "y").distinct(), firsts, cell, boundary=boundary).groupBy("x", "y").agg(F.min(polygon_key).alias(polygon_key))
+    held = join_points_polygons(points.select("x", "y").distinct(), firsts, cell, boundary=boundary, keep=["x", "y", polygon_key]).groupBy("x", "y").agg(F.min(polygon_key).alias(polygon_key))
     hits = points.select(point_key, "x", "y").join(held, ["x", "y"]).groupBy(point_key).agg(F.min(polygon_key).alias(polygon_key))
     return points.join(hits, point_key, "left")
 

@@ -339,7 +339,7 @@ def zonal_parts(t):
 )
 def points_in_parts(t):
     points = t.v_station.select("estacion_id", (F.col("x") + 0.125).alias("x"), (F.col("y") + 0.125).alias("y"))
-    pairs = SP.join_points_polygons(points, parted(t), 16.0, boundary="half_open")
+    pairs = SP.join_points_polygons(points, parted(t), 16.0, boundary="half_open", keep=["id_recinto", "estacion_id"])
     return pairs.groupBy("id_recinto").agg(F.count(F.lit(1)).alias("n"), F.sum("estacion_id").alias("suma"))
 
 

@@ -583,3 +583,28 @@ def test_area_of_a_rectangle_is_that_of_its_edges(spark):
         rows.append((ring + ring[: n % 2],))
     out = spark.createDataFrame(rows, "ring array<struct<x:double,y:double>>").select(R.is_box(F.col("ring")).alias("b"), R.area(F.col("ring")).alias("a"), F.abs(R.signed_area(F.col("ring"))).alias("s"))
     assert all(r["b"] and r["a"] == r["s"] for r in out.collect())
+
+
+@pytest.mark.parametrize("boundary", ["include", "exclude", "half_open"])
+def test_points_meet_parts_in_blocks(spark, monkeypatch, boundary):
+    """Points and polygons of several parts with holes, block by block, against the expression for one pair; points on borders, repeated and null ones too."""
+    rng = np.random.default_rng(6)
+    square = lambda x, y, r: [(x - r, y - r), (x + r, y - r), (x + r, y + r), (x - r, y + r)]
+    slant = lambda x, y, r: [(x - r, y), (x, y - r), (x + r, y), (x, y + r), (x - r, y)]
+    shapes = []
+    for i in range(40):
+        x, y, r = (float(v) for v in (rng.integers(0, 20), rng.integers(0, 20), 2 + i % 7))
+        shapes.append((i // 2, [[square(x, y, r), slant(x, y, r / 2)], [slant(x + 3 * r, y, r)]][: 1 + i % 2]))
+    shapes += [(90, None), (91, [])]
+    places = [(n, float(rng.integers(-4, 60)) / 2, float(rng.integers(-4, 60)) / 2) for n in range(300)] + [(7, 3.0, 3.0), (400, None, 1.0)]
+    points = spark.createDataFrame(places, "pid int, x double, y double").repartition(3)
+    polygons = spark.createDataFrame(shapes, "id int, parts array<array<array<struct<x:double,y:double>>>>")
+    polygons = R.with_bounds(polygons.withColumn("ring", R.parts_outline(F.col("parts")))).drop("ring")
+    for name, value in {"POINTS": 16, "POLYGONS": 5, "EDGES": 50}.items():
+        monkeypatch.setattr(SP, name, value)
+    want = points.crossJoin(polygons).where(R.edges_hold(R.parts_edges(F.col("parts")), F.col("x"), F.col("y"), boundary)).select("id", "pid")
+    joined = SP.join_points_polygons(points, polygons, 2.0, boundary=boundary)
+    assert joined.columns == [*points.columns, *polygons.columns] and "MapInArrow" in _pairs_plan(joined)
+    got = SP.join_points_polygons(points, polygons, 2.0, boundary=boundary, keep=["id", "pid"])
+    rows = lambda df: sorted((r["id"], r["pid"]) for r in df.collect())
+    assert rows(got) == rows(joined) == rows(want) and len(rows(got)) > 300
